@@ -10,6 +10,24 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT rid, doc_id, i, ls[i] AS line, translate(regexp_replace(ls[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM d, unnest(range(1, len(ls) + 1)) AS t(i)),
+bad AS (SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+f AS (SELECT l.*, keeper IS NOT NULL AND l.doc_id <> keeper AS gone FROM l LEFT JOIN bad USING (k))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM f GROUP BY rid
+"""
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import remove_repeats
 
@@ -49,7 +67,8 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN comp ON a = doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_line_dedup": op7_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
-SQL: dict[str, str] = {"op9_substring_dedup": OP9_SQL, "op10_minhash_near_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op10_minhash_near_dedup": OP10_SQL}
