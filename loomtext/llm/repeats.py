@@ -124,6 +124,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held = Carried(docs, id_col, text_col, {text_col, "kept_text", "n_words", "n_removed"})
     texts = held.frame.select("_kid", "_kth", "text")
     anchors = materialize(_repeated(texts.mapInArrow(_anchors(length), _places)), "anchors")
-    windows = _repeated(texts.join(anchors, ["_kid", "_kth"]).mapInArrow(_windows(length), _places))
+    # with all columns, so that both joins read one exchange of the texts
+    windows = _repeated(held.frame.join(anchors, ["_kid", "_kth"]).mapInArrow(_windows(length), _places))
     cut = held.frame.join(windows, ["_kid", "_kth"], "left").mapInArrow(_cut(length), held.schema(_kept))
     return held.restored(cut, "kept_text", "n_words", "n_removed")
