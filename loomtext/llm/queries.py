@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")
+    out = shard(docs.withColumn("text_crc32", crc))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,6 +47,26 @@ FROM f GROUP BY rid
 """
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, source, md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+t AS (SELECT source, CAST(sum(size) AS DOUBLE) AS total, [3.0, 1.0, 2.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)]::DOUBLE AS w FROM d GROUP BY source),
+r AS (SELECT *, 2 * total / w AS ratio FROM t),
+l AS (SELECT *, (1.5 * sum(total) OVER () - coalesce(sum(2 * total) OVER p, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER p, 0)) AS level
+  FROM r WINDOW p AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT source, total, least(2 * total, coalesce((SELECT min_by(level, ratio) FROM l WHERE level <= ratio), ratio) * w) AS target FROM l),
+h AS (SELECT source, CAST(total AS BIGINT) AS total, target, CASE WHEN total > 0 THEN CAST(floor(target / total) AS BIGINT) ELSE 0 END AS passes FROM g),
+m AS (SELECT d.*, h.total, h.target, h.passes, CAST(floor(h.target) AS BIGINT) - h.passes * h.total AS rest,
+  sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source)
+SELECT doc_id, size, total AS source_size, target, CAST(passes * size + least(size, greatest(0, rest - before)) AS BIGINT) AS taken FROM m
+"""
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import remove_repeats
 
@@ -77,9 +106,11 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN comp ON a = doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sharding": op2_sharding,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_line_dedup": op7_line_dedup,
+    "op8_mixing": op8_mixing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
-SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op10_minhash_near_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op8_mixing": OP8_SQL, "op7_line_dedup": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op10_minhash_near_dedup": OP10_SQL}
