@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -106,6 +112,7 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN comp ON a = doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_sharding": op2_sharding,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_line_dedup": op7_line_dedup,
