@@ -7,6 +7,10 @@ shared folder, and the table they replace is deleted.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +50,54 @@ def components(edges: DataFrame) -> DataFrame:
         if was == seen:
             break
     return now
+
+
+def spanning(linked: np.ndarray) -> np.ndarray:
+    """Least node that each node of a small graph reaches, from its symmetric boolean matrix."""
+    label = np.arange(len(linked))
+    while True:
+        # the least label among neighbours, then of what that one points to
+        near = np.where(linked, label[None, :], len(label)).min(axis=1, initial=len(label))
+        new = np.minimum(label, near)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def block_pairs(members: DataFrame, group: str, ident: str, size: int) -> DataFrame:
+    """``members`` dealt into pairs of blocks, so that any two members of a group meet in one pair.
+
+    A group is cut into blocks of about ``size`` by a hash of ``ident``; every member goes to each pair of blocks (_i, _j),
+    _i <= _j, that has its own block _b. Rows grow by a group's number of blocks, not by its number of members.
+    """
+    blocks = members.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_n"))
+    own = members.join(blocks, group).withColumn("_b", F.pmod(F.xxhash64(ident), F.col("_n")).cast("int"))
+    each = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return each.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o")).drop("_n", "_o")
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows of a sorted stream that agree on the first ``keys`` columns, one table for each run."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for k in range(keys):
+            v = batch.column(k).to_numpy(zero_copy_only=False)
+            new[1:] |= v[1:] != v[:-1]
+        starts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        first = tuple(batch.column(k)[0].as_py() for k in range(keys))
+        if held and first != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+            if lo and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+        last = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in range(keys))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -1,9 +1,10 @@
 """MinHash near-dedup: banded universal hash minima, verified on signatures and then on full shingle sets.
 
 Texts with equal sets are one class, found by a 128-bit digest of the set; only the class's least id goes on.
-A band's bucket is not expanded into pairs. Its members are first compared with the bucket's least member
-(a star), links are merged to components, and only members of one bucket that are still in different
-components are compared with each other at the end, so that no link between banded candidates is lost.
+Large buckets are not expanded into pairs. Every text is first compared with the most central text that it
+shares a bucket with (a star), and links are merged to components. Members of one bucket that are still in
+different components are then compared with each other: in pairs where the bucket is small, otherwise in
+blocks that yield only as many edges as they have members. No link between banded candidates is lost.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from pyspark.sql import functions as F
 
 from . import arrow, words
 from .common import Carried, discard, materialize
-from .components import components
+from .components import block_pairs, components, runs, spanning
 
 U = np.uint64
+#: Members of a bucket that are expanded into pairs; larger buckets are compared block by block.
+_FEW = 4
 
 
 def _sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,8 +133,41 @@ def _confirm(percent: int):
     return run
 
 
+def _blocks(percent: int):
+    """Within each pair of blocks, exact sizes of all intersections as products of membership matrices.
+
+    Gives back, for components that links tie together, an edge from each to the least of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in runs(batches, 3):
+            names = part.column("comp").to_numpy()
+            sets = [np.frombuffer(x.as_buffer(), U) for chunk in part.column("set").chunks for x in chunk]
+            size = np.array([len(x) for x in sets])
+            values, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            row = np.repeat(np.arange(len(sets)), size)
+            use = times[place] > 1
+            row, place = row[use], (np.cumsum(times > 1) - 1)[place[use]]
+            order = np.argsort(place, kind="stable")
+            row, place = row[order], place[order]
+            both = np.zeros((len(sets), len(sets)), np.float32)
+            for lo in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
+                a, b = np.searchsorted(place, [lo, lo + 4096])
+                held = np.zeros((len(sets), 4096), np.float32)
+                held[row[a:b], place[a:b] - lo] = 1
+                both += held @ held.T
+            both = both.astype(np.int64)
+            linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+            linked |= names[:, None] == names[None, :]
+            root = names[spanning(linked)]
+            least = np.minimum(names, root)
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(names, root)[names != root]), pa.array(least[names != root])], names=["u", "v"])
+
+    return run
+
+
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, bands: int = 48, rows: int = 6, seed: int = 17
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, bands: int = 48, rows: int = 6, seed: int = 17, block: int = 512
 ) -> DataFrame:
     """All columns of ``docs``, then n_shingles, component_id and kept.
 
@@ -155,7 +191,7 @@ def near_duplicates(
     firsts = materialize(firsts.select("id", "_kth", "sig"), "firsts")
 
     banded = firsts.select("id", "sig").mapInArrow(_bands(rows), "key long, id long")
-    shared = banded.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     buckets = materialize(banded.join(shared, "key"), "buckets")
 
     involved = buckets.select("id").distinct()
@@ -171,28 +207,33 @@ def near_duplicates(
         full = likely.join(sets.select(F.col("id").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("y")), "v")
         return full.select("u", "v", "x", "y").mapInArrow(_confirm(percent), "u long, v long").distinct()
 
-    def apart(links: DataFrame) -> DataFrame:
-        """Bucket members with the component they are in."""
-        return buckets.join(links.select(F.col("u").alias("id"), F.col("v").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-
-    # first each text with the least of its buckets' least members
-    star = buckets.groupBy("id").agg(F.min("least").alias("v")).where("id <> v").select(F.col("id").alias("u"), "v")
+    # first each text with the most central text that it shares a bucket with: that links most of a group of copies
+    central = buckets.groupBy("id").agg(F.sum("c").alias("w"))
+    heads = buckets.join(central, "id").groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("id"))).alias("head"))
+    star = buckets.join(heads, "key").groupBy("id").agg(F.max("head").alias("head")).select(F.col("id").alias("u"), (-F.col("head.id")).alias("v")).where("u <> v")
     # ids with several texts: each of their classes is tied to the id
     several = sketch.where("n > 0 and _id is not null").groupBy("_id").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("_id")
     tied = sketch.join(several, "_id", "left_semi").where("n > 0").join(classes, same).select(F.col("_id").alias("u"), F.col("id").alias("v"))
     links = components(confirmed(star).union(tied))
-    # then with the least member of every bucket where that is not in its component yet
-    member = apart(links)
-    head = links.select(F.col("u").alias("least"), F.col("v").alias("head"))
-    star = member.join(head, "least", "left").where("comp <> coalesce(head, least)").select(F.col("id").alias("u"), F.col("least").alias("v")).distinct()
-    links = _more(links, confirmed(star))
-    # then all members of one bucket that are in different components
-    member = apart(links)
-    mixed = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    member = materialize(member.join(mixed, "key", "left_semi").select("key", "id", "comp"), "mixed")
-    other = member.select("key", F.col("id").alias("v"), F.col("comp").alias("other"))
-    rest = member.join(other, "key").where("id > v and comp <> other").select(F.col("id").alias("u"), "v").distinct()
-    links = _more(links, confirmed(rest))
+
+    # then members of one bucket that are in different components: the rest of the candidates
+    member = buckets.join(links.select(F.col("u").alias("id"), F.col("v").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    mixed = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("least")).where("lo <> hi").select("key", "least")
+    member = materialize(member.join(mixed, "key"), "mixed")
+    few = member.where(F.col("c") <= _FEW)
+    other = few.select("key", F.col("id").alias("v"), F.col("comp").alias("other"))
+    rest = few.join(other, "key").where("id > v and comp <> other").select(F.col("id").alias("u"), "v").distinct()
+    # large buckets: texts that they tie together are compared block by block
+    many = member.where(F.col("c") > _FEW)
+    cells = components(many.select(F.col("id").alias("u"), F.col("least").alias("v")))
+    placed = many.select("id", "comp").distinct().join(cells.select(F.col("u").alias("id"), F.col("v").alias("cell")), "id", "left").withColumn("cell", F.coalesce("cell", "id"))
+    dealt = block_pairs(placed.join(sets, "id"), "cell", "id", block).select("cell", "_i", "_j", "_b", "id", "comp", "set")
+    order = ["cell", "_i", "_j"]
+    within = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_blocks(percent), "u long, v long")
+    found = materialize(confirmed(rest).union(within), "found")
+    if not found.isEmpty():
+        held_links, links = links, components(links.union(found))
+        discard(held_links)
 
     named = classes.join(links.select(F.col("u").alias("id"), F.col("v").alias("comp")), "id", "left").select(*same, F.coalesce("comp", "id").alias("comp"))
     light = sketch.select(F.coalesce("_id", F.lit(0)).alias("_kid"), "_kth", *same, F.col("_id").isNull().alias("nameless")).distinct()
@@ -205,12 +246,3 @@ def near_duplicates(
         out.withColumn("component_id", F.coalesce("comp", ident)).withColumn("kept", ident.eqNullSafe(F.col("component_id"))), "n_shingles", "component_id", "kept"
     )
 
-
-def _more(links: DataFrame, found: DataFrame) -> DataFrame:
-    """Components over known ones and further edges."""
-    found = materialize(found, "found")
-    if found.isEmpty():
-        return links
-    out = components(links.union(found))
-    discard(links)
-    return out
