@@ -32,6 +32,14 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlrules import judge, mine
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = mine(pages, table(spark, sf_dir, "labels"), "page_id", "url", "doc_id", "quality")
+    return judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -139,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_sharding": op2_sharding,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_url_filters": op4_url_filters,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_line_dedup": op7_line_dedup,
