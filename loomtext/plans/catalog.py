@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from . import chunks, dedup  # noqa: F401
+from .registry import ORACLE, QUERIES  # noqa: F401
 
 FLAGSHIP = "exact_duplicates"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
