@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, dedup  # noqa: F401
+from . import chunks, dedup, facets, search, web  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
 
 FLAGSHIP = "exact_duplicates"
