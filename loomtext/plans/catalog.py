@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, corpus, dedup, facets, personal, search, state, verify, web  # noqa: F401
+from . import chunks, corpus, dedup, facets, personal, records, search, state, verify, web  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
 
 FLAGSHIP = "exact_duplicates"
