@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 
+#: Edges that one task can hold: up to so many, the steps run in one partition and need no exchange.
+FEW = 1_000_000
+
+
 def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
@@ -24,7 +28,7 @@ def _digest(edges: DataFrame) -> tuple:
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -34,17 +38,19 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """``edges`` (u, v) of any orientation to a written table (u, v): v is the least node that u reaches, v < u.
 
     Nodes without a row are their own least node. Loops and nulls are ignored; an empty table gives an empty one.
+    The steps are the same whether the edges fit into one partition (up to ``few``) or are dealt out.
     """
     now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = _digest(now)
     while seen[0]:
-        wide = materialize(_large(now), "large")
+        held = now.coalesce(1) if seen[0] <= few else now
+        wide = materialize(_large(held), "large")
         discard(now)
-        now = materialize(_small(wide), "small")
+        now = materialize(_small(wide.coalesce(1) if seen[0] <= few else wide), "small")
         discard(wide)
         was, seen = seen, _digest(now)
         if was == seen:

@@ -54,8 +54,9 @@ def test_components(spark):
         if a is not None and b is not None:
             x, y = sorted((find(a), find(b)))
             label[y] = x
-    got = {r.u: r.v for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {x: find(x) for x in label if find(x) != x}
+    for few in (0, components.FEW):
+        got = {r.u: r.v for r in components.components(spark.createDataFrame(edges, "u long, v long"), few).collect()}
+        assert got == {x: find(x) for x in label if find(x) != x}
     assert components.components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
