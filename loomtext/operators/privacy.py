@@ -99,3 +99,63 @@ def leaks(text: Column, expected: Column) -> Column:
     norm = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
     held = norm(text)
     return F.size(F.filter(expected, lambda x: held.contains(norm(x))))
+
+
+#: Context rules that hold even when no entity was extracted, in order: long identifiers come before postal codes.
+CONTEXT_RULES: tuple[tuple[str, str], ...] = (
+    (r"(?m)^[A-Z0-9<]{30,}$", "[MRZ-REDACTED]"),
+    (r"(?m)^([0-9]+[.)] )[A-ZÄÖÜ][a-zäöüß]+ [A-ZÄÖÜ][a-zäöüß]+,? (geb|geboren)", "$1[PERSON], $2"),
+    (r"(?m)((?:AZR-?(?:Nummer|Nr\.?)|Aktenzeichen|Az\.|Kennzeichen|Referenz)\s*:?\s*)[A-Z0-9][A-Z0-9./ -]{3,}[A-Z0-9]", "$1[AKTENZEICHEN]"),
+    (r"((?:Pass|Visum|Ausweis|ID)(?:nummer|-Nr\.?| No\.?)\s*:?\s*)[A-Z0-9]{6,}", "$1[DOKUMENTENNUMMER]"),
+    (r"((?:geboren am|geb\. am|geb\.|Geburtsdatum:?)\s*)[0-9]{1,2}\.[0-9]{1,2}\.(?:19|20)?[0-9]{2}", "$1[GEBURTSDATUM]"),
+    (r"(?m)((?:Name|Vorname|Familienname|Mutter|Vater|Kläger(?:in)?|Antragsteller(?:in)?)\s*:\s*)[^\n,]+", "$1[PERSON]"),
+    (r"[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|str\.|weg|platz|allee|gasse) [0-9]{1,4}[a-z]?", "[ADRESSE]"),
+    (r"\b[0-9]{5} [A-ZÄÖÜ][a-zäöüß]+(?:[ -][A-ZÄÖÜ][a-zäöüß]+)?", "[PLZ] [ORT]"),
+    (r"(?m)^(gez\.|Im Auftrag|Unterschrift:?)\s+[A-ZÄÖÜ][^\n]*$", "$1 [PERSON]"),
+)
+
+
+def redact_context(text: Column) -> Column:
+    """The context rules as one chain of expressions."""
+    return redact(text, CONTEXT_RULES)
+
+
+def restore_markers(before: str, after: str, marker: str = r"--- (?:Page|Seite) \d+ ---") -> str:
+    """``after`` with the page markers of ``before`` that a rewrite lost.
+
+    A marker goes back in front of the first line that followed it, if that line is still there after the marker before it,
+    else to the end. Markers that are still there stay where they are.
+    """
+    out = after
+    at = 0
+    for m in re.finditer(marker, before):
+        if (here := out.find(m[0], at)) >= 0:
+            at = here + len(m[0])
+            continue
+        follow = next((x.strip() for x in before[m.end() :].split("\n") if x.strip()), "")
+        spot = out.find(follow, at) if follow and not re.match(marker, follow) else -1
+        if spot < 0:
+            out = out.rstrip("\n") + "\n" + m[0] + "\n"
+            at = len(out)
+        else:
+            out = out[:spot] + m[0] + "\n" + out[spot:]
+            at = spot + len(m[0])
+    return out
+
+
+_HONORIFIC = {"herr", "frau", "dr", "dr.", "prof", "prof.", "der", "die", "das"}
+
+
+def plausible_names(text: str, names: Sequence[str], group_words: Sequence[str] = ("kläger", "behörde", "gericht", "amt", "familie"), context: int = 100, reference: str = r"(?i)(urteil|beschluss|rn\.|juris)") -> list[str]:
+    """Names of one to four capitalised words without digits that are no honorifics, groups or organisations, occur in the text, and not only beside citations."""
+    keep = []
+    for name in dict.fromkeys(n.strip() for n in names if n and n.strip()):
+        words = name.split()
+        if not 1 <= len(words) <= 4 or any(c.isdigit() for c in name) or any(not w[0].isupper() for w in words):
+            continue
+        if all(w.lower() in _HONORIFIC for w in words) or any(g in name.lower() for g in group_words):
+            continue
+        spots = [m.start() for m in re.finditer(re.escape(name), text)]
+        if spots and not all(re.search(reference, text[max(0, s - context) : s + len(name) + context]) for s in spots):
+            keep.append(name)
+    return keep

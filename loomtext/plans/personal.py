@@ -92,3 +92,14 @@ def forbidden(spark, d):
     masked = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\[q[0-9]+\]", "")
     hits = F.size(F.filter(F.array(*map(F.lit, ("password", "token", "the"))), lambda t: masked.contains(t)))
     return table(spark, d, "conversations").select("conv_id", "turn", hits.cast("long").alias("hits"))
+
+
+_NOTE = "'Name: ' || c_name || chr(10) || 'geboren am 1.2.19' || (50 + c_custkey % 40) || chr(10) || 'wohnhaft Lange Musterstraße ' || (1 + c_custkey % 90) || ', 12345 Bad Ort' || chr(10) || 'gez. Muster'"
+
+
+@query("context_redacted", f"SELECT c_custkey, 'Name: [PERSON]' || chr(10) || 'geboren am [GEBURTSDATUM]' || chr(10) || 'wohnhaft Lange [ADRESSE], [PLZ] [ORT]' || chr(10) || 'gez. [PERSON]' AS note FROM customer WHERE length({_NOTE}) > 0")
+def context_redacted(spark, d):
+    """Labelled personal data in notes made of customers goes by context alone."""
+    k = F.col("c_custkey")
+    note = F.concat(F.lit("Name: "), "c_name", F.lit("\ngeboren am 1.2.19"), (50 + k % 40).cast("string"), F.lit("\nwohnhaft Lange Musterstraße "), (1 + k % 90).cast("string"), F.lit(", 12345 Bad Ort\ngez. Muster"))
+    return table(spark, d, "customer").select("c_custkey", P.redact_context(note).alias("note"))

@@ -137,3 +137,16 @@ def footers(spark, d):
     j = c.join(n, "c_nationkey", "left")
     differs = F.col("n_name").isNotNull() & (F.length("n_name") != F.length("c_mktsegment"))
     return j.select("c_custkey", F.coalesce("n_name", "c_mktsegment").alias("court"), F.when(differs, "court_differs").alias("warning"))
+
+
+@query("page_citations", "SELECT conv_id, turn, CAST(1 + turn % 7 AS BIGINT) AS page, 'Der Satz steht fest' AS claim FROM conversations")
+def page_citations(spark, d):
+    """Citations found in sentences made of the turns, with the claims they support."""
+    from ..operators.citations import extract
+
+    c = table(spark, d, "conversations")
+    said = F.concat(F.lit("Vorher etwas. Der Satz steht fest (vgl. Bl. "), (1 + F.col("turn") % 7).cast("string"), F.lit(" der Akte). Nach § 5 Abs. 2 S. 1 gilt das."))
+    key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    found = extract(c.select(key.alias("k"), said.alias("t")), "k", "t")
+    part = lambda n: F.split("k", ":")[n].cast("long")
+    return found.select(part(0).alias("conv_id"), part(1).alias("turn"), F.col("pages")[0].cast("long").alias("page"), "claim")
