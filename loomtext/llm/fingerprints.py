@@ -94,15 +94,24 @@ def _bounds(keys: DataFrame, ranges: int) -> tuple[int | None, list[tuple[int, i
     return cut["least"], [(x, LEAST) for x in sorted({x for x in cut["q"] or [] if x != cut["least"]})]
 
 
-def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int = 256) -> DataFrame:
+def _ranges(docs: DataFrame, least: int = 256, most: int = 16_384, size: int = 64 << 20) -> int:
+    """Parts of about ``size`` bytes by the planner's estimate, of 1,000 rows at least beyond the first ``least``."""
+    estimate = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if estimate <= least * size:
+        return least
+    return max(least, min(most, estimate // size, docs.count() // 1000))
+
+
+def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text, a row for each row of ``docs``.
 
     Returns the id, n_chars, edited_sha256, fingerprint, edited_fingerprint (hexadecimal), near_edited and near_next.
     In the edited text the last floor(n_chars / 2) code points give way to the first as many of the next text by
     ascending id (after the last: the first). Null texts count as empty, null ids come first, ties of the id are
     ordered by a hash of the text, and a lone row is its own next. Other columns do not matter. An empty table gives an empty result.
-    ``ranges`` is the number of parts that the order is cut into.
+    ``ranges`` is the number of parts that the order is cut into; by default it follows the table's size.
     """
+    ranges = ranges or _ranges(docs)
     ident, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(ident, F.lit(LEAST)).alias("_id"), text.alias("_text")).withColumn("_th", F.xxhash64("_text"))
     least, bounds = _bounds(docs.select(F.coalesce(ident, F.lit(LEAST)).alias("_id")), ranges)

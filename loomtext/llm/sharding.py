@@ -9,6 +9,8 @@ as there are splitters times 256.
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,29 +63,33 @@ def splitters(keys: DataFrame, targets: list[float], slack: list[float]) -> tupl
         for r in counted:
             p = _number(r.p1, r.p2, bits)
             by_parent.setdefault(p >> (bits - was) if was else 0, []).append((p, r.s, r.c))
-        for held in by_parent.values():
+        sums = {}
+        for parent, held in by_parent.items():
             held.sort()
+            sums[parent] = [*accumulate(s for _, s, _ in held)], [*accumulate(c for _, _, c in held)]
         for k in range(n):
             if found[k] is not None:
                 continue
             parent, size, count = opened[k]
-            inside = by_parent.get(parent, [])
-            for p, s, c in inside:
-                if size + s > targets[k] or p == inside[-1][0]:
-                    over, under = size + s - targets[k], targets[k] - size
-                    opened[k] = (p, size, count)
-                    if min(over, under) <= slack[k] or bits >= _BITS or c == 1:
-                        up = over < under
-                        found[k] = min((p + up) << (_BITS - bits), 2**128 - 1)
-                        below_bytes[k], below_rows[k] = (size + s, count + c) if up else (size, count)
-                    break
-                size, count = size + s, count + c
-            else:  # no rows at all
+            inside = by_parent.get(parent)
+            if not inside:  # no rows at all
                 found[k] = 0
+                continue
+            below, rows = sums[parent]
+            # the first prefix that ends beyond the target, else the last
+            j = min(bisect_right(below, targets[k] - size), len(inside) - 1)
+            p, s, c = inside[j]
+            size, count = size + below[j] - s, count + rows[j] - c
+            over, under = size + s - targets[k], targets[k] - size
+            opened[k] = (p, size, count)
+            if min(over, under) <= slack[k] or bits >= _BITS or c == 1:
+                up = over < under
+                found[k] = min((p + up) << (_BITS - bits), 2**128 - 1)
+                below_bytes[k], below_rows[k] = (size + s, count + c) if up else (size, count)
     return [x or 0 for x in found], below_bytes, below_rows
 
 
-def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.001, range_bytes: int = 16 << 20, ranges_per_shard: int = 128) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.001, range_bytes: int = 16 << 20, ranges_per_shard: int = 2048) -> DataFrame:
     """All columns of ``docs``, then size, shard and slot.
 
     size is the text's UTF-8 bytes (null: none) plus one. Shards follow each other in key order; a shard's bytes
