@@ -41,8 +41,8 @@ q AS (SELECT *, CASE WHEN pr IS NOT NULL AND (s IS NULL OR pr > s) THEN pr END A
 o AS (SELECT *, count(a) OVER (PARTITION BY k) * 2 > count(pr) OVER (PARTITION BY k) AS ok, (SELECT arg_min(x.a - x.n, abs(x.n - q.n) * 2 + (x.n > q.n)::INT) FROM q x WHERE x.k = q.k AND x.a IS NOT NULL) AS off FROM q)
 SELECT k, n, n + CASE WHEN ok THEN coalesce(off, 0) ELSE 0 END AS folio FROM o""")
 def printed(spark, d):
-    """Pages of each user's event list with printed numbers on some; a few numbers are wrong."""
-    e = table(spark, d, "events").where("event_id < 3000").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long"))
+    """Pages of each user's event list with printed numbers on some; a few numbers are wrong. The SQL still reads event_id < 3000."""
+    e = table(spark, d, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long"))
     pr = F.when(F.col("event_id") % 4 == 0, F.col("n") + F.col("user_id") % 5).when(F.col("event_id") % 31 == 1, F.lit(1).cast("long"))
     return E.printed_pages(e.select(F.col("user_id").alias("k"), "n", pr.alias("pr")), "k", "n", "pr").select("k", "n", "folio")
 
@@ -83,8 +83,8 @@ def classified(spark, d):
 
 @query("semantic_fill", "WITH h AS (SELECT l_suppkey AS page, l_orderkey AS hit, l_linenumber AS idx, l_shipdate::DATE::VARCHAR AS meta FROM lineitem WHERE l_orderkey < 400) SELECT page, min(hit) AS first_hit, string_agg(idx::VARCHAR, ',' ORDER BY idx, hit) AS chunks, arg_min(meta, hit * 10 + idx) AS meta FROM h GROUP BY page")
 def semantic_fill(spark, d):
-    """Chunk hits by page: the first hit places a page, its chunks come in their own order."""
-    h = table(spark, d, "lineitem").where("l_orderkey < 400").select(F.col("l_suppkey").alias("page"), F.col("l_orderkey").alias("hit"), F.col("l_linenumber").alias("idx"), F.col("l_shipdate").cast("date").cast("string").alias("meta"))
+    """Chunk hits by page: the first hit places a page, its chunks come in their own order. The SQL still reads l_orderkey < 400."""
+    h = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("page"), F.col("l_orderkey").alias("hit"), F.col("l_linenumber").alias("idx"), F.col("l_shipdate").cast("date").cast("string").alias("meta"))
     chunks = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "hit"))), lambda x: x["idx"].cast("string")), ",")
     return h.groupBy("page").agg(F.min("hit").alias("first_hit"), chunks.alias("chunks"), F.min_by("meta", F.col("hit") * 10 + F.col("idx")).alias("meta"))
 

@@ -76,3 +76,32 @@ def test_knn_across_blocks(spark):
         for r in plain:
             groups.setdefault((r.query_id, r.g if by else None), []).append((-r.score, r.k))
         assert got == sorted((q, k, -s) for (q, _), held in groups.items() for s, k in sorted(held)[:5])
+
+
+def test_printed_pages_and_semantic_fill_read_all_rows(spark, tmp_path):
+    draw = random.Random(3)
+    events = [(k, draw.randint(1, 5)) for k in [*range(40), *range(2980, 3100)]]
+    want = []
+    for user in {u for _, u in events}:
+        ids = sorted(k for k, u in events if u == user)
+        printed = [n + user % 5 if k % 4 == 0 else 1 if k % 31 == 1 else None for n, k in enumerate(ids, 1)]
+        anchors, top = {}, None
+        for n, p in enumerate(printed, 1):
+            if p is not None:
+                if top is None or p > top:
+                    anchors[n] = p - n
+                top = p if top is None else max(top, p)
+        holds = len(anchors) * 2 > sum(p is not None for p in printed)
+        for n in range(1, len(ids) + 1):
+            at = min(anchors, key=lambda a: (abs(a - n), a > n), default=None)
+            want.append((user, n, n + (anchors[at] if holds and at is not None else 0)))
+    assert run(spark, tmp_path, "printed_pages", events=("event_id long, user_id long", events)) == sorted(want, key=repr)
+
+    import datetime as dt
+
+    lines = [(k, n, draw.randint(1, 4), dt.datetime(1995, 1, 1) + dt.timedelta(k + n)) for k in (1, 7, 399, 400, 401, 9000) for n in range(1, 8)]
+    by = {}
+    for hit, idx, page, day in lines:
+        by.setdefault(page, []).append((hit, idx, str(day.date())))
+    want = [(p, min(h)[0], ",".join(str(i) for i, _ in sorted((i, k) for k, i, _ in h)), min(h)[2]) for p, h in by.items()]
+    assert run(spark, tmp_path, "semantic_fill", lineitem=("l_orderkey long, l_linenumber int, l_suppkey long, l_shipdate timestamp", lines)) == sorted(want, key=repr)
