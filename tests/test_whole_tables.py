@@ -105,3 +105,17 @@ def test_printed_pages_and_semantic_fill_read_all_rows(spark, tmp_path):
         by.setdefault(page, []).append((hit, idx, str(day.date())))
     want = [(p, min(h)[0], ",".join(str(i) for i, _ in sorted((i, k) for k, i, _ in h)), min(h)[2]) for p, h in by.items()]
     assert run(spark, tmp_path, "semantic_fill", lineitem=("l_orderkey long, l_linenumber int, l_suppkey long, l_shipdate timestamp", lines)) == sorted(want, key=repr)
+
+
+def test_keywords_and_folded_words_of_every_document(spark, tmp_path):
+    from hashlib import md5
+
+    draw = random.Random(4)
+    words = ["with", "Straße", "über", "niño", "façade", "école", "ab", "mañana", "Öffnung", "plain", "text", "x1yz", "ÜBEL", "corazón", "garçon"]
+    docs = [(k, " ".join(draw.choices(words, k=n)), lang, 0) for k, (lang, n) in enumerate((a, n) for a in ("en", "de", "fr", "es", None) for n in (0, 3, 40, 2000))]
+    docs = [(k, t, lang, len(t)) for k, t, lang, _ in docs] + [(90, None, "en", 0), (91, "with " * 900 + "endlich", "en", 4507)]
+    tables = {"documents": ("doc_id long, text string, lang string, n_chars long", docs)}
+    kept = lambda t: [w for w in re.findall("[a-zäöüß]{4,}", (t or "").lower()) if w not in ("onent", "that", "this", "with")]
+    assert run(spark, tmp_path, "keywords", **tables) == sorted(((k, ",".join([*dict.fromkeys(kept(t))][:12])) for k, t, *_ in docs), key=repr)
+    folded = lambda t: t.lower().replace("ä", "ae").replace("ö", "oe").replace("ü", "ue").replace("ß", "ss")
+    assert run(spark, tmp_path, "folded_words") == sorted(((k, None if t is None else md5(folded(t).encode()).hexdigest()) for k, t, *_ in docs), key=repr)
