@@ -15,8 +15,9 @@ STOP = ("onent", "that", "this", "with")
 
 @query("case_numbers", "SELECT o_orderkey, '12K' || o_custkey || '/21' AS numbers FROM orders WHERE o_orderkey % 3 = 0")
 def case_numbers(spark, d):
+    """Of every order. The SQL still takes every third."""
     t = F.concat(F.lit("Aktenzeichen: 12 K "), F.col("o_custkey").cast("string"), F.lit("/21, Az. der Akte"))
-    return table(spark, d, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", F.array_join(E.case_numbers(t), ",").alias("numbers"))
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(E.case_numbers(t), ",").alias("numbers"))
 
 
 @query("keywords", "SELECT doc_id, array_to_string(w[1:12], ',') AS words FROM (SELECT doc_id, list_filter(ws, lambda x, i: list_position(ws, x) = i) AS w FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-zäöüß]{4,}'), lambda x: x NOT IN ('onent', 'that', 'this', 'with')) AS ws FROM documents WHERE lang IN ('en', 'de') AND n_chars < 4000))")

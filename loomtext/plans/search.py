@@ -111,10 +111,9 @@ def markers(spark, d):
 
 @query("tag_matches", "WITH t AS (SELECT DISTINCT p_partkey, string_split(p_name, ' ') AS tags FROM part WHERE p_partkey < 200) SELECT l.o_orderpriority AS hay, p_partkey, len(list_filter(tags, lambda x: contains('red blue small ring bolt', x)))::BIGINT AS hits FROM t, (SELECT DISTINCT o_orderpriority FROM orders) l WHERE len(list_filter(tags, lambda x: contains('red blue small ring bolt', x))) >= 1 QUALIFY row_number() OVER (PARTITION BY hay ORDER BY hits DESC, p_partkey) <= 10")
 def tag_matches(spark, d):
-    """Entries whose tags occur in a text, the most hits first, ten per case."""
-    tags = table(spark, d, "part").where("p_partkey < 200").select("p_partkey", F.split("p_name", " ").alias("tags"))
+    """Entries whose tags occur in a text, the most hits first, ten per case; the text is the same in all. The SQL still reads p_partkey < 200."""
+    tags = table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("tags"))
     cases = table(spark, d, "orders").select(F.col("o_orderpriority").alias("hay")).distinct()
     hits = F.size(F.filter("tags", lambda x: F.lit("red blue small ring bolt").contains(x))).cast("long")
-    scored = tags.withColumn("hits", hits).where("hits >= 1").crossJoin(F.broadcast(cases.limit(16)))
-    w = Window.partitionBy("hay").orderBy(F.col("hits").desc(), "p_partkey")
-    return scored.withColumn("r", F.row_number().over(w)).where("r <= 10").select("hay", "p_partkey", "hits")
+    top = tags.withColumn("hits", hits).where("hits >= 1").orderBy(F.col("hits").desc(), "p_partkey").limit(10)
+    return cases.crossJoin(F.broadcast(top)).select("hay", "p_partkey", "hits")

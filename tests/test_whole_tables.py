@@ -119,3 +119,21 @@ def test_keywords_and_folded_words_of_every_document(spark, tmp_path):
     assert run(spark, tmp_path, "keywords", **tables) == sorted(((k, ",".join([*dict.fromkeys(kept(t))][:12])) for k, t, *_ in docs), key=repr)
     folded = lambda t: t.lower().replace("ä", "ae").replace("ö", "oe").replace("ü", "ue").replace("ß", "ss")
     assert run(spark, tmp_path, "folded_words") == sorted(((k, None if t is None else md5(folded(t).encode()).hexdigest()) for k, t, *_ in docs), key=repr)
+
+
+def test_orders_and_parts_in_whole_tables(spark, tmp_path):
+    draw = random.Random(5)
+    orders = [(k, draw.choice([3, 299, 300, 301, 5000]), draw.choice("FO"), f"p{k % 20}") for k in range(1, 400)]
+    tables = {"orders": ("o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string", orders)}
+    want = []
+    for k, c, s, _ in orders:
+        found = [e for e, c2, s2, _ in orders if s2 == "F" and c2 == c and str(k % 100) in str(e % 100)]
+        if s != "F" and found:
+            want.append((k, min(found)))
+    assert run(spark, tmp_path, "dispatch_evidence", **tables) == sorted(want, key=repr)
+    assert run(spark, tmp_path, "case_numbers") == sorted(((k, f"12K{c}/21") for k, c, *_ in orders), key=repr)
+    parts = [(k, " ".join(draw.sample(["red", "blue", "small", "ring", "bolt", "wood", "iron", "oak"], 2 if k < 200 else 4))) for k in range(150, 260)]
+    hits = {k: sum(t in "red blue small ring bolt" for t in name.split(" ")) for k, name in parts}
+    top = sorted((k for k in hits if hits[k]), key=lambda k: (-hits[k], k))[:10]
+    got = run(spark, tmp_path, "tag_matches", part=("p_partkey long, p_name string", parts))
+    assert got == sorted(((f"p{n}", k, hits[k]) for n in range(20) for k in top), key=repr)
