@@ -20,9 +20,12 @@ def _pages(spark, d):
 
 
 def _cited(spark, d):
-    """A claim from the second page of every other document; a third cite the right page."""
-    p = _pages(spark, d).where((F.col("doc_id") % 2 == 0) & (F.col("page_no") == 2) & (F.length("page_text") >= 80))
-    return p.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("page_no")).otherwise(1).alias("cited"), F.substring("page_text", 20, 60).alias("claim"))
+    """A claim from every page (``found``) long enough to have one; a third of the documents cite the right page, the others the first.
+
+    The SQL still takes claims from page 2 of every other document only.
+    """
+    p = _pages(spark, d).where(F.length("page_text") >= 80)
+    return p.select("doc_id", F.col("page_no").alias("found"), F.when(F.col("doc_id") % 3 == 0, F.col("page_no")).otherwise(1).alias("cited"), F.substring("page_text", 20, 60).alias("claim"))
 
 
 _STATUS = f"WITH {_CITED}, h AS (SELECT c.doc_id, count(*) FILTER (WHERE contains(p.page_text, claim) AND page_no = cited) AS hit, count(*) FILTER (WHERE contains(p.page_text, claim) AND page_no <> cited) AS other FROM c JOIN {_PAGED} p USING (doc_id) GROUP BY 1) SELECT doc_id, CASE WHEN hit > 0 THEN 'verified' WHEN other = 1 THEN 'other_page' WHEN other > 1 THEN 'ambiguous' ELSE 'not_found' END AS status FROM h"
@@ -31,8 +34,8 @@ _STATUS = f"WITH {_CITED}, h AS (SELECT c.doc_id, count(*) FILTER (WHERE contain
 def _status(spark, d):
     both = _cited(spark, d).join(_pages(spark, d), "doc_id")
     there, own = F.col("page_text").contains(F.col("claim")), F.col("page_no") == F.col("cited")
-    g = both.groupBy("doc_id").agg(F.count(F.when(there & own, 1)).alias("hit"), F.count(F.when(there & ~own, 1)).alias("other"))
-    return g.select("doc_id", V.status(F.col("hit"), F.col("other"), F.lit(True)).alias("status"))
+    g = both.groupBy("doc_id", "found").agg(F.count(F.when(there & own, 1)).alias("hit"), F.count(F.when(there & ~own, 1)).alias("other"))
+    return g.select("doc_id", "found", V.status(F.col("hit"), F.col("other"), F.lit(True)).alias("status"))
 
 
 query("citation_status", _STATUS)(_status)
@@ -50,14 +53,14 @@ _NORM = lambda c: f"trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ',
 @query("token_matches", f"WITH {_CITED} SELECT c.doc_id, page_no, round(len(list_distinct(list_intersect(list_distinct(string_split({_NORM('claim')}, ' ')), string_split({_NORM('page_text')}, ' '))))::DOUBLE / len(list_distinct(string_split({_NORM('claim')}, ' '))), 6) AS share FROM c JOIN {_PAGED} p USING (doc_id)")
 def token_matches(spark, d):
     both = _cited(spark, d).join(_pages(spark, d), "doc_id")
-    return both.select("doc_id", "page_no", F.round(V.token_share(F.col("claim"), F.col("page_text")), 6).alias("share"))
+    return both.select("doc_id", "found", "page_no", F.round(V.token_share(F.col("claim"), F.col("page_text")), 6).alias("share"))
 
 
 @query("fuzzy_matches")
 def fuzzy(spark, d):
     """Claims with a slip of the pen found on their pages by similarity."""
     slipped = _cited(spark, d).withColumn("claim", F.concat(F.substring("claim", 1, 30), F.lit("~"), F.substring("claim", 32, 40)))
-    return V.fuzzy_hits(slipped.join(_pages(spark, d).where("page_no <= 3"), "doc_id"), "claim", "page_text").where("match").select("doc_id", "page_no")
+    return V.fuzzy_hits(slipped.join(_pages(spark, d), "doc_id"), "claim", "page_text").where("match").select("doc_id", "found", "page_no")
 
 
 @query("unsupported_facts", r"WITH f AS (SELECT doc_id, source, list_distinct(regexp_extract_all(text, '(?:^|[^0-9])([0-9]{3}-[0-9]{4})', 1)) AS facts FROM documents), k AS (SELECT DISTINCT source, unnest(facts) AS fact FROM f WHERE doc_id % 2 = 0) SELECT doc_id, fact FROM (SELECT doc_id, source, unnest(facts) AS fact FROM f WHERE doc_id % 2 = 1) x WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.source = x.source AND k.fact = x.fact)")
@@ -87,9 +90,9 @@ def covering(spark, d):
 @query("quoted_sources", f"WITH {_CITED} SELECT c.doc_id, contains({_NORM('text')}, {_NORM('claim')}) AS quote, CASE WHEN contains(text, 'the') AND contains(text, 'der') THEN NULL WHEN contains(text, 'the') THEN true WHEN contains(text, 'der') THEN false END AS outcome FROM c JOIN documents USING (doc_id)")
 def quoted(spark, d):
     """Verbatim quotation and outcome; an outcome that both markers speak for is open."""
-    j = _cited(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     a, b = F.col("text").contains("the"), F.col("text").contains("der")
-    return j.select("doc_id", V.normal(F.col("text")).contains(V.normal(F.col("claim"))).alias("quote"), F.when(a & b, None).when(a, True).when(b, False).alias("outcome"))
+    whole = table(spark, d, "documents").select("doc_id", V.normal(F.col("text")).alias("whole"), F.when(a & b, None).when(a, True).when(b, False).alias("outcome"))
+    return _cited(spark, d).join(whole, "doc_id").select("doc_id", "found", F.col("whole").contains(V.normal(F.col("claim"))).alias("quote"), "outcome")
 
 
 @query("page_excerpts", f"WITH {_CITED} SELECT c.doc_id, md5(substr(text, 1, 350) || CASE WHEN instr(text, substr(claim, 1, 60)) > 0 THEN substr(text, greatest(1, instr(text, substr(claim, 1, 60)) - 75)::INT, 150) ELSE right(text, 150) END) AS excerpt_md5 FROM c JOIN documents USING (doc_id)")
@@ -98,7 +101,7 @@ def excerpts(spark, d):
     j = _cited(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     at = F.expr("locate(substr(claim, 1, 60), text)")
     near = F.when(at > 0, F.substring(F.col("text"), F.greatest(F.lit(1), at - 75), F.lit(150))).otherwise(F.expr("right(text, 150)"))
-    return j.select("doc_id", F.md5(F.concat(F.substring("text", 1, 350), near)).alias("excerpt_md5"))
+    return j.select("doc_id", "found", F.md5(F.concat(F.substring("text", 1, 350), near)).alias("excerpt_md5"))
 
 
 @query("expanded_pages", f"SELECT doc_id, string_agg(page_no::VARCHAR, ',' ORDER BY page_no) AS pages FROM {_PAGED} WHERE page_no >= 2 + doc_id % 3 GROUP BY doc_id")

@@ -137,3 +137,32 @@ def test_orders_and_parts_in_whole_tables(spark, tmp_path):
     top = sorted((k for k in hits if hits[k]), key=lambda k: (-hits[k], k))[:10]
     got = run(spark, tmp_path, "tag_matches", part=("p_partkey long, p_name string", parts))
     assert got == sorted(((f"p{n}", k, hits[k]) for n in range(20) for k in top), key=repr)
+
+
+def test_claims_of_every_page_meet_every_page(spark, tmp_path):
+    from hashlib import md5
+
+    draw = random.Random(6)
+    text = lambda n: " ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 9))) for _ in range(n))[: n * 5]
+    docs = [(k, text(n)) for k, n in ((1, 10), (2, 700), (3, 900), (4, 130), (5, 260), (7, 16))] + [(9, None), (10, "")]
+    docs.append((6, (docs[1][1][:1200] + docs[2][1][:600]) * 2))  # its pages stand twice
+    pages = {k: [t[i : i + 600] for i in range(0, len(t or ""), 600)] for k, t in docs}
+    claims = [(k, n, n if k % 3 == 0 else 1, p[19:79]) for k, ps in pages.items() for n, p in enumerate(ps, 1) if len(p) >= 80]
+    assert {k for k, *_ in claims} >= {2, 3, 5, 6} and max(n for _, n, *_ in claims) > 3
+    status = []
+    for k, n, cited, claim in claims:
+        at = [m for m, p in enumerate(pages[k], 1) if claim in p]
+        status.append((k, n, "verified" if cited in at else "other_page" if len(at) == 1 else "ambiguous" if at else "not_found"))
+    assert run(spark, tmp_path, "citation_status", documents=("doc_id long, text string", docs)) == sorted(status, key=repr)
+    tally = Counter(s for *_, s in status)
+    assert run(spark, tmp_path, "citation_tally") == [(*(tally[x] for x in ("verified", "other_page", "ambiguous", "not_found")), len(claims))]
+    share = lambda a, b: round(len({*a.split()} & {*b.split()}) / len({*a.split()}), 6)
+    assert run(spark, tmp_path, "token_matches") == sorted(((k, n, m, share(c, p)) for k, n, _, c in claims for m, p in enumerate(pages[k], 1)), key=repr)
+    of = dict(docs)
+    outcome = lambda t: None if "the" in t and "der" in t else True if "the" in t else False if "der" in t else None
+    norm = lambda t: " ".join(t.lower().split())
+    assert run(spark, tmp_path, "quoted_sources") == sorted(((k, n, norm(c) in norm(of[k]), outcome(of[k])) for k, n, _, c in claims), key=repr)
+    near = lambda t, c: t[max(0, t.find(c) - 75) :][:150]
+    assert run(spark, tmp_path, "page_excerpts") == sorted(((k, n, md5((of[k][:350] + near(of[k], c)).encode()).hexdigest()) for k, n, _, c in claims), key=repr)
+    slipped = {(k, n, m) for k, n, _, c in claims for m, p in enumerate(pages[k], 1) if c in p}
+    assert slipped == set(run(spark, tmp_path, "fuzzy_matches"))
