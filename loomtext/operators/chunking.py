@@ -29,8 +29,13 @@ def token_windows(df: DataFrame, text: str, size: int = 500, overlap: int = 100,
     return out.where(F.col("n_tokens") >= least).withColumnRenamed("_k", "idx").drop("_tokens", "_n")
 
 
-def fixed_windows(text: Column, width: int, most: int = 24) -> Column:
-    """Array of the text's consecutive windows of ``width`` characters, ``most`` at most."""
+def fixed_windows(text: Column, width: int, most: int | None = 24) -> Column:
+    """Array of the text's consecutive windows of ``width`` characters, ``most`` at most; None is no cap.
+
+    Without a cap they come from one pass: each ``substring`` would count from the text's beginning.
+    """
+    if most is None:
+        return F.coalesce(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % width), F.lit(0)), F.array().cast("array<string>"))
     n = F.least(F.ceil(F.length(text) / width).cast("int"), F.lit(most))
     each = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: F.substring(text, k * width + 1, F.lit(width)))
     return F.when(n > 0, each).otherwise(F.array().cast("array<string>"))

@@ -45,7 +45,7 @@ def fixed_windows(spark, d):
 
 def _paged(spark, d):
     """Documents as 600-character pages."""
-    return _docs(spark, d).select("doc_id", F.posexplode(C.fixed_windows(F.col("text"), 600, 10_000)).alias("p", "page_text")).select("doc_id", (F.col("p") + 1).alias("page_no"), "page_text")
+    return _docs(spark, d).select("doc_id", F.posexplode(C.fixed_windows(F.col("text"), 600, None)).alias("p", "page_text")).select("doc_id", (F.col("p") + 1).alias("page_no"), "page_text")
 
 
 _PAGED = "(SELECT doc_id, CAST(i + 1 AS INT) AS page_no, substr(text, i * 600 + 1, 600) AS page_text FROM documents, unnest(range(0, CAST(ceil(length(text) / 600.0) AS INT))) AS t(i))"

@@ -15,7 +15,7 @@ _CITED = f"""c AS (SELECT doc_id, page_no AS found, CASE WHEN doc_id % 3 = 0 THE
 
 
 def _pages(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.posexplode(C.fixed_windows(F.col("text"), 600, 100_000)).alias("p", "page_text"))
+    docs = table(spark, d, "documents").select("doc_id", F.posexplode(C.fixed_windows(F.col("text"), 600, None)).alias("p", "page_text"))
     return docs.select("doc_id", (F.col("p") + 1).alias("page_no"), "page_text")
 
 

@@ -166,3 +166,10 @@ def test_claims_of_every_page_meet_every_page(spark, tmp_path):
     assert run(spark, tmp_path, "page_excerpts") == sorted(((k, n, md5((of[k][:350] + near(of[k], c)).encode()).hexdigest()) for k, n, _, c in claims), key=repr)
     slipped = {(k, n, m) for k, n, _, c in claims for m, p in enumerate(pages[k], 1) if c in p}
     assert slipped == set(run(spark, tmp_path, "fuzzy_matches"))
+
+
+def test_pages_of_texts_without_end(spark, tmp_path):
+    text = "ab\n😀\r\u2028ü" * 860_000  # over 10,000 pages
+    rows = run(spark, tmp_path, "reassembled_chunks", documents=("doc_id long, text string", [(1, text), (2, "short"), (3, None), (4, "")]))
+    assert [r[:3] for r in rows] == [(1, -(-len(text) // 600), len(text)), (2, 1, 5)]
+    assert len(run(spark, tmp_path, "page_split")) == -(-len(text) // 600) + 1
