@@ -91,7 +91,11 @@ def _bounds(keys: DataFrame, ranges: int) -> tuple[int | None, list[tuple[int, i
     """The least id, and ids that occur and cut the order into about equal parts; each opens a range."""
     share = [k / ranges for k in range(1, ranges)]
     cut = keys.agg(F.percentile_approx("_id", F.array(*(F.lit(x) for x in share)), F.lit(10 * ranges)).alias("q"), F.min("_id").alias("least")).first()
-    return cut["least"], [(x, LEAST) for x in sorted({x for x in cut["q"] or [] if x != cut["least"]})]
+    rounded = [(x, LEAST) for x in sorted(set(cut["q"] or []))]
+    # percentile_approx works in doubles: beyond 2**53 its ids need not occur; as many rows as there are ranges
+    dealt = range_column(keys.withColumn("_th", F.lit(LEAST)), "_id", "_th", rounded, "_range")
+    heads = {r["head"] for r in dealt.groupBy("_range").agg(F.min("_id").alias("head")).collect()}
+    return cut["least"], [(x, LEAST) for x in sorted(heads - {cut["least"]})]
 
 
 def _ranges(docs: DataFrame, least: int = 256, most: int = 16_384, size: int = 64 << 20) -> int:

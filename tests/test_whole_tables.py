@@ -173,3 +173,19 @@ def test_pages_of_texts_without_end(spark, tmp_path):
     rows = run(spark, tmp_path, "reassembled_chunks", documents=("doc_id long, text string", [(1, text), (2, "short"), (3, None), (4, "")]))
     assert [r[:3] for r in rows] == [(1, -(-len(text) // 600), len(text)), (2, 1, 5)]
     assert len(run(spark, tmp_path, "page_split")) == -(-len(text) // 600) + 1
+
+
+def test_fingerprints_of_ids_beyond_doubles(spark):
+    from hashlib import sha256
+
+    from loomtext.llm.fingerprints import edited_fingerprints
+
+    draw = random.Random(7)
+    rows = [(draw.choice([-1, 1]) * (2**61 + 997 * k + 1), f"text {k} " * draw.randint(1, 9)) for k in range(300)] + [(2**63 - 1, "the last"), (-(2**63) + 1, "the first")]
+    got = edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), ranges=16).collect()
+    ordered = sorted(rows)
+    want = {k: sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest() for (k, t), (_, after) in zip(ordered, ordered[1:] + ordered[:1], strict=True)}
+    assert {r.doc_id: r.edited_sha256 for r in got} == want and len(got) == len(rows)
+    marks = {r.doc_id: int(r.fingerprint, 16) for r in got}
+    near = {k: 1 - (marks[k] ^ marks[n]).bit_count() / 128 for (k, _), (n, _) in zip(ordered, ordered[1:] + ordered[:1], strict=True)}
+    assert {r.doc_id: r.near_next for r in got} == near
