@@ -38,10 +38,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of least id; of repeated rows of it, one."""
+    """One document of each group of near copies: that of least id; of rows equal in id and text, one, the least in its other columns."""
     kept = near_duplicates(docs).where("kept")
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id is null")).select(*(f"`{c}`" for c in docs.columns))
+    whole = F.struct(*(f"`{c}`" for c in docs.columns))
+    named = kept.where("doc_id is not null").groupBy("doc_id", F.sha2("text", 256).alias("_text")).agg(F.min(whole).alias("_one")).select("_one.*")
+    return named.unionByName(kept.where("doc_id is null").select(*(f"`{c}`" for c in docs.columns)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -189,3 +189,15 @@ def test_fingerprints_of_ids_beyond_doubles(spark):
     marks = {r.doc_id: int(r.fingerprint, 16) for r in got}
     near = {k: 1 - (marks[k] ^ marks[n]).bit_count() / 128 for (k, _), (n, _) in zip(ordered, ordered[1:] + ordered[:1], strict=True)}
     assert {r.doc_id: r.near_next for r in got} == near
+
+
+def test_pipeline_keeps_different_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    draw = random.Random(8)
+    text = lambda: " ".join("".join(draw.choices("abcdefgh", k=5)) for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(1, a, "en", "s2", 359), (1, b, "en", "s1", 359), (1, a, "en", "s1", 359), (2, c, "de", "s1", 359), (3, c, "de", "s1", 359), (4, None, "de", "s1", None), (4, None, "de", "s1", None), (None, a, "en", "s1", 359)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(map(tuple, dict(corpus_pipeline.STAGES)["MinHash near-dedup"](spark, docs.repartition(3), "").collect()), key=repr)
+    assert got == sorted((rows[k] for k in (1, 2, 3, 5, 7)), key=repr)
