@@ -10,8 +10,8 @@ from loomtext.llm import components, embeddings, ranges, urlrules
 
 
 def _near_vectors(rows, t):
-    good = {k: np.array(v, float) / np.linalg.norm(v) for k, (i, v) in enumerate(rows) if i is not None and v and None not in v and len(v) == 8 and np.isfinite(v).all() and np.linalg.norm(v) > 0}
-    links = {k: {j for j in good if j != k and good[k] @ good[j] >= t} for k in good}
+    good = {k: np.array(v, float) / np.linalg.norm(v) for k, (i, v) in enumerate(rows) if i is not None and v and None not in v and np.isfinite(v).all() and np.linalg.norm(v) > 0}
+    links = {k: {j for j in good if j != k and len(good[j]) == len(good[k]) and good[k] @ good[j] >= t} for k in good}
     out = []
     for k, (i, _) in enumerate(rows):
         seen, todo = {i}, [k]
@@ -31,15 +31,37 @@ def test_near_vectors(spark):
     draw = np.random.default_rng(1)
     centres = draw.normal(size=(12, 8))
     rows = [(k, (centres[k % 12] + draw.normal(size=8) * draw.choice([0.02, 0.15, 0.4])).tolist()) for k in range(300)]
+    rows += [(600 + k, (centres[3] + 0.001 * draw.normal(size=8)).tolist()) for k in range(70)]  # a tight group
+    rows += [(700, [1.0, 0.0]), (701, [1.0, 0.0]), (702, [1.0, 0.0, 0.0]), (703, [1.0, 0.0, 0.001]), (704, [3.0, 0.1]), (7, [0.0, 1.0, 0.0]), (705, [0.0, 2.0, 0.1])]
     rows += [(400 + k, centres[0].tolist()) for k in range(9)] + [(500, None), (501, [0.0] * 8), (502, [float("nan")] * 8), (503, [1.0, None] * 4), (504, [1.0]), (505, []), (506, [1e-200] * 8), (None, centres[0].tolist()), (None, None)]
     table = spark.createDataFrame([(i, v, "x", 3) for i, v in rows], "vec_id long, embedding array<double>, kept string, n int")
     want = _near_vectors(rows, 0.95)
-    for cells in (1, 9):
-        got = embeddings.near_vectors(table, cells=cells, block=40).collect()
+    for cell, miss in ((10_000, 0), (40, 0), (10, 1e-5)):
+        got = embeddings.near_vectors(table, miss=miss, cell=cell, block=40).collect()
         assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=repr) == want
     assert embeddings.near_vectors(table.limit(0)).collect() == []
 
 
+def test_near_vectors_without_structure(spark):
+    """Vectors in all directions with pairs about the threshold: none that is not linked, and of the linked ones none lost."""
+    draw = np.random.default_rng(2)
+    x = draw.normal(size=(1500, 48)).astype(np.float32)
+    unit = lambda v: v / np.linalg.norm(v)
+    for k in range(0, 600, 2):
+        angle = np.arccos(0.95) * draw.uniform(0.5, 1.1)
+        a = unit(x[k].astype(float))
+        b = draw.normal(size=48)
+        x[k + 1] = np.cos(angle) * a + np.sin(angle) * unit(b - (a @ b) * a)
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    linked = y @ y.T >= 0.95
+    np.fill_diagonal(linked, False)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = embeddings.near_vectors(table, cell=64, block=50).collect()
+    assert 200 < linked.any(axis=1).sum() < 600
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(linked.sum(axis=1).tolist()))
+    assert sum(not r.kept for r in got) == sum(linked[k, :k].any() for k in range(1500))
+
+
 def test_components(spark):
     draw = random.Random(2)
     edges = [(draw.randint(0, 400), draw.randint(0, 400)) for _ in range(260)] + [(k, k + 1) for k in range(500, 560)] + [(7, 7), (None, 3), (1000, 2000)]
