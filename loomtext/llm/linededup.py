@@ -2,8 +2,8 @@
 
 Line keys are hashed to 128 bits, dealt out in ranges of (hash, document descending) and sorted by document
 and position in each range. One pass over a range sees for every key its largest document first. A key
-with enough documents inside its range is settled there; only keys that touch an end of a range, where
-the next range may hold more of them, are settled by a count over their rows, aggregated map-side.
+with enough documents inside its range is settled there; a key that touches an end of a range, where the next
+range may hold more of it, is settled by one row that each range says about it: its largest documents there.
 Dropped positions are packed to one compressed bitmap per document and joined to the texts.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrow, words
-from .common import Carried, materialize
+from .common import Carried, discard, materialize
 
 _NONE = -(2**63)
 _BLANK = b" \t\n\x0b\x0c\r"
@@ -52,32 +52,39 @@ def _lines(least: int):
 
 
 def _stream(docs: int):
-    """Over rows sorted by (h1, h2, document descending, position): rows to drop (ask false) or to be counted (ask true).
+    """Over rows sorted by (h1, h2, document descending, position): rows to drop (ask false) or to be asked about (ask true).
 
     A run is one key inside one range. Its first document is its largest, unless it is the range's first run, which
     may have begun in the range before: all its rows are asked about. Of the range's last run the rows of the first
-    ``docs`` documents are asked about, enough to settle what the next range holds of the key. Rows are held only
-    until ``docs`` documents of a run are seen.
+    ``docs`` documents are asked about, as others are surely dropped. For both runs a row without a position
+    says in ``tops`` which ``docs`` documents are the largest. Rows are held only until ``docs`` documents of a run are seen.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, begins, top, ids, held, settled = None, False, None, [], [], False
 
         def rows(part: pa.RecordBatch, ask: bool) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, ask))], names=[*part.schema.names, "ask"])
+            more = [pa.array(np.full(part.num_rows, ask)), pa.nulls(part.num_rows, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, "ask", "tops"])
+
+        def summary(like: pa.Schema) -> pa.RecordBatch:
+            one = [key[0], key[1], None, 0, -1, True, ids]
+            kinds = [*like.types, pa.bool_(), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(one, kinds, strict=True)], names=[*like.names, "ask", "tops"])
 
         def ids_of(part: pa.RecordBatch) -> np.ndarray:
             return part.column(2).fill_null(_NONE).to_numpy(zero_copy_only=False)
 
         def feed(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             nonlocal settled, ids
+            if len(ids) < docs:
+                ids = list(dict.fromkeys([*ids, *ids_of(part).tolist()]))[:docs]
             if begins:
                 yield rows(part, True)
             elif settled:
                 yield rows(part.filter(pa.array(ids_of(part) != top)), False)
             else:
                 held.append(part)
-                ids = list(dict.fromkeys([*ids, *ids_of(part).tolist()]))[:docs]
                 if len(ids) >= docs:
                     settled = True
                     for x in held:
@@ -98,10 +105,14 @@ def _stream(docs: int):
                 lo = 1
             if lo == len(starts):
                 continue
-            was_none, key = key is None, (h[0][-1], h[1][-1])
-            if was_none and len(starts) > 1:  # the range's first run ends here
-                yield rows(batch.slice(0, ends[0]), True)
+            only = key is None and len(starts) == 1
+            if key is None and len(starts) > 1:  # the range's first run, all of it
+                key, begins = (h[0][0], h[1][0]), True
+                yield from feed(batch.slice(0, ends[0]))
                 lo = 1
+            if begins:
+                yield summary(batch.schema)
+            key = (h[0][-1], h[1][-1])
             inner = slice(lo, len(starts) - 1)
             if lo < len(starts) - 1:
                 fresh = new.copy()
@@ -110,11 +121,13 @@ def _stream(docs: int):
                 size = ends[inner] - starts[inner]
                 drop = np.repeat(many, size) & (doc[starts[lo] : ends[-2]] != np.repeat(doc[starts[inner]], size))
                 yield rows(batch.slice(starts[lo], len(drop)).filter(pa.array(drop)), False)
-            begins, top, ids, settled = was_none and len(starts) == 1, doc[starts[-1]], [], False
+            begins, top, ids, settled = only, doc[starts[-1]], [], False
             held.clear()
             yield from feed(batch.slice(starts[-1]))
         for x in held:
             yield rows(x, True)
+        if key is not None:
+            yield summary(batch.schema)
 
     return run
 
@@ -157,13 +170,13 @@ def keep_bitmaps(texts: DataFrame, docs: int = 3, least: int = 20) -> DataFrame:
     """From (_id, _kid, _kth, text) to (_kid, _kth, keep) for texts that lose lines: bit k says whether line k stays."""
     lines = materialize(texts.select("_id", "_kth", "text").mapInArrow(_lines(least), "h1 long, h2 long, _id long, _kth long, pos int"), "lines")
     order = ["h1", "h2", F.col("_id").desc_nulls_last(), "pos"]
-    told = lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_stream(docs), "h1 long, h2 long, _id long, _kth long, pos int, ask boolean")
+    told = lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_stream(docs), "h1 long, h2 long, _id long, _kth long, pos int, ask boolean, tops array<long>")
     told = materialize(told, "told")
-    asked = told.where("ask").drop("ask")
-    # keys at the ends of ranges: two for each range at most
-    rank = F.coalesce("_id", F.lit(_NONE))
-    ends = asked.groupBy("h1", "h2").agg(F.countDistinct(rank).alias("n"), F.max(rank).alias("top")).where(F.col("n") >= docs).drop("n")
-    late = asked.join(ends, ["h1", "h2"]).where(rank != F.col("top"))
+    discard(lines)
+    # a row for the first and one for the last key of each range, with at most ``docs`` ids
+    ends = told.where("tops is not null").groupBy("h1", "h2").agg(F.array_distinct(F.flatten(F.collect_list("tops"))).alias("tops"))
+    ends = ends.where(F.size("tops") >= docs).select("h1", "h2", F.array_max("tops").alias("top"))
+    late = told.where("ask and pos >= 0").join(F.broadcast(ends), ["h1", "h2"]).where(F.coalesce("_id", F.lit(_NONE)) != F.col("top"))
     dropped = told.where("not ask").select("_id", "_kth", "pos").union(late.select("_id", "_kth", "pos"))
     by_text = dropped.groupBy(F.coalesce("_id", F.lit(0)).alias("_kid"), "_kth").agg(F.collect_set("pos").alias("at"))
     return by_text.mapInArrow(_pack, "_kid long, _kth long, keep binary")
