@@ -71,16 +71,26 @@ def spanning(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def block_pairs(members: DataFrame, group: str, ident: str, size: int) -> DataFrame:
-    """``members`` dealt into pairs of blocks, so that any two members of a group meet in one pair.
+def block_pairs(members: DataFrame, group: str, label: str, ident: str, size: int) -> DataFrame:
+    """``members`` dealt into pairs of blocks, so that any two members of a group with different labels meet in one pair.
 
-    A group is cut into blocks of about ``size`` by a hash of ``ident``; every member goes to each pair of blocks (_i, _j),
-    _i <= _j, that has its own block _b. Rows grow by a group's number of blocks, not by its number of members.
+    Labels of over half a block have blocks of their own, cut by a hash of ``ident``; the other members of a group share blocks. Every
+    member goes to each pair of blocks (_i, _j), _i <= _j, that has its own block _b; two blocks of one label are no pair.
+    So a group whose members mostly have one label grows by the number of the others, and rows grow by blocks, not by members.
     """
-    blocks = members.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_n"))
-    own = members.join(blocks, group).withColumn("_b", F.pmod(F.xxhash64(ident), F.col("_n")).cast("int"))
-    each = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return each.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o")).drop("_n", "_o")
+    count = members.groupBy(group, label).agg(F.count(F.lit(1)).alias("_c"))
+    named = count.select(group, F.when(F.col("_c") > size // 2, F.col(label)).alias("_big"), "_c").groupBy(group, "_big").agg(F.ceil(F.sum("_c") / size).cast("int").alias("_n"))
+    each = named.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_big", "_n"))).alias("_g"), F.sum("_n").cast("int").alias("_all"))
+    first = F.transform("_g", lambda x, k: F.struct(x["_big"].alias("_big"), x["_n"].alias("_n"), F.aggregate(F.slice("_g", F.lit(1), k), F.lit(0), lambda s, y: s + y["_n"]).alias("_first")))
+    plan = each.select(group, "_all", F.inline(first)).where((F.col("_all") > F.col("_n")) | F.col("_big").isNull())
+    every = F.sequence(F.lit(0), F.col("_all") - 1)
+    meets = F.when(F.col("_big").isNull(), every).otherwise(F.array_except(every, F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1)))
+    plan = plan.select(group, F.coalesce(F.col("_big").isNotNull(), F.lit(False)).alias("_alone"), F.coalesce("_big", F.lit(0)).alias("_label"), "_n", "_first", meets.alias("_meets"))
+    big = count.where(F.col("_c") > size // 2).select(group, label, F.lit(True).alias("_alone"))
+    held = members.join(big, [group, label], "left").withColumn("_alone", F.coalesce("_alone", F.lit(False))).withColumn("_label", F.when(F.col("_alone"), F.col(label)).otherwise(0))
+    own = held.join(plan, [group, "_alone", "_label"]).withColumn("_b", F.col("_first") + F.pmod(F.xxhash64(ident), F.col("_n")).cast("int"))
+    each = own.withColumn("_o", F.explode("_meets"))
+    return each.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o")).drop("_n", "_o", "_first", "_meets", "_alone", "_label")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:

@@ -4,7 +4,7 @@ Texts with equal sets are one class, found by a 128-bit digest of the set; only
 Large buckets are not expanded into pairs. Every text is first compared with the most central text that it
 shares a bucket with (a star), and links are merged to components. Members of one bucket that are still in
 different components are then compared with each other: in pairs where the bucket is small, otherwise in
-blocks that yield only as many edges as they have members. No link between banded candidates is lost.
+blocks that yield only as many edges as they have members; blocks of one component are not compared. No link between banded candidates is lost.
 """
 
 from __future__ import annotations
@@ -167,7 +167,7 @@ def _blocks(percent: int):
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, bands: int = 48, rows: int = 6, seed: int = 17, block: int = 512
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, bands: int = 48, rows: int = 6, seed: int = 17, block: int = 128
 ) -> DataFrame:
     """All columns of ``docs``, then n_shingles, component_id and kept.
 
@@ -227,7 +227,7 @@ def near_duplicates(
     many = member.where(F.col("c") > _FEW)
     cells = components(many.select(F.col("id").alias("u"), F.col("least").alias("v")))
     placed = many.select("id", "comp").distinct().join(cells.select(F.col("u").alias("id"), F.col("v").alias("cell")), "id", "left").withColumn("cell", F.coalesce("cell", "id"))
-    dealt = block_pairs(placed.join(sets, "id"), "cell", "id", block).select("cell", "_i", "_j", "_b", "id", "comp", "set")
+    dealt = block_pairs(placed, "cell", "comp", "id", block).join(sets, "id").select("cell", "_i", "_j", "_b", "id", "comp", "set")
     order = ["cell", "_i", "_j"]
     within = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_blocks(percent), "u long, v long")
     found = materialize(confirmed(rest).union(within), "found")
