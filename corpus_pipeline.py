@@ -17,40 +17,58 @@ from loomtext.llm.minhash import near_duplicates
 from loomtext.llm.mixing import mix
 from loomtext.llm.quality import fit, score
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: What the operators read; every other column of documents travels under a name that no operator uses.
+READ = ("doc_id", "text", "source")
 
 
-def _with_text(df: DataFrame, text: str, docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` with another text; n_chars, where there is one, counts the new text."""
-    new = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
-    return df.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
+def _held(docs: DataFrame) -> DataFrame:
+    return docs.select(*(F.col(f"`{c}`").alias(c if c in READ else f"p{k}") for k, c in enumerate(docs.columns)))
+
+
+def _restored(df: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """The columns of ``docs`` from a frame of :func:`_held`; with another text, n_chars, where there is one, counts the new one."""
+    new = {"text": F.col(text)} | ({"n_chars": F.length(text).cast("long")} if text != "text" else {})
+    return df.select(*(new.get(c, F.col(c if c in READ else f"p{k}")).alias(c) for k, c in enumerate(docs.columns)))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it is trained on the labels in ``sf_dir``."""
+    """Documents that the quality classifier accepts; it is trained on the labels in ``sf_dir``.
+
+    Null texts are judged as empty ones, repeated rows alike; without labels of both kinds every text scores 0.5 and stays. An
+    empty table gives an empty one.
+    """
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).where("predicted = 1").select(*(f"`{c}`" for c in docs.columns))
+    return _restored(score(_held(docs), model).where("predicted = 1"), docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that recur in three or more of them, except in the one of largest id."""
-    return _with_text(dedup_lines(docs), "kept_text", docs)
+    """All documents, without lines that recur in three or more of them, except in the one of largest id.
+
+    A null text becomes an empty one. Null ids count as one id, the least; repeated rows lose the same lines. An empty table
+    gives an empty one.
+    """
+    return _restored(dedup_lines(_held(docs)), docs, "kept_text")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of least id; of rows equal in id and text, one, the least in its other columns."""
-    kept = near_duplicates(docs).where("kept")
-    whole = F.struct(*(f"`{c}`" for c in docs.columns))
-    named = kept.where("doc_id is not null").groupBy("doc_id", F.sha2("text", 256).alias("_text")).agg(F.min(whole).alias("_one")).select("_one.*")
-    return named.unionByName(kept.where("doc_id is null").select(*(f"`{c}`" for c in docs.columns)))
+    """One document of each group of near copies, that of least id; all documents without words, with a null text or a null id.
+
+    Of rows equal in id and text one stays, the least in its other columns; different texts under one id are of one
+    group and stay where that id is its least. An empty table gives an empty one.
+    """
+    kept = near_duplicates(_held(docs)).where("kept")
+    names = [c if c in READ else f"p{k}" for k, c in enumerate(docs.columns)]
+    named = kept.where("doc_id is not null").groupBy("doc_id", F.sha2("text", 256).alias("_text")).agg(F.min(F.struct(*names)).alias("_one")).select("_one.*")
+    return _restored(named.unionByName(kept.where("doc_id is null").select(*names)), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the one at a source's cut ends after the words that are left.
 
-    Documents without words take none of the budget and stay once.
+    Documents without words, null and empty texts among them, take none of the budget and stay once. A null source is one
+    source, the last. Rows equal in id and text at the cut share what is left. An empty table gives an empty one.
     """
-    mixed = mix(docs)
+    mixed = mix(_held(docs))
     whole = F.array_repeat(F.col("size"), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(1).cast("int"))
     part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)
     words = F.concat(whole, F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
@@ -58,14 +76,21 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # a text cut after n words: all but what follows them; a leading space makes one more, empty, piece
     pieces = F.split(F.col("text"), SPACE + "+", (F.col("_words") + F.when(F.col("text").rlike("^" + SPACE), 2).otherwise(1)).cast("int"))
     ended = F.regexp_replace(F.substring(F.col("text"), F.lit(1), F.length("text") - F.length(F.element_at(pieces, -1))), SPACE + "+$", "")
-    return _with_text(each.withColumn("_cut", F.when(F.col("_words") < F.col("size"), ended).otherwise(F.col("text"))), "_cut", docs)
+    return _restored(each.withColumn("_cut", F.when(F.col("_words") < F.col("size"), ended).otherwise(F.col("text"))), docs, "_cut")
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with their token ids (packed little-endian 32-bit integers) and number of tokens in place of the text."""
+    """All rows with their token ids (packed little-endian 32-bit integers) and number of tokens in place of the text.
+
+    Null and empty texts have no ids, repeated rows the same. Columns of documents that are called ``ids`` or ``n_tokens`` come
+    back as ``documents_ids`` and ``documents_n_tokens``. An empty table gives an empty one.
+    """
     import public_tokenizers
 
-    return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = encode(_held(docs), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    own = ("ids", "n_tokens")
+    names = [(c if c in READ else f"p{k}", f"documents_{c}" if c in own else c) for k, c in enumerate(docs.columns) if c != "text"]
+    return coded.select(*(F.col(a).alias(b) for a, b in names), *own)
 
 
 STAGES = [

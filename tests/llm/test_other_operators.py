@@ -162,3 +162,36 @@ def test_pipeline_stages(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() > 0 and {"doc_id", "ids", "n_tokens", "lang", "source"} <= set(out.columns)
     assert out.where(F.col("n_tokens") * 4 != F.octet_length("ids")).count() == 0
+
+
+def test_pipeline_stages_on_odd_tables(spark, docs, rows, nothing, tmp_path):
+    """Null, empty and long texts, repeated rows, ties and columns called like an operator's own: documents' columns come back as they were."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(30, 60)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    more = docs.withColumn("_cut", F.lit("old")).withColumn("_words", F.lit(9)).withColumn("p0", F.lit("old")).withColumn("n_lines", F.lit(9)).withColumn("kept", F.lit("old")).withColumn("n_chars", F.lit(9).cast("long"))
+    other = [c for c in more.columns if c not in ("doc_id", "text", "source", "n_chars")]
+    before = {tuple(r[c] for c in other) for r in more.collect()}
+    assert len(before) == 1
+    ids = lambda got: sorted((r.doc_id for r in got), key=repr)
+    every = sorted((i for i, _, _ in rows), key=repr)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, more, str(tmp_path))
+        got = out.collect()
+        assert stage(spark, more.limit(0), str(tmp_path)).collect() == []
+        if name == "byte-level BPE":
+            assert ids(got) == every and {r.documents_ids for r in got} == {"old"} and "text" not in out.columns
+            assert {tuple(r[c] for c in other if c != "ids") for r in got} == {tuple(v for c, v in zip(other, next(iter(before)), strict=True) if c != "ids")}
+            assert all((r.n_tokens == 0) == (not t) for t, r in ((t, r) for i, t, _ in rows for r in got if r.doc_id == i and i not in (None, 21)))
+            continue
+        assert out.columns == more.columns and out.schema.simpleString() == more.schema.simpleString()
+        assert {tuple(r[c] for c in other) for r in got} == before
+        texts = {r.doc_id: r.text for r in got}
+        if name == "line dedup":
+            assert ids(got) == every and texts[1] == texts[2] == "" and len(texts[19]) == len(dict((i, t) for i, t, _ in rows)[19])
+            assert {r.n_chars for r in got if r.doc_id == 18} == {5000}
+        if name == "MinHash near-dedup":
+            left = ids(got)
+            # repeated rows once; null ids, null, empty and wordless texts stay; copies do not
+            assert left.count(17) == 1 and left.count(None) == 2 and {1, 2, 3, 4, 19, 21} <= set(left) and not {5, 6, 16} & set(left)
+        if name == "mixing":
+            assert {1, 2, 3} <= set(ids(got)) and ids(got).count(1) == 1
