@@ -99,17 +99,16 @@ def _bounds(keys: DataFrame, ranges: int) -> tuple[int | None, list[tuple[int, i
 
 
 def _ranges(docs: DataFrame, least: int = 256, most: int = 16_384, size: int = 64 << 20) -> int:
-    """Parts of about ``size`` bytes by the planner's estimate, of 1,000 rows at least beyond the first ``least``."""
+    """Parts of about ``size`` bytes by the planner's estimate."""
     estimate = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if estimate <= least * size:
-        return least
-    return max(least, min(most, estimate // size, docs.count() // 1000))
+    return max(least, min(most, estimate // size))
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text, a row for each row of ``docs``.
 
-    Returns the id, n_chars, edited_sha256, fingerprint, edited_fingerprint (hexadecimal), near_edited and near_next.
+    Returns the id, n_chars, edited_sha256, fingerprint, edited_fingerprint (hexadecimal), near_edited, near_next and the
+    fingerprint as two longs, f1 and f2.
     In the edited text the last floor(n_chars / 2) code points give way to the first as many of the next text by
     ascending id (after the last: the first). Null texts count as empty, null ids come first, ties of the id are
     ordered by a hash of the text, and a lone row is its own next. Other columns do not matter. An empty table gives an empty result.
@@ -142,6 +141,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         as_hex(c("f1_1"), c("f2_1")).alias("edited_fingerprint"),
         likeness(c("f1_0"), c("f2_0"), c("f1_1"), c("f2_1")).alias("near_edited"),
         likeness(c("f1_0"), c("f2_0"), c("next.f1_0"), c("next.f2_0")).alias("near_next"),
+        c("f1_0").alias("f1"),
+        c("f2_0").alias("f2"),
     )
 
 
@@ -167,3 +168,14 @@ def search(known: DataFrame, asked: DataFrame, radius: int = 6, blocks: int = 8)
     right = _tables(known.select(F.col("f1").alias("g1"), F.col("f2").alias("g2")).dropna().distinct(), "g1", "g2", blocks, radius)
     distance = reduce(lambda a, b: a + b, (F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in (("f1", "g1"), ("f2", "g2"))))
     return left.join(right, ["t", "block"]).withColumn("distance", distance).where(F.col("distance") <= radius).select("f1", "f2", "g1", "g2", "distance").distinct()
+
+
+def with_neighbours(prints: DataFrame, asks: Column, radius: int = 3, blocks: int = 4) -> DataFrame:
+    """``prints`` (f1, f2, ...) with n_near: how many other rows have a fingerprint within ``radius`` bits, null where ``asks`` does not hold.
+
+    Every row is searched, the rows that ask are the queries; equal fingerprints are looked up once and counted as often as they occur.
+    """
+    asked = prints.where(asks)
+    copies = prints.groupBy(F.col("f1").alias("g1"), F.col("f2").alias("g2")).agg(F.count(F.lit(1)).alias("copies"))
+    near = search(prints, asked, radius, blocks).join(copies, ["g1", "g2"]).groupBy("f1", "f2").agg((F.sum("copies") - 1).alias("n_near"))
+    return prints.join(near, ["f1", "f2"], "left").withColumn("n_near", F.when(asks, F.col("n_near")))

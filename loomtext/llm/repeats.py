@@ -27,20 +27,24 @@ from .common import Carried, materialize
 #: A perfect difference set: every residue modulo 21 is a difference of two members.
 PERIOD, COVER = 21, (0, 1, 6, 8, 18)
 _places = "h long, salt int, _kid long, _kth long, pos int, known boolean"
+#: Of the second half of a window's hash.
+_BASE = 0xD6E8FEB86659FD93
 _kept = "kept_text string, n_words long, n_removed long"
 
 
-def _emit(hashes: np.ndarray, owner: np.ndarray, pos: np.ndarray, kid: np.ndarray, kth: np.ndarray) -> pa.RecordBatch:
-    """Rows for places; of equal hashes, all are known to repeat and all but one get a salt."""
-    order = np.argsort(hashes, kind="stable")
-    h, owner, pos = hashes[order], owner[order], pos[order]
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    size = np.diff(np.flatnonzero(new), append=len(h))
+def _emit(hashes: list[np.ndarray], owner: np.ndarray, pos: np.ndarray, kid: np.ndarray, kth: np.ndarray) -> pa.RecordBatch:
+    """Rows for places; of equal hashes (one or two numbers each), all are known to repeat and all but one get a salt."""
+    order = np.lexsort(hashes[::-1])
+    h, owner, pos = [x[order] for x in hashes], owner[order], pos[order]
+    new = np.ones(len(pos), bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in h])
+    size = np.diff(np.flatnonzero(new), append=len(pos))
     known = np.repeat(size > 1, size)
     # the salt only spreads rows that are decided: it follows from the row, so that a rerun gives the same
     salt = np.where(new, 0, 1 + (kth[owner] & 0x3FFF)).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), salt, kid[owner], kth[owner], pos.astype(np.int32), known)], names=["h", "salt", "_kid", "_kth", "pos", "known"])
+    more = [x.view(np.int64) for x in h[1:]]
+    names = ["h", "salt", "_kid", "_kth", "pos", "known", "g"][: 6 + len(more)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (h[0].view(np.int64), salt, kid[owner], kth[owner], pos.astype(np.int32), known, *more)], names=names)
 
 
 def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +61,7 @@ def _anchors(length: int):
             h, counts = words.word_hashes(texts)
             pos = words.positions(counts)
             at = np.flatnonzero(on_cover[pos % PERIOD] & (np.repeat(np.where(counts >= length, counts, 0), counts) >= pos + span))
-            yield _emit(words.window_hashes(h, at, span), np.repeat(np.arange(len(texts)), counts)[at], pos[at], *_keys(batch))
+            yield _emit([words.window_hashes(h, at, span)], np.repeat(np.arange(len(texts)), counts)[at], pos[at], *_keys(batch))
 
     return run
 
@@ -76,7 +80,7 @@ def _windows(length: int):
             np.add.at(edge, anchor + 1, -1)
             pos = words.positions(counts)
             at = np.flatnonzero((np.cumsum(edge[:-1]) > 0) & (pos + length <= np.repeat(counts, counts)))
-            yield _emit(words.window_hashes(h, at, length), np.repeat(np.arange(len(texts)), counts)[at], pos[at], *_keys(batch))
+            yield _emit([words.window_hashes(h, at, length), words.window_hashes(h, at, length, _BASE)], np.repeat(np.arange(len(texts)), counts)[at], pos[at], *_keys(batch))
 
     return run
 
@@ -102,9 +106,9 @@ def _cut(length: int):
     return run
 
 
-def _repeated(places: DataFrame) -> DataFrame:
-    """Per row of the input, the positions whose hash occurs more than once."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("h", "salt"))
+def _repeated(places: DataFrame, *names: str) -> DataFrame:
+    """Per row of the input, the positions whose hash (``names``) occurs more than once."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*names, "salt"))
     return places.withColumn("n", n).where("known or n > 1").groupBy("_kid", "_kth").agg(F.collect_list("pos").alias("at"))
 
 
@@ -117,14 +121,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows repeat and all of them lose those words. Null ids are allowed. Columns of ``docs`` that are
     called like a result are replaced by it. An empty table gives an empty result.
 
-    Two windows count as equal when their 64-bit hashes over 64-bit word hashes agree.
+    Two windows count as equal when their 128-bit hashes over 64-bit word hashes agree; anchors have 64 bits, as they only choose
+    the windows to judge.
     """
     if length <= PERIOD:
         raise ValueError(f"length must be over {PERIOD}")
     held = Carried(docs, id_col, text_col, {text_col, "kept_text", "n_words", "n_removed"})
     texts = held.frame.select("_kid", "_kth", "text")
-    anchors = materialize(_repeated(texts.mapInArrow(_anchors(length), _places)), "anchors")
+    anchors = materialize(_repeated(texts.mapInArrow(_anchors(length), _places), "h"), "anchors")
     # with all columns, so that both joins read one exchange of the texts
-    windows = _repeated(held.frame.join(anchors, ["_kid", "_kth"]).mapInArrow(_windows(length), _places))
+    windows = _repeated(held.frame.join(anchors, ["_kid", "_kth"]).mapInArrow(_windows(length), f"{_places}, g long"), "h", "g")
     cut = held.frame.join(windows, ["_kid", "_kth"], "left").mapInArrow(_cut(length), held.schema(_kept))
     return held.restored(cut, "kept_text", "n_words", "n_removed")

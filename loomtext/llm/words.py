@@ -95,13 +95,13 @@ def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np
     return (np.concatenate(out) if out else np.empty(0, U)), counts
 
 
-def window_hashes(words: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Hash of the ``length`` words from each start; the caller sees to it that they lie in one text."""
+def window_hashes(words: np.ndarray, starts: np.ndarray, length: int, base: int = _B1) -> np.ndarray:
+    """Hash of the ``length`` words from each start; the caller sees to it that they lie in one text. Another odd ``base``, another hash."""
     if not len(starts):
         return np.empty(0, U)
     total = np.zeros(len(starts), U)
     for k in range(length):
-        total *= U(_B1)
+        total *= U(base)
         total += words[starts + k]
     return mix(total + U(length * _B2 & (2**64 - 1)))
 
