@@ -106,6 +106,22 @@ def _sigmoid(v: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(v, -30, 30)))
 
 
+def nn_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+    """Both parts of the non-negative risk of margins under the logistic loss: prior * E_p[l(f)], and E_u[l(-f)] - prior * E_p[l(-f)] before it is cut at 0."""
+    loss = lambda v: np.logaddexp(0, -v)
+    return float(prior * loss(positive).mean()), float(loss(-unlabelled).mean() - prior * loss(-positive).mean())
+
+
+def nn_gradient(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarray:
+    """What to descend along, by margin, positives first: the risk's gradient, or away from a second part that has fallen below 0."""
+    p, u = _sigmoid(positive), _sigmoid(unlabelled)
+    rest = np.concatenate([-prior * p / len(p), u / len(u)])
+    if nn_risk(positive, unlabelled, prior)[1] < 0:  # overfitted: step back from it
+        return -rest
+    rest[: len(p)] += prior * (p - 1) / len(p)
+    return rest
+
+
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, hidden: int = 24, epochs: int = 40, seed: int = 3) -> Model:
     """Minimise the non-negative risk with a given prior; without one, the plain risk of telling positive from unlabelled."""
     draw = np.random.default_rng(seed)
@@ -122,20 +138,11 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, hid
             p, u = p_all[draw.integers(len(p_all), size=batch)], u_all[draw.integers(len(u_all), size=batch)]
             x = np.concatenate([p, u])
             h = np.tanh(x @ w[0] + w[1])
-            s = _sigmoid(h @ w[2] + w[3])
-            g = np.zeros(2 * batch)
+            f = h @ w[2] + w[3]
             if prior is None:
-                g[:batch], g[batch:] = (s[:batch] - 1) / batch, s[batch:] / batch
+                g = np.concatenate([_sigmoid(f[:batch]) - 1, _sigmoid(f[batch:])]) / batch
             else:
-                # l is the logistic loss: dl(f)/df = s - 1, dl(-f)/df = s
-                negative = -np.log1p(-np.minimum(s, 1 - 1e-12))
-                rest = negative[batch:].mean() - prior * negative[:batch].mean()
-                g_rest = np.concatenate([-prior * s[:batch], s[batch:]]) / batch
-                if rest >= 0:
-                    g = g_rest
-                    g[:batch] += prior * (s[:batch] - 1) / batch
-                else:  # the negative part is overfitted: step back from it
-                    g = -g_rest
+                g = nn_gradient(f[:batch], f[batch:], prior)
             back = g[:, None] * w[2] * (1 - h * h)
             grads = [x.T @ back + 1e-4 * w[0], back.sum(0), h.T @ g + 1e-4 * w[2], g.sum(keepdims=True)]
             step += 1
@@ -161,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model from at most ``positives`` trusted and ``unlabelled`` other texts, drawn by a hash of their id.
 
     Positives are rows that ``labels`` marks 1 and whose crc32(id as text) modulo ``fold`` is not 0; unlabelled are
-    ids without a label. If either is missing, the model gives every text 0.5.
+    ids without a label. An id with several labels is trusted if one of them is 1. If either is missing, the model gives every text 0.5.
     """
     ident = F.col(f"`{id_col}`").cast("long")
     marks = labels.select(ident.alias("id"), F.col(f"`{label_col}`").alias("y")).where("id is not null").groupBy("id").agg(F.max("y").alias("y"))

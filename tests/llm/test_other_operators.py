@@ -1,5 +1,6 @@
 """Vectors, URLs, components, ranges and the pipeline."""
 
+import itertools
 import random
 
 import numpy as np
@@ -131,6 +132,39 @@ def test_mined_rules(spark):
     assert urlrules.mine(table.limit(0), labels, "page_id", "url", "doc_id", "quality").collect() == []
 
 
+def test_mined_rules_against_counting(spark):
+    """Every token set of up to three tokens is counted; what mining gives are the sets that are sure and often enough, no longer than needed."""
+    draw = random.Random(11)
+    words = ["aa", "bb", "cc", "dd", "ee", "ff"]
+    rows, bad = [], {}
+    for k in range(300):
+        path = sorted(draw.sample(words, draw.randint(1, 4)))
+        rows.append((k, f"http://h{k % 3}.test/{'/'.join(path)}"))
+        bad[k] = ({"aa", "bb"} <= set(path) or "ff" in path) and draw.random() < 0.95
+    rules = urlrules.mine(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(k, int(not b)) for k, b in bad.items()], "doc_id long, quality int"), "page_id", "url", "doc_id", "quality", support=0.03, confidence=0.85)
+    held = {k: {f"path:{w}" for w in u.split("/")[3:]} | {f"host:h{k % 3}.test", "host:test", f"first:h{k % 3}"} for k, u in rows}
+    names = sorted(set().union(*held.values()))
+    rate = sum(bad.values()) / len(bad)
+    share = lambda items: [sum(bad[k] for k in held if items <= held[k]), sum(items <= held[k] for k in held)]
+    speaks = [n for n in names if (x := share({n}))[0] >= 9 and x[0] / x[1] > rate and not any(m < n and all((m in h) == (n in h) for h in held.values()) for m in names)]
+    sure = {}
+    for size in (1, 2, 3):
+        for items in itertools.combinations(speaks, size):
+            hits, n = share(set(items))
+            if hits >= 9 and hits / n >= 0.85:
+                sure[frozenset(items)] = hits / n
+    want = {s for s, c in sure.items() if not any(t < s and sure[t] >= c for t in sure)}
+    got = {frozenset(r.tokens): r.confidence for r in rules.collect()}
+    assert {s for s in got if len(s) <= 3} == want and all(abs(got[s] - sure[s]) < 1e-9 for s in want) and len(want) > 1
+
+
+def test_template_words_do_not_multiply(spark):
+    path = "/".join(f"{a}{b}" for a in "abcdefg" for b in "vwxyz")
+    rows = [(k, f"http://t.test/{path}/{k}" if k % 2 else f"http://t.test/good/{k}") for k in range(60)]
+    rules = urlrules.mine(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(k, 1 - k % 2) for k in range(60)], "doc_id long, quality int"), "page_id", "url", "doc_id", "quality")
+    assert [r.tokens for r in rules.collect()] == [["path:av"]]
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Each stage on a small corpus against what its operator must do."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")

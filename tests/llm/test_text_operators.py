@@ -1,6 +1,7 @@
 """Operators over texts against plain Python, on the edge cases of conftest.py."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -206,17 +207,23 @@ def _fingerprint(text):
 
 
 def test_fingerprints(spark, rows, nothing):
-    some = [(i, t) for i, t, _ in rows if i not in (17, 21, None)]
-    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(spark.createDataFrame(some, "doc_id long, text string"), ranges=9).collect()}
-    some = sorted((i, t or "") for i, t in some)
+    from loomtext.llm.fingerprints import edited_fingerprints, with_neighbours
+
+    table = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    got = with_neighbours(edited_fingerprints(table, ranges=9), F.col("doc_id") % 20 == 0)
+    # null ids first, ties by a hash of the text
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    some = sorted(((-(2**63) if i is None else i, signed(xxhash.xxh64_intdigest((t or "").encode(), seed=42)), t or "") for i, t, _ in rows))
     near = lambda a, b: 1 - bin(int(a, 16) ^ int(b, 16)).count("1") / 128
-    prints = {i: _fingerprint(t) for i, t in some}
-    for (i, t), (j, after) in zip(some, some[1:] + some[:1], strict=True):
-        half, r = len(t) // 2, got[i]
+    prints = [_fingerprint(t) for *_, t in some]
+    want = []
+    for k, (i, _, t) in enumerate(some):
+        after, half = some[(k + 1) % len(some)][2], len(t) // 2
         edited = t[: len(t) - half] + after[:half]
-        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert (r.fingerprint, r.edited_fingerprint) == (prints[i], _fingerprint(edited))
-        assert r.near_edited == near(r.fingerprint, r.edited_fingerprint) and r.near_next == near(prints[i], prints[j])
+        within = sum(near(prints[k], p) >= 1 - 3 / 128 for p in prints) - 1
+        want.append((None if i == -(2**63) else i, len(t), hashlib.sha256(edited.encode()).hexdigest(), prints[k], _fingerprint(edited), near(prints[k], _fingerprint(edited)), near(prints[k], prints[(k + 1) % len(some)]), within if i % 20 == 0 and i >= 0 else None))
+    found = [(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next, r.n_near) for r in got.collect()]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
 
 
 def test_fingerprints_of_odd_tables(docs, rows, nothing):
@@ -245,6 +252,49 @@ def _flip(p, bits):
     return a, b
 
 
+def test_non_negative_risk():
+    """Against the formula spelt out for each text, and the gradient against differences."""
+    draw = np.random.default_rng(3)
+    seen = set()
+    for shift in (0.5, 6.0):  # the second part above and below 0
+        p, u, prior = draw.normal(shift, 1, 30), draw.normal(-shift, 1, 50), 0.6
+        loss = lambda v: math.log(1 + math.exp(-v))
+        first = prior * sum(map(loss, p)) / len(p)
+        second = sum(loss(-v) for v in u) / len(u) - prior * sum(loss(-v) for v in p) / len(p)
+        assert np.allclose(quality.nn_risk(p, u, prior), (first, second))
+        seen.add(second < 0)
+        # below 0 the step goes away from the second part alone
+        goal = (lambda x: -quality.nn_risk(x[:30], x[30:], prior)[1]) if second < 0 else (lambda x: sum(quality.nn_risk(x[:30], x[30:], prior)))
+        at = np.concatenate([p, u])
+        slope = [(goal(at + d) - goal(at - d)) / 2e-5 for d in 1e-5 * np.eye(80)]
+        assert np.allclose(quality.nn_gradient(p, u, prior), slope, atol=1e-7)
+    assert seen == {True, False}
+
+
+def test_class_prior():
+    draw = np.random.default_rng(4)
+    for share in (0.2, 0.5, 0.8):
+        n = 4000
+        unlabelled = np.concatenate([draw.normal(2, 1, int(n * share)), draw.normal(-3, 1, n - int(n * share))])
+        positive = draw.normal(2, 1, 3000)
+        # the plain form: the least ratio of tails over all cuts
+        plain = min((np.mean(unlabelled >= c) / np.mean(positive >= c)) for c in np.quantile(positive, np.linspace(0, 0.9, 91)))
+        assert abs(quality.class_prior(positive, unlabelled, slack=0) - plain) < 0.01 and abs(quality.class_prior(positive, unlabelled) - share) < 0.06
+
+
+def test_splitters_against_sorting(spark):
+    draw = random.Random(9)
+    keys = [(draw.choice([5, -7, draw.getrandbits(63)]), draw.getrandbits(63) - 2**62, draw.randint(1, 900)) for _ in range(3000)]
+    table = spark.createDataFrame(keys, "_k1 long, _k2 long, _size long")
+    total = sum(s for *_, s in keys)
+    targets = [total * k / 7 for k in range(1, 7)]
+    bounds, size, count = sharding.splitters(table, targets, [0.002 * total] * 6)
+    number = lambda a, b: (a + 2**63) << 64 | (b + 2**63)
+    for b, s, c, t in zip(bounds, size, count, targets, strict=True):
+        below = [r for r in keys if number(r[0], r[1]) < b]
+        assert (s, c) == (sum(r[2] for r in below), len(below)) and abs(s - t) <= 0.002 * total
+
+
 def test_quality(spark, docs, rows, nothing):
     draw = random.Random(6)
     good = lambda: " ".join("".join(draw.choice("aeiou") + draw.choice("bcdfg") for _ in range(draw.randint(1, 4))) for _ in range(60)) + "."
