@@ -97,12 +97,15 @@ def canonical_url(url: Column) -> Column:
 
 
 def url_identity(url: Column) -> Column:
-    """What two citations of one page share: no scheme, ``www.``, default port, fragment or trailing slash."""
-    out = F.lower(trim_url(url))
-    for pattern in (r"^[a-z][a-z0-9+.-]*://", r"^www\.", r"#.*$"):
-        out = F.regexp_replace(out, pattern, "")
-    out = F.regexp_replace(out, r"^([^/:?]+):(80|443)([/?]|$)", "$1$3")
-    return F.regexp_replace(out, r"/+$", "")
+    """What two citations of one page share: host in lower case without ``www.`` and the scheme's default port, path without trailing slashes, query.
+
+    Case of path and query stays, as these tell decisions apart. Without ``//`` there is no host, as a URL parser has it.
+    """
+    u = F.regexp_replace(F.trim(F.coalesce(url, F.lit(""))), "#.*$", "")
+    part = lambda k: F.regexp_extract(u, r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?]*))?([^?]*)(\?.+)?", k)
+    scheme, host = F.lower(part(1)), F.regexp_replace(F.lower(part(2)), r"^www\.", "")
+    host = F.when(scheme.isin("https", ""), F.regexp_replace(host, ":443$", "")).when(scheme == "http", F.regexp_replace(host, ":80$", "")).otherwise(host)
+    return F.concat(host, F.regexp_replace(part(3), "/+$", ""), part(4))
 
 
 def title_key(title: Column) -> Column:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,12 +25,13 @@ def token_windows(df: DataFrame, text: str, size: int = 500, overlap: int = 100,
     """Sliding windows of white-space tokens; the window that reaches the end is the last, short ones are dropped."""
     step = size - overlap
     tokens = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda t: t != "")
-    held = df.withColumn("_tokens", tokens).withColumn("_n", F.size("_tokens")).where("_n > 0")
-    last = F.when(F.col("_n") <= size, 0).otherwise(F.ceil((F.col("_n") - size) / step).cast("int"))
-    each = held.withColumn("_k", F.explode(F.sequence(F.lit(0), last)))
-    window = F.slice("_tokens", F.col("_k") * step + 1, F.lit(size))
-    out = each.withColumn("chunk", F.array_join(window, " ")).withColumn("n_tokens", F.least(F.lit(size), F.col("_n") - F.col("_k") * step))
-    return out.where(F.col("n_tokens") >= least).withColumnRenamed("_k", "idx").drop("_tokens", "_n")
+    # the windows of a text are made as one array, so that no row carries all tokens
+    cut = F.transform(
+        F.sequence(F.lit(0), F.when(F.size("_tokens") <= size, 0).otherwise(F.ceil((F.size("_tokens") - size) / step).cast("int"))),
+        lambda k: F.struct(k.alias("idx"), F.array_join(F.slice("_tokens", k * step + 1, F.lit(size)), " ").alias("chunk"), F.least(F.lit(size), F.size("_tokens") - k * step).alias("n_tokens")),
+    )
+    held = df.withColumn("_tokens", tokens).where(F.size("_tokens") > 0).withColumn("_cut", cut).drop("_tokens")
+    return held.select(*df.columns, F.inline("_cut")).where(F.col("n_tokens") >= least)
 
 
 def fixed_windows(text: Column, width: int, most: int | None = 24) -> Column:
@@ -68,80 +73,103 @@ def until_budget(df: DataFrame, keys: list[str], order: str, text: str, budget:
     return df.withColumn("_before", F.coalesce(F.sum(F.length(text)).over(w), F.lit(0))).where(F.col("_before") < budget).drop("_before")
 
 
+def _grouped(parts: list[tuple[str, bool]], target: int, glue: str) -> list[str]:
+    """Parts joined while they stay within ``target``; a part that stands alone takes no neighbour.
+
+    A running fold over lengths gives every part the number of its chunk; a chunk's length is set to infinity where nothing may follow.
+    """
+
+    def place(held: tuple[int, float], part: tuple[str, bool]) -> tuple[int, float]:
+        (number, size), (text, alone) = held, part
+        if not alone and size + len(glue) + len(text) <= target:
+            return number, size + len(glue) + len(text)
+        return number + 1, math.inf if alone else len(text)
+
+    numbers = [n for n, _ in accumulate(parts, place, initial=(0, math.inf))][1:]
+    return [glue.join(text for (text, _), _ in run) for _, run in groupby(zip(parts, numbers, strict=True), key=lambda x: x[1])]
+
+
+def _slabs(piece: str, most: int, spaced: bool) -> list[tuple[str, bool]]:
+    """A piece cut to ``most`` characters, at a space in the later half of a slab if ``spaced``; all but the rest stand alone."""
+    out, lo = [], 0
+    while len(piece) - lo > most:
+        space = piece.rfind(" ", lo + most // 2 + 1, lo + most) if spaced else -1
+        hi = space if space >= 0 else lo + most
+        out.append((piece[lo:hi].strip(), True))
+        lo = hi
+        while spaced and lo < len(piece) and piece[lo].isspace():
+            lo += 1
+    return [*out, (piece[lo:], False)] if piece[lo:] else out
+
+
 def pack(text: str, target: int = 1800, most: int = 2400, tail: int = 200) -> list[str]:
-    """Paragraphs packed greedily up to ``target`` characters; longer ones than ``most`` are cut at a late space, a short last chunk joins the one before."""
-    out: list[str] = []
-    open_: list[str] = []
-
-    def close() -> None:
-        if open_:
-            out.append("\n\n".join(open_))
-            open_.clear()
-
-    for piece in (p.strip() for p in pd.Series([text]).str.split(r"\n\s*\n", regex=True).iloc[0]):
-        while len(piece) > most:
-            at = piece.rfind(" ", 0, most)
-            at = at if at > most // 2 else most
-            close()
-            out.append(piece[:at].strip())
-            piece = piece[at:].strip()
-        if not piece:
-            continue
-        if open_ and sum(map(len, open_)) + 2 * len(open_) + len(piece) > target:
-            close()
-        open_.append(piece)
-    close()
-    if len(out) > 1 and len(out[-1]) < tail:
-        last = out.pop()
-        out[-1] += "\n\n" + last
-    return out
-
-
-def pack_lines(text: str, target: int = 1800) -> list[str]:
-    """Lines packed greedily without touching a short tail."""
-    out, held, size = [], [], 0
-    for line in text.split("\n"):
-        if held and size + len(line) + 1 > target:
-            out.append("\n".join(held))
-            held, size = [], 0
-        held.append(line)
-        size += len(line) + 1
-    if "".join(held).strip():
-        out.append("\n".join(held))
-    return out
+    """Paragraphs packed up to ``target`` characters; longer ones than ``most`` are cut at a late space, a short last chunk joins the one before."""
+    pieces = filter(None, map(str.strip, re.split(r"\n\s*\n", text)))
+    out = _grouped([slab for p in pieces for slab in _slabs(p, most, True)], target, "\n\n")
+    return [*out[:-2], "\n\n".join(out[-2:])] if len(out) > 1 and len(out[-1]) < tail else out
+
+
+def pack_lines(text: str, target: int = 1800, most: int = 2400) -> list[str]:
+    """Lines packed up to ``target`` characters; longer ones than ``most`` are cut hard. A blank rest is no chunk, an empty text is one empty chunk."""
+    out = _grouped([slab for line in text.split("\n") for slab in (_slabs(line, most, False) or [("", False)])], target, "\n")
+    if out:
+        out[-1:] = [out[-1].strip()] if out[-1].strip() else []
+    return out or [""]
+
+
+def pack_pages(text: str, most: int, marker: str = r"--- Seite \d+ ---") -> list[str]:
+    """Parts of about ``most`` characters that begin at page markers; a text without two such parts is cut at blank lines.
+
+    A block longer than ``most`` is cut hard.
+    """
+    if len(text) <= most:
+        return [text]
+    hard = lambda block: [(x, True) for k in range(0, len(block), most) if (x := block[k : k + most].strip())] if len(block) > most else [(block, False)]
+    blocks = [b.strip() for b in re.split(f"(?={marker})", text)]
+    # the glue after the last part counts as well
+    by_page = _grouped([x for b in blocks if b for x in hard(b)], most - 2, "\n\n")
+    if len(by_page) > 1 and len(blocks) > 1:
+        return by_page
+    return [x for c in _grouped([x for b in text.split("\n\n") for x in (hard(b) if len(b) + 2 > most else [(b, False)])], most - 2, "\n\n") if (x := c.strip())]
 
 
 def seek_split(text: str, most: int, least_share: float = 0.55) -> list[str]:
-    """Parts of at most ``most`` characters, ended at a paragraph, else a sentence, in the later part of the span, else hard."""
-    out = []
-    while len(text) > most:
-        floor = int(most * least_share)
-        at = next((p + len(mark) for mark in ("\n\n", ". ") if (p := text.rfind(mark, floor, most)) >= 0), most)
-        out.append(text[:at].strip())
-        text = text[at:].strip()
-    return [x for x in [*out, text] if x]
-
-
-def section_paths(markdown: str) -> list[tuple[str, str]]:
-    """(path of headings, body) for each section of a text with ``#`` headings; empty bodies are left out."""
-    stack: list[tuple[int, str]] = []
-    out: list[tuple[str, str]] = []
-    body: list[str] = []
-
-    def close() -> None:
-        if any(x.strip() for x in body):
-            out.append((" > ".join(t for _, t in stack), "\n".join(body).strip()))
-        body.clear()
-
-    for line in markdown.split("\n"):
-        level = len(line) - len(line.lstrip("#"))
-        if 1 <= level <= 6 and line[level : level + 1] == " ":
-            close()
-            stack = [s for s in stack if s[0] < level] + [(level, line[level:].strip())]
-        else:
-            body.append(line)
-    close()
-    return out
+    """Parts of at most ``most`` characters, ended before a blank line, else before a sentence's end, in the later part of the span, else hard.
+
+    The places where a text may end are listed once; each part takes the last one in its span.
+    """
+    text = text.strip()
+    ends = [[m.start() for m in re.finditer(mark, text)] for mark in (r"(?=\n\n)", r"(?=\. )")]
+    out, lo = [], 0
+    while len(text) - lo > most:
+        floor = lo + int(most * least_share)
+        last = [e[k - 1] if (k := bisect_right(e, lo + most - 2)) else -1 for e in ends]
+        hi = next((at for at in last if at >= floor), lo + most)
+        out.append(text[lo:hi].strip())
+        lo = hi + len(text[hi:]) - len(text[hi:].lstrip())
+    return [x for x in [*out, text[lo:].strip()] if x]
+
+
+_HEADING = re.compile(r"(?m)^(#{1,6})[ \t]+(\S.*?)[ \t]*$")
+
+
+def section_paths(markdown: str, title: str = "") -> list[tuple[str, str]]:
+    """(path of headings, body) for each section of a text with ``#`` headings; empty bodies are left out.
+
+    The page's title leads the path unless the first heading is the title itself; what comes before any heading is under it.
+    """
+    marks = list(_HEADING.finditer(markdown))
+    ends = [m.start() for m in marks] + [len(markdown)]
+    open_: list[str | None] = [None] * 7  # the heading in force at each level
+    out = [(title, markdown[: ends[0]].strip())]
+    for m, end in zip(marks, ends[1:], strict=True):
+        level = len(m[1])
+        open_[level:] = [m[2], *[None] * (6 - level)]
+        names = [x for x in open_ if x is not None]
+        if title and names[0].casefold() != title.casefold():
+            names.insert(0, title)
+        out.append((" > ".join(names), markdown[m.end() : end].strip()))
+    return [x for x in out if x[1]]
 
 
 def split_rows(df: DataFrame, key: str, text: str, splitter, schema_key: str = "long") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fold
+
 
 def overlap_pairs(cases: DataFrame, entries: DataFrame, case_key: str, entry_key: str, tokens: str) -> DataFrame:
     """(case, entry) with at least one token in common: an equi join on exploded tokens in place of a comparison of all."""
@@ -20,15 +22,59 @@ def fit(country_hit: Column, norm_share: Column, theme_share: Column, weight: Co
     return F.round(F.least(parts, F.lit(1.0)), 3)
 
 
+#: Sections of the asylum act by the question that they settle; articles of two regulations name the same questions.
+ASYLUM_ACT = {
+    "geas:fluechtling": ("3", "3a", "3b", "3c", "3d", "3e"),
+    "geas:subsidiaer": ("4",),
+    "geas:unzulaessig": ("29", "29a"),
+    "geas:offensichtlich": ("30", "30a"),
+    "geas:ou-verfahren": ("36",),
+}
+
+
+def bridge_tokens(norm: Column) -> Column:
+    """Array of the questions that a norm settles, in whichever act it stands; empty for norms that no act has moved.
+
+    A regulation cited without an article stands for all of its questions.
+    """
+    n = fold(F.coalesce(norm, F.lit("")))
+    section, text = F.regexp_extract(n, r"§\s*(\d+[a-z]?)", 1), F.regexp_extract(n, r"art(?:ikel|\.)?\s*(\d+)", 1)
+    named = text != ""
+    article = F.when(named, text.cast("int"))
+    some = lambda *names: F.array(*map(F.lit, names))
+    none = F.array().cast("array<string>")
+    act = none
+    for token, sections in ASYLUM_ACT.items():
+        act = F.when(section.isin(*sections), some(token)).otherwise(act)
+    status = F.when(~named, some("geas:fluechtling", "geas:subsidiaer")).when(article.between(15, 17), some("geas:subsidiaer")).otherwise(some("geas:fluechtling"))
+    procedure = F.when(~named, some("geas:unzulaessig", "geas:offensichtlich", "geas:ou-verfahren")).when(article == 38, some("geas:unzulaessig"))
+    procedure = procedure.when(article.isin(39, 42), some("geas:offensichtlich")).when(article.isin(67, 68), some("geas:ou-verfahren")).otherwise(none)
+    dublin = n.contains("dublin") | n.contains("604/2013") | n.contains("2024/1351")
+    return F.when(n.contains("asylg"), act).when(n.contains("2024/1347"), status).when(n.contains("2024/1348"), procedure).when(dublin, some("geas:zustaendigkeit")).otherwise(none)
+
+
+def law_stale(decided: Column, norms: Column, cutoff: Column) -> Column:
+    """Whether a decision predates the change of law and rests on a norm that it moved."""
+    return F.coalesce((decided < cutoff) & F.exists(norms, lambda x: F.size(bridge_tokens(x)) > 0), F.lit(False))
+
+
+def norm_share(wanted: Column, have: Column) -> Column:
+    """Part of the wanted norms, repeats counted, that are there by name or by a question that they settle; 0 if nothing is wanted."""
+    names = F.transform(have, fold)
+    asked = F.flatten(F.transform(have, bridge_tokens))
+    hits = F.size(F.filter(wanted, lambda w: F.array_contains(names, fold(w)) | F.arrays_overlap(bridge_tokens(w), asked)))
+    return F.when(F.size(wanted) > 0, hits / F.size(wanted)).otherwise(0.0)
+
+
 def share(wanted: Column, have: Column) -> Column:
-    """Part of the wanted tokens that are there; 0 if nothing is wanted."""
-    n = F.size(F.array_distinct(wanted))
-    return F.when(n > 0, F.size(F.array_intersect(wanted, have)) / n).otherwise(0.0)
+    """Part of the distinct wanted tokens that are there, compared folded; 0 if nothing is wanted."""
+    own = F.array_distinct(F.transform(wanted, fold))
+    return F.when(F.size(own) > 0, F.size(F.array_intersect(own, F.transform(have, fold))) / F.size(own)).otherwise(0.0)
 
 
 def mismatch(axis: str, ours: Column, theirs: Column) -> Column:
-    """Whether two profiles differ on an axis; an age may differ by ten years, a missing value never does."""
-    differs = F.abs(ours - theirs) > 10 if axis == "age" else ours != theirs
+    """Whether two profiles differ on an axis; an age may differ by ten years, texts are compared folded, a missing value never differs."""
+    differs = F.abs(ours - theirs) > 10 if axis == "age" else fold(ours.cast("string")) != fold(theirs.cast("string"))
     return F.coalesce(differs, F.lit(False))
 
 
@@ -36,6 +82,11 @@ def risk(compared: Column, mismatches: Column, carrying: Column) -> Column:
     return F.when(compared == 0, "ungeprueft").when(carrying > 0, "hoch").when(mismatches > 0, "moeglich").otherwise("niedrig")
 
 
+def coverage(found: Column, most: int, research: Column) -> Column:
+    """Share of the wanted decisions that are there, and a fifth more with recent research; 1 at most."""
+    return F.least(F.lit(1.0), F.least(F.lit(1.0), found / float(max(1, most))) + F.when(research > 0, 0.2).otherwise(0.0))
+
+
 def freshness(found: Column, least: int, age_days: Column, refresh_days: Column) -> Column:
     return F.when(found == 0, "missing").when(found < least, "thin").when(age_days > refresh_days, "stale").otherwise("fresh")
 

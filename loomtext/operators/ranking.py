@@ -20,7 +20,8 @@ class Policy:
     official: Sequence[str] = ()
     off_topic: Sequence[str] = ()
     law_text: Sequence[str] = ()
-    decision: Sequence[str] = ("beschluss", "urteilstext", "urteil", "aktenzeichen", "ecli", "revision")
+    # fixed values: words that speak for a decision's text
+    decision: Sequence[str] = ("entscheidung", "entscheidungen", "entscheid", "beschluss", "urteilstext", "urteil", "aktenzeichen", "ecli", "revision")
     court: Sequence[str] = ("bverwg", "bverfg", "bgh", "eugh", "egmr", "ovg", "verwaltungsgericht", "vg ")
     buckets: Sequence[tuple[str, Sequence[str]]] = ()
     top_buckets: Sequence[str] = ("bverwg", "bverfg")

@@ -11,8 +11,8 @@ from ..sources.tables import table
 from .registry import query
 
 #: Cases: country, norms, themes, age, gender.
-CASES = [(1, "Brand#2", ["small", "ring"], ["ECONOMY"], 30, "f"), (2, "Brand#17", ["red", "widget"], ["STANDARD", "PROMO"], 12, "m"), (3, None, ["blue", "bolt", "large"], [], 45, None), (4, "Brand#5", [], ["ECONOMY"], None, "f")]
-_CASES = "(VALUES (1, 'Brand#2', ['small','ring'], ['ECONOMY'], 30, 'f'), (2, 'Brand#17', ['red','widget'], ['STANDARD','PROMO'], 12, 'm'), (3, NULL, ['blue','bolt','large'], []::VARCHAR[], 45, NULL), (4, 'Brand#5', []::VARCHAR[], ['ECONOMY'], NULL, 'f')) AS c(case_id, country, norms, themes, age, gender)"
+CASES = [(1, "BRAND#2", ["small", "RING", "ring"], ["economy"], 30, "F"), (2, "Brand#17", ["red", "widget", "red"], ["STANDARD", "PROMO", "promo"], 12, "m"), (3, None, ["blue", "bolt", "large"], [], 45, None), (4, "Brand#5", [], ["ECONOMY"], None, "f")]
+_CASES = "(VALUES (1, 'BRAND#2', ['small','RING','ring'], ['economy'], 30, 'F'), (2, 'Brand#17', ['red','widget','red'], ['STANDARD','PROMO','promo'], 12, 'm'), (3, NULL, ['blue','bolt','large'], []::VARCHAR[], 45, NULL), (4, 'Brand#5', []::VARCHAR[], ['ECONOMY'], NULL, 'f')) AS c(case_id, country, norms, themes, age, gender)"
 _P = "(SELECT p_partkey, p_brand, string_split(p_name, ' ') AS norms, [p_type] AS themes, p_partkey % 5 AS weight, p_partkey % 3000 AS age_days, p_size AS age, CASE p_partkey % 3 WHEN 0 THEN 'f' WHEN 1 THEN 'm' END AS gender, p_partkey % 4 = 0 AS carries FROM part)"
 
 
@@ -31,15 +31,15 @@ def overlap(spark, d):
     return M.overlap_pairs(_cases(spark), _parts(spark, d).withColumnRenamed("p_norms", "norms"), "case_id", "p_partkey", "norms")
 
 
-_FIT = f"""SELECT case_id, p_partkey, round(least(CASE WHEN c.country = p.p_brand THEN 0.35 ELSE 0 END::DOUBLE + 0.30::DOUBLE * (CASE WHEN len(c.norms) > 0 THEN len(list_distinct(list_intersect(c.norms, p.norms)))::DOUBLE / len(c.norms) ELSE 0 END)
- + 0.15::DOUBLE * (CASE WHEN len(c.themes) > 0 THEN len(list_distinct(list_intersect(c.themes, p.themes)))::DOUBLE / len(c.themes) ELSE 0 END) + 0.05::DOUBLE * least(weight, 3) + greatest(0, 0.08::DOUBLE * (1 - age_days / 1825.0::DOUBLE)), 1.0), 3) AS fit,
- (c.age IS NOT NULL)::INT + (c.gender IS NOT NULL AND p.gender IS NOT NULL)::INT AS compared, coalesce(abs(c.age - p.age) > 10, false)::INT + coalesce(c.gender <> p.gender, false)::INT AS bad, carries FROM {_CASES}, {_P} p"""
+_FIT = f"""SELECT case_id, p_partkey, round(least(CASE WHEN lower(c.country) = lower(p.p_brand) THEN 0.35 ELSE 0 END::DOUBLE + 0.30::DOUBLE * (CASE WHEN len(c.norms) > 0 THEN len(list_filter(c.norms, lambda w: list_contains(list_transform(p.norms, lambda x: lower(x)), lower(w))))::DOUBLE / len(c.norms) ELSE 0 END)
+ + 0.15::DOUBLE * (CASE WHEN len(c.themes) > 0 THEN len(list_filter(list_distinct(list_transform(c.themes, lambda x: lower(x))), lambda w: list_contains(list_transform(p.themes, lambda x: lower(x)), w)))::DOUBLE / len(list_distinct(list_transform(c.themes, lambda x: lower(x)))) ELSE 0 END) + 0.05::DOUBLE * least(weight, 3) + greatest(0, 0.08::DOUBLE * (1 - age_days / 1825.0::DOUBLE)), 1.0), 3) AS fit,
+ (c.age IS NOT NULL)::INT + (c.gender IS NOT NULL AND p.gender IS NOT NULL)::INT AS compared, coalesce(abs(c.age - p.age) > 10, false)::INT + coalesce(lower(c.gender) <> lower(p.gender), false)::INT AS bad, carries FROM {_CASES}, {_P} p"""
 
 
 def _scored(spark, d):
     both = _parts(spark, d).crossJoin(F.broadcast(_cases(spark)))  # four cases
     c = F.col
-    value = M.fit(F.coalesce(c("country") == c("p_brand"), F.lit(False)), M.share(c("norms"), c("p_norms")), M.share(c("themes"), c("p_themes")), c("weight"), c("age_days"))
+    value = M.fit(F.coalesce(fold(c("country")) == fold(c("p_brand")), F.lit(False)), M.norm_share(c("norms"), c("p_norms")), M.share(c("themes"), c("p_themes")), c("weight"), c("age_days"))
     compared = c("age").isNotNull().cast("int") + (c("gender").isNotNull() & c("p_gender").isNotNull()).cast("int")
     bad = M.mismatch("age", c("age"), c("p_age")).cast("int") + M.mismatch("gender", c("gender"), c("p_gender")).cast("int")
     return both.select("case_id", "p_partkey", value.alias("fit"), compared.alias("compared"), bad.alias("bad"), "carries")
@@ -57,17 +57,46 @@ def decision_packs(spark, d):
     return _scored(spark, d).withColumn("place", F.row_number().over(w)).where("place <= 15").select("case_id", "p_partkey", "place")
 
 
+#: Norms in both dialects, made of part keys.
+_NORMS = "(SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'AsylG § ' || (p_partkey % 40) || CASE WHEN p_partkey % 2 = 0 THEN 'a' ELSE '' END || ' Abs. 1' WHEN 1 THEN 'VO (EU) 2024/1347 Art. ' || (p_partkey % 20) WHEN 2 THEN 'VO (EU) 2024/1348 Artikel ' || (p_partkey % 70) WHEN 3 THEN CASE WHEN p_partkey % 2 = 0 THEN 'VO (EU) 2024/1348' ELSE 'Dublin III' END ELSE '§ 60 AufenthG' END AS norm FROM part)"
+_BRIDGE = r"""CASE WHEN contains(n, 'asylg') THEN CASE WHEN sec IN ('3', '3a', '3b', '3c', '3d', '3e') THEN 'geas:fluechtling' WHEN sec = '4' THEN 'geas:subsidiaer' WHEN sec IN ('29', '29a') THEN 'geas:unzulaessig' WHEN sec IN ('30', '30a') THEN 'geas:offensichtlich' WHEN sec = '36' THEN 'geas:ou-verfahren' ELSE '' END
+ WHEN contains(n, '2024/1347') THEN CASE WHEN art = '' THEN 'geas:fluechtling,geas:subsidiaer' WHEN art::INT BETWEEN 15 AND 17 THEN 'geas:subsidiaer' ELSE 'geas:fluechtling' END
+ WHEN contains(n, '2024/1348') THEN CASE WHEN art = '' THEN 'geas:unzulaessig,geas:offensichtlich,geas:ou-verfahren' WHEN art::INT = 38 THEN 'geas:unzulaessig' WHEN art::INT IN (39, 42) THEN 'geas:offensichtlich' WHEN art::INT IN (67, 68) THEN 'geas:ou-verfahren' ELSE '' END
+ WHEN contains(n, 'dublin') THEN 'geas:zustaendigkeit' ELSE '' END"""
+_BRIDGED = rf"SELECT p_partkey, {_BRIDGE} AS tokens FROM (SELECT p_partkey, lower(norm) AS n, regexp_extract(lower(norm), '§\s*([0-9]+[a-z]?)', 1) AS sec, regexp_extract(lower(norm), 'art(?:ikel|\.)?\s*([0-9]+)', 1) AS art FROM {_NORMS})"
+
+
+def _norms(spark, d):
+    k = F.col("p_partkey")
+    act = F.concat(F.lit("AsylG § "), (k % 40).cast("string"), F.when(k % 2 == 0, "a").otherwise(""), F.lit(" Abs. 1"))
+    loose = F.when(k % 2 == 0, "VO (EU) 2024/1348").otherwise("Dublin III")
+    norm = F.when(k % 5 == 0, act).when(k % 5 == 1, F.concat(F.lit("VO (EU) 2024/1347 Art. "), (k % 20).cast("string"))).when(k % 5 == 2, F.concat(F.lit("VO (EU) 2024/1348 Artikel "), (k % 70).cast("string")))
+    return table(spark, d, "part").select("p_partkey", norm.when(k % 5 == 3, loose).otherwise("§ 60 AufenthG").alias("norm"))
+
+
+@query("bridge_tokens", _BRIDGED)
+def bridges(spark, d):
+    return _norms(spark, d).select("p_partkey", F.array_join(M.bridge_tokens(F.col("norm")), ",").alias("tokens"))
+
+
+@query("law_stale", f"SELECT p_partkey, tokens <> '' AND DATE '2026-06-01' + (p_partkey % 30)::INT < DATE '2026-06-12' AS stale FROM ({_BRIDGED})")
+def law_stale(spark, d):
+    """Decisions dated about the day on which the law changed."""
+    decided = F.date_add(F.lit("2026-06-01").cast("date"), (F.col("p_partkey") % 30).cast("int"))
+    return _norms(spark, d).select("p_partkey", M.law_stale(decided, F.array("norm"), F.lit("2026-06-12").cast("date")).alias("stale"))
+
+
 @query("outcome_camps", "SELECT o_orderkey, CASE WHEN lower(o_orderstatus) IN ('f') THEN 'pro' WHEN lower(o_orderstatus) IN ('o') THEN 'gegen' ELSE 'neutral' END AS camp FROM orders")
 def camps(spark, d):
     s = fold(F.col("o_orderstatus"))
     return table(spark, d, "orders").select("o_orderkey", F.when(s.isin("f"), "pro").when(s.isin("o"), "gegen").otherwise("neutral").alias("camp"))
 
 
-@query("pack_freshness", "WITH g AS (SELECT o_custkey, count(*) AS n, date_diff('day', max(o_orderdate)::DATE, DATE '2002-01-01') AS age FROM orders GROUP BY 1) SELECT c_custkey, CASE WHEN coalesce(n, 0) = 0 THEN 'missing' WHEN n < 5 THEN 'thin' WHEN age > 400 THEN 'stale' ELSE 'fresh' END AS state, round(least(1.0, coalesce(n, 0) / 10.0::DOUBLE) * 0.8 + 0.2, 6) AS coverage FROM customer LEFT JOIN g ON o_custkey = c_custkey")
+@query("pack_freshness", "WITH g AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'P') AS r, date_diff('day', max(o_orderdate)::DATE, DATE '2002-01-01') AS age FROM orders GROUP BY 1) SELECT c_custkey, CASE WHEN coalesce(n, 0) = 0 THEN 'missing' WHEN n < 5 THEN 'thin' WHEN age > 400 THEN 'stale' ELSE 'fresh' END AS state, round(least(1.0::DOUBLE, least(1.0::DOUBLE, coalesce(n, 0) / 15.0::DOUBLE) + CASE WHEN coalesce(r, 0) > 0 THEN 0.2::DOUBLE ELSE 0 END), 6) AS coverage FROM customer LEFT JOIN g ON o_custkey = c_custkey")
 def freshness(spark, d):
-    g = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.datediff(F.lit("2002-01-01").cast("date"), F.max("o_orderdate").cast("date")).alias("age"))
+    g = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("o_orderstatus") == "P", 1)).alias("r"), F.datediff(F.lit("2002-01-01").cast("date"), F.max("o_orderdate").cast("date")).alias("age"))
     n = F.coalesce("n", F.lit(0))
-    return table(spark, d, "customer").join(g, "c_custkey", "left").select("c_custkey", M.freshness(n, 5, F.col("age"), F.lit(400)).alias("state"), F.round(F.least(F.lit(1.0), n / 10.0) * 0.8 + 0.2, 6).alias("coverage"))
+    return table(spark, d, "customer").join(g, "c_custkey", "left").select("c_custkey", M.freshness(n, 5, F.col("age"), F.lit(400)).alias("state"), F.round(M.coverage(n, 15, F.coalesce("r", F.lit(0))), 6).alias("coverage"))
 
 
 @query("fingerprint_keys", "SELECT o_custkey, substr(lower(array_to_string(list_sort(list_distinct(list(o_orderpriority))), '|')), 1, 255) AS key FROM orders GROUP BY 1")
@@ -76,9 +105,9 @@ def fingerprint_keys(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(keys.alias("key"))
 
 
-@query("folded_words", "SELECT doc_id, md5(replace(replace(replace(replace(lower(text), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')) AS folded_md5 FROM documents WHERE lang IN ('en', 'de')")
+@query("folded_words", "SELECT doc_id, md5(replace(replace(replace(replace(lower(text), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')) AS folded_md5 FROM documents")
 def folded(spark, d):
-    """Of every document. The SQL still leaves out all but two languages."""
+    """Of every document."""
     return table(spark, d, "documents").select("doc_id", F.md5(fold(F.col("text"))).alias("folded_md5"))
 
 

@@ -12,11 +12,11 @@ from .registry import query
 _COS = "list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)))"
 _KNN = """knn AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM
 (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(e.v, q.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(q.v, q.v))) AS score
- FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id >= 10) e, (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 10) q))"""
+ FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) e, (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0) q))"""
 
 
 def _knn(spark, d, k, by=None):
-    """Every vector whose id is divisible by 20 asks all vectors, itself among them. The SQL still has ids under 10 ask the others."""
+    """Every vector whose id is divisible by 20 asks all vectors, itself among them."""
     e = table(spark, d, "embeddings")
     asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return R.knn(e, asked, "vec_id", "embedding", k, by)
@@ -30,13 +30,13 @@ def dense_knn(spark, d):
 _BM = r"""idx AS (SELECT doc_id, term, count(*) AS tf, any_value(len(t)) AS length FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents), unnest(t) AS u(term) GROUP BY doc_id, term),
 st AS (SELECT count(*) AS n, avg(length) AS mean FROM (SELECT DISTINCT doc_id, length FROM idx)),
 df AS (SELECT term, count(*) AS df FROM idx GROUP BY term),
-q AS (SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:8] AS t FROM benchmark), unnest(t) AS u(term)),
+q AS (SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM benchmark), unnest(t) AS u(term)),
 bm AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id,
  round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM idx JOIN q USING (term) JOIN df USING (term), st GROUP BY query_id, doc_id))"""
 
 
 def _bm25(spark, d, k):
-    """Every whole benchmark passage asks all documents. The SQL still asks with its first eight words."""
+    """Every whole benchmark passage asks all documents."""
     index = R.postings(table(spark, d, "documents"), "doc_id", "text")
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(words).alias("term"))
@@ -48,7 +48,7 @@ def sparse_bm25(spark, d):
     return _bm25(spark, d, 5).select("query_id", "doc_id", "rank")
 
 
-@query("rank_fusion", f"""WITH {_KNN}, {_BM}, a AS (SELECT query_id, vec_id AS id, rank AS dr FROM knn WHERE rank <= 50), b AS (SELECT query_id, doc_id AS id, rank AS sr FROM bm WHERE rank <= 50 AND query_id < 10),
+@query("rank_fusion", f"""WITH {_KNN}, {_BM}, a AS (SELECT query_id, vec_id AS id, rank AS dr FROM knn WHERE rank <= 50), b AS (SELECT query_id, doc_id AS id, rank AS sr FROM bm WHERE rank <= 50),
 f AS (SELECT query_id, id, dr, sr, coalesce(1.0::DOUBLE / (60 + dr), 0) + coalesce(1.0::DOUBLE / (60 + sr), 0) AS s FROM a FULL JOIN b USING (query_id, id))
 SELECT query_id, id, rank, round(s, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, dr NULLS LAST, sr NULLS LAST, id) AS rank FROM f) WHERE rank <= 50""")
 def rank_fusion(spark, d):
@@ -109,9 +109,9 @@ def markers(spark, d):
     return table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", (~F.coalesce("text", F.lit("")).rlike(r"\[Q[0-9]+\]")).alias("unproven"))
 
 
-@query("tag_matches", "WITH t AS (SELECT DISTINCT p_partkey, string_split(p_name, ' ') AS tags FROM part WHERE p_partkey < 200) SELECT l.o_orderpriority AS hay, p_partkey, len(list_filter(tags, lambda x: contains('red blue small ring bolt', x)))::BIGINT AS hits FROM t, (SELECT DISTINCT o_orderpriority FROM orders) l WHERE len(list_filter(tags, lambda x: contains('red blue small ring bolt', x))) >= 1 QUALIFY row_number() OVER (PARTITION BY hay ORDER BY hits DESC, p_partkey) <= 10")
+@query("tag_matches", "WITH t AS (SELECT DISTINCT p_partkey, string_split(p_name, ' ') AS tags FROM part) SELECT l.o_orderpriority AS hay, p_partkey, len(list_filter(tags, lambda x: contains('red blue small ring bolt', x)))::BIGINT AS hits FROM t, (SELECT DISTINCT o_orderpriority FROM orders) l WHERE len(list_filter(tags, lambda x: contains('red blue small ring bolt', x))) >= 1 QUALIFY row_number() OVER (PARTITION BY hay ORDER BY hits DESC, p_partkey) <= 10")
 def tag_matches(spark, d):
-    """Entries whose tags occur in a text, the most hits first, ten per case; the text is the same in all. The SQL still reads p_partkey < 200."""
+    """Entries whose tags occur in a text, the most hits first, ten per case; the text is the same in all."""
     tags = table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("tags"))
     cases = table(spark, d, "orders").select(F.col("o_orderpriority").alias("hay")).distinct()
     hits = F.size(F.filter("tags", lambda x: F.lit("red blue small ring bolt").contains(x))).cast("long")

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.merge import first_by, unseen
+from ..operators.merge import unseen
 from ..sources.tables import table
 from ..streaming import jobs as J
 from .registry import query
 
 
-@query("claimed_jobs", "SELECT o_orderpriority AS queue, o_orderkey AS job FROM orders WHERE o_orderstatus = 'O' AND (o_orderdate IS NULL OR o_orderdate <= TIMESTAMP '2001-01-01') QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) = 1")
+@query("claimed_jobs", "SELECT o_orderpriority AS queue, o_orderkey AS job FROM (SELECT * REPLACE (CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate END AS o_orderdate) FROM orders) WHERE o_orderstatus = 'O' AND (o_orderdate IS NULL OR o_orderdate <= TIMESTAMP '2001-01-01') QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate NULLS LAST, o_orderkey) = 1")
 def claimed(spark, d):
-    """The next available job of every queue."""
-    o = table(spark, d, "orders").where("o_orderstatus = 'O' and (o_orderdate is null or o_orderdate <= timestamp '2001-01-01')")
-    return first_by(o, ["o_orderpriority"], [F.col("o_orderdate").asc_nulls_first(), F.col("o_orderkey")]).select(F.col("o_orderpriority").alias("queue"), F.col("o_orderkey").alias("job"))
+    """The next available job of every queue; every eleventh may start at any time."""
+    o = table(spark, d, "orders").withColumn("o_orderdate", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderdate")))
+    jobs = o.where("o_orderstatus = 'O'").select(F.col("o_orderpriority").alias("queue"), F.col("o_orderkey").alias("job"), F.col("o_orderdate").alias("available_at"), F.col("o_orderkey").alias("created_at"))
+    return J.claim(jobs, "queue", "job", F.lit("2001-01-01").cast("timestamp")).select("queue", "job")
 
 
 @query("round_robin", "SELECT o_orderkey AS job, row_number() OVER (ORDER BY n, o_orderpriority) AS turn FROM (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_orderstatus = 'O') WHERE n <= 20")

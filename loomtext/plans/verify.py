@@ -11,7 +11,7 @@ from ..sources.tables import table
 from .registry import query
 
 _PAGED = "(SELECT doc_id, CAST(i + 1 AS INT) AS page_no, substr(text, i * 600 + 1, 600) AS page_text FROM documents, unnest(range(0, CAST(ceil(length(text) / 600.0) AS INT))) AS t(i))"
-_CITED = f"""c AS (SELECT doc_id, page_no AS found, CASE WHEN doc_id % 3 = 0 THEN page_no ELSE 1 END AS cited, substr(page_text, 20, 60) AS claim FROM {_PAGED} WHERE doc_id % 2 = 0 AND page_no = 2 AND length(page_text) >= 80)"""
+_CITED = f"""c AS (SELECT doc_id, page_no AS found, CASE WHEN doc_id % 3 = 0 THEN page_no ELSE 1 END AS cited, substr(page_text, 20, 60) AS claim FROM {_PAGED} WHERE length(page_text) >= 80)"""
 
 
 def _pages(spark, d):
@@ -20,15 +20,12 @@ def _pages(spark, d):
 
 
 def _cited(spark, d):
-    """A claim from every page (``found``) long enough to have one; a third of the documents cite the right page, the others the first.
-
-    The SQL still takes claims from page 2 of every other document only.
-    """
+    """A claim from every page (``found``) long enough to have one; a third of the documents cite the right page, the others the first."""
     p = _pages(spark, d).where(F.length("page_text") >= 80)
     return p.select("doc_id", F.col("page_no").alias("found"), F.when(F.col("doc_id") % 3 == 0, F.col("page_no")).otherwise(1).alias("cited"), F.substring("page_text", 20, 60).alias("claim"))
 
 
-_STATUS = f"WITH {_CITED}, h AS (SELECT c.doc_id, count(*) FILTER (WHERE contains(p.page_text, claim) AND page_no = cited) AS hit, count(*) FILTER (WHERE contains(p.page_text, claim) AND page_no <> cited) AS other FROM c JOIN {_PAGED} p USING (doc_id) GROUP BY 1) SELECT doc_id, CASE WHEN hit > 0 THEN 'verified' WHEN other = 1 THEN 'other_page' WHEN other > 1 THEN 'ambiguous' ELSE 'not_found' END AS status FROM h"
+_STATUS = f"WITH {_CITED}, h AS (SELECT c.doc_id, found, count(*) FILTER (WHERE contains(p.page_text, claim) AND page_no = cited) AS hit, count(*) FILTER (WHERE contains(p.page_text, claim) AND page_no <> cited) AS other FROM c JOIN {_PAGED} p USING (doc_id) GROUP BY 1, 2) SELECT doc_id, found, CASE WHEN hit > 0 THEN 'verified' WHEN other = 1 THEN 'other_page' WHEN other > 1 THEN 'ambiguous' ELSE 'not_found' END AS status FROM h"
 
 
 def _status(spark, d):
@@ -50,7 +47,7 @@ def tally(spark, d):
 _NORM = lambda c: f"trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
-@query("token_matches", f"WITH {_CITED} SELECT c.doc_id, page_no, round(len(list_distinct(list_intersect(list_distinct(string_split({_NORM('claim')}, ' ')), string_split({_NORM('page_text')}, ' '))))::DOUBLE / len(list_distinct(string_split({_NORM('claim')}, ' '))), 6) AS share FROM c JOIN {_PAGED} p USING (doc_id)")
+@query("token_matches", f"WITH {_CITED} SELECT c.doc_id, found, page_no, round(len(list_distinct(list_intersect(list_distinct(string_split({_NORM('claim')}, ' ')), string_split({_NORM('page_text')}, ' '))))::DOUBLE / len(list_distinct(string_split({_NORM('claim')}, ' '))), 6) AS share FROM c JOIN {_PAGED} p USING (doc_id)")
 def token_matches(spark, d):
     both = _cited(spark, d).join(_pages(spark, d), "doc_id")
     return both.select("doc_id", "found", "page_no", F.round(V.token_share(F.col("claim"), F.col("page_text")), 6).alias("share"))
@@ -87,7 +84,7 @@ def covering(spark, d):
     return c.join(s, "source").where("page between a and b").groupBy("conv_id", "turn").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("candidates"))
 
 
-@query("quoted_sources", f"WITH {_CITED} SELECT c.doc_id, contains({_NORM('text')}, {_NORM('claim')}) AS quote, CASE WHEN contains(text, 'the') AND contains(text, 'der') THEN NULL WHEN contains(text, 'the') THEN true WHEN contains(text, 'der') THEN false END AS outcome FROM c JOIN documents USING (doc_id)")
+@query("quoted_sources", f"WITH {_CITED} SELECT c.doc_id, found, contains({_NORM('text')}, {_NORM('claim')}) AS quote, CASE WHEN contains(text, 'the') AND contains(text, 'der') THEN NULL WHEN contains(text, 'the') THEN true WHEN contains(text, 'der') THEN false END AS outcome FROM c JOIN documents USING (doc_id)")
 def quoted(spark, d):
     """Verbatim quotation and outcome; an outcome that both markers speak for is open."""
     a, b = F.col("text").contains("the"), F.col("text").contains("der")
@@ -95,7 +92,7 @@ def quoted(spark, d):
     return _cited(spark, d).join(whole, "doc_id").select("doc_id", "found", F.col("whole").contains(V.normal(F.col("claim"))).alias("quote"), "outcome")
 
 
-@query("page_excerpts", f"WITH {_CITED} SELECT c.doc_id, md5(substr(text, 1, 350) || CASE WHEN instr(text, substr(claim, 1, 60)) > 0 THEN substr(text, greatest(1, instr(text, substr(claim, 1, 60)) - 75)::INT, 150) ELSE right(text, 150) END) AS excerpt_md5 FROM c JOIN documents USING (doc_id)")
+@query("page_excerpts", f"WITH {_CITED} SELECT c.doc_id, found, md5(substr(text, 1, 350) || CASE WHEN instr(text, substr(claim, 1, 60)) > 0 THEN substr(text, greatest(1, instr(text, substr(claim, 1, 60)) - 75)::INT, 150) ELSE right(text, 150) END) AS excerpt_md5 FROM c JOIN documents USING (doc_id)")
 def excerpts(spark, d):
     """The head and a window around the quotation, else the end."""
     j = _cited(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")

@@ -26,6 +26,14 @@ def cooldown(df: DataFrame, key: str, ident: str, ts: str, seconds: int) -> Data
     return df.groupBy(key).applyInPandas(run, T.StructType([df.schema[key], df.schema[ident]]))
 
 
+def claim(jobs: DataFrame, queue: str, job: str, now) -> DataFrame:
+    """The job that each queue gives next: available by ``now`` or at any time, by (available_at, created_at), those without a time last."""
+    from ..operators.merge import first_by
+
+    ready = jobs.where(F.col("available_at").isNull() | (F.col("available_at") <= now))
+    return first_by(ready, [queue], [F.col("available_at").asc_nulls_last(), F.col("created_at").asc_nulls_last(), F.col(job)])
+
+
 def sticky_switches(df: DataFrame, worker: str, position: str, service: str) -> DataFrame:
     """How often a worker changes service if it drains one queue, in order of first arrival, before the next."""
 

@@ -40,8 +40,11 @@ def test_canonical_url(spark, url, want):
 
 
 def test_url_identity(spark):
-    same = ["http://www.example.com:80/a/", "https://example.com/a#x", "EXAMPLE.com/a"]
+    same = ["http://www.example.com:80/a/", "https://EXAMPLE.com:443/a#x", " https://www.example.com/a//"]
     assert {col(spark, u, T.url_identity) for u in same} == {"example.com/a"}
+    # path and query tell decisions apart, and a port is only the default of its own scheme
+    assert col(spark, "https://a.de/X?Id=A", T.url_identity) == "a.de/X?Id=A"
+    assert col(spark, "http://a.de:443/x?", T.url_identity) == "a.de:443/x" and col(spark, "EXAMPLE.com/a", T.url_identity) == "EXAMPLE.com/a" and col(spark, None, T.url_identity) == ""
 
 
 def test_text_forms(spark):
