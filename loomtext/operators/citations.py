@@ -54,7 +54,7 @@ def find(text: str) -> list[Citation]:
             continue
         first = int(m[1])
         last = int(m[2]) if m[2] else first + (m[3] == "f.")
-        pages = tuple(range(first, min(last, first + 500) + 1)) or (first,)
+        pages = tuple(range(first, last + 1)) or (first,)
         lo, hi = sentence_at(text, m.start())
         sentence = text[lo:hi].strip()
         claim = re.sub(r"\s+", " ", _PAGE.sub("", re.sub(r"\([^()]*\)", "", sentence))).strip(" .,;")

@@ -35,22 +35,28 @@ def first_match(text: Column, table: Sequence[tuple[str, Sequence[str]]], defaul
     return out
 
 
-def printed_pages(pages: DataFrame, key: str, number: str, printed: str) -> DataFrame:
-    """Page numbers as printed: anchors that rise with the pages hold; other pages take the nearest anchor's offset.
+def printed_pages(pages: DataFrame, key: str, number: str, printed: str, least: int = 3) -> DataFrame:
+    """``pages`` with ``folio``: the page numbers as printed, or the own count where the printed ones are no page numbers.
 
-    ``printed`` is null on pages without a number. Numbers that do not rise are no anchors; documents whose anchors
-    are not the majority of their numbers keep their own count.
+    ``printed`` is null on pages without one. They count if there are ``least`` of them on as many pages, if they rise strictly, and
+    if half of their steps are as long as those of the pages. A page without one takes the nearest numbered page's offset, the earlier of two;
+    it has no folio where that gives a number below 1 or one that another page has.
     """
     up = Window.partitionBy(key).orderBy(number)
-    seen = F.max(printed).over(up.rowsBetween(Window.unboundedPreceding, -1))
-    held = pages.withColumn("_a", F.when(F.col(printed).isNotNull() & (seen.isNull() | (F.col(printed) > seen)), F.col(printed)))
+    mark = F.when(F.col(printed).isNotNull(), F.struct(F.col(number).alias("n"), F.col(printed).alias("p")))
+    before = F.last(mark, ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(mark, ignorenulls=True).over(up.rowsBetween(1, Window.unboundedFollowing))
+    held = pages.withColumn("_b", before).withColumn("_a", after)
     every = Window.partitionBy(key)
-    held = held.withColumn("_ok", F.count("_a").over(every) * 2 > F.count(printed).over(every))
-    before = F.last(F.when(F.col("_a").isNotNull(), F.struct(F.col(number).alias("n"), (F.col("_a") - F.col(number)).alias("o"))), ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(F.when(F.col("_a").isNotNull(), F.struct(F.col(number).alias("n"), (F.col("_a") - F.col(number)).alias("o"))), ignorenulls=True).over(up.rowsBetween(0, Window.unboundedFollowing))
-    near = F.when(before.isNull(), after["o"]).when(after.isNull() | (F.col(number) - before["n"] <= after["n"] - F.col(number)), before["o"]).otherwise(after["o"])
-    held = held.withColumn("_o", near)
-    return held.withColumn("folio", F.col(number) + F.when(F.col("_ok"), F.coalesce("_o", F.lit(0))).otherwise(0)).drop("_a", "_ok", "_o")
+    step = F.col(printed) - F.col("_b.p")
+    pairs = F.count(step).over(every)
+    fits = (F.count(F.lit(1)).over(every) >= least) & (pairs + 1 >= least) & (F.count(F.when(step <= 0, 1)).over(every) == 0)
+    fits &= F.count(F.when(step == F.col(number) - F.col("_b.n"), 1)).over(every) >= F.greatest(F.lit(1), F.floor(pairs / 2))
+    near = F.when(F.col("_a").isNull() | (F.col(number) - F.col("_b.n") <= F.col("_a.n") - F.col(number)), F.col("_b")).otherwise(F.col("_a"))
+    held = held.withColumn("_ok", fits).withColumn("_f", F.coalesce(F.col(printed), near["p"] + F.col(number) - near["n"]))
+    first = F.row_number().over(Window.partitionBy(key, "_f").orderBy(F.col(printed).isNull(), number)) == 1
+    folio = F.when(~F.col("_ok"), F.col(number)).when(F.col(printed).isNotNull() | (first & (F.col("_f") > 0)), F.col("_f"))
+    return held.withColumn("folio", folio).drop("_a", "_b", "_ok", "_f")
 
 
 def scan_form(text: Column) -> Column:

@@ -120,27 +120,35 @@ def redact_context(text: Column) -> Column:
     return redact(text, CONTEXT_RULES)
 
 
-def restore_markers(before: str, after: str, marker: str = r"--- (?:Page|Seite) \d+ ---") -> str:
-    """``after`` with the page markers of ``before`` that a rewrite lost.
+_PAGE_MARK = re.compile(r"--- (?:Page|Seite) (\d+) ---")
+_RESIDUE = re.compile(r"(?m)^[ \t]*-{2,}[ \t]*\[[A-Z\-]+\][ \t]*-{2,}[ \t]*$")
 
-    A marker goes back in front of the first line that followed it, if that line is still there after the marker before it,
-    else to the end. Markers that are still there stay where they are.
+
+def restore_markers(before: str, after: str) -> str:
+    """``after`` with the page markers of ``before`` that a rewrite lost; nothing else is changed.
+
+    If as many lines are left of markers whose words were replaced (``--- [ORT] ---``) as there are lost ones, these are they. Otherwise a marker
+    goes back in front of the line with its page's anchor, the longest run without digits in the page's first 800 characters, behind the
+    marker before it. Without such a line it stays away: a wrong page number is worse than none.
     """
-    out = after
-    at = 0
-    for m in re.finditer(marker, before):
-        if (here := out.find(m[0], at)) >= 0:
-            at = here + len(m[0])
-            continue
-        follow = next((x.strip() for x in before[m.end() :].split("\n") if x.strip()), "")
-        spot = out.find(follow, at) if follow and not re.match(marker, follow) else -1
-        if spot < 0:
-            out = out.rstrip("\n") + "\n" + m[0] + "\n"
-            at = len(out)
-        else:
-            out = out[:spot] + m[0] + "\n" + out[spot:]
-            at = spot + len(m[0])
-    return out
+    marks = list(_PAGE_MARK.finditer(before or ""))
+    there = {m[1] for m in _PAGE_MARK.finditer(after or "")}
+    ends = [m.start() for m in marks[1:]] + [len(before or "")]
+    lost = sorted(((int(m[1]), m[0], before[m.end() : end]) for m, end in zip(marks, ends, strict=True) if m[1] not in there), key=lambda x: x[0])
+    if not lost or not after:
+        return after
+    if len(_RESIDUE.findall(after)) == len(lost):
+        names = iter(lost)
+        return _RESIDUE.sub(lambda _: next(names)[1], after)
+    out, at = [], 0
+    for _, mark, page in lost:
+        anchor = max((x.strip() for x in re.findall(r"[^\W\d_][^\d\n]{19,}", page[:800])), key=len, default="")[:60]
+        spot = after.find(anchor, at) if anchor else -1
+        if spot >= 0:
+            line = max(after.rfind("\n", 0, spot) + 1, at)
+            out += [after[at:line], mark + "\n", after[line : spot + len(anchor)]]
+            at = spot + len(anchor)
+    return "".join(out) + after[at:]
 
 
 _HONORIFIC = {"herr", "frau", "dr", "dr.", "prof", "prof.", "der", "die", "das"}

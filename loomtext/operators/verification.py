@@ -26,8 +26,8 @@ def status(hit: Column, other: Column, has_text: Column) -> Column:
     return F.when(~has_text, "no_text").when(hit > 0, "verified").when(other == 1, "other_page").when(other > 1, "ambiguous").otherwise("not_found")
 
 
-def fuzzy_hits(pairs: DataFrame, claim: str, page: str, gate: float = 0.35, least: float = 0.72, stride: int = 20, most: int = 300) -> DataFrame:
-    """``pairs`` with ``ratio``: the best similarity of the claim to a window of the page; only pairs over the overlap gate are compared.
+def fuzzy_hits(pairs: DataFrame, claim: str, page: str, gate: float = 0.35, least: float = 0.72, stride: int = 20) -> DataFrame:
+    """``pairs`` with ``ratio``: the best similarity of the claim to a window of the page; only pairs over the overlap gate are compared, each with all of the page.
 
     The cheap gate is a filter before the Python stage, not a condition inside it.
     """
@@ -37,7 +37,7 @@ def fuzzy_hits(pairs: DataFrame, claim: str, page: str, gate: float = 0.35, leas
         if not a or a in b:
             return 1.0 if a else 0.0
         top = 0.0
-        for lo in range(0, max(1, min(len(b) - len(a) + 1, most * stride)), stride):
+        for lo in range(0, max(1, len(b) - len(a) + 1), stride):
             m = SequenceMatcher(None, a, b[lo : lo + len(a)], autojunk=False)
             if m.real_quick_ratio() > top and m.quick_ratio() > top:
                 top = max(top, m.ratio())

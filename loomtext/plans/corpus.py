@@ -123,9 +123,9 @@ def tags(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(F.array_distinct(F.filter(each, lambda x: x != "")), ",").alias("tags"))
 
 
-@query("dispatch_evidence", "WITH f AS (SELECT o_orderkey, o_custkey, CAST(o_orderkey % 100 AS VARCHAR) AS stem, o_orderstatus = 'F' AS sent FROM orders WHERE o_custkey < 300) SELECT a.o_orderkey, min(b.o_orderkey) AS evidence FROM f a JOIN f b ON a.o_custkey = b.o_custkey AND b.sent AND contains(b.stem, a.stem) WHERE NOT a.sent GROUP BY 1")
+@query("dispatch_evidence", "WITH f AS (SELECT o_orderkey, o_custkey, CAST(o_orderkey % 100 AS VARCHAR) AS stem, o_orderstatus = 'F' AS sent FROM orders) SELECT a.o_orderkey, min(b.o_orderkey) AS evidence FROM f a JOIN f b ON a.o_custkey = b.o_custkey AND b.sent AND contains(b.stem, a.stem) WHERE NOT a.sent GROUP BY 1")
 def dispatch(spark, d):
-    """For drafts, the first sent file of the case whose stem contains theirs. The SQL still reads o_custkey < 300."""
+    """For drafts, the first sent file of the case whose stem contains theirs."""
     f = table(spark, d, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 100).cast("string").alias("stem"), (F.col("o_orderstatus") == "F").alias("sent"))
     b = f.where("sent").groupBy("o_custkey", F.col("stem").alias("s")).agg(F.min("o_orderkey").alias("e"))
     j = f.where("not sent").join(b, "o_custkey").where(F.col("s").contains(F.col("stem")))

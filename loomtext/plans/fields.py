@@ -35,14 +35,17 @@ def entries(spark, d):
     return table(spark, d, "pages").select("page_id", F.when(title != "", title).otherwise(F.col("url")).alias("title"), E.first_match(F.col("url"), (("page", (".html",)), ("query", ("?",))), "unknown").alias("evidence"))
 
 
-@query("printed_pages", """WITH p AS (SELECT user_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, CASE WHEN event_id % 4 = 0 THEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) + user_id % 5 WHEN event_id % 31 = 1 THEN 1 END AS pr FROM events WHERE event_id < 3000),
-q AS (SELECT *, CASE WHEN pr IS NOT NULL AND (s IS NULL OR pr > s) THEN pr END AS a FROM (SELECT *, max(pr) OVER (PARTITION BY k ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM p)),
-o AS (SELECT *, count(a) OVER (PARTITION BY k) * 2 > count(pr) OVER (PARTITION BY k) AS ok, (SELECT arg_min(x.a - x.n, abs(x.n - q.n) * 2 + (x.n > q.n)::INT) FROM q x WHERE x.k = q.k AND x.a IS NOT NULL) AS off FROM q)
-SELECT k, n, n + CASE WHEN ok THEN coalesce(off, 0) ELSE 0 END AS folio FROM o""")
+@query("printed_pages", """WITH p AS (SELECT user_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, CASE WHEN event_id % 4 = 0 THEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) + user_id % 5 - 3 WHEN event_id % 31 = 1 AND user_id % 7 = 0 THEN 1 END AS pr FROM events),
+q AS (SELECT *, last_value(CASE WHEN pr IS NOT NULL THEN n END IGNORE NULLS) OVER b AS bn, last_value(pr IGNORE NULLS) OVER b AS bp, first_value(CASE WHEN pr IS NOT NULL THEN n END IGNORE NULLS) OVER a AS an, first_value(pr IGNORE NULLS) OVER a AS ap FROM p
+ WINDOW b AS (PARTITION BY k ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY k ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+g AS (SELECT k, count(*) >= 3 AND count(pr) >= 3 AND count(*) FILTER (WHERE pr <= bp) = 0 AND count(*) FILTER (WHERE pr - bp = n - bn) >= greatest(1, (count(pr) - 1) // 2) AS ok FROM q GROUP BY k),
+f AS (SELECT q.*, ok, coalesce(pr, CASE WHEN an IS NULL OR n - bn <= an - n THEN bp + n - bn ELSE ap + n - an END) AS f FROM q JOIN g USING (k)),
+r AS (SELECT *, row_number() OVER (PARTITION BY k, f ORDER BY pr IS NULL, n) AS i FROM f)
+SELECT k, n, CASE WHEN NOT ok THEN n WHEN pr IS NOT NULL OR (i = 1 AND f > 0) THEN f END AS folio FROM r""")
 def printed(spark, d):
-    """Pages of each user's event list with printed numbers on some; a few numbers are wrong. The SQL still reads event_id < 3000."""
+    """Pages of each user's event list with printed numbers on some; those of every seventh user do not rise."""
     e = table(spark, d, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long"))
-    pr = F.when(F.col("event_id") % 4 == 0, F.col("n") + F.col("user_id") % 5).when(F.col("event_id") % 31 == 1, F.lit(1).cast("long"))
+    pr = F.when(F.col("event_id") % 4 == 0, F.col("n") + F.col("user_id") % 5 - 3).when((F.col("event_id") % 31 == 1) & (F.col("user_id") % 7 == 0), F.lit(1).cast("long"))
     return E.printed_pages(e.select(F.col("user_id").alias("k"), "n", pr.alias("pr")), "k", "n", "pr").select("k", "n", "folio")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import email
 import email.policy
-import html
 import io
 import json
 import re
@@ -76,28 +75,76 @@ def html_to_markdown(page: str) -> str:
     return "\n\n".join(x for x in (re.sub(r"\s+", " ", b).strip() for b in parser.blocks) if x.strip("#- "))
 
 
+def _plain(node: ElementTree.Element | None) -> str:
+    return "" if node is None else " ".join("".join(node.itertext()).replace("\xa0", " ").split())
+
+
+def law_xml(data: str, abbreviation: str = "", provision: str = r"(?:§|Art)") -> tuple[str, str]:
+    """(Markdown, version) of a law: its title and each provision under its number and title; the version is the build date.
+
+    Files that declare entities are refused, as such declarations can grow without bound. Norms whose number does not begin like a
+    ``provision`` (tables of contents, annexes) are left out.
+    """
+    if re.search("<!ENTITY", data, re.IGNORECASE):
+        raise ValueError("a law file must not declare entities")
+    root = ElementTree.fromstring(data)
+    built = re.match(r"(\d{4})(\d\d)(\d\d)", (root.get("builddate") or "").strip())
+    norms = root.findall("norm")
+    if root.tag != "dokumente" or not built or not norms:
+        raise ValueError("not a law file: no <dokumente> with a build date and norms")
+    title = _plain(norms[0].find("metadaten/langue")) or abbreviation
+    out = [f"# {title} ({abbreviation})" if abbreviation else f"# {title}"]
+    for norm in norms:
+        number = _plain(norm.find("metadaten/enbez"))
+        if not re.match(provision, number):
+            continue
+        out.append(f"### {number} {_plain(norm.find('metadaten/titel'))}".rstrip())
+        content = norm.find("textdaten/text/Content")
+        out += [p for p in map(_plain, content.iter("P") if content is not None and content.find(".//P") is not None else [content]) if p]
+    return "\n\n".join(out), "-".join(built.groups())
+
+
 def law_xml_to_markdown(data: str) -> str:
-    """One heading for each norm (number and title) and its paragraphs."""
-    out = []
-    for norm in ElementTree.fromstring(data).iter("norm"):
-        text = lambda tag: " ".join("".join((norm.find(f".//{tag}") if norm.find(f".//{tag}") is not None else ElementTree.Element(tag)).itertext()).split())  # noqa: E731, B023
-        head = " ".join(x for x in (text("enbez"), text("titel")) if x)
-        body = [" ".join("".join(p.itertext()).split()) for p in norm.iter("P")]
-        if head or body:
-            out.append("\n\n".join(([f"## {head}"] if head else []) + body))
-    return "\n\n".join(out)
+    return law_xml(data)[0]
+
+
+def _link(m: re.Match) -> str:
+    """A link's name; an outside target stays beside it, an inside one without a name gives its last part."""
+    target, name = (m[1] or "").strip(), (m[2] or "").strip()
+    if re.match("https?://", target):
+        return f"{name} ({target})" if name else target
+    return name or target.rsplit(":", 1)[-1].split("#")[0].replace("_", " ").strip() or target
+
+
+#: Inline markup in the order in which it is taken away.
+_INLINE: tuple[tuple[str, object], ...] = (
+    (r"(?is)<(code|file|nowiki|html)\b[^>]*>(.*?)</\1>", r"\2"),
+    (r"(?is)<note\b[^>]*>(.*?)</note>", lambda m: f"Hinweis: {m[1].strip()}"),
+    (r"\{\{([^}]*)\}\}", lambda m: m[1].partition("|")[2].strip()),
+    (r"\[\[([^\]|]+?)(?:\|([^\]]*))?\]\]", _link),
+    (r"(?s)\(\((.+?)\)\)", lambda m: f" (Fn: {m[1].strip()})"),
+    (r"(?s)\*\*(.+?)\*\*", r"\1"),
+    (r"(?s)__(.+?)__", r"\1"),
+    (r"(?s)''(.+?)''", r"\1"),
+    (r"(?s)(?<!:)//(.+?)(?<!:)//", r"\1"),  # not the slashes of a URL
+    (r"</?[A-Za-z][^>\n]*>", ""),
+)
+
+
+def _line(line: str) -> str | None:
+    if head := re.fullmatch(r"\s*(={2,6})\s*(.+?)\s*=+\s*", line):
+        return f"{'#' * (7 - len(head[1]))} {head[2]}"
+    if line.strip()[:1] in ("^", "|") and line.strip():
+        return " | ".join(c for c in map(str.strip, re.split(r"[\^|]", line)) if c not in ("", ":::")) or None
+    return re.sub(r"^\s{2,}[*-]\s+", "- ", line).rstrip()
 
 
 def clean_markup(text: str) -> str:
-    """Wiki markup as plain Markdown: media and notes go, links keep their names, headings and lists are rewritten."""
-    text = re.sub(r"(?s)<(nowiki|code|file)[^>]*>(.*?)</\1>", r"\2", text)
-    text = re.sub(r"(?s)\{\{.*?\}\}|\(\(.*?\)\)|<note[^>]*>|</note>", "", text)
-    text = re.sub(r"\[\[([^\]|]*)(?:\|([^\]]*))?\]\]", lambda m: (m[2] or m[1].rsplit(":", 1)[-1]).strip(), text)
-    text = re.sub(r"\*\*(.+?)\*\*|//(.+?)//|__(.+?)__|''(.+?)''", lambda m: next(g for g in m.groups() if g is not None), text)
-    text = re.sub(r"(?m)^[ \t]*(={2,6})\s*(.*?)\s*=+[ \t]*$", lambda m: "#" * (7 - len(m[1])) + " " + m[2], text)
-    text = re.sub(r"(?m)^[\^|](.*)[\^|][ \t]*$", lambda m: " | ".join(c.strip() for c in re.split(r"[\^|]", m[1])), text)
-    text = re.sub(r"(?m)^ {2,}[*-] ?", "- ", text)
-    return html.unescape(re.sub(r"\n{3,}", "\n\n", text)).strip("\n")
+    """Wiki markup as plain text with ``#`` headings: notes, footnotes, captions and outside link targets stay, unknown tags lose their brackets only."""
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    for pattern, to in _INLINE:
+        text = re.sub(pattern, to, text)
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(x for x in map(_line, text.split("\n")) if x is not None)).strip()
 
 
 def salvage_json(text: str) -> list[dict]:

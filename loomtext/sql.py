@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators.chunking import pack
+from .operators.citations import find
 from .operators.privacy import replace_terms
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -23,17 +24,12 @@ class Chunks:
 
 
 class Citations:
-    """Table function: (pos, page) for page citations such as ``S. 12 f.`` in a text; f. adds one page, ff. two."""
+    """Table function: (pos, page, open_end) for page citations such as ``S. 12 f.`` in a text; after ``ff.`` all later pages are meant."""
 
     def eval(self, text: str):
-        import re
-
-        for m in re.finditer(r"\b(?:S\.|Seite|Bl\.|p\.) ?(\d{1,4})( ff?\.)?", text or ""):
-            if re.search(r"(?:§|Art\.|Abs\.)[^.;]{0,20}$", text[max(0, m.start() - 80) : m.start()]):
-                continue  # a sentence of a statute, not a page
-            extra = {None: 0, " f.": 1, " ff.": 2}[m[2]]
-            for page in range(int(m[1]), int(m[1]) + extra + 1):
-                yield m.start(), page
+        for c in find(text):
+            for page in c.pages:
+                yield c.pos, page, c.open_end
 
 
 def register(spark: SparkSession, sf_dir: str | None = None) -> None:
@@ -52,7 +48,7 @@ def register(spark: SparkSession, sf_dir: str | None = None) -> None:
     spark.udf.register("chunk_text", chunk_text)
     spark.udf.register("redact_terms", redact_terms)
     spark.udtf.register("chunks_of", F.udtf(Chunks, returnType="idx int, chunk string"))
-    spark.udtf.register("citations_of", F.udtf(Citations, returnType="pos int, page int"))
+    spark.udtf.register("citations_of", F.udtf(Citations, returnType="pos int, page int, open_end boolean"))
     if sf_dir:
         for name in TABLES:
             spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)

@@ -83,21 +83,41 @@ def streamed_rollup(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return spark.table(name)
 
 
-def latest_wins(spark: SparkSession, stream: DataFrame, target: str, key: str, position: str, checkpoint: str):
+def _versions(spark: SparkSession, target: str) -> list[int]:
+    """Numbers of the complete versions of a table, from its folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(where)]
+    return sorted(int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit() and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS")))
+
+
+def current(spark: SparkSession, target: str) -> DataFrame | None:
+    """The newest version of a table kept by :func:`latest_wins`, without its positions; None if there is none yet."""
+    held = _versions(spark, target)
+    return spark.read.parquet(f"{target}/v{held[-1]}").drop("_position") if held else None
+
+
+def latest_wins(spark: SparkSession, stream: DataFrame, target: str, key: str, position: str, checkpoint: str, keep: int = 2):
     """Keep a Parquet table of the last row per key up to date from a stream: one merge for each micro-batch.
 
-    A batch that is repeated after a failure merges to the same table, which is written beside the old one and then named.
+    Batch n writes version n + 1 from the newest version before it, so a batch that is repeated after a failure gives the same table; a
+    version that cannot be read fails the batch. A row that comes late does not replace one of a later position. Older versions than
+    ``keep`` go.
     """
-    from ..operators.merge import upsert
+    from ..operators.merge import first_by
 
     def merge(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        now = f"{target}/v{number + 1}"
-        try:
-            before = session.read.parquet(f"{target}/v{number}")
-        except Exception:  # noqa: BLE001  the first batch finds no table
-            before = session.createDataFrame([], batch.drop(position).schema)
-        upsert(before, batch, key, position).write.mode("overwrite").parquet(now)
+        held = [v for v in _versions(session, target) if v <= number]
+        every = batch.withColumnRenamed(position, "_position")
+        if held:
+            every = every.unionByName(session.read.parquet(f"{target}/v{held[-1]}"))
+        first_by(every, [key], [F.col("_position").desc_nulls_last()]).write.mode("overwrite").parquet(f"{target}/v{number + 1}")
+        for old in held[:-keep] if keep else []:
+            where = session.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/v{old}")
+            where.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
@@ -106,6 +126,7 @@ class Tickets:
     """Tickets that can be used once within their time to live, as a function for applyInPandasWithState.
 
     Input rows have (ticket, kind, ts): kind is issue or redeem, ts the event time in seconds. Every redeem yields (ticket, ts, ok).
+    Run it with EventTimeTimeout on a stream with a watermark on the same clock (or a later one): a ticket that nobody redeems leaves the state when the watermark is past its time to live.
     """
 
     output = "ticket string, ts double, ok boolean"
@@ -115,18 +136,21 @@ class Tickets:
         self.ttl = ttl
 
     def __call__(self, key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         issued = state.get[0] if state.exists else None
         out = []
-        for frame in frames:
-            for kind, ts in frame.sort_values(["ts", "kind"])[["kind", "ts"]].itertuples(index=False):
-                if kind == "issue":
-                    issued = ts
-                else:
-                    out.append((key[0], ts, issued is not None and ts - issued <= self.ttl))
-                    issued = None
-        if issued is None:
-            if state.exists:
-                state.remove()
-        else:
+        # a ticket's few events of one micro-batch may come in several frames, in any order
+        for ts, kind in sorted(row for frame in frames for row in frame[["ts", "kind"]].itertuples(index=False, name=None)):
+            if kind == "issue":
+                issued = ts
+            else:
+                out.append((key[0], ts, issued is not None and ts - issued <= self.ttl))
+                issued = None
+        if issued is not None:
             state.update((issued,))
+            state.setTimeoutTimestamp(max(int((issued + self.ttl) * 1000), state.getCurrentWatermarkMs()) + 1)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["ticket", "ts", "ok"])

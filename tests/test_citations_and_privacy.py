@@ -20,11 +20,16 @@ def test_sentences():
 
 
 def test_markers_come_back():
-    before = "--- Page 1 ---\nalpha\n--- Page 2 ---\nbeta\n--- Page 3 ---\ngamma"
+    one, two, three = "the first page speaks of rivers", "another tells of quiet mountains", "and here the sea begins to sing"
+    before = f"--- Seite 1 ---\n{one} 12\n--- Seite 2 ---\n{two}\n--- Seite 3 ---\n{three}"
     assert restore_markers(before, before) == before
-    assert restore_markers(before, "--- Page 1 ---\nalpha\nbeta\n--- Page 3 ---\ngamma") == before
-    assert restore_markers(before, "alpha\nbeta\ngamma") == before
-    assert restore_markers(before, "other").count("--- Page") == 3
+    assert restore_markers(before, f"--- Seite 1 ---\n{one} 12\n{two}\n--- Seite 3 ---\n{three}") == before
+    assert restore_markers(before, f"{one} 12\n{two}\n{three}") == before
+    # what is left of a marker is rewritten in its place
+    assert restore_markers(before, f"--- Seite 1 ---\n{one} 12\n--- [ORT] ---\nx\n--- Seite 3 ---\n{three}") == before.replace(two, "x")
+    # a page that cannot be found again gets no marker
+    assert restore_markers(before, f"other\n{three}") == f"other\n--- Seite 3 ---\n{three}"
+    assert restore_markers("", "x") == "x" and restore_markers(before, "") == ""
 
 
 def test_names():

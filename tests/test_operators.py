@@ -167,9 +167,17 @@ def test_extractors(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[1]: (r.text, r.error) for r in D.extract(spark, str(tmp_path)).collect()}
     assert got["d.docx"] == ("One\nTwo", None) and got["broken.docx"][0] is None and "BadZipFile" in got["broken.docx"][1]
     assert got["m.eml"][0] == "From: a@b.c\nTo: d@e.f\nSubject: Hi\n\nBody text"
-    assert D.clean_markup("====== Head ======\n**bold** [[a:b|Link]] {{media.png}}\n  * item") == "# Head\nbold Link \n- item"
+    assert D.clean_markup("====== Head ======\n**bold** [[a:b|Link]] {{media.png}}\n  * item") == "# Head\nbold Link\n- item"
+    assert D.clean_markup("<note tip>Mind this</note> {{x.png|A caption}} ((seen)) [[https://a.de/x|Case]] [[ns:some_page#part]]") == "Hinweis: Mind this A caption  (Fn: seen) Case (https://a.de/x) some page"
+    assert D.clean_markup("see https://a.de/x and https://b.de/y, //really//") == "see https://a.de/x and https://b.de/y, really"
+    assert D.clean_markup("^ A ^ B ^\n| 1 | ::: |\n||\n== low ==") == "A | B\n1\n##### low"
     assert D.html_to_markdown("<h2>§ 1</h2><p>Text <b>x</b></p><ul><li>y</li></ul><script>no</script>") == "## § 1\n\nText x\n\n- y"
-    assert D.law_xml_to_markdown("<dokumente><norm><enbez>§ 1</enbez><titel>Zweck</titel><P>Absatz.</P></norm></dokumente>") == "## § 1 Zweck\n\nAbsatz."
+    norm = "<norm><metadaten>{}<enbez>{}</enbez><titel>{}</titel></metadaten><textdaten><text><Content><P>{}</P></Content></text></textdaten></norm>"
+    law = "<dokumente builddate='20260612'>" + norm.format("<langue>Asylgesetz</langue>", "", "", "x") + norm.format("", "§ 1", "Zweck", "Absatz.") + norm.format("", "Anlage", "Liste", "y") + "</dokumente>"
+    assert D.law_xml(law, "AsylG") == ("# Asylgesetz (AsylG)\n\n### § 1 Zweck\n\nAbsatz.", "2026-06-12")
+    for bad in ("<!DOCTYPE x [<!ENTITY a 'b'>]>" + law, law.replace("20260612", ""), "<other builddate='20260612'/>"):
+        with pytest.raises(ValueError, match="law file"):
+            D.law_xml(bad)
     assert D.salvage_json('noise [{"a": 1}, {"b": "x}"}, {"c": ') == [{"a": 1}, {"b": "x}"}]
 
 
@@ -186,12 +194,23 @@ def test_folds(spark):
 
 def test_stream_of_tickets(spark, tmp_path):
     rows = [("a", "issue", 0.0), ("a", "redeem", 5.0), ("a", "redeem", 6.0), ("b", "issue", 0.0), ("b", "redeem", 99.0), ("c", "redeem", 1.0)]
-    spark.createDataFrame(rows, "ticket string, kind string, ts double").write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("ticket string, kind string, ts double").parquet(f"{tmp_path}/in")
-    out = stream.groupBy("ticket").applyInPandasWithState(J.Tickets(30), J.Tickets.output, J.Tickets.state, "append", "NoTimeout")
-    q = out.writeStream.format("memory").queryName("tickets").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted(map(tuple, spark.table("tickets").collect())) == [("a", 5.0, True), ("a", 6.0, False), ("b", 99.0, False), ("c", 1.0, False)]
+    schema = "ticket string, kind string, ts double"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in")
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in").withColumn("at", F.timestamp_seconds(F.col("ts") + 1000)).withWatermark("at", "1 second")
+        out = stream.groupBy("ticket").applyInPandasWithState(J.Tickets(30), J.Tickets.output, J.Tickets.state, "append", "EventTimeTimeout")
+        q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        return sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())), q.lastProgress
+
+    want = [("a", 5.0, True), ("a", 6.0, False), ("b", 99.0, False), ("c", 1.0, False)]
+    assert run()[0] == want
+    # a ticket that nobody redeems is gone from the state once the watermark is past it
+    for part in ([("d", "issue", 100.0)], [("e", "issue", 500.0)]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        found, progress = run()
+    assert found == want and progress.stateOperators[0].numRowsTotal == 1
 
 
 def test_stream_merges_latest(spark, tmp_path):
@@ -201,9 +220,18 @@ def test_stream_merges_latest(spark, tmp_path):
         spark.createDataFrame([(rng.randint(0, 5), f"{part}-{n}", part * 100 + n) for n in range(10)], schema).write.mode("append").parquet(f"{tmp_path}/in")
     every = spark.read.schema(schema).parquet(f"{tmp_path}/in")
     want = {r.k: r.v for r in every.orderBy("pos").collect()}
-    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-    J.latest_wins(spark, stream, f"{tmp_path}/t", "k", "pos", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
-    assert {r.k: r.v for r in spark.read.parquet(f"{tmp_path}/t/v1").collect()} == want
+    stream = spark.readStream
+
+    def run():
+        J.latest_wins(spark, stream.option("maxFilesPerTrigger", 4).schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/t", "k", "pos", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    now = J.current(spark, f"{tmp_path}/t")
+    assert {r.k: r.v for r in now.collect()} == want and now.columns == ["k", "v"]
+    # later files, one of them late: an older position does not win over what the table holds
+    spark.createDataFrame([(1, "late", 0), (2, "new", 999), (77, "first", 1)], schema).write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    assert {r.k: r.v for r in J.current(spark, f"{tmp_path}/t").collect()} == want | {2: "new", 77: "first"}
 
 
 def test_registered_queries():
