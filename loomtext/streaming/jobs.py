@@ -126,7 +126,7 @@ class Tickets:
     """Tickets that can be used once within their time to live, as a function for applyInPandasWithState.
 
     Input rows have (ticket, kind, ts): kind is issue or redeem, ts the event time in seconds. Every redeem yields (ticket, ts, ok).
-    Run it with EventTimeTimeout on a stream with a watermark on the same clock (or a later one): a ticket that nobody redeems leaves the state when the watermark is past its time to live.
+    Run it with EventTimeTimeout on a stream with a watermark on the same clock: a ticket that nobody redeems leaves the state when the watermark is past its time to live.
     """
 
     output = "ticket string, ts double, ok boolean"

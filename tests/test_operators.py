@@ -193,21 +193,21 @@ def test_folds(spark):
 
 
 def test_stream_of_tickets(spark, tmp_path):
-    rows = [("a", "issue", 0.0), ("a", "redeem", 5.0), ("a", "redeem", 6.0), ("b", "issue", 0.0), ("b", "redeem", 99.0), ("c", "redeem", 1.0)]
+    rows = [("a", "issue", 1000.0), ("a", "redeem", 1005.0), ("a", "redeem", 1006.0), ("b", "issue", 1000.0), ("b", "redeem", 1099.0), ("c", "redeem", 1001.0)]
     schema = "ticket string, kind string, ts double"
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in")
 
     def run():
-        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in").withColumn("at", F.timestamp_seconds(F.col("ts") + 1000)).withWatermark("at", "1 second")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in").withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", "1 second")
         out = stream.groupBy("ticket").applyInPandasWithState(J.Tickets(30), J.Tickets.output, J.Tickets.state, "append", "EventTimeTimeout")
         q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
         assert q.awaitTermination(120)
         return sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())), q.lastProgress
 
-    want = [("a", 5.0, True), ("a", 6.0, False), ("b", 99.0, False), ("c", 1.0, False)]
+    want = [("a", 1005.0, True), ("a", 1006.0, False), ("b", 1099.0, False), ("c", 1001.0, False)]
     assert run()[0] == want
     # a ticket that nobody redeems is gone from the state once the watermark is past it
-    for part in ([("d", "issue", 100.0)], [("e", "issue", 500.0)]):
+    for part in ([("d", "issue", 1100.0)], [("e", "issue", 1500.0)]):
         spark.createDataFrame(part, schema).write.mode("append").parquet(f"{tmp_path}/in")
         found, progress = run()
     assert found == want and progress.stateOperators[0].numRowsTotal == 1
