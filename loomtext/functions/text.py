@@ -30,8 +30,9 @@ def hash_form(c: Column) -> Column:
     return F.lower(collapse(joined))
 
 
-def content_sha(c: Column) -> Column:
-    return F.sha2(hash_form(c), 256)
+def content_sha(c: Column, boilerplate: str | None = None) -> Column:
+    """Hash of a text's form; lines that ``boilerplate`` matches do not count."""
+    return F.sha2(hash_form(drop_lines(c, boilerplate) if boilerplate else c), 256)
 
 
 def fold(c: Column) -> Column:

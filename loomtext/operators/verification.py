@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -52,6 +53,33 @@ def fuzzy_hits(pairs: DataFrame, claim: str, page: str, gate: float = 0.35, leas
     return near.withColumn("ratio", ratio(claim, page)).withColumn("match", F.col("ratio") >= least)
 
 
+def contained(docs: DataFrame, passages: DataFrame, key: str, text: str, item: str, passage: str) -> DataFrame:
+    """(key, item) for passages that stand in a text as they are.
+
+    A passage's first and last word may be parts of words, so candidates share its inner words, the first three at most; only ids
+    go through that join, and texts are fetched for candidates. Passages of one or two words have no inner word and are looked for in all texts.
+    """
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    inner = passages.withColumn("_w", words(F.col(passage))).withColumn("_k", F.least(F.size("_w") - 2, F.lit(3)))
+    inner = inner.where(F.length(passage) > 0).withColumn("_k", F.greatest("_k", F.lit(0)))
+    docs = docs.select(key, text)
+    out = []
+    for k in sorted(r[0] for r in inner.select("_k").distinct().collect()):  # 0 to 3
+        own = inner.where(F.col("_k") == k)
+        if k == 0:
+            out.append(docs.join(own.select(item, passage), F.col(text).contains(F.col(passage))).select(key, item))
+            continue
+        mine = own.select(item, F.xxhash64(*(F.get("_w", F.lit(n + 1)) for n in range(k))).alias("_h"))
+        runs = F.col("_w")
+        if k > 1:  # words side by side, without the array itself inside a lambda
+            runs = F.arrays_zip(*(F.slice("_w", F.lit(n + 1), F.greatest(F.size("_w") - k + 1, F.lit(0))).alias(f"w{n}") for n in range(k)))
+        hashed = F.transform(runs, (lambda x: F.xxhash64(x)) if k == 1 else (lambda x: F.xxhash64(*(x[f"w{n}"] for n in range(k)))))
+        each = docs.select(key, words(F.col(text)).alias("_w")).select(key, F.explode(F.array_distinct(hashed)).alias("_h"))
+        near = each.join(mine, "_h").select(key, item).distinct()
+        out.append(docs.join(near, key).join(passages.select(item, passage), item).where(F.col(text).contains(F.col(passage))).select(key, item))
+    return reduce(DataFrame.union, out).distinct() if out else docs.select(key).limit(0).join(passages.select(item), F.lit(False))
+
+
 def missing_facts(draft: Column, corpus: Column) -> Column:
     """Facts of a draft that the corpus does not have."""
     return F.array_except(draft, corpus)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import content_sha, strip_control
+from ..operators.verification import contained
 from ..operators.merge import delete, first_by, snapshot_diff, top_by, unseen, upsert
 from ..sources.tables import page_after, page_at, scoped, seeded_sample, table
 from .registry import query
@@ -12,9 +13,14 @@ from .registry import query
 _HASH = r"sha256(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\x{00AD}', '', 'g'), '-[ \t]*\n[ \t]*', '', 'g'), '[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]+', ' ', 'g'), '^[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]+|[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]+$', '', 'g')))"
 
 
-@query("exact_duplicates", f"WITH h AS (SELECT {_HASH} AS sha, doc_id, n_chars FROM documents) SELECT sha, min(doc_id) AS keeper, count(*) AS copies, (count(*) - 1) * min_by(n_chars, doc_id) AS redundant_chars FROM h GROUP BY sha HAVING count(*) > 1")
+#: Lines of licences and notices, which do not make texts different.
+BOILER = "(?i)(licensed under|all rights reserved|license)"
+_CLEAN = _HASH.replace("(text,", f"(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '{BOILER}')), chr(10)),")
+
+
+@query("exact_duplicates", f"WITH h AS (SELECT {_CLEAN} AS sha, doc_id, n_chars FROM documents) SELECT sha, min(doc_id) AS keeper, count(*) AS copies, (count(*) - 1) * min_by(n_chars, doc_id) AS redundant_chars FROM h GROUP BY sha HAVING count(*) > 1")
 def exact_duplicates(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", content_sha(F.col("text")).alias("sha"), "n_chars")
+    docs = table(spark, d, "documents").select("doc_id", content_sha(F.col("text"), BOILER).alias("sha"), "n_chars")
     g = docs.groupBy("sha").agg(F.min("doc_id").alias("keeper"), F.count(F.lit(1)).alias("copies"), F.min_by("n_chars", "doc_id").alias("n"))
     return g.where("copies > 1").select("sha", "keeper", "copies", ((F.col("copies") - 1) * F.col("n")).alias("redundant_chars"))
 
@@ -34,14 +40,8 @@ def unknown_documents(spark, d):
 
 @query("benchmark_hits", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def benchmark_hits(spark, d):
-    """Benchmark passages inside documents: candidates share the passage's first three words, then the text decides."""
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    bench = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
-    bench = bench.withColumn("w", words(F.col("passage"))).withColumn("key", F.xxhash64(F.get("w", F.lit(1)), F.get("w", F.lit(2)), F.get("w", F.lit(3))))
-    docs = table(spark, d, "documents").select("doc_id", "text").withColumn("w", words(F.col("text")))
-    three = F.zip_with(F.col("w"), F.zip_with(F.slice("w", F.lit(2), F.size("w")), F.slice("w", F.lit(3), F.size("w")), lambda b, c: F.struct(b.alias("b"), c.alias("c"))), lambda a, x: F.xxhash64(a, x["b"], x["c"]))
-    keys = docs.where("size(w) > 2").select("doc_id", "text", F.explode(F.array_distinct(three)).alias("key"))
-    return keys.join(bench.select("item_id", "passage", "key"), "key").where(F.col("text").contains(F.col("passage"))).select("doc_id", "item_id").distinct()
+    """Benchmark passages inside documents."""
+    return contained(table(spark, d, "documents"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage")), "doc_id", "text", "item_id", "passage")
 
 
 @query("dedup_index", f"SELECT {_HASH} AS sha, source AS first_source, doc_id AS first_doc FROM documents WHERE length(text) >= 200 QUALIFY row_number() OVER (PARTITION BY sha ORDER BY doc_id) = 1")

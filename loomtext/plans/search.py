@@ -37,10 +37,9 @@ bm AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id
 
 def _bm25(spark, d, k):
     """Every whole benchmark passage asks all documents."""
-    index = R.postings(table(spark, d, "documents"), "doc_id", "text")
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(words).alias("term"))
-    return R.bm25(index, asked, "doc_id", k)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(R.terms_of(F.col("text"))).alias("term"))
+    return R.bm25(R.postings(docs, "doc_id", "text", only=asked), asked, "doc_id", k, stats=R.corpus_stats(docs, "text"))
 
 
 @query("sparse_bm25", f"WITH {_BM} SELECT query_id, doc_id, rank FROM bm WHERE rank <= 5")
@@ -117,3 +116,35 @@ def tag_matches(spark, d):
     hits = F.size(F.filter("tags", lambda x: F.lit("red blue small ring bolt").contains(x))).cast("long")
     top = tags.withColumn("hits", hits).where("hits >= 1").orderBy(F.col("hits").desc(), "p_partkey").limit(10)
     return cases.crossJoin(F.broadcast(top)).select("hay", "p_partkey", "hits")
+
+
+_WORD = lambda k: f"t[{k}]"
+_PAIR = lambda a, b: f"contains(w, ' ' || {_WORD(a)} || ' ' || {_WORD(b)} || ' ')"
+_HAS = lambda k: f"contains(w, ' ' || {_WORD(k)} || ' ')"
+_WEB = rf"""q AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS t FROM benchmark),
+d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), ' ') || ' ' AS w FROM documents),
+m AS (SELECT query_id, doc_id FROM q, d WHERE ({_PAIR(1, 2)} AND {_HAS(3)} AND NOT {_HAS(12)}) OR ({_HAS(5)} AND {_PAIR(6, 7)}))"""
+
+
+def _web(spark, d):
+    """Web search queries made of the passages: ``"a b" c -l or e f-g``."""
+    t = R.terms_of(F.col("text"))
+    at = lambda k: F.get(t, F.lit(k - 1))
+    said = F.concat(F.lit('"'), at(1), F.lit(" "), at(2), F.lit('" '), F.upper(at(3)), F.lit(" -"), at(12), F.lit(" OR "), at(5), F.lit(" "), at(6), F.lit("-"), at(7))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), said.alias("said"))
+
+
+@query("web_matches", f"WITH {_WEB} SELECT * FROM m")
+def web_matches(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return R.web_matches(docs, R.parse_queries(_web(spark, d), "query_id", "said"), "doc_id", "text")
+
+
+@query("web_search", rf"""WITH {_WEB}, i AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM documents) GROUP BY ALL),
+l AS (SELECT doc_id, sum(tf) AS length FROM i GROUP BY 1), st AS (SELECT count(*) AS n, avg(length) AS mean FROM l), df AS (SELECT term, count(*) AS df FROM i GROUP BY 1),
+a AS (SELECT DISTINCT query_id, unnest([t[1], t[2], t[3], t[5], t[6], t[7]]) AS term FROM q),
+s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM a JOIN i USING (term) JOIN df USING (term) JOIN l USING (doc_id), st GROUP BY ALL)
+SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s SEMI JOIN m USING (query_id, doc_id)) WHERE rank <= 10""")
+def web_search(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return R.web_search(docs, _web(spark, d), "doc_id", "text", "said", 10).select("query_id", "doc_id", "rank")

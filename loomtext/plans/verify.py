@@ -81,7 +81,9 @@ def covering(spark, d):
     """Candidate documents of a citation: same source and a page range that covers it; the least id leads."""
     s = table(spark, d, "documents").select("doc_id", "source", (1 + F.col("doc_id") % 5).alias("a"), (1 + F.col("doc_id") % 5 + F.col("n_chars") % 7).alias("b"))
     c = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("source"), (1 + F.col("turn") % 9).alias("page"))
-    return c.join(s, "source").where("page between a and b").groupBy("conv_id", "turn").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("candidates"))
+    # what covers a page is counted once for all its citations
+    cover = s.select("source", "doc_id", F.explode(F.sequence("a", "b")).alias("page")).groupBy("source", "page").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("candidates"))
+    return c.join(cover, ["source", "page"]).groupBy("conv_id", "turn").agg(F.min("doc_id").alias("doc_id"), F.sum("candidates").alias("candidates"))
 
 
 @query("quoted_sources", f"WITH {_CITED} SELECT c.doc_id, found, contains({_NORM('text')}, {_NORM('claim')}) AS quote, CASE WHEN contains(text, 'the') AND contains(text, 'der') THEN NULL WHEN contains(text, 'the') THEN true WHEN contains(text, 'der') THEN false END AS outcome FROM c JOIN documents USING (doc_id)")
