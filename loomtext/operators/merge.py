@@ -33,6 +33,26 @@ def unseen(df: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(seen.select(*keys).distinct(), keys, "left_anti")
 
 
+def first_wins(lists: list[DataFrame], key: str, columns: list[str]) -> DataFrame:
+    """Rows of several lists, each key once: as the first list that has it says. Within a list keys are unique."""
+    every = None
+    for n, one in enumerate(lists):
+        part = one.select(key, *columns, F.lit(n).alias("_list"))
+        every = part if every is None else every.unionByName(part)
+    return first_by(every, [key], [F.col("_list")]).drop("_list")
+
+
+def page_aliases(pages: DataFrame, key: str, number: str, start: str, end: str) -> DataFrame:
+    """``pages`` with further rows under the page numbers of the document that a segment was cut from.
+
+    The n-th page is also page ``start`` + n - 1 if that lies in the segment (``end`` null: open) and is not a number of its own already.
+    """
+    n = F.row_number().over(Window.partitionBy(key).orderBy(number))
+    also = pages.withColumn("_o", F.col(start) + n - 1).where(F.col("_o").isNotNull() & (F.col(end).isNull() | (F.col("_o") <= F.col(end))))
+    new = also.withColumn(number, F.col("_o").cast(pages.schema[number].dataType)).drop("_o").join(pages.select(key, number), [key, number], "left_anti")
+    return pages.unionByName(new)
+
+
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
     """One row per key: new, gone, updated or unchanged."""
     b = before.select(F.col(key), F.col(value).alias("_b"), F.lit(1).alias("_hb"))

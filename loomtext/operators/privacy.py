@@ -33,6 +33,59 @@ REDACTIONS: tuple[tuple[str, str], ...] = (
 )
 
 
+# Labels of the case profile's recognisers and the scores of what they find.
+_FILE_LABEL = r"(?:Az\.?|Aktenzeichen|Geschäftszeichen|Dolmetscher(?:-Nr\.?|nummer)?)"
+_PAPER_LABEL = r"(?:Dolmetscher(?:-Nr\.?|nummer)?|Pass(?:nummer|-Nr\.?)?|Ausweis(?:nummer|-Nr\.?)?|Dokument(?:nummer|-Nr\.?)?|ID(?:-Nr\.?)?)"
+_OFFICE_LABEL = r"(?:Gesch(?:äft|ae?ft|a?ft)szeichen|Gesch\.?-?Z\.?|Geschäftsz\.?|Geschaeftsz\.?|Geschaftsz\.?)"
+_BIRTH = r"(?:geboren\s+am|geb\.?\s*am|geburtsdatum|jahrgang|geboren|geb\.(?=[\s,;:)]))"
+_DAY = r"\d{1,2}\.\s*\d{1,2}\.\s*(?:19|20)\d{2}"
+_CITED_BEFORE = r"(?:urteil|beschluss|beschl\.|entscheidung|gerichtsbescheid|[UB]\.)\s*(?:vom|v\.)\s*\d{1,2}\.\d{1,2}\.\d{2,4}\s*[,;]?\s*"
+_COURT_FILE = r"(?:[A-Z]{0,4}\s*\d{1,4}\s*[A-ZÄÖÜa-zäöüß]{0,8}\s*\d{1,5}/\d{2,4}|[A-Z]{1,4}\s*\d{1,5}/\d{2,4})"
+_TOWN = r"[A-ZÄÖÜ][A-Za-zÄÖÜäöüß]+(?:[ \t-]+[A-ZÄÖÜ][A-Za-zÄÖÜäöüß]+){0,2}"
+#: Recognisers of the case profile: type, pattern (group 1 is the value, without its label), score. A birth date counts beside a word of
+#: birth only; a court's file number does not where a published decision is cited: that alternative comes first and has no group.
+CASE_RULES: tuple[tuple[str, str, float], ...] = (
+    ("birth_date", rf"(?i){_BIRTH}[^\n]{{0,40}}?\b({_DAY})\b", 0.55),
+    ("birth_date", rf"(?i)\b({_DAY})\b\s*(?:,|\)|;)?\s*(?:geboren|geburtsdatum|jahrgang)\b", 0.55),
+    ("birth_date", r"(?i)\b((?:jahrgang|geboren)\s*:?\s*(?:19|20)\d{2})\b", 0.55),
+    ("postal_code", rf"\b(\d{{5}})[ \t]+{_TOWN}\b", 0.65),
+    ("city", rf"\b\d{{5}}[ \t]+({_TOWN})\b", 0.65),
+    ("street", r"\b([A-ZÄÖÜ][A-Za-zÄÖÜäöüß.\-]+(?:straße|strabe|str\.|weg|platz|allee|gasse|ring|damm|ufer)\s*\d+\s*[A-Za-z]?)\b", 0.7),
+    ("azr_number", r"(?i)\bAZR(?:-Nummer|-Nr\.?)?\s*[:#-]?\s*([A-Z0-9][A-Z0-9./\-]{5,})\b", 0.85),
+    ("residence_permit", r"(?i)\bAufenthaltsgestattung\s*[:#-]?\s*([A-Z0-9][A-Z0-9./\-]{4,})\b", 0.85),
+    ("case_number", rf"(?i)\b{_FILE_LABEL}\s*[:#-]?\s*([A-Z0-9./]*-[A-Z0-9./\-]{{2,}}|[A-Z]\d[A-Z0-9./\-]{{3,}})\b", 0.8),
+    ("case_number", r"\b(\d{6,10}\s*-\s*\d{2,5})\b", 0.7),
+    ("case_number", r"\b([A-Z]\d[A-Z0-9][A-Z0-9./\-]{3,})\b", 0.65),
+    ("office_file", rf"(?i)\b{_OFFICE_LABEL}\s*[:#-]?\s*([A-Z0-9][A-Z0-9./\-\s]{{3,30}})\b", 0.85),
+    ("court_file", rf"(?i){_CITED_BEFORE}(?:Az\.?|Aktenzeichen|Geschäftsnummer)\s*[:#-]?\s*{_COURT_FILE}\b|\b(?:Az\.?|Aktenzeichen|Geschäftsnummer)\s*[:#-]?\s*({_COURT_FILE})\b", 0.8),
+    ("document_id", rf"(?i)\b{_PAPER_LABEL}\s*[:#-]?\s*([A-Z0-9][A-Z0-9./\-]{{3,}})\b", 0.8),
+    ("file_number", r"(?i)\b(?:Akte|Az\.?|Aktenzeichen|Gesch(?:äfts|aefts)?-?z(?:eichen)?\.?)\s*[:#-]?\s*(\d{6,10})\b", 0.8),
+)
+
+
+def case_entities(df: DataFrame, key: str, text: str, rules: Sequence[tuple[str, str, float]] = CASE_RULES) -> DataFrame:
+    """(key, type, value, score): what the case profile finds, each value once per text and type with its best score."""
+    c = F.coalesce(F.col(text), F.lit(""))
+    found = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(s).alias("score"), F.regexp_extract_all(c, F.lit(p), F.lit(1)).alias("values")) for t, p, s in rules))
+    each = df.select(key, F.inline(found)).select(key, "type", "score", F.explode("values").alias("value"))
+    each = each.withColumn("value", F.regexp_replace("value", r"^[ \t\r\n,;:]+|[ \t\r\n,;:]+$", "")).where("value <> ''")
+    return each.groupBy(key, "type", "value").agg(F.max("score").alias("score"))
+
+
+def merge_entities(found: DataFrame, keys: list[str], kind: str, value: str, order: str) -> DataFrame:
+    """Per key and type the values of all chunks in order, each once, compared without case and outer blanks."""
+    clean = found.withColumn("_v", F.trim(F.col(value))).where("_v <> ''")
+    one = clean.groupBy(*keys, kind, F.lower("_v").alias("_k")).agg(F.min(F.struct(order, "_v")).alias("_f"))
+    values = F.transform(F.array_sort(F.collect_list("_f")), lambda x: x["_v"])
+    return one.groupBy(*keys, kind).agg(values.alias("values"))
+
+
+def scrub_values(values: Column, terms: Column, token: str) -> Column:
+    """An array of texts with every literal term replaced, longer terms first."""
+    ordered = F.array_sort(F.filter(terms, lambda t: F.length(t) > 0), lambda a, b: F.length(b) - F.length(a))
+    return F.transform(values, lambda v: F.aggregate(ordered, v, lambda s, t: F.replace(s, t, F.lit(token))))
+
+
 def recognise(df: DataFrame, key: str, text: str, rules: Sequence[tuple[str, str, float]] = RULES) -> DataFrame:
     """(key, type, value, score): what each rule finds, every value once per text and type."""
     found = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(s).alias("score"), F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(p), F.lit(1))).alias("values")) for t, p, s in rules))

@@ -68,6 +68,23 @@ def dedupe(sources: DataFrame, url: str, title: str, position: str) -> DataFrame
     return first_by(keyed, ["_u", "_t"], [F.col(position)]).drop("_u", "_t")
 
 
+def ranked(sources: DataFrame, policy: Policy, as_of_year: int, groups: list[str], position: str, limit: int = 40) -> tuple[DataFrame, DataFrame]:
+    """Sources with a URL, deduplicated, scored, diversified and cut to ``limit`` for each of ``groups``; and how many were left after each step.
+
+    ``sources`` has ``groups``, url, title, description and a position. The second frame has input_count, normalized_count,
+    deduped_count, filtered_count and reranked_count for each group.
+    """
+    normal = sources.withColumn("_u", canonical_url(F.col("url"))).where("_u <> ''").withColumn("_t", title_key(F.col("title")))
+    once = first_by(normal, [*groups, "_u", "_t"], [F.col(position)])
+    best = diversify(score(once, policy, as_of_year), policy, groups, "url").where(F.col("place") <= limit).drop("_u", "_t")
+    # one pass over the sources; only keys are counted
+    counts = sources.withColumn("_u", canonical_url(F.col("url"))).groupBy(*groups, "_u", title_key(F.col("title")).alias("_t")).agg(F.count(F.lit(1)).alias("n"))
+    there = F.col("_u") != ""
+    counts = counts.groupBy(*groups).agg(F.sum("n").alias("input_count"), F.coalesce(F.sum(F.when(there, F.col("n"))), F.lit(0)).alias("normalized_count"), F.count(F.when(there, 1)).alias("deduped_count"))
+    kept = F.least(F.col("deduped_count"), F.lit(limit))
+    return best, counts.withColumn("filtered_count", F.col("input_count") - kept).withColumn("reranked_count", kept)
+
+
 def score(sources: DataFrame, policy: Policy, as_of_year: int, url: str = "url", title: str = "title", description: str = "description") -> DataFrame:
     """Adds score, recency, year and bucket."""
     b = blob(url, title, description)
