@@ -69,6 +69,8 @@ def case_entities(df: DataFrame, key: str, text: str, rules: Sequence[tuple[str,
     found = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(s).alias("score"), F.regexp_extract_all(c, F.lit(p), F.lit(1)).alias("values")) for t, p, s in rules))
     each = df.select(key, F.inline(found)).select(key, "type", "score", F.explode("values").alias("value"))
     each = each.withColumn("value", F.regexp_replace("value", r"^[ \t\r\n,;:]+|[ \t\r\n,;:]+$", "")).where("value <> ''")
+    # the end of one label can look like the beginning of another: an identifier has a digit
+    each = each.where(F.col("type").isin("city", "street") | F.col("value").rlike("[0-9]"))
     return each.groupBy(key, "type", "value").agg(F.max("score").alias("score"))
 
 

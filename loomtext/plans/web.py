@@ -15,8 +15,7 @@ _TRIM = r"regexp_replace(trim(url), '[).,;]+$', '')"
 _U = f"regexp_replace({_TRIM}, '#.*$', '')"
 _CANON = rf"""(lower(regexp_extract({_U}, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || regexp_replace(lower(regexp_extract({_U}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), '^www\.', '')
  || regexp_extract({_U}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1) || coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract({_U}, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_|gclid|fbclid|mc_|ref|source)')), '&'), ''), ''))"""
-_U = "regexp_replace(trim(url), '#.*$', '')"
-_PART = lambda k: rf"regexp_extract({_U}, '^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?]*))?([^?]*)(\?.+)?', {k})"
+_PART = lambda k: rf"regexp_extract(regexp_replace(trim(url), '#.*$', ''), '^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?]*))?([^?]*)(\?.+)?', {k})"
 _HOST = rf"regexp_replace(lower({_PART(2)}), '^www\.', '')"
 _IDENT = f"(CASE WHEN lower({_PART(1)}) IN ('https', '') THEN regexp_replace({_HOST}, ':443$', '') WHEN lower({_PART(1)}) = 'http' THEN regexp_replace({_HOST}, ':80$', '') ELSE {_HOST} END || regexp_replace({_PART(3)}, '/+$', '') || {_PART(4)})"
 _TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
