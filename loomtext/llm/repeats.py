@@ -33,18 +33,21 @@ _kept = "kept_text string, n_words long, n_removed long"
 
 
 def _emit(hashes: list[np.ndarray], owner: np.ndarray, pos: np.ndarray, kid: np.ndarray, kth: np.ndarray) -> pa.RecordBatch:
-    """Rows for places; of equal hashes (one or two numbers each), all are known to repeat and all but one get a salt."""
+    """Rows for places, in their order; of equal hashes (one or two numbers each), all are known to repeat and all but one get a salt.
+
+    In the order of the texts neighbouring rows share their keys, which the exchange compresses.
+    """
     order = np.lexsort(hashes[::-1])
-    h, owner, pos = [x[order] for x in hashes], owner[order], pos[order]
     new = np.ones(len(pos), bool)
-    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in h])
+    new[1:] = np.logical_or.reduce([x[order[1:]] != x[order[:-1]] for x in hashes])
     size = np.diff(np.flatnonzero(new), append=len(pos))
-    known = np.repeat(size > 1, size)
+    first, known = np.empty(len(pos), bool), np.empty(len(pos), bool)
+    first[order], known[order] = new, np.repeat(size > 1, size)
     # the salt only spreads rows that are decided: it follows from the row, so that a rerun gives the same
-    salt = np.where(new, 0, 1 + (kth[owner] & 0x3FFF)).astype(np.int32)
-    more = [x.view(np.int64) for x in h[1:]]
+    salt = np.where(first, 0, 1 + (kth[owner] & 0x3FFF)).astype(np.int32)
+    h, *more = (x.view(np.int64) for x in hashes)
     names = ["h", "salt", "_kid", "_kth", "pos", "known", "g"][: 6 + len(more)]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (h[0].view(np.int64), salt, kid[owner], kth[owner], pos.astype(np.int32), known, *more)], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, salt, kid[owner], kth[owner], pos.astype(np.int32), known, *more)], names=names)
 
 
 def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +60,7 @@ def _anchors(length: int):
     on_cover[list(COVER)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in arrow.parts(batches):
+        for batch, texts in arrow.parts(batches, limit=4 << 20):
             h, counts = words.word_hashes(texts)
             pos = words.positions(counts)
             at = np.flatnonzero(on_cover[pos % PERIOD] & (np.repeat(np.where(counts >= length, counts, 0), counts) >= pos + span))
@@ -68,7 +71,7 @@ def _anchors(length: int):
 
 def _windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in arrow.parts(batches):
+        for batch, texts in arrow.parts(batches, limit=4 << 20):
             h, counts = words.word_hashes(texts)
             ends = np.cumsum(counts)
             found = batch.column(batch.schema.get_field_index("at"))
