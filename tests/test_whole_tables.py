@@ -80,21 +80,26 @@ def test_knn_across_blocks(spark):
 
 def test_printed_pages_and_semantic_fill_read_all_rows(spark, tmp_path):
     draw = random.Random(3)
-    events = [(k, draw.randint(1, 5)) for k in [*range(40), *range(2980, 3100)]]
+    events = [(k, draw.choice([1, 2, 4, 5, 7])) for k in [*range(40), *range(2980, 3100)]]
     want = []
     for user in {u for _, u in events}:
         ids = sorted(k for k, u in events if u == user)
-        printed = [n + user % 5 if k % 4 == 0 else 1 if k % 31 == 1 else None for n, k in enumerate(ids, 1)]
-        anchors, top = {}, None
-        for n, p in enumerate(printed, 1):
-            if p is not None:
-                if top is None or p > top:
-                    anchors[n] = p - n
-                top = p if top is None else max(top, p)
-        holds = len(anchors) * 2 > sum(p is not None for p in printed)
+        printed = {n: n + user % 5 - 3 if k % 4 == 0 else 1 for n, k in enumerate(ids, 1) if k % 4 == 0 or (k % 31 == 1 and user % 7 == 0)}
+        pairs = list(zip(sorted(printed.items()), sorted(printed.items())[1:], strict=False))
+        rises = all(q > p for (_, p), (_, q) in pairs)
+        if len(ids) < 3 or len(printed) < 3 or not rises or sum(q - p == m - n for (n, p), (m, q) in pairs) < max(1, len(pairs) // 2):
+            want += [(user, n, n) for n in range(1, len(ids) + 1)]
+            continue
+        taken = set(printed.values())
         for n in range(1, len(ids) + 1):
-            at = min(anchors, key=lambda a: (abs(a - n), a > n), default=None)
-            want.append((user, n, n + (anchors[at] if holds and at is not None else 0)))
+            folio = printed.get(n)
+            if folio is None:
+                at = min(printed, key=lambda a: (abs(a - n), a > n))
+                folio = printed[at] + n - at
+                folio = folio if folio > 0 and folio not in taken else None
+                taken.add(folio)
+            want.append((user, n, folio))
+    assert any(f is None for *_, f in want) and any(u == 7 for u, *_ in want)
     assert run(spark, tmp_path, "printed_pages", events=("event_id long, user_id long", events)) == sorted(want, key=repr)
 
     import datetime as dt
@@ -173,31 +178,3 @@ def test_pages_of_texts_without_end(spark, tmp_path):
     rows = run(spark, tmp_path, "reassembled_chunks", documents=("doc_id long, text string", [(1, text), (2, "short"), (3, None), (4, "")]))
     assert [r[:3] for r in rows] == [(1, -(-len(text) // 600), len(text)), (2, 1, 5)]
     assert len(run(spark, tmp_path, "page_split")) == -(-len(text) // 600) + 1
-
-
-def test_fingerprints_of_ids_beyond_doubles(spark):
-    from hashlib import sha256
-
-    from loomtext.llm.fingerprints import edited_fingerprints
-
-    draw = random.Random(7)
-    rows = [(draw.choice([-1, 1]) * (2**61 + 997 * k + 1), f"text {k} " * draw.randint(1, 9)) for k in range(300)] + [(2**63 - 1, "the last"), (-(2**63) + 1, "the first")]
-    got = edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), ranges=16).collect()
-    ordered = sorted(rows)
-    want = {k: sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest() for (k, t), (_, after) in zip(ordered, ordered[1:] + ordered[:1], strict=True)}
-    assert {r.doc_id: r.edited_sha256 for r in got} == want and len(got) == len(rows)
-    marks = {r.doc_id: int(r.fingerprint, 16) for r in got}
-    near = {k: 1 - (marks[k] ^ marks[n]).bit_count() / 128 for (k, _), (n, _) in zip(ordered, ordered[1:] + ordered[:1], strict=True)}
-    assert {r.doc_id: r.near_next for r in got} == near
-
-
-def test_pipeline_keeps_different_texts_of_one_id(spark):
-    import corpus_pipeline
-
-    draw = random.Random(8)
-    text = lambda: " ".join("".join(draw.choices("abcdefgh", k=5)) for _ in range(60))
-    a, b, c = text(), text(), text()
-    rows = [(1, a, "en", "s2", 359), (1, b, "en", "s1", 359), (1, a, "en", "s1", 359), (2, c, "de", "s1", 359), (3, c, "de", "s1", 359), (4, None, "de", "s1", None), (4, None, "de", "s1", None), (None, a, "en", "s1", 359)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    got = sorted(map(tuple, dict(corpus_pipeline.STAGES)["MinHash near-dedup"](spark, docs.repartition(3), "").collect()), key=repr)
-    assert got == sorted((rows[k] for k in (1, 2, 3, 5, 7)), key=repr)
