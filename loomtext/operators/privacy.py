@@ -188,9 +188,11 @@ def restore_markers(before: str, after: str) -> str:
     """
     marks = list(_PAGE_MARK.finditer(before or ""))
     there = {m[1] for m in _PAGE_MARK.finditer(after or "")}
-    ends = [m.start() for m in marks[1:]] + [len(before or "")]
+    if not marks or not after:
+        return after
+    ends = [m.start() for m in marks[1:]] + [len(before)]
     lost = sorted(((int(m[1]), m[0], before[m.end() : end]) for m, end in zip(marks, ends, strict=True) if m[1] not in there), key=lambda x: x[0])
-    if not lost or not after:
+    if not lost:
         return after
     if len(_RESIDUE.findall(after)) == len(lost):
         names = iter(lost)
