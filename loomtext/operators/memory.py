@@ -7,7 +7,7 @@ import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -117,3 +117,32 @@ def adopt(jobs: DataFrame, artifacts: DataFrame, job: str, attempts: str, most:
     """``jobs`` with ``next``: "done" where an artifact with the job's id is there already, "failed" after ``most`` attempts, else "run"; and ``artifact``, the first."""
     first = artifacts.withColumn("_n", F.row_number().over(Window.partitionBy(job).orderBy("artifact"))).where("_n = 1").select(job, "artifact")
     return jobs.join(first, job, "left").withColumn("next", F.when(F.col("artifact").isNotNull(), "done").when(F.col(attempts) >= most, "failed").otherwise("run"))
+
+
+def _value(c: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+
+
+def new_ops(ops: DataFrame, current: DataFrame, pending: DataFrame, target: str, position: str, protect: bool = False, per_field: int = 3, per_proposal: int = 8) -> DataFrame:
+    """Operations (target, position, op, field, value) that say something new, within the limits of a proposal.
+
+    ``current`` and ``pending`` have (target, field, value). An append must have a value that neither of them has; a set must differ from both, and with
+    ``protect`` its field must be empty. Of equal ones the first stays, other operations always stay. Then at most ``per_field`` appends a
+    field and ``per_proposal`` operations a target are kept, in order. Values are compared in lower case with single blanks.
+    """
+    there = current.unionByName(pending).select(target, "field", _value(F.col("value")).alias("_v")).distinct().withColumn("_there", F.lit(True))
+    filled = current.where(F.trim("value") != "").select(target, "field").distinct().withColumn("_filled", F.lit(True))
+    each = ops.withColumn("_v", _value(F.col("value"))).join(there, [target, "field", "_v"], "left").join(filled, [target, "field"], "left")
+    free = F.col("op").isin("append", "set")
+    said = F.coalesce(F.col("_there"), F.lit(False)) | ((F.col("op") == "append") & (F.col("_v") == ""))
+    # a set of nothing over nothing changes nothing
+    said = said | ((F.col("op") == "set") & (F.col("_v") == "") & F.col("_filled").isNull())
+    if protect:
+        said = said | ((F.col("op") == "set") & F.col("_filled").isNotNull())
+    first = F.row_number().over(Window.partitionBy(target, "field", "_v", free).orderBy(position))
+    fresh = each.where(~free | ~said).withColumn("_k", first).where(~free | (F.col("_k") == 1))
+    append = F.col("op") == "append"
+    nth = F.row_number().over(Window.partitionBy(target, "field", append).orderBy(position))
+    few = fresh.withColumn("_k", nth).where(~append | (F.col("_k") <= per_field))
+    kept = few.withColumn("_k", F.row_number().over(Window.partitionBy(target).orderBy(position))).where(F.col("_k") <= per_proposal)
+    return kept.select(*ops.columns)

@@ -35,6 +35,44 @@ class Policy:
 PROFILES = {"balanced": (80, 220, 0), "strict": (220, 340, 30), "broad": (35, 130, 0)}
 
 
+@dataclass(frozen=True)
+class Scorer:
+    """A search engine's own score: words that count once or each, penalties, and a bonus for recent years."""
+
+    once: Sequence[tuple[Sequence[str], int]] = ()
+    each: Sequence[tuple[Sequence[str], int]] = ()
+    unless: Sequence[tuple[Sequence[str], int]] = ()
+    pdf: int = 0
+    since: int | None = None
+    per_year: int = 0
+
+
+def engine_score(url: Column, text: Column, scorer: Scorer, as_of_year: int) -> Column:
+    """The sum of a scorer's weights for one source: ``once`` if any word is in the text, ``each`` a word, ``unless`` if none is there, and
+    ``per_year`` for every year of the decision after ``since``. ``text`` is lower case and holds the URL."""
+    total = F.when(F.contains(F.lower(url), F.lit(".pdf")), scorer.pdf).otherwise(0)
+    for words, weight in scorer.once:
+        total = total + F.when(contains_any(text, words), weight).otherwise(0)
+    for words, weight in scorer.each:
+        total = total + _count(text, words, weight)
+    for words, weight in scorer.unless:
+        total = total + F.when(contains_any(text, words), 0).otherwise(weight)
+    if scorer.since is not None:
+        total = total + F.greatest(F.lit(0), F.coalesce(decision_year(text, as_of_year), F.lit(0)) - scorer.since) * scorer.per_year
+    return total
+
+
+def merge_engines(lists: Sequence[DataFrame], url: str, position: str) -> DataFrame:
+    """The results of several engines in one list: each canonical URL once, from the first engine that has it, with ``engine`` and ``engines`` (how many had it)."""
+    tagged = [df.withColumn("engine", F.lit(i)) for i, df in enumerate(lists)]
+    every = tagged[0]
+    for more in tagged[1:]:
+        every = every.unionByName(more)
+    every = every.withColumn("_key", canonical_url(F.col(url))).where("_key <> ''")
+    kept = every.groupBy("_key").agg(F.min_by(F.struct(*every.columns), F.struct("engine", F.col(position), F.col(url))).alias("_r"), F.count_distinct("engine").alias("engines"))
+    return kept.select("_r.*", "engines").drop("_key")
+
+
 def blob(*columns: str) -> Column:
     return F.lower(F.concat_ws(" ", *(F.coalesce(F.col(c), F.lit("")) for c in columns)))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cases, chunks, corpus, dedup, facets, fields, personal, records, search, state, verify, web  # noqa: F401
+from . import cases, chunks, corpus, dedup, facets, fields, personal, records, review, search, state, verify, web  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
 
 FLAGSHIP = "exact_duplicates"
