@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def normal(c: Column) -> Column:
@@ -27,6 +28,71 @@ def status(hit: Column, other: Column, has_text: Column) -> Column:
     return F.when(~has_text, "no_text").when(hit > 0, "verified").when(other == 1, "other_page").when(other > 1, "ambiguous").otherwise("not_found")
 
 
+# What counts as a hard anchor of a claim: dates, years, decimal and other numbers.
+ANCHORS = (r"\b\d{1,2}\.\d{1,2}\.\d{2,4}\b", r"\b\d{4}\b", r"\b\d+[.,]\d+\b", r"\b\d+\b")
+
+
+def anchors(claim: Column) -> Column:
+    """The hard anchors of a claim, each once, in the form in which pages are compared."""
+    found = F.concat(*(F.regexp_extract_all(F.coalesce(claim, F.lit("")), F.lit(p), F.lit(0)) for p in ANCHORS))
+    return F.filter(F.transform(F.array_distinct(found), normal), lambda a: a != "")
+
+
+def anchored(claim: Column, page: Column, stop: Sequence[str] = ()) -> Column:
+    """Whether a page can be what a claim cites, by its words and hard anchors (struct: match, words, of_words, anchors, of_anchors).
+
+    Words have five letters at least and are no stop words. A word of seven or more also counts if the page has one with the same five
+    first letters that is alike by 0.78; only words left over and such candidates are sent to Python. With anchors: two thirds of them, two words and a quarter
+    of the words; or two anchors and a fifth of the words. Without: four words and 55 %, or, of eight words at most, three and
+    38 % with one of twelve letters.
+    """
+    plain = normal(page)
+    on_page = F.array_distinct(F.split(plain, " "))
+    words = _content(claim, stop)
+    rest = F.filter(F.array_except(words, on_page), lambda w: F.length(w) >= 7)
+    heads = F.transform(rest, lambda w: F.substring(w, 1, 5))
+    near = F.filter(on_page, lambda w: (F.length(w) >= 7) & F.array_contains(heads, F.substring(w, 1, 5)))
+    hit = F.concat(F.array_intersect(words, on_page), _alike(rest, near))
+    hard = anchors(claim)
+    n, of = F.size(hit), F.size(words)
+    hard_n, hard_of = F.size(F.filter(hard, lambda a: F.contains(plain, a))), F.size(hard)
+    part, hard_part = n / F.greatest(of, F.lit(1)), hard_n / F.greatest(hard_of, F.lit(1))
+    by_anchor = ((hard_part >= 0.67) & (n >= 2) & (part >= 0.25)) | ((hard_n >= 2) & (part >= 0.2))
+    by_words = ((n >= 4) & (part >= 0.55)) | ((n >= 3) & (of <= 8) & (part >= 0.38) & F.exists(hit, lambda w: F.length(w) >= 12))
+    match = (of > 0) & (plain != "") & F.when(hard_of > 0, by_anchor).otherwise(by_words)
+    return F.struct(match.alias("match"), n.alias("words"), of.alias("of_words"), hard_n.alias("anchors"), hard_of.alias("of_anchors"))
+
+
+def _content(claim: Column, stop: Sequence[str]) -> Column:
+    """The distinct words of a claim that say something."""
+    return F.array_distinct(F.filter(F.split(normal(claim), " "), lambda w: (F.length(w) >= 5) & ~w.isin(*stop) if stop else F.length(w) >= 5))
+
+
+def anchored_pairs(claims: DataFrame, pages: DataFrame, within: str, claim_id: str, page_id: str, claim: str, page: str, stop: Sequence[str] = ()) -> DataFrame:
+    """(within, claim_id, page_id, by) for the pages of the same document that pass ``anchored``.
+
+    A word can only match one with the same five first letters, so ids are joined on these and counted first: pairs with fewer shared
+    beginnings than the rules need words cannot match and are never compared. Texts are fetched for the rest.
+    """
+    said = claims.select(within, claim_id, _content(F.col(claim), stop).alias("_w"), (F.size(anchors(F.col(claim))) > 0).alias("_hard"))
+    words = said.select(within, claim_id, "_hard", F.size("_w").alias("_of"), F.explode("_w").alias("_word")).withColumn("_head", F.substring("_word", 1, 5))
+    heads = F.array_distinct(F.transform(F.filter(F.split(normal(F.col(page)), " "), lambda w: F.length(w) >= 5), lambda w: F.substring(w, 1, 5)))
+    shared = words.join(pages.select(within, page_id, F.explode(heads).alias("_head")), [within, "_head"])
+    counted = shared.groupBy(within, claim_id, page_id, "_hard", "_of").agg(F.count(F.lit(1)).alias("_n"))
+    # the least that any of the rules asks for
+    part = F.col("_n") / F.col("_of")
+    maybe = counted.where(F.when(F.col("_hard"), part >= 0.2).otherwise((F.col("_n") >= 3) & (part >= 0.38)))
+    both = maybe.select(within, claim_id, page_id).join(claims.select(within, claim_id, claim), [within, claim_id]).join(pages.select(within, page_id, page), [within, page_id])
+    return both.withColumn("by", anchored(F.col(claim), F.col(page), stop)).where("by.match").select(within, claim_id, page_id, "by")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _alike(words: pd.Series, near: pd.Series) -> pd.Series:
+    """The words that one of the candidates resembles."""
+    like = lambda w, c: w[:5] == c[:5] and SequenceMatcher(None, w, c).ratio() >= 0.78
+    return pd.Series([None if ws is None else [w for w in ws if any(like(w, c) for c in cs)] for ws, cs in zip(words, near, strict=True)])
+
+
 def fuzzy_hits(pairs: DataFrame, claim: str, page: str, gate: float = 0.35, least: float = 0.72, stride: int = 20) -> DataFrame:
     """``pairs`` with ``ratio``: the best similarity of the claim to a window of the page; only pairs over the overlap gate are compared, each with all of the page.
 

@@ -49,7 +49,15 @@ def sticky(spark, d):
     return J.sticky_switches(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")
 
 
-@query("cooldown")
+@query("service_schedule")
+def service_schedule(spark, d):
+    """Each user's events as requests: their turns if the worker drains a service before it changes."""
+    e = table(spark, d, "events").select("user_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "event_type", F.lit(900).alias("takes"))
+    return J.schedule(e, "user_id", "event_id", "at", "event_type", "takes", ["error", "signup", "click", "view", "purchase"])
+
+
+@query("cooldown", """WITH RECURSIVE n AS (SELECT e.user_id, e.event_id, arg_min(f.event_id, (f.ts, f.event_id)) AS following FROM events e LEFT JOIN events f ON f.user_id = e.user_id AND f.ts >= e.ts + INTERVAL 600 SECOND GROUP BY 1, 2),
+a AS (SELECT * FROM n WHERE event_id IN (SELECT arg_min(event_id, (ts, event_id)) FROM events GROUP BY user_id) UNION ALL SELECT n.* FROM a JOIN n ON n.event_id = a.following) SELECT user_id, event_id FROM a""")
 def cooldown(spark, d):
     """Events that a cooldown of ten minutes per user lets through; an accepted one restarts the clock."""
     return J.cooldown(table(spark, d, "events").select("user_id", "event_id", "ts"), "user_id", "event_id", "ts", 600)

@@ -53,6 +53,14 @@ def token_matches(spark, d):
     return both.select("doc_id", "found", "page_no", F.round(V.token_share(F.col("claim"), F.col("page_text")), 6).alias("share"))
 
 
+@query("anchored_claims")
+def anchored_claims(spark, d):
+    """Claims that lost the seventh letter of their long words, looked for on all pages of their documents by words and numbers."""
+    slipped = _cited(spark, d).withColumn("claim", F.regexp_replace("claim", r"(\p{L}{6})\p{L}", "$1"))
+    hits = V.anchored_pairs(slipped, _pages(spark, d), "doc_id", "found", "page_no", "claim", "page_text")
+    return hits.select("doc_id", "found", "page_no", F.col("by.words").alias("words"), F.col("by.anchors").alias("anchors"))
+
+
 @query("fuzzy_matches")
 def fuzzy(spark, d):
     """Claims with a slip of the pen found on their pages by similarity."""

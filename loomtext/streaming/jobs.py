@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,19 +12,78 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def folded(df: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable, end: Callable | None, schema: str) -> DataFrame:
+    """The rows that ``step(state, row)`` gives for each row of a key in ``order``, and ``end(state)`` after the last one.
+
+    Keys are dealt and sorted by Spark and read in batches: a task holds one state and one batch, however many rows a key has.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fields = [f.split()[0] for f in schema.split(", ")]
+        now, state, open_ = None, None, False
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.itertuples(index=False):
+                k = getattr(row, key)
+                if not open_ or k != now:
+                    if open_ and end:
+                        out += end(state)
+                    now, state, open_ = k, start(), True
+                out += step(state, row)
+            yield pd.DataFrame(out, columns=fields)
+        if open_ and end:
+            yield pd.DataFrame(end(state), columns=fields)
+
+    return df.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
 def cooldown(df: DataFrame, key: str, ident: str, ts: str, seconds: int) -> DataFrame:
-    """Rows of each key that come at least ``seconds`` after the last accepted one, in order of time."""
+    """Rows of each key that come at least ``seconds`` after the last accepted one, in order of time; rows without key or time go."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([ts, ident])
-        last, keep = None, []
-        for t in rows[ts]:
-            keep.append(last is None or (t - last).total_seconds() >= seconds)
-            if keep[-1]:
-                last = t
-        return rows.loc[keep, [key, ident]]
-
-    return df.groupBy(key).applyInPandas(run, T.StructType([df.schema[key], df.schema[ident]]))
+    def step(state: dict, row) -> list[tuple]:
+        t = getattr(row, ts)
+        if "last" in state and (t - state["last"]).total_seconds() < seconds:
+            return []
+        state["last"] = t
+        return [(getattr(row, key), getattr(row, ident))]
+
+    kind = lambda c: f"{c} {df.schema[c].dataType.simpleString()}"
+    return folded(df.where(F.col(ts).isNotNull()).select(key, ident, ts), key, [ts, ident], dict, step, None, f"{kind(key)}, {kind(ident)}")
+
+
+def schedule(requests: DataFrame, worker: str, ident: str, arrival: str, service: str, seconds: str, services: Sequence[str]) -> DataFrame:
+    """(worker, request, turn, starts, switch): how a worker that is slow to change service works off its requests.
+
+    It stays with its service while requests for it wait and then takes the first of ``services`` that has some; within a service requests
+    go in order of arrival, and one that arrives when the worker becomes free counts as waiting. Requests for other services and
+    without a time are refused. ``arrival`` and ``seconds`` are whole seconds. A task holds the requests that wait, no others.
+    """
+    order = list(services)
+
+    def begin() -> dict:
+        return {"free": 0, "service": None, "turn": 0, "queues": {s: deque() for s in order}}
+
+    def turns(state: dict, until: int | None) -> list[tuple]:
+        out, queues = [], state["queues"]
+        while (until is None or state["free"] < until) and any(queues.values()):
+            one = state["service"] if state["service"] and queues[state["service"]] else next(s for s in order if queues[s])
+            k, request, takes = queues[one].popleft()
+            out.append((k, request, state["turn"], state["free"], one != state["service"]))
+            state.update(service=one, turn=state["turn"] + 1, free=state["free"] + takes)
+        return out
+
+    def step(state: dict, row) -> list[tuple]:
+        t = int(getattr(row, arrival))
+        out = turns(state, t)
+        if not any(state["queues"].values()):
+            state["free"] = max(state["free"], t)
+        state["queues"][getattr(row, service)].append((getattr(row, worker), getattr(row, ident), int(getattr(row, seconds))))
+        return out
+
+    known = requests.where(F.col(service).isin(order) & F.col(arrival).isNotNull()).select(worker, ident, arrival, service, F.coalesce(F.col(seconds), F.lit(0)).alias(seconds))
+    kind = lambda c, n: f"{n} {requests.schema[c].dataType.simpleString()}"
+    schema = f"{kind(worker, worker)}, {kind(ident, 'request')}, turn long, starts long, switch boolean"
+    return folded(known, worker, [arrival, ident], begin, step, lambda state: turns(state, None), schema)
 
 
 def claim(jobs: DataFrame, queue: str, job: str, now) -> DataFrame:
