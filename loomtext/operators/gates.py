@@ -59,7 +59,7 @@ def names_notes(draft: Column) -> Column:
 
 def named_notes(draft: Column, labels: Column) -> Column:
     """The labels of internal notes that a draft names."""
-    plain = F.transform(F.coalesce(labels, F.array().cast("array<string>")), F.trim)
+    plain = F.transform(F.coalesce(labels, F.array().cast("array<string>")), lambda n: F.trim(n))
     return F.filter(plain, lambda n: (n != "") & F.contains(F.coalesce(draft, F.lit("")), n))
 
 

@@ -29,6 +29,7 @@ def test_gates_of_missing_values(spark):
     assert one(spark, G.must_anonymise(none, F.lit("letter"))) is False
     assert one(spark, G.named_notes(none, F.array(F.lit("a"), none))) == []
     assert one(spark, G.names_notes(F.lit("keine Notizen"))) is False
+    assert one(spark, G.named_notes(F.lit("siehe b.pdf"), F.array(F.lit(" b.pdf "), F.lit(""), F.lit("c.pdf")))) == ["b.pdf"]
     assert one(spark, G.plausible_law(F.lit("X"), none)) is False
 
 
