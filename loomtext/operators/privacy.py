@@ -224,3 +224,39 @@ def plausible_names(text: str, names: Sequence[str], group_words: Sequence[str]
         if spots and not all(re.search(reference, text[max(0, s - context) : s + len(name) + context]) for s in spots):
             keep.append(name)
     return keep
+
+
+# Words before a name in signatures, functions behind it, and labels of fields that hold one.
+_NAME = r"[A-ZÄÖÜ][A-Za-zÄÖÜäöüßẞÉé'\-]{2,}"
+_ROLE = r"im\s+auftrag|geschlossen:|anhörender\s+entscheider(?:/in)?|einzelentscheider(?:/in)?|sachbearbeiter(?:in)?|unterzeichner(?:in)?"
+_FUNCTION = r"gründer(?:in)?|inhaber(?:in)?|ceo|geschäftsführer(?:in)?"
+_FIELD = r"name|vorname(?:n)?|nachname|familienname|geburtsname|name\s+des\s+(?:antragstellers?|antragstellerin|kl[äa]gers?|kl[äa]gerin|kindes|sohnes|tochter|ehepartners?|ehegatten?)"
+NAME_MARKS = (
+    rf"\b(?iu:{_ROLE}|gez\.)[ \t]*[:\-]?[ \t]*({_NAME}(?:[ \t]+{_NAME}){{0,2}})\b",
+    rf"(?m)^[ \t]*(?iu:{_ROLE}|(?:\(ggf\.\)\s*)?unterschrift[^\n]*)[ \t]*:?[ \t]*\n\s*({_NAME}(?:[ \t]+{_NAME}){{0,2}})[ \t]*$",
+    rf"\b(?iu:hr\.?|herr|frau)\s+({_NAME}(?:\s+{_NAME}){{1,2}})\s*,?\s*(?iu:der|die)?\s*(?iu:{_FUNCTION})\b",
+)
+NAME_FIELD = rf"(?m)^[ \t]*(?iu:{_FIELD})[ \t]*[:\-][ \t]*([^\n]{{2,120}})$"
+
+
+def marked_names(text: Column, known: Column, group_words: Sequence[str] = ("kläger", "behörde", "gericht", "amt", "familie")) -> Column:
+    """The names beside signatures, functions and field labels of a text that ``known`` (array, may be null) lacks in any case of letters.
+
+    A name has one to four words, no digit, slash or colon, and none of ``group_words`` in it. Null texts have none.
+    """
+    t = F.coalesce(text, F.lit(""))
+    fields = F.transform(F.regexp_extract_all(t, F.lit(NAME_FIELD), F.lit(1)), lambda v: F.regexp_replace(F.regexp_replace(v, r"(?i)\bgeb\b.*$", ""), r"\([^)]*\)", " "))
+    found = F.concat(*(F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in NAME_MARKS), fields)
+    plain = F.transform(found, lambda v: F.regexp_replace(F.regexp_replace(v, r"\s+", " "), r"^[ .,:;/\-]+|[ .,:;/\-]+$", ""))
+    held = F.transform(F.coalesce(known, F.array().cast("array<string>")), lambda v: F.lower(F.trim(v)))
+
+    def fits(v: Column) -> Column:
+        ok = (v != "") & ~v.rlike(r"[0-9/:]") & (F.size(F.split(v, " ")) <= 4)
+        for w in group_words:
+            ok = ok & ~F.contains(F.lower(v), F.lit(w))
+        return ok & ~F.array_contains(held, F.lower(v))
+
+    named = F.filter(plain, fits)
+    # of spellings that differ in the case of letters the first stays
+    lower = F.transform(named, lambda v: F.lower(v))
+    return F.filter(named, lambda v, i: F.array_position(lower, F.lower(v)) == i + 1)

@@ -8,6 +8,7 @@ from ..operators import gates as G
 from ..operators import identity as I
 from ..operators import inventory as V
 from ..operators import memory as M
+from ..operators import privacy as A
 from ..operators import ranking as K
 from ..operators import residue as Z
 from ..sources import sinks as S
@@ -236,3 +237,14 @@ def decision_entries(spark, d):
     )
     e = S.decision_entries(found, {"bverwg": 3, "ovg": 2, "vg": 1})
     return e.select("c_custkey", "country", F.array_join("tags", ",").alias("tags"), "outcome", F.col("instance_weight").alias("weight"))
+
+
+_SIGNED = """CASE c_custkey % 6 WHEN 0 THEN 'Text. Im Auftrag Max Muster' || chr(10) || 'Ende' WHEN 1 THEN 'Unterschrift des Amts:' || chr(10) || 'Brozio' WHEN 2 THEN 'Hr. Naeem Adam, der Gründer von X; gez. MAX MUSTER' WHEN 3 THEN 'Name des Klägers: Ali  Omar (neu), geb. 1.1.1990' || chr(10) || 'Vorname: Ali Omar'
+WHEN 4 THEN 'Name: Amt für Fragen' || chr(10) || 'im Auftrag der Stadt' END"""
+
+
+@query("marked_names", f"SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'Max Muster' WHEN 1 THEN 'Brozio' WHEN 2 THEN 'MAX MUSTER,Naeem Adam' WHEN 3 THEN CASE WHEN c_nationkey % 2 = 0 THEN '' ELSE 'Ali Omar' END ELSE '' END AS names FROM (SELECT c_custkey, c_nationkey, {_SIGNED} AS t FROM customer)")
+def marked_names(spark, d):
+    """Names beside signatures, functions and fields that are not known yet."""
+    known = F.when(F.col("c_nationkey") % 2 == 0, F.array(F.lit(" ali omar")))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(A.marked_names(F.expr(_SIGNED), known), ",").alias("names"))

@@ -12,6 +12,7 @@ from loomtext.operators import gates as G
 from loomtext.operators import identity as I
 from loomtext.operators import inventory as V
 from loomtext.operators import memory as M
+from loomtext.operators import privacy as A
 from loomtext.operators import ranking as K
 from loomtext.operators import residue as Z
 from loomtext.sources import sinks as S
@@ -137,3 +138,11 @@ def test_report_files(spark, tmp_path):
     assert got == {("total", None, None): 3, ("decision", None, "IN"): 2, ("decision", None, "OUT"): 1, ("extension", "pdf", "IN"): 1, ("extension", "pdf", "OUT"): 1, ("extension", None, "IN"): 1, ("reason", "x", None): 2, ("reason", "y", None): 1}
     empty = S.summary(df.limit(0), "decision", "extension", "reasons").collect()
     assert [(r.part, r.n) for r in empty] in ([], [("total", 0)])
+
+
+def test_names_beside_marks(spark):
+    names = lambda text, *known: one(spark, A.marked_names(F.lit(text).cast("string"), F.array(*map(F.lit, known)).cast("array<string>") if known else F.lit(None).cast("array<string>")))
+    assert names(None) == [] and names("") == []
+    assert names("IM AUFTRAG: Dr Özgür O'Neill\nSachbearbeiterin Anna Muster") == ["Dr Özgür O'Neill", "Anna Muster"]
+    assert names("gez. Anna Muster und gez. ANNA MUSTER", "anna muster ") == []
+    assert names("Nachname - Omar\nName: Landgericht Köln\nName: 12 Uhr\nName: Omar") == ["Omar"]
