@@ -143,6 +143,6 @@ def test_report_files(spark, tmp_path):
 def test_names_beside_marks(spark):
     names = lambda text, *known: one(spark, A.marked_names(F.lit(text).cast("string"), F.array(*map(F.lit, known)).cast("array<string>") if known else F.lit(None).cast("array<string>")))
     assert names(None) == [] and names("") == []
-    assert names("IM AUFTRAG: Dr Özgür O'Neill\nSachbearbeiterin Anna Muster") == ["Dr Özgür O'Neill", "Anna Muster"]
+    assert names("IM AUFTRAG: Dora Özgür O'Neill\nSachbearbeiterin Anna Muster") == ["Dora Özgür O'Neill", "Anna Muster"]
     assert names("gez. Anna Muster und gez. ANNA MUSTER", "anna muster ") == []
     assert names("Nachname - Omar\nName: Landgericht Köln\nName: 12 Uhr\nName: Omar") == ["Omar"]
