@@ -145,6 +145,36 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(m, doc_id) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN comp ON a = doc_id
 """
 
+
+
+def op12_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bitsliced import build_index, search
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search(build_index(vectors, F.col("vec_id") % 50 == 0), k=5)
+
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import audit, damaged, digests, repaired
+
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = damaged(given)
+    audits = audit(turns)
+    hashes = digests(repaired(turns, audits)).withColumnRenamed("conv_id", "_c")
+    out = given.select(F.col("conv_id").alias("_id")).distinct().join(audits, F.col("_id").eqNullSafe(F.col("conv_id")), "left").join(hashes, F.col("_id").eqNullSafe(F.col("_c")), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    zeros = {c: F.coalesce(c, F.lit(0).cast("long")) for c in counts} | {"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256))}
+    return out.select(F.col("_id").alias("conv_id"), *(v.alias(c) for c, v in zeros.items()))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_sharding": op2_sharding,
@@ -156,5 +186,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op12_exact_search": op12_exact_search,
+    "op13_conversation_repair": op13_conversation_repair,
 }
-SQL: dict[str, str] = {"op6_embedding_near_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op7_line_dedup": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op10_minhash_near_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op12_exact_search": OP12_SQL, "op6_embedding_near_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op7_line_dedup": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op10_minhash_near_dedup": OP10_SQL}
