@@ -147,6 +147,14 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN comp ON a = doc_id
 
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import align
+
+    return align(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bitsliced import build_index, search
 
@@ -186,6 +194,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_token_alignment": op11_token_alignment,
     "op12_exact_search": op12_exact_search,
     "op13_conversation_repair": op13_conversation_repair,
 }
