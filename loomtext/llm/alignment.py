@@ -15,7 +15,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,11 @@ from pyspark.sql import functions as F
 from . import arrow
 from .common import discard, materialize
 
-#: Bytes of text of a block; occurrences of pieces that are counted at once.
-BLOCK, AT_ONCE = 16 << 20, 1 << 19
+#: Bytes of text of a block; occurrences of pieces that are counted at once; parts of the blocks that are worked on one after the other, so
+#: that the dictionaries of all blocks are never on disk together.
+BLOCK, AT_ONCE, ROUNDS = 32 << 20, 1 << 19, 4
 _SPACE = "▁"
-_cut = "block long, row int, id string, seq binary, number int, piece string"
+_cut = "block long, row int, id string, size int, seq binary, number int, piece string"
 _tokenized = "piece string, good boolean, a array<int>, a_len array<int>, b array<int>, b_len array<int>"
 
 
@@ -54,6 +57,7 @@ class Tokenizers:
         names = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(_SPACE, " ").encode() for k, p in enumerate(names)]
         self.space = self.b.piece_to_id(_SPACE)
+        self.lengths = tuple(np.array([len(x) for x in side], np.int32) for side in (self.a_bytes, self.b_bytes))
         shown = [p for k, p in enumerate(names) if not self.b.is_control(k) and not self.b.is_byte(k)]
         self.breaks = self._breaks(shown)
 
@@ -62,12 +66,21 @@ class Tokenizers:
         return "".join(c for c, own in ((" ", _SPACE), ("\n", "\n")) if not any(re.search(f"[^{own}]{own}", p) for p in shown))
 
     def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both for pieces that begin with a space or line break."""
+        """Ids of both for pieces that begin with a space or line break, each by itself."""
         a = [x.ids for x in self.a.encode_batch(pieces, add_special_tokens=False)]
         # B puts a space before what it is given
         b = self.b.encode([p[1:] if p[:1] == " " else p for p in pieces], num_threads=1)
         return a, [[self.space] if p == " " else x if p[:1] == " " else x[1:] for p, x in zip(pieces, b, strict=True)]
 
+    def run_of(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of both for pieces that can follow each other, as one text; none if that text is not given back byte for byte."""
+        whole = b"".join(pieces)
+        text = whole.decode()
+        a = np.array(self.a.encode(text, add_special_tokens=False).ids, np.int32)
+        b = np.array(self.b.encode(text[1:]), np.int32)
+        same = b"".join([self.a_bytes[k] for k in a.tolist()]) == whole == b"".join([self.b_bytes[k] for k in b.tolist()])
+        return (a, b) if same else None
+
 
 _loaded: dict[tuple[str, str], Tokenizers] = {}
 
@@ -80,54 +93,112 @@ def _tokenizers(paths: tuple[str, str]) -> Tokenizers:
     return _loaded[paths]
 
 
+def _cutter(breaks: str):
+    """A function that cuts a text before each of ``breaks`` that follows another character than white space."""
+    slow = re.compile(rf"(?<=[^\s{_SPACE}])(?=[{breaks}])").split
+    held = re.compile(rf"(?<=[\s{_SPACE}])\0").sub
+    odd = re.compile(rf"[\s{_SPACE}][{breaks}]").search
+
+    def cut(text: str) -> list[str]:
+        if "\0" in text:
+            return slow(text)
+        marked = text
+        for c in breaks:
+            marked = marked.replace(c, "\0" + c)
+        return (held("", marked) if odd(text) else marked).split("\0")[1:]
+
+    return cut if breaks else lambda text: [text]
+
+
 def _pieces(paths: tuple[str, str]):
     """Blocks of texts as numbers of pieces, each block with its dictionary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        breaks = _tokenizers(paths).breaks
-        cut = re.compile(rf"(?<=[^\s{_SPACE}])(?=[{breaks}])").split if breaks else lambda text: [text]
+        cut = _cutter(_tokenizers(paths).breaks)
         part, block, weight = TaskContext.get().partitionId(), 0, 0
-        numbers: dict[str, int] = {}
-        held: list[tuple] = []
+        names = ["block", "row", "id", "size", "seq", "number", "piece"]
+        types = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.int32(), pa.string()]
+
+        def fresh() -> defaultdict[str, int]:
+            numbers: defaultdict[str, int] = defaultdict()
+            numbers.default_factory = numbers.__len__
+            return numbers
 
         def rows() -> Iterator[pa.RecordBatch]:
-            key = part << 32 | block
-            names = ["block", "row", "id", "seq", "number", "piece"]
-            n, nothing = len(held), lambda k, t: pa.nulls(k, t)
-            yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([h[0] for h in held], pa.string()), pa.array([h[1] for h in held], pa.binary()), nothing(n, pa.int32()), nothing(n, pa.string())], names=names)
+            for at in range(0, len(held), 2048):
+                some = held[at : at + 2048]
+                cells = [[part << 32 | block] * len(some), range(at, at + len(some)), *zip(*some, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cells, types, strict=False)), pa.nulls(len(some), types[5]), pa.nulls(len(some), types[6])], names=names)
             words = list(numbers)
             for at in range(0, len(words), 50_000):
                 some = words[at : at + 50_000]
-                k = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array([key] * k, pa.int64()), nothing(k, pa.int32()), nothing(k, pa.string()), nothing(k, pa.binary()), pa.array(range(at, at + k), pa.int32()), pa.array(some, pa.string())], names=names)
+                n = len(some)
+                yield pa.RecordBatch.from_arrays([pa.array([part << 32 | block] * n, types[0]), *(pa.nulls(n, t) for t in types[1:5]), pa.array(range(at, at + n), types[5]), pa.array(some, types[6])], names=names)
 
+        numbers, held = fresh(), []
         for batch, texts in arrow.parts(batches, limit=1 << 20):
             for id_, text in zip(batch.column(batch.schema.get_field_index("id")).to_pylist(), texts, strict=True):
-                seq = [numbers.setdefault(p, len(numbers)) for p in cut(" " + text.decode())] if text else []
-                held.append((id_, np.array(seq, "<i4").tobytes()))
+                seq = np.fromiter(map(numbers.__getitem__, cut(" " + text.decode())), "<i4") if text else np.empty(0, "<i4")
+                held.append((id_, len(seq), pa.compress(seq.tobytes(), "zstd", asbytes=True)))
                 weight += len(text) + 64
                 if weight >= BLOCK:
                     yield from rows()
-                    block, weight, numbers, held = block + 1, 0, {}, []
+                    block, weight, numbers, held = block + 1, 0, fresh(), []
         if held:
             yield from rows()
 
     return run
 
 
+def _follows(piece: bytes) -> bool:
+    """Whether another piece can stand behind this one without being joined to it."""
+    return not piece.decode()[-1:].isspace() and not piece.endswith(_SPACE.encode())
+
+
+def _offsets(piece_ends: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray | None:
+    """Where each piece's tokens end, if no token stands in two pieces."""
+    ends = np.cumsum(lengths[ids], dtype=np.int64)
+    at = np.searchsorted(ends, piece_ends)
+    return at + 1 if len(ends) and at[-1] < len(ends) and (ends[at] == piece_ends).all() else None
+
+
 def _encoded(paths: tuple[str, str]):
+    names = ["piece", "good", "a", "a_len", "b", "b_len"]
+
+    def row_lists(offsets: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> list[pa.Array]:
+        where = pa.array(np.concatenate([[0], offsets]).astype(np.int32))
+        return [pa.ListArray.from_arrays(where, pa.array(x.astype(np.int32))) for x in (ids, lengths[ids])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = _tokenizers(paths)
-        for batch, texts in arrow.parts(batches, text="piece", limit=1 << 19):
-            a, b = both.encode([t.decode() for t in texts])
-            good, columns = [], [[], [], [], []]
-            for text, x, y in zip(texts, a, b, strict=True):
-                x_bytes, y_bytes = [both.a_bytes[k] for k in x], [both.b_bytes[k] for k in y]
-                good.append(b"".join(x_bytes) == text == b"".join(y_bytes))
-                for column, value in zip(columns, (x, list(map(len, x_bytes)), y, list(map(len, y_bytes))) if good[-1] else ([], [], [], []), strict=True):
+
+        def together(pieces: list[bytes]) -> pa.RecordBatch | None:
+            ends = np.cumsum([len(p) for p in pieces])
+            if (sides := both.run_of(pieces)) is None:
+                return None
+            offsets = [_offsets(ends, ids, n) for ids, n in zip(sides, both.lengths, strict=True)]
+            if any(x is None for x in offsets):
+                return None
+            lists = [x for o, ids, n in zip(offsets, sides, both.lengths, strict=True) for x in row_lists(o, ids, n)]
+            return pa.RecordBatch.from_arrays([pa.array([p.decode() for p in pieces]), pa.array([True] * len(pieces)), *lists], names=names)
+
+        def singly(pieces: list[bytes]) -> pa.RecordBatch:
+            good, columns = [], ([], [], [], [])
+            for text, x, y in zip(pieces, *both.encode([p.decode() for p in pieces]), strict=True):
+                good.append(b"".join([both.a_bytes[k] for k in x]) == text == b"".join([both.b_bytes[k] for k in y]))
+                cells = (x, both.lengths[0][x].tolist(), y, both.lengths[1][y].tolist()) if good[-1] else ([], [], [], [])
+                for column, value in zip(columns, cells, strict=True):
                     column.append(value)
-            arrays = [batch.column(batch.schema.get_field_index("piece")), pa.array(good), *(pa.array(c, pa.list_(pa.int32())) for c in columns)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["piece", "good", "a", "a_len", "b", "b_len"])
+            return pa.RecordBatch.from_arrays([pa.array([p.decode() for p in pieces]), pa.array(good), *(pa.array(c, pa.list_(pa.int32())) for c in columns)], names=names)
+
+        for _, texts in arrow.parts(batches, text="piece", limit=1 << 16):
+            # pieces that begin with a space and end with a character are encoded as one text, which gives the same tokens
+            run = [t for t in texts if t[:1] == b" " and _follows(t)]
+            rest = [t for t in texts if not (t[:1] == b" " and _follows(t))]
+            if run:
+                yield together(run) or singly(run)
+            if rest:
+                yield singly(rest)
 
     return run
 
@@ -164,6 +235,11 @@ def _column(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
 
 
+def _numbers(left: pa.Table) -> list[bytes]:
+    """The numbers of the pieces of each text, four bytes each."""
+    return [pa.decompress(x, 4 * n, "zstd", asbytes=True) if n else b"" for x, n in zip(left.column("seq").to_pylist(), left.column("size").to_pylist(), strict=True)]
+
+
 def _slices(seqs: list[bytes]) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about ``AT_ONCE`` occurrences of pieces, one text at least."""
     lo = total = 0
@@ -189,7 +265,7 @@ _first = pa.schema([("block", pa.int64()), ("row", pa.int32()), ("id", pa.string
 def _texts(left: pa.Table, right: pa.Table) -> pa.Table:
     """Of one block: a row for each text with its sums, and one for each pair of ids with the number of texts that hold it."""
     left, right = left.sort_by("row"), right.sort_by("number")
-    seqs = left.column("seq").to_pylist()
+    seqs = _numbers(left)
     sums = np.stack([_column(right, c) for c in ("n_a", "n_b", "n_groups")]) if right.num_rows else np.zeros((3, 0), np.int64)
     links = right.column("links").combine_chunks()
     flat, width = links.flatten().to_numpy(), np.diff(links.offsets.to_numpy()).astype(np.int64)
@@ -226,7 +302,7 @@ _second = pa.schema([("block", pa.int64()), ("row", pa.int32()), ("n_best", pa.i
 def _counted(left: pa.Table, right: pa.Table) -> pa.Table:
     """Of one block: for each text the sums of what its pieces count."""
     left, right = left.sort_by("row"), right.sort_by("number")
-    seqs = left.column("seq").to_pylist()
+    seqs = _numbers(left)
     values = [_column(right, c) for c in ("n_best", "count_sum")]
     out = np.zeros((2, len(seqs)), np.int64)
     for lo, hi in _slices(seqs):
@@ -250,7 +326,7 @@ def align(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id",
     id_type = docs.schema[id_col].dataType
     given = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     cut = materialize(given.mapInArrow(_pieces(paths), _cut), "pieces")
-    texts, held = cut.where("row is not null").select("block", "row", "id", "seq"), cut.where("piece is not null").select(F.col("block").alias("home"), "number", "piece")
+    texts, held = cut.where("row is not null").select("block", "row", "id", "size", "seq"), cut.where("piece is not null").select(F.col("block").alias("home"), "number", "piece")
     tokenized = held.select("piece").distinct().mapInArrow(_encoded(paths), _tokenized)
     tokenized = materialize(tokenized.select(F.monotonically_increasing_id().alias("cid"), "*"), "tokens")
     # a text's pieces are good or bad each by itself: what A and B give back differs only in length where they are bad
@@ -258,14 +334,24 @@ def align(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id",
     pieces_ = tokenized.select("cid", "piece", "good").join(aligned(tokenized.select("cid", "a", "a_len", "b", "b_len")), "cid", "left")
     pieces_ = materialize(pieces_.select("cid", "piece", "good", zero("n_a"), zero("n_b"), zero("n_groups"), F.coalesce("groups", F.lit("")).alias("groups"), F.coalesce("links", F.array().cast("array<bigint>")).alias("links")), "aligned")
     discard(tokenized)
-    known = held.join(pieces_.drop("cid"), "piece").drop("piece")
-    first = materialize(texts.groupBy("block").cogroup(known.groupBy("home")).applyInArrow(_texts, _FIRST), "sums")
+
+    def by_block(values: DataFrame, more: list[str], run, schema: str) -> DataFrame:
+        """``run`` for the texts of each block and the rows of ``values`` for its pieces."""
+        done = []
+        for k in range(ROUNDS):
+            of = lambda c: F.pmod(F.xxhash64(c), F.lit(ROUNDS)) == k  # noqa: B023, E731
+            known = held.where(of("home")).join(values, "piece").drop("piece")
+            done.append(materialize(texts.select("block", "row", "size", "seq", *more).where(of("block")).groupBy("block").cogroup(known.groupBy("home")).applyInArrow(run, schema), "sums"))
+        return reduce(DataFrame.unionByName, done)
+
+    first = by_block(pieces_.drop("cid"), ["id"], _texts, _FIRST)
     counts = first.where("link is not null").groupBy("link").agg(F.sum("docs").alias("n"))
     best = F.max("n").over(Window.partitionBy(F.shiftright("link", 32)))  # at most the ids of B beside each id of A
     counts = materialize(counts.select("link", "n", (F.col("n") == best).cast("long").alias("best")), "counts")
     links = pieces_.select("cid", F.explode("links").alias("link")).join(counts, "link").groupBy("cid").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    valued = pieces_.select("cid", "piece").join(links, "cid", "left").select("piece", zero("n_best"), zero("count_sum"))
-    second = texts.select("block", "row", "seq").groupBy("block").cogroup(held.join(valued, "piece").drop("piece").groupBy("home")).applyInArrow(_counted, "block long, row int, n_best long, count_sum long")
+    valued = materialize(pieces_.select("cid", "piece").join(links, "cid", "left").select("piece", zero("n_best"), zero("count_sum")), "valued")
+    discard(pieces_)
+    second = by_block(valued, [], _counted, "block long, row int, n_best long, count_sum long")
     done = first.where("row is not null").drop("link", "docs").join(second, ["block", "row"])
     only_good = lambda c: F.when(F.col("good"), F.col(c)).otherwise(0).cast("long").alias(c)
     return done.select(F.col("id").cast(id_type).alias(id_col), "n_a", "n_b", "n_groups", "n_links", only_good("n_best"), only_good("count_sum"), "groups_sha256")

@@ -183,6 +183,44 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("_id").alias("conv_id"), *(v.alias(c) for c, v in zeros.items()))
 
 
+def _op13_sql() -> str:
+    """The same Viterbi layers as a recursive query; a state is its cost in nine digits followed by its audit string."""
+    edit = lambda state, cost, letter: f"(lpad(CAST(CAST({state}[1:9] AS INTEGER) + {cost} AS VARCHAR), 9, '0') || {state}[10:] || '{letter}')"
+    kept = lambda state, initial: f"CASE WHEN free AND initial = '{initial}' THEN {edit(state, '5 * unended', 'K')} END"
+    rerole = lambda state: f"CASE WHEN free THEN {edit(state, '1 + 5 * unended', 'R')} END"
+    to_user = ", ".join(f"{kept(x, 'u')}, {rerole(x)}" for x in ("c0", "c1", "c3"))
+    space = r"\x20\x09-\x0D"
+    return rf"""
+WITH RECURSIVE g AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(k) + 1), lambda i: CAST(ord(k[i]) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda z, j: xor(z >> 1, (z & 1) * 3988292384))), CAST(4294967295 AS BIGINT)) % 20 AS fate FROM g),
+d AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM h, unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS t(n)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 32), left(sha256(text), 32)) AS i FROM d),
+f AS (SELECT *, role[1:1] AS initial, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) AS previous, NOT regexp_matches(text, '[^{space}]') AS blank,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][{space}]*$') AS open_end FROM o),
+r AS (SELECT *, NOT blank AND NOT again AS free, CAST(open_end AND NOT blank AND NOT again AS INTEGER) AS unended FROM f),
+v AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '000000000' AS c0, CAST(NULL AS VARCHAR) AS c1, '000000005I' AS c2, '000000010II' AS c3 FROM r
+  UNION ALL SELECT conv_id, i, n0, n1, m2, least(n3, {edit("m2", 5, "I")}) FROM
+    (SELECT *, least(n2, {edit("n0", 5, "I")}, {edit("n1", 5, "I")}, {edit("n3", 5, "I")}) AS m2 FROM
+      (SELECT r.conv_id, r.i, {edit("c0", 2, "D")} AS n0, least({edit("c1", 2, "D")}, {kept("c0", "s")}) AS n1,
+        least({edit("c2", 2, "D")}, {to_user}) AS n2, least({edit("c3", 2, "D")}, {kept("c2", "a")}, {rerole("c2")}) AS n3
+       FROM v JOIN r ON r.conv_id IS NOT DISTINCT FROM v.conv_id AND r.i = v.i + 1))),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again AND NOT blank) AS duplicate,
+  sum(unended) AS truncated, count(*) FILTER (WHERE i > 1 AND previous || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+e AS (SELECT n.*, least(c0, c3) AS w FROM n JOIN v ON v.conv_id IS NOT DISTINCT FROM n.conv_id AND v.i = n.n),
+l AS (SELECT conv_id, p, w[9 + p] AS letter, p - length(replace(w[10:9 + p], 'I', '')) AS inserted, length(replace(w[10:8 + p], 'D', '')) AS place FROM e, unnest(range(1, length(w) - 8)) AS t(p)),
+m AS (SELECT l.*, r.role, r.text, max(CASE WHEN place = 0 AND letter = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS lead
+  FROM l LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND letter <> 'I' AND r.i = p - inserted),
+t AS (SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - lead) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY p)) AS hash
+  FROM m WHERE letter <> 'D' GROUP BY conv_id),
+c AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(w[1:9], '0') AS BIGINT) AS cost, coalesce(w[10:], '') AS audit, coalesce(hash, sha256('')) AS repaired_sha256
+FROM c LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_sharding": op2_sharding,
@@ -198,4 +236,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_exact_search": op12_exact_search,
     "op13_conversation_repair": op13_conversation_repair,
 }
-SQL: dict[str, str] = {"op12_exact_search": OP12_SQL, "op6_embedding_near_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op7_line_dedup": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op10_minhash_near_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op13_conversation_repair": _op13_sql(), "op12_exact_search": OP12_SQL, "op6_embedding_near_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op7_line_dedup": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op10_minhash_near_dedup": OP10_SQL}
