@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrow
-from .common import discard, materialize
+from .common import discard, materialize, setting
 
 #: Bytes of text of a block; occurrences of pieces that are counted at once; parts of the blocks that are worked on one after the other, so
 #: that the dictionaries of all blocks are never on disk together.
@@ -332,7 +332,9 @@ def align(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id",
     # a text's pieces are good or bad each by itself: what A and B give back differs only in length where they are bad
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     pieces_ = tokenized.select("cid", "piece", "good").join(aligned(tokenized.select("cid", "a", "a_len", "b", "b_len")), "cid", "left")
-    pieces_ = materialize(pieces_.select("cid", "piece", "good", zero("n_a"), zero("n_b"), zero("n_groups"), F.coalesce("groups", F.lit("")).alias("groups"), F.coalesce("links", F.array().cast("array<bigint>")).alias("links")), "aligned")
+    # both sides of the join by ends are dealt by piece already
+    with setting(docs.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        pieces_ = materialize(pieces_.select("cid", "piece", "good", zero("n_a"), zero("n_b"), zero("n_groups"), F.coalesce("groups", F.lit("")).alias("groups"), F.coalesce("links", F.array().cast("array<bigint>")).alias("links")), "aligned")
     discard(tokenized)
 
     def by_block(values: DataFrame, more: list[str], run, schema: str) -> DataFrame:
