@@ -30,7 +30,7 @@ from .common import discard, materialize, setting
 
 #: Bytes of text of a block; occurrences of pieces that are counted at once; parts of the blocks that are worked on one after the other, so
 #: that the dictionaries of all blocks are never on disk together.
-BLOCK, AT_ONCE, ROUNDS = 32 << 20, 1 << 19, 4
+BLOCK, AT_ONCE, ROUNDS = 14 << 20, 1 << 17, 4
 _SPACE = "▁"
 _cut = "block long, row int, id string, size int, seq binary, number int, piece string"
 _tokenized = "piece string, good boolean, a array<int>, a_len array<int>, b array<int>, b_len array<int>"
@@ -222,13 +222,23 @@ def aligned(tokenized: DataFrame) -> DataFrame:
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     stretches = ends("a").join(ends("b"), ["cid", "end"], "full").select("cid", "end", "a", "b", F.sum(both.cast("int")).over(back).alias("back"), (F.shiftleft(covers("a").cast("long"), 32) + covers("b")).alias("link"))
 
-    def listed(side: str):
-        return F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", side)))), lambda x: x[side].cast("string")))
+    # one row for each piece: its stretches in order, told apart by the number of the group, which counts from the back
+    rows = F.array_sort(F.collect_list(F.struct("end", "back", "a", "b", "link")))
+    pieces = stretches.groupBy("cid").agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.max("back").cast("long").alias("n_groups"), rows.alias("rows"))
 
-    groups = stretches.groupBy("cid", "back").agg(F.concat_ws("|", listed("a"), listed("b")).alias("group"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.collect_list("link").alias("links"))
-    # the group counted first from the back is the last of the text
-    text = F.concat_ws(";", F.transform(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), "group"))), lambda x: x["group"]))
-    return groups.groupBy("cid").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count(F.lit(1)).alias("n_groups"), text.alias("groups"), F.flatten(F.collect_list("links")).alias("links"))
+    def side(c: str, number: int):
+        own = F.filter("rows", lambda x: x[c].isNotNull())
+        return F.transform(own, lambda x: F.struct((-x["back"]).alias("group"), F.lit(number).alias("side"), x["end"].alias("end"), x[c].alias("id")))
+
+    # the tokens of a group, those of A first; what parts two neighbours follows from where they differ
+    tokens = pieces.select("cid", "n_a", "n_b", "n_groups", F.transform("rows", lambda x: x["link"]).alias("links"), F.array_sort(F.concat(side("a", 0), side("b", 1))).alias("tokens"))
+
+    def written(x, k):
+        before = F.get("tokens", k - 1)
+        parted = F.when(k == 0, "").when(before["group"] != x["group"], ";").when(before["side"] != x["side"], "|").otherwise(",")
+        return F.concat(parted, x["id"].cast("string"))
+
+    return tokens.select("cid", "n_a", "n_b", "n_groups", F.array_join(F.transform("tokens", written), "").alias("groups"), "links")
 
 
 def _column(table: pa.Table, name: str) -> np.ndarray:
