@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .redaction import redact_terms
+
 #: Recognisers of the generic profile: type, pattern (group 1 is the value), score.
 RULES: tuple[tuple[str, str, float], ...] = (
     ("email", r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})", 0.95),
@@ -109,44 +109,9 @@ def redact(text: Column, rules: Sequence[tuple[str, str]] = REDACTIONS) -> Colum
     return text
 
 
-_CONFUSED = {"0": "[0OQ]", "o": "[0O]", "1": "[1lI|]", "l": "[1lI|]", "i": "[1lI|]", "5": "[5S]", "s": "[5S]", "8": "[8B]", "b": "[8B]"}
-
-
-@lru_cache(maxsize=4096)
-def tolerant(term: str) -> re.Pattern:
-    """A pattern for a term as scanned text may show it: look-alike characters, any blanks between words; short terms only as whole words."""
-    body = r"[\s­]+".join("".join(_CONFUSED.get(c.lower(), re.escape(c)) for c in word) for word in term.split())
-    edge = r"(?<!\w)", r"(?:s|en|n|es)?(?!\w)"
-    return re.compile(edge[0] + body + edge[1], re.IGNORECASE)
-
-
-@lru_cache(maxsize=4096)
-def spaced(term: str) -> re.Pattern:
-    """Letters set apart by single blanks, with a bounded gap so that matching stays linear."""
-    return re.compile(r"(?<!\w)" + r"[ \t]{0,2}".join(re.escape(c) for c in term if not c.isspace()) + r"(?!\w)", re.IGNORECASE)
-
-
-def replace_terms(text: str, terms: Sequence[str], token: str) -> str:
-    """Longest terms first; whole names, then their words of four letters or more; letter-spaced forms only where nothing else hit."""
-    for term in sorted({t.strip() for t in terms if t and t.strip()}, key=lambda t: (-len(t), t)):
-        text, hits = tolerant(term).subn(token, text)
-        for word in (w for w in term.split() if len(w) >= 4 and w != term):
-            text, n = tolerant(word).subn(token, text)
-            hits += n
-        if not hits and len(term) >= 4:
-            text = spaced(term).sub(token, text)
-    return text
-
-
 def redact_entities(df: DataFrame, text: str, terms: str, token: str = "[PERSON]") -> DataFrame:
-    """``df`` with ``redacted``: the text without the terms in an array column, in Arrow batches."""
-
-    @F.pandas_udf("string")
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, lists in parts:
-            yield pd.Series([None if t is None else replace_terms(t, [] if ts is None else list(ts), token) for t, ts in zip(texts, lists, strict=True)])
-
-    return df.withColumn("redacted", run(text, terms))
+    """``df`` with ``redacted``: the text without the names in an array column, in Arrow batches (see :mod:`.redaction`)."""
+    return redact_terms(df, text, {terms: ("person", token)})
 
 
 def leaks(text: Column, expected: Column) -> Column:

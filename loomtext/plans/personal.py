@@ -56,9 +56,36 @@ def leak_check(spark, d):
 
 @query("entities_redacted")
 def entities_redacted(spark, d):
-    """Each document without its own first two words, found in scanned forms as well."""
-    docs = _docs(spark, d).withColumn("terms", F.slice(F.filter(F.split("text", r"\s+"), lambda w: F.length(w) >= 6), 1, 2))
-    return P.redact_entities(docs, "text", "terms").select("doc_id", F.regexp_count("redacted", F.lit(r"\[PERSON\]")).alias("hits"))
+    """Each document without the names that its case knows: its long words that begin with a capital, and every two neighbours of these as a full name."""
+    word = r"\p{Lu}\p{Ll}{5,}"
+    docs = _docs(spark, d).withColumn("terms", F.array_distinct(F.concat(F.regexp_extract_all("text", F.lit(rf"\b({word})\b"), F.lit(1)), F.regexp_extract_all("text", F.lit(rf"\b({word} {word})\b"), F.lit(1)))))
+    return P.redact_entities(docs, "text", "terms").select("doc_id", F.regexp_count("redacted", F.lit(r"\[PERSON\]")).alias("hits"), F.md5("redacted").alias("redacted_md5"))
+
+
+_LETTERS = lambda c, first: f"'{first}' || translate(CAST({c} AS VARCHAR), '0123456789', 'qxwzvkyjfg') || 'q'"
+_FIRST, _LAST = _LETTERS("doc_id", "Qyxz"), _LETTERS("doc_id", "Xqzw")
+_FORMS = ("{f} || ' ' || {l}", "{l} || ', ' || {f}", "{l} || chr(10) || {f}", "upper({l} || ' ,' || {f})", "array_to_string(regexp_extract_all({f} || {l}, '.'), ' ')")
+
+
+@query(
+    "planted_names",
+    f"""WITH n AS (SELECT doc_id, coalesce(text, '') AS text, {_FIRST} AS f, {_LAST} AS l FROM documents),
+p AS (SELECT *, CASE doc_id % 5 {' '.join(f"WHEN {k} THEN {form.format(f='f', l='l')}" for k, form in enumerate(_FORMS))} END AS name FROM n)
+SELECT doc_id, md5('[PERSON]: ' || left(text, CAST(length(text) // 2 AS BIGINT)) || ' [PERSON] ' || right(text, CAST(length(text) - length(text) // 2 AS BIGINT)) || ' ([PERSON])') AS redacted_md5 FROM p""",
+)
+def planted_names(spark, d):
+    """Every document with a name of its own planted at the beginning, in the middle and at the end, as it is, turned, in capitals or letter by letter; nothing else goes."""
+    letters = lambda first: F.concat(F.lit(first), F.translate(F.col("doc_id").cast("string"), "0123456789", "qxwzvkyjfg"), F.lit("q"))
+    f, n, k = letters("Qyxz"), letters("Xqzw"), F.col("doc_id") % 5
+    forms = (F.concat_ws(" ", f, n), F.concat_ws(", ", n, f), F.concat_ws("\n", n, f), F.upper(F.concat_ws(" ,", n, f)), F.array_join(F.filter(F.split(F.concat(f, n), ""), lambda c: c != ""), " "))
+    name = F.when(k == 0, forms[0])
+    for j in range(1, 5):
+        name = name.when(k == j, forms[j])
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    planted = F.concat(name, F.lit(": "), F.left(text, half), F.lit(" "), name, F.lit(" "), F.right(text, F.length(text) - half), F.lit(" ("), name, F.lit(")"))
+    docs = _docs(spark, d).select("doc_id", planted.alias("text"), F.array(F.concat_ws(" ", f, n)).alias("names"))
+    return P.redact_entities(docs, "text", "names").select("doc_id", F.md5("redacted").alias("redacted_md5"))
 
 
 BOILER = "(?i)(licensed under|all rights reserved|license)"

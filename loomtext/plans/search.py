@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import lexical as L
 from ..operators import retrieval as R
 from ..sources.tables import table
 from .registry import query
@@ -148,3 +149,28 @@ SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (
 def web_search(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     return R.web_search(docs, _web(spark, d), "doc_id", "text", "said", 10).select("query_id", "doc_id", "rank")
+
+
+@query("cover_search", rf"""WITH {_WEB}, i AS (SELECT doc_id, term, pos FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term, generate_subscripts(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), 1) AS pos FROM documents)),
+b AS (SELECT DISTINCT query_id, 1 AS branch, unnest([t[1], t[2], t[3]]) AS term FROM q UNION SELECT DISTINCT query_id, 2, unnest([t[5], t[6], t[7]]) FROM q),
+o AS (SELECT query_id, branch, count(*) AS need FROM b GROUP BY ALL),
+h AS (SELECT DISTINCT query_id, doc_id, branch, term, pos FROM m JOIN b USING (query_id) JOIN i USING (doc_id, term)),
+full_ AS (SELECT query_id, doc_id, branch FROM h JOIN o USING (query_id, branch) GROUP BY ALL HAVING count(DISTINCT term) = any_value(need)),
+e AS (SELECT DISTINCT query_id, doc_id, pos AS p FROM h SEMI JOIN full_ USING (query_id, doc_id, branch)),
+n AS (SELECT query_id, doc_id, p, branch, term, min(pos) AS nxt FROM e JOIN h USING (query_id, doc_id) WHERE pos >= p GROUP BY ALL),
+w AS (SELECT query_id, doc_id, p, branch, max(nxt) AS last FROM n JOIN o USING (query_id, branch) GROUP BY ALL HAVING count(*) = any_value(need)),
+c AS (SELECT query_id, doc_id, p, min(last) AS last FROM w GROUP BY ALL),
+k AS (SELECT *, lead(last) OVER (PARTITION BY query_id, doc_id ORDER BY p) AS later FROM c),
+s AS (SELECT k.query_id, k.doc_id, round(sum(0.1 / (1 + (k.last - k.p + 1) - (SELECT count(*) FROM e WHERE e.query_id = k.query_id AND e.doc_id = k.doc_id AND e.p BETWEEN k.p AND k.last))), 6) AS score FROM k WHERE later IS NULL OR last < later GROUP BY ALL)
+SELECT query_id, doc_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
+def cover_search(spark, d):
+    """The web search queries, ranked by how densely texts cover them."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return R.cover_search(docs, _web(spark, d), "doc_id", "text", "said", 10).select("query_id", "doc_id", "rank", "score")
+
+
+@query("stemmed_cover_search")
+def stemmed_cover_search(spark, d):
+    """The same over stems."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return R.cover_search(docs, _web(spark, d), "doc_id", "text", "said", 10, L.stemmed_terms).select("query_id", "doc_id", "rank", "score")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import chunking as C
+from ..operators import claims as K
 from ..operators import verification as V
 from ..sources.tables import table
 from .registry import query
@@ -29,10 +30,13 @@ _STATUS = f"WITH {_CITED}, h AS (SELECT c.doc_id, found, count(*) FILTER (WHERE
 
 
 def _status(spark, d):
-    both = _cited(spark, d).join(_pages(spark, d), "doc_id")
-    there, own = F.col("page_text").contains(F.col("claim")), F.col("page_no") == F.col("cited")
-    g = both.groupBy("doc_id", "found").agg(F.count(F.when(there & own, 1)).alias("hit"), F.count(F.when(there & ~own, 1)).alias("other"))
-    return g.select("doc_id", "found", V.status(F.col("hit"), F.col("other"), F.lit(True)).alias("status"))
+    claims, pages = _cited(spark, d), _pages(spark, d)
+    hits = K.standing(claims, pages, "doc_id", "found", "page_no", "claim", "page_text").join(claims.select("doc_id", "found", "cited"), ["doc_id", "found"])
+    own = F.col("page_no") == F.col("cited")
+    g = hits.groupBy("doc_id", "found").agg(F.count(F.when(own, 1)).alias("hit"), F.count(F.when(~own, 1)).alias("other"))
+    every = claims.select("doc_id", "found").join(g, ["doc_id", "found"], "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    return every.select("doc_id", "found", V.status(n("hit"), n("other"), F.lit(True)).alias("status"))
 
 
 query("citation_status", _STATUS)(_status)
@@ -47,10 +51,13 @@ def tally(spark, d):
 _NORM = lambda c: f"trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
-@query("token_matches", f"WITH {_CITED} SELECT c.doc_id, found, page_no, round(len(list_distinct(list_intersect(list_distinct(string_split({_NORM('claim')}, ' ')), string_split({_NORM('page_text')}, ' '))))::DOUBLE / len(list_distinct(string_split({_NORM('claim')}, ' '))), 6) AS share FROM c JOIN {_PAGED} p USING (doc_id)")
+_SHARE = f"round(len(list_distinct(list_intersect(list_distinct(string_split({_NORM('claim')}, ' ')), string_split({_NORM('page_text')}, ' '))))::DOUBLE / len(list_distinct(string_split({_NORM('claim')}, ' '))), 6)"
+
+
+@query("token_matches", f"WITH {_CITED} SELECT * FROM (SELECT c.doc_id, found, page_no, {_SHARE} AS share FROM c JOIN {_PAGED} p USING (doc_id)) WHERE share >= 0.35")
 def token_matches(spark, d):
-    both = _cited(spark, d).join(_pages(spark, d), "doc_id")
-    return both.select("doc_id", "found", "page_no", F.round(V.token_share(F.col("claim"), F.col("page_text")), 6).alias("share"))
+    """Pages that have 35 % of a claim's words, the share from which windows are looked at."""
+    return K.shared_words(_cited(spark, d), _pages(spark, d), "doc_id", "found", "page_no", "claim", "page_text").select("doc_id", "found", "page_no", F.round("share", 6).alias("share"))
 
 
 @query("anchored_claims")
@@ -61,11 +68,68 @@ def anchored_claims(spark, d):
     return hits.select("doc_id", "found", "page_no", F.col("by.words").alias("words"), F.col("by.anchors").alias("anchors"))
 
 
+def _slipped(spark, d):
+    """The claims with a slip of the pen."""
+    return _cited(spark, d).withColumn("claim", F.concat(F.substring("claim", 1, 30), F.lit("~"), F.substring("claim", 32, 40)))
+
+
 @query("fuzzy_matches")
 def fuzzy(spark, d):
     """Claims with a slip of the pen found on their pages by similarity."""
-    slipped = _cited(spark, d).withColumn("claim", F.concat(F.substring("claim", 1, 30), F.lit("~"), F.substring("claim", 32, 40)))
-    return V.fuzzy_hits(slipped.join(_pages(spark, d), "doc_id"), "claim", "page_text").where("match").select("doc_id", "found", "page_no")
+    return K.resembling(_slipped(spark, d), _pages(spark, d), "doc_id", "found", "page_no", "claim", "page_text").select("doc_id", "found", "page_no")
+
+
+def _checks(spark, d):
+    claims = _slipped(spark, d).withColumn("cited", F.array("cited"))
+    return K.check_claims(claims, _pages(spark, d), "doc_id", "found", "page_no")
+
+
+@query("claim_checks")
+def claim_checks(spark, d):
+    """Slipped claims checked against their cited page, then the other pages, by all kinds of evidence."""
+    return _checks(spark, d).select("doc_id", "found", "status", "page", "method", F.round("score", 4).alias("score"))
+
+
+@query("claim_tallies")
+def claim_tallies(spark, d):
+    """Per language how many checks have each status."""
+    langs = table(spark, d, "documents").select("doc_id", "lang")
+    return K.tallies(_checks(spark, d).join(langs, "doc_id"), "lang")
+
+
+@query("quote_checks")
+def quote_checks(spark, d):
+    """Quotations with a changed letter looked for on the page they cite; documents of even id count as scans."""
+    quotes = _slipped(spark, d).join(_pages(spark, d).withColumnRenamed("page_no", "cited"), ["doc_id", "cited"])
+    return quotes.select("doc_id", "found", K.quoted(F.col("claim"), F.col("page_text"), F.col("doc_id") % 2 == 0).alias("there"))
+
+
+_GERMAN = ("Januar", "Februar", "März", "4.", "Mai", "Juni", "Juli", "8.", "9.", "Oktober", "11.", "Dezember")
+
+
+@query("fact_checks", """WITH f AS (SELECT o_orderkey, unnest([30, 45, 60, 90]) AS k, o_orderdate::DATE AS day FROM orders),
+d AS (SELECT DISTINCT o_orderkey, 'date' AS type, strftime(day + CAST(k AS INT), '%d.%m.%Y') AS value FROM f),
+a AS (SELECT o_orderkey, 'amount' AS type, CAST(o_orderkey % 50 + 1 AS VARCHAR) || ' EUR' AS value FROM orders),
+z AS (SELECT o_orderkey, 'file_number' AS type, CAST(o_custkey % 90 + 1 AS VARCHAR) || ' K ' || CAST(o_orderkey % 7 + 1 AS VARCHAR) || '/19' AS value FROM orders),
+s AS (SELECT l_orderkey AS o_orderkey, strftime(l_shipdate::DATE, '%d.%m.%Y') AS value FROM lineitem
+  UNION ALL SELECT l_orderkey, CAST(l_quantity AS INT) || ' EUR' FROM lineitem
+  UNION ALL SELECT l_orderkey, CAST(l_suppkey % 90 + 1 AS VARCHAR) || ' K ' || CAST(l_linenumber AS VARCHAR) || '/19' FROM lineitem)
+SELECT o_orderkey, type, value, CASE WHEN type = 'amount' THEN 'low' ELSE 'high' END AS severity, CASE WHEN type = 'amount' THEN 'unverified' ELSE 'not_in_sources' END AS status
+FROM (SELECT * FROM d UNION ALL SELECT * FROM a UNION ALL SELECT * FROM z) x SEMI JOIN (SELECT DISTINCT o_orderkey FROM s) USING (o_orderkey) ANTI JOIN s USING (o_orderkey, value)""")
+def fact_checks(spark, d):
+    """Facts of a draft for each order that none of its lines bears out; lines date by ISO, in English and in German prose."""
+    o = table(spark, d, "orders")
+    key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    dates = F.concat_ws(" und ", *(F.date_format(F.date_add(day, k), "dd.MM.yyyy") for k in (30, 45, 60, 90)))
+    number = F.concat((F.col("o_custkey") % 90 + 1).cast("string"), F.lit(" K "), (key % 7 + 1).cast("string"), F.lit("/19"))
+    drafts = o.select("o_orderkey", F.concat(F.lit("Fällig am "), dates, F.lit(", "), (key % 50 + 1).cast("string"), F.lit(" EUR, Az. "), number, F.lit(".")).alias("draft"))
+    r, n = table(spark, d, "lineitem"), F.col("l_linenumber") % 3
+    at = F.col("l_shipdate").cast("date")
+    german = F.element_at(F.array(*map(F.lit, _GERMAN)), F.month(at))
+    said = F.when(n == 0, F.date_format(at, "yyyy-MM-dd")).when(n == 1, F.date_format(at, "d MMMM yyyy")).otherwise(F.when(german.endswith("."), F.date_format(at, "dd.MM.yyyy")).otherwise(F.concat(F.dayofmonth(at).cast("string"), F.lit(". "), german, F.lit(" "), F.year(at).cast("string"))))
+    other = F.concat((F.col("l_suppkey") % 90 + 1).cast("string"), F.lit(" K "), F.col("l_linenumber").cast("string"), F.lit("/19"))
+    sources = r.select(F.col("l_orderkey").alias("o_orderkey"), F.concat_ws(", ", said, F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" EUR")), other).alias("source"))
+    return K.unsupported(drafts, sources, "o_orderkey", "draft", "o_orderkey", "source")
 
 
 @query("unsupported_facts", r"WITH f AS (SELECT doc_id, source, list_distinct(regexp_extract_all(text, '(?:^|[^0-9])([0-9]{3}-[0-9]{4})', 1)) AS facts FROM documents), k AS (SELECT DISTINCT source, unnest(facts) AS fact FROM f WHERE doc_id % 2 = 0) SELECT doc_id, fact FROM (SELECT doc_id, source, unnest(facts) AS fact FROM f WHERE doc_id % 2 = 1) x WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.source = x.source AND k.fact = x.fact)")
@@ -96,19 +160,26 @@ def covering(spark, d):
 
 @query("quoted_sources", f"WITH {_CITED} SELECT c.doc_id, found, contains({_NORM('text')}, {_NORM('claim')}) AS quote, CASE WHEN contains(text, 'the') AND contains(text, 'der') THEN NULL WHEN contains(text, 'the') THEN true WHEN contains(text, 'der') THEN false END AS outcome FROM c JOIN documents USING (doc_id)")
 def quoted(spark, d):
-    """Verbatim quotation and outcome; an outcome that both markers speak for is open."""
+    """Verbatim quotation and outcome; an outcome that both markers speak for is open. A text meets all its claims at once."""
     a, b = F.col("text").contains("the"), F.col("text").contains("der")
     whole = table(spark, d, "documents").select("doc_id", V.normal(F.col("text")).alias("whole"), F.when(a & b, None).when(a, True).when(b, False).alias("outcome"))
-    return _cited(spark, d).join(whole, "doc_id").select("doc_id", "found", F.col("whole").contains(V.normal(F.col("claim"))).alias("quote"), "outcome")
+    claims = _cited(spark, d).groupBy("doc_id").agg(F.collect_list(F.struct("found", V.normal(F.col("claim")).alias("claim"))).alias("claims"))
+    each = claims.join(whole, "doc_id").select("doc_id", "outcome", F.inline(F.transform("claims", lambda c: F.struct(c["found"].alias("found"), F.contains("whole", c["claim"]).alias("quote")))))
+    return each.select("doc_id", "found", "quote", "outcome")
 
 
 @query("page_excerpts", f"WITH {_CITED} SELECT c.doc_id, found, md5(substr(text, 1, 350) || CASE WHEN instr(text, substr(claim, 1, 60)) > 0 THEN substr(text, greatest(1, instr(text, substr(claim, 1, 60)) - 75)::INT, 150) ELSE right(text, 150) END) AS excerpt_md5 FROM c JOIN documents USING (doc_id)")
 def excerpts(spark, d):
-    """The head and a window around the quotation, else the end."""
-    j = _cited(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    at = F.expr("locate(substr(claim, 1, 60), text)")
-    near = F.when(at > 0, F.substring(F.col("text"), F.greatest(F.lit(1), at - 75), F.lit(150))).otherwise(F.expr("right(text, 150)"))
-    return j.select("doc_id", "found", F.md5(F.concat(F.substring("text", 1, 350), near)).alias("excerpt_md5"))
+    """The head and a window around the quotation, else the end; a text meets all its claims at once."""
+    claims = _cited(spark, d).groupBy("doc_id").agg(F.collect_list(F.struct("found", F.substring("claim", 1, 60).alias("claim"))).alias("claims"))
+    j = claims.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+    def window(c):
+        at = F.position(c["claim"], F.col("text"))
+        near = F.when(at > 0, F.substring(F.col("text"), F.greatest(F.lit(1), at - 75), F.lit(150))).otherwise(F.right(F.col("text"), F.lit(150)))
+        return F.struct(c["found"].alias("found"), F.md5(F.concat(F.substring("text", 1, 350), near)).alias("excerpt_md5"))
+
+    return j.select("doc_id", F.inline(F.transform("claims", window)))
 
 
 @query("expanded_pages", f"SELECT doc_id, string_agg(page_no::VARCHAR, ',' ORDER BY page_no) AS pages FROM {_PAGED} WHERE page_no >= 2 + doc_id % 3 GROUP BY doc_id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators.chunking import pack
 from .operators.citations import find
-from .operators.privacy import replace_terms
+from .operators.redaction import replace_terms
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from loomtext.functions import text as T
 from loomtext.operators import chunking as C
+from loomtext.operators import claims as K
 from loomtext.operators import matching as M
 from loomtext.operators import privacy as P
+from loomtext.operators import redaction as RD
 from loomtext.operators import retrieval as R
-from loomtext.operators import verification as V
 from loomtext.operators.merge import merge_intervals, snapshot_diff, upsert
 from loomtext.sources import documents as D
 from loomtext.sources.tables import page_after, scoped, seeded_sample
@@ -125,17 +126,17 @@ def test_aliases(spark):
 
 
 def test_redaction():
-    assert P.replace_terms("Herr Max Mustermann, MUSTERMANNS Haus, Max", ["Max Mustermann"], "[P]") == "Herr [P], [P] Haus, Max"
-    assert P.replace_terms("M u s t e r war da", ["Muster"], "[P]") == "[P] war da"
-    assert P.replace_terms("Maximum Max", ["Max"], "[P]") == "Maximum [P]"
-    assert P.replace_terms("Mu5ter", ["Muster"], "[P]") == "[P]"
+    assert RD.replace_terms("Herr Max Mustermann, MUSTERMANNS Haus, Max", ["Max Mustermann"], "[P]") == "Herr [P], [P] Haus, Max"
+    assert RD.replace_terms("M u s t e r war da", ["Muster"], "[P]") == "[P] war da"
+    assert RD.replace_terms("Maximum Max", ["Max"], "[P]") == "Maximum [P]"
+    assert RD.replace_terms("Mu5ter", ["Muster"], "[P]") == "[P]"
 
 
 def test_redaction_stays_linear():
     import time
 
     began = time.time()
-    P.replace_terms("a " * 50_000, ["a" * 30, "aaaa bbbb"], "[P]")
+    RD.replace_terms("a " * 50_000, ["a" * 30, "aaaa bbbb"], "[P]")
     assert time.time() - began < 5
 
 
@@ -148,9 +149,9 @@ def test_recognition(spark):
 
 
 def test_fuzzy_gate(spark):
-    pairs = spark.createDataFrame([("the quick brown fox jumps", "before the quick brewn fox jumps after"), ("the quick brown fox jumps", "nothing of the kind")], "c string, p string")
-    got = V.fuzzy_hits(pairs, "c", "p", stride=1).collect()
-    assert len(got) == 1 and got[0].match
+    claims = spark.createDataFrame([(1, 1, "the quick brown fox jumps")], "d int, c int, claim string")
+    pages = spark.createDataFrame([(1, 1, "before the quick brewn fox jumps after"), (1, 2, "nothing of the kind")], "d int, p int, t string")
+    assert [r.p for r in K.resembling(claims, pages, "d", "c", "p", "claim", "t").collect()] == [1]
 
 
 def test_extractors(spark, tmp_path):
