@@ -30,7 +30,7 @@ from .common import discard, materialize, setting
 
 #: Bytes of text of a block; occurrences of pieces that are counted at once; parts of the blocks that are worked on one after the other, so
 #: that the dictionaries of all blocks are never on disk together.
-BLOCK, AT_ONCE, ROUNDS = 14 << 20, 1 << 17, 4
+BLOCK, AT_ONCE, ROUNDS = 28 << 20, 1 << 17, 4
 _SPACE = "▁"
 _cut = "block long, row int, id string, size int, seq binary, number int, piece string"
 _tokenized = "piece string, good boolean, a array<int>, a_len array<int>, b array<int>, b_len array<int>"

@@ -148,16 +148,54 @@ def test_mined_rules_against_counting(spark):
     share = lambda items: [sum(bad[k] for k in held if items <= held[k]), sum(items <= held[k] for k in held)]
     speaks = [n for n in names if (x := share({n}))[0] >= 9 and x[0] / x[1] > rate and not any(m < n and all((m in h) == (n in h) for h in held.values()) for m in names)]
     sure = {}
+
+    def beyond_chance(hits, n, z=3.0):
+        p = hits / n
+        return (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n) > rate
+
     for size in (1, 2, 3):
         for items in itertools.combinations(speaks, size):
             hits, n = share(set(items))
-            if hits >= 9 and hits / n >= 0.85:
+            if hits >= 9 and hits / n >= 0.85 and beyond_chance(hits, n):
                 sure[frozenset(items)] = hits / n
     want = {s for s, c in sure.items() if not any(t < s and sure[t] >= c for t in sure)}
     got = {frozenset(r.tokens): r.confidence for r in rules.collect()}
     assert {s for s in got if len(s) <= 3} == want and all(abs(got[s] - sure[s]) < 1e-9 for s in want) and len(want) > 1
 
 
+@pytest.mark.parametrize("widest", [1, 2, 12])
+def test_confidence_is_counted_over_whole_token_sets(spark, widest):
+    """A token of 6 bad URLs and 24 good ones that hold better tokens, too, has a confidence of 0.2, however few tokens a basket keeps."""
+    rows, bad = [], {}
+    for k in range(600):
+        kind = k % 20
+        path = "/".join(w for w, here in (("hit", kind < 3 or kind in (5, 6)), ("top", kind in (0, 1, 5)), ("weak", k < 150 and kind in (0, 5, 6, 7, 8)), ("more", kind in (2, 5, 6))) if here) or "none"
+        rows.append((k, f"http://h{k % 2}.test/{path}/"))
+        bad[k] = kind < 3 or (kind == 5 and k < 100)
+    frames = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(k, int(not b)) for k, b in bad.items()], "doc_id long, quality int")
+    rules = urlrules.mine(*frames, "page_id", "url", "doc_id", "quality", confidence=0.3, widest=widest, sure=2.0).collect()
+    held = {k: set(u.split("/")[3:]) for k, u in rows}
+    rate = sum(bad.values()) / len(bad)
+    assert rules
+    for r in rules:
+        words = {t.removeprefix("path:") for t in r.tokens}
+        there = [k for k in held if words <= held[k]]
+        hits = sum(bad[k] for k in there)
+        assert (r.confidence, r.support, r.lift) == pytest.approx((hits / len(there), hits / len(held), hits / len(there) / rate))
+        assert "weak" not in words or hits / len(there) >= 0.3
+    got = {x.page_id: x.verdict for x in urlrules.judge(frames[0], spark.createDataFrame(rules)).collect()}
+    assert all(got[k] == ("block" if any({t.removeprefix("path:") for t in r.tokens} <= held[k] for r in rules) else "allow") for k in held)
+    assert "block" in got.values()
+
+
+def test_labels_by_chance_give_no_rules(spark):
+    draw = random.Random(6)
+    rows = [(k, f"http://h{draw.randrange(9)}.test/{draw.choice('abcdef') * 3}/{draw.choice('ghijk') * 3}") for k in range(900)]
+    labels = [(k, int(draw.random() > 0.15)) for k in range(900)]
+    rules = urlrules.mine(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int"), "page_id", "url", "doc_id", "quality", confidence=0.1)
+    assert rules.collect() == []
+
+
 def test_template_words_do_not_multiply(spark):
     path = "/".join(f"{a}{b}" for a in "abcdefg" for b in "vwxyz")
     rows = [(k, f"http://t.test/{path}/{k}" if k % 2 else f"http://t.test/good/{k}") for k in range(60)]
