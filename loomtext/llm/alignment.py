@@ -29,8 +29,8 @@ from . import arrow
 from .common import discard, materialize, setting
 
 #: Bytes of text of a block; occurrences of pieces that are counted at once; parts of the blocks that are worked on one after the other, so
-#: that the dictionaries of all blocks are never on disk together.
-BLOCK, AT_ONCE, ROUNDS = 28 << 20, 1 << 17, 4
+#: that the dictionaries of all blocks are never on disk together: for alignments, and for the counts of pairs, which are smaller.
+BLOCK, AT_ONCE, ROUNDS = 28 << 20, 1 << 17, (4, 2)
 _SPACE = "▁"
 _cut = "block long, row int, id string, size int, seq binary, number int, piece string"
 _tokenized = "piece string, good boolean, a array<int>, a_len array<int>, b array<int>, b_len array<int>"
@@ -274,14 +274,17 @@ _first = pa.schema([("block", pa.int64()), ("row", pa.int32()), ("id", pa.string
 
 def _texts(left: pa.Table, right: pa.Table) -> pa.Table:
     """Of one block: a row for each text with its sums, and one for each pair of ids with the number of texts that hold it."""
-    left, right = left.sort_by("row"), right.sort_by("number")
+    left = left.sort_by("row")
     seqs = _numbers(left)
-    sums = np.stack([_column(right, c) for c in ("n_a", "n_b", "n_groups")]) if right.num_rows else np.zeros((3, 0), np.int64)
+    # rows of pieces in the order of their numbers; what they hold stays where it is
+    order = np.argsort(_column(right, "number"), kind="stable")
+    sums = [_column(right, c)[order] for c in ("n_a", "n_b", "n_groups")]
     links = right.column("links").combine_chunks()
     flat, width = links.flatten().to_numpy(), np.diff(links.offsets.to_numpy()).astype(np.int64)
     pairs, number = np.unique(flat, return_inverse=True)
-    starts = np.cumsum(width) - width
-    good, groups = _column(right, "good").astype(bool), right.column("groups").to_pylist()
+    starts, width = (np.cumsum(width) - width)[order], width[order]
+    held = right.column("groups").to_pylist()
+    good, group = _column(right, "good").astype(bool)[order], [held[k] for k in order.tolist()].__getitem__
     docs, out, digest = np.zeros(len(pairs), np.int64), np.zeros((4, len(seqs)), np.int64), []
     fine = np.ones(len(seqs), bool)
     for lo, hi in _slices(seqs):
@@ -294,11 +297,11 @@ def _texts(left: pa.Table, right: pa.Table) -> pa.Table:
         owner, piece = once // max(1, len(width)), once % max(1, len(width))
         n = width[piece]
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[piece], n)
-        held = np.unique(np.repeat(owner, n) * np.int64(max(1, len(pairs))) + number[at]) % max(1, len(pairs))
-        docs += np.bincount(held, minlength=len(pairs)).astype(np.int64)
+        there = np.unique(np.repeat(owner, n) * np.int64(max(1, len(pairs))) + number[at]) % max(1, len(pairs))
+        docs += np.bincount(there, minlength=len(pairs)).astype(np.int64)
         for k in range(lo, hi):
             own = np.frombuffer(seqs[k], "<i4").tolist() if fine[k] else []
-            digest.append(hashlib.sha256(";".join([groups[x] for x in own]).encode()).hexdigest() if own else "")
+            digest.append(hashlib.sha256(";".join(map(group, own)).encode()).hexdigest() if own else "")
     n, some = len(seqs), np.flatnonzero(docs)
     block = left.column("block").combine_chunks()
     per_text = [block, left.column("row").combine_chunks(), left.column("id").combine_chunks(), *(pa.array(x) for x in out), pa.array(fine), pa.array(digest, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
@@ -311,14 +314,18 @@ _second = pa.schema([("block", pa.int64()), ("row", pa.int32()), ("n_best", pa.i
 
 def _counted(left: pa.Table, right: pa.Table) -> pa.Table:
     """Of one block: for each text the sums of what its pieces count."""
-    left, right = left.sort_by("row"), right.sort_by("number")
+    left = left.sort_by("row")
     seqs = _numbers(left)
-    values = [_column(right, c) for c in ("n_best", "count_sum")]
+    order = np.argsort(_column(right, "number"), kind="stable")
+    values = [_column(right, c)[order] for c in ("n_best", "count_sum")]
     out = np.zeros((2, len(seqs)), np.int64)
     for lo, hi in _slices(seqs):
-        seq, text = _gathered(seqs, lo, hi)
-        for k in range(2):
-            np.add.at(out[k], lo + text, values[k][seq])
+        seq = np.frombuffer(b"".join(seqs[lo:hi]), "<i4")
+        n = np.array([len(s) // 4 for s in seqs[lo:hi]])
+        full = np.flatnonzero(n)  # sums of neighbours, exact in 64 bits
+        if len(full):
+            for k in range(2):
+                out[k, lo + full] = np.add.reduceat(values[k][seq], (np.cumsum(n) - n)[full])
     return pa.Table.from_arrays([left.column("block").combine_chunks(), left.column("row").combine_chunks(), *(pa.array(x) for x in out)], schema=_second)
 
 
@@ -332,7 +339,11 @@ def align(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id",
     have no tokens: zeros and an empty string. Repeated rows and rows that share an id are texts of their own; null ids stay.
     Other columns are left out. An empty table gives an empty result.
     """
-    paths = (byte_level, pieces)
+    with setting(docs.sparkSession, "spark.sql.parquet.compression.codec", "zstd"):
+        return _aligned_texts(docs, (byte_level, pieces), id_col, text_col)
+
+
+def _aligned_texts(docs: DataFrame, paths: tuple[str, str], id_col: str, text_col: str) -> DataFrame:
     id_type = docs.schema[id_col].dataType
     given = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     cut = materialize(given.mapInArrow(_pieces(paths), _cut), "pieces")
@@ -347,23 +358,23 @@ def align(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id",
         pieces_ = materialize(pieces_.select("cid", "piece", "good", zero("n_a"), zero("n_b"), zero("n_groups"), F.coalesce("groups", F.lit("")).alias("groups"), F.coalesce("links", F.array().cast("array<bigint>")).alias("links")), "aligned")
     discard(tokenized)
 
-    def by_block(values: DataFrame, more: list[str], run, schema: str) -> DataFrame:
+    def by_block(values: DataFrame, more: list[str], run, schema: str, rounds: int) -> DataFrame:
         """``run`` for the texts of each block and the rows of ``values`` for its pieces."""
         done = []
-        for k in range(ROUNDS):
-            of = lambda c: F.pmod(F.xxhash64(c), F.lit(ROUNDS)) == k  # noqa: B023, E731
+        for k in range(rounds):
+            of = lambda c: F.pmod(F.xxhash64(c), F.lit(rounds)) == k  # noqa: B023, E731
             known = held.where(of("home")).join(values, "piece").drop("piece")
             done.append(materialize(texts.select("block", "row", "size", "seq", *more).where(of("block")).groupBy("block").cogroup(known.groupBy("home")).applyInArrow(run, schema), "sums"))
         return reduce(DataFrame.unionByName, done)
 
-    first = by_block(pieces_.drop("cid"), ["id"], _texts, _FIRST)
+    first = by_block(pieces_.drop("cid"), ["id"], _texts, _FIRST, ROUNDS[0])
     counts = first.where("link is not null").groupBy("link").agg(F.sum("docs").alias("n"))
     best = F.max("n").over(Window.partitionBy(F.shiftright("link", 32)))  # at most the ids of B beside each id of A
     counts = materialize(counts.select("link", "n", (F.col("n") == best).cast("long").alias("best")), "counts")
     links = pieces_.select("cid", F.explode("links").alias("link")).join(counts, "link").groupBy("cid").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
     valued = materialize(pieces_.select("cid", "piece").join(links, "cid", "left").select("piece", zero("n_best"), zero("count_sum")), "valued")
     discard(pieces_)
-    second = by_block(valued, [], _counted, "block long, row int, n_best long, count_sum long")
+    second = by_block(valued, [], _counted, "block long, row int, n_best long, count_sum long", ROUNDS[1])
     done = first.where("row is not null").drop("link", "docs").join(second, ["block", "row"])
     only_good = lambda c: F.when(F.col("good"), F.col(c)).otherwise(0).cast("long").alias(c)
     return done.select(F.col("id").cast(id_type).alias(id_col), "n_a", "n_b", "n_groups", "n_links", only_good("n_best"), only_good("count_sum"), "groups_sha256")

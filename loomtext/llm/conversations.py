@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, materialize
+from .common import SPACE, discard, materialize
 
 #: Turns of a segment.
 SPAN = 512
@@ -265,7 +265,9 @@ def audit(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     segments = ranged.mapInArrow(_segments(schema := _typed(kind, _SEGMENT)), schema)
     by_conv = segments.repartition("conv").sortWithinPartitions("conv", "part", "number")
     audits = by_conv.mapInArrow(_folded(schema := _typed(kind, _AUDIT)), schema)
-    return materialize(audits.select(F.col("conv").alias(conv), *audits.columns[1:]), "audits")
+    out = materialize(audits.select(F.col("conv").alias(conv), *audits.columns[1:]), "audits")
+    discard(rows)
+    return out
 
 
 def repaired(turns: DataFrame, audits: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
