@@ -18,7 +18,8 @@ from ..functions.text import strip
 def paragraphs(df: DataFrame, text: str, least: int = 10) -> DataFrame:
     """One row per paragraph of at least ``least`` characters, numbered from 0 within the text."""
     parts = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\n\s*\n+"), strip), lambda p: F.length(p) >= least)
-    return df.select("*", F.posexplode(parts).alias("idx", "paragraph"))
+    # outer, as the optimizer would otherwise test the parts before and make them twice
+    return df.select("*", F.posexplode_outer(parts).alias("idx", "paragraph")).where(F.col("idx").isNotNull())
 
 
 def token_windows(df: DataFrame, text: str, size: int = 500, overlap: int = 100, least: int = 80) -> DataFrame:
@@ -30,8 +31,10 @@ def token_windows(df: DataFrame, text: str, size: int = 500, overlap: int = 100,
         F.sequence(F.lit(0), F.when(F.size("_tokens") <= size, 0).otherwise(F.ceil((F.size("_tokens") - size) / step).cast("int"))),
         lambda k: F.struct(k.alias("idx"), F.array_join(F.slice("_tokens", k * step + 1, F.lit(size)), " ").alias("chunk"), F.least(F.lit(size), F.size("_tokens") - k * step).alias("n_tokens")),
     )
-    held = df.withColumn("_tokens", tokens).where(F.size("_tokens") > 0).withColumn("_cut", cut).drop("_tokens")
-    return held.select(*df.columns, F.inline("_cut")).where(F.col("n_tokens") >= least)
+    # outer: from a plain inline the optimizer infers a condition on the windows, which it pushes to where the tokens are not made yet, and
+    # so splits the text again for each window. A text without tokens has one window of none
+    held = df.withColumn("_tokens", tokens).withColumn("_cut", cut).drop("_tokens")
+    return held.select(*df.columns, F.inline_outer("_cut")).where(F.col("n_tokens") >= max(least, 1))
 
 
 def fixed_windows(text: Column, width: int, most: int | None = 24) -> Column:

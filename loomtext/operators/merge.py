@@ -68,3 +68,13 @@ def merge_intervals(df: DataFrame, keys: list[str], kind: str, start: str, end:
     opens = ~(F.lag(kind).over(order).eqNullSafe(F.col(kind)) & (F.col(start) <= reach + gap))
     island = df.withColumn("_open", F.coalesce(opens, F.lit(True)).cast("int")).withColumn("_island", F.sum("_open").over(order))
     return island.groupBy(*keys, kind, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("parts")).drop("_island")
+
+
+def untold(proposed: DataFrame, entries: DataFrame, sources: DataFrame, case: str, entry: str, title: str) -> DataFrame:
+    """Proposed entries (case, title, ...) whose title the case has not produced yet, compared without case and outer blanks.
+
+    ``sources`` (case, entry) say which case an entry of ``entries`` (entry, title) came from. Null titles are never told.
+    """
+    plain = F.lower(F.trim(F.col(title))).alias("_t")
+    told = sources.select(case, entry).join(entries.select(entry, plain), entry).select(case, "_t").distinct()
+    return proposed.withColumn("_t", plain).join(told, [case, "_t"], "left_anti").drop("_t")

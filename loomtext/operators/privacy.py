@@ -121,6 +121,23 @@ def leaks(text: Column, expected: Column) -> Column:
     return F.size(F.filter(expected, lambda x: held.contains(norm(x))))
 
 
+def pseudonymised(df: DataFrame, text: str, names: str, places: str | None = None, out: str = "pseudonymised") -> DataFrame:
+    """``df`` with ``out``: the text without the names and places of its case, or an empty text where that is not sure.
+
+    It is not sure where the case's names are unknown (null), where replacing fails, and where one of them or of their words is still there in any spelling of case and
+    punctuation, also within a word; names of up to four letters and digits are whole words only and not looked for again. Null texts are empty.
+    """
+    from .redaction import NO_NAMES, TITLES
+
+    kinds = {names: ("person", "[PERSON]")} | ({places: ("place", "[ORT]")} if places else {})
+    clean = redact_terms(df, text, kinds, "_clean", strict=False)
+    known = F.filter(F.col(names), lambda x: x.isNotNull())
+    words = F.filter(F.flatten(F.transform(known, lambda x: F.split(x, r"[\s,]+"))), lambda w: ~F.lower(w).isin(*sorted(TITLES | NO_NAMES)))
+    left = leaks(F.col("_clean"), F.filter(F.array_union(known, words), lambda x: F.length(F.regexp_replace(x, r"[^\p{L}\p{N}]", "")) > 4))
+    sure = F.col(names).isNotNull() & F.col("_clean").isNotNull() & (left == 0)
+    return clean.withColumn(out, F.when(F.coalesce(sure, F.lit(False)), F.col("_clean")).otherwise("")).drop("_clean")
+
+
 #: Context rules that hold even when no entity was extracted, in order: long identifiers come before postal codes.
 CONTEXT_RULES: tuple[tuple[str, str], ...] = (
     (r"(?m)^[A-Z0-9<]{30,}$", "[MRZ-REDACTED]"),

@@ -242,11 +242,11 @@ def replace_terms(text: str, terms: Sequence[str], token: str, kind: str = "pers
     return compiled(tuple(t for t in terms if t), kind).replace(text, token)
 
 
-def redact_terms(df: DataFrame, text: str, terms: dict[str, tuple[str, str]], out: str = "redacted") -> DataFrame:
+def redact_terms(df: DataFrame, text: str, terms: dict[str, tuple[str, str]], out: str = "redacted", strict: bool = True) -> DataFrame:
     """``df`` with ``out``: column ``text`` without the terms in array columns, by kind in the order given.
 
     ``terms`` says for each array column its kind and what takes the place of its terms. Null texts stay null, null arrays and terms are
-    none. Texts are worked on in Arrow batches; rows of one case share their automata.
+    none. Texts are worked on in Arrow batches; rows of one case share their automata. A text that cannot be worked on fails the job, or with ``strict`` off is null.
     """
     columns = list(terms)
 
@@ -255,9 +255,14 @@ def redact_terms(df: DataFrame, text: str, terms: dict[str, tuple[str, str]], ou
         for texts, *lists in parts:
             cleaned = []
             for value, *own in zip(texts, *lists, strict=True):
-                for (kind, token), some in zip(terms.values(), own, strict=True):
-                    if value is not None and some is not None:
-                        value = replace_terms(value, list(some), token, kind)
+                try:
+                    for (kind, token), some in zip(terms.values(), own, strict=True):
+                        if value is not None and some is not None:
+                            value = replace_terms(value, list(some), token, kind)
+                except Exception:
+                    if strict:
+                        raise
+                    value = None
                 cleaned.append(value)
             yield pd.Series(cleaned)
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_sha, strip_control
 from ..operators.verification import contained
-from ..operators.merge import delete, first_by, snapshot_diff, top_by, unseen, upsert
-from ..sources.tables import page_after, page_at, scoped, seeded_sample, table
+from ..operators.merge import delete, first_by, snapshot_diff, top_by, unseen, untold, upsert
+from ..sources.tables import export_page, in_scope, page_after, page_at, scoped, seeded_sample, table
 from .registry import query
 
 _HASH = r"sha256(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\x{00AD}', '', 'g'), '-[ \t]*\n[ \t]*', '', 'g'), '[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]+', ' ', 'g'), '^[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]+|[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]+$', '', 'g')))"
@@ -152,3 +152,25 @@ def fan_out(spark, d):
 def control_characters(spark, d):
     c = F.col("text")
     return table(spark, d, "documents").select("doc_id", (F.length(c) - F.length(strip_control(c))).cast("long").alias("dropped"))
+
+
+@query("export_page", "WITH p AS (SELECT doc_id, lang FROM documents WHERE doc_id > 20 ORDER BY doc_id LIMIT 100) SELECT doc_id, lang, (SELECT CASE WHEN count(*) = 100 THEN max(doc_id) END FROM p) AS next_cursor FROM p")
+def exported(spark, d):
+    """The hundred documents after a cursor, with the cursor of the next page."""
+    return export_page(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", 20, 100)
+
+
+@query("firm_scope", "SELECT event_id FROM events WHERE event_id % 4 = 0 OR user_id = 7")
+def firm(spark, d):
+    """Events that all may see, and a user's own."""
+    e = table(spark, d, "events").select("event_id", "user_id", F.when(F.col("event_id") % 4 == 0, "firm").when(F.col("event_id") % 4 == 1, "user").alias("scope"))
+    return in_scope(e, 7, "scope", "user_id").select("event_id")
+
+
+@query("untold_titles", "WITH told AS (SELECT DISTINCT l_orderkey AS c, lower(trim(p_name)) AS t FROM lineitem JOIN part ON p_partkey = l_partkey), n AS (SELECT l_orderkey, l_linenumber, ' ' || upper(p_name) AS title FROM lineitem JOIN part ON p_partkey = l_suppkey) SELECT l_orderkey, l_linenumber FROM n ANTI JOIN told ON c = l_orderkey AND t = lower(trim(title))")
+def untold_titles(spark, d):
+    """Titles proposed for an order that none of its parts has."""
+    lines, parts = table(spark, d, "lineitem"), table(spark, d, "part").select("p_partkey", F.col("p_name").alias("title"))
+    proposed = lines.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("p_partkey")).join(parts, "p_partkey").withColumn("title", F.concat(F.lit(" "), F.upper("title")))
+    sources = lines.select("l_orderkey", F.col("l_partkey").alias("p_partkey"))
+    return untold(proposed, parts, sources, "l_orderkey", "p_partkey", "title").select("l_orderkey", "l_linenumber")

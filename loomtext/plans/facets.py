@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold
 from ..operators import matching as M
+from ..operators import rendering as D
 from ..sources.tables import table
 from .registry import query
 
@@ -170,3 +171,28 @@ def stale(spark, d):
     region = table(spark, d, "nation").join(cut, "n_regionkey").select(F.col("n_nationkey").alias("c_nationkey"), "cut")
     c = table(spark, d, "customer").join(region, "c_nationkey").select(F.col("c_custkey").alias("o_custkey"), "cut")
     return table(spark, d, "orders").join(c, "o_custkey").where(F.col("o_orderdate") < F.col("cut")).select("o_orderkey")
+
+
+_ENTRY = "'Entscheidung ' || o_orderkey || ': ' || repeat(o_orderpriority || ' ', CAST(o_orderkey % 23 + 1 AS INT))"
+_NOTE = "CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 3 = 0 THEN chr(10) || '- Unterscheidbar: dort abweichend — Alter, Geschlecht' ELSE '' END WHEN o_orderkey % 5 = 1 THEN chr(10) || '- RISIKO: leicht zu unterscheiden — Entscheidung trägt auf: ' || CASE WHEN o_orderkey % 3 = 0 THEN 'Alter, Geschlecht' ELSE '' END WHEN o_orderstatus = 'P' THEN chr(10) || '- Hinweis: Ergebnis unklar/ungeprüft — nicht ungeprüft zitieren' WHEN o_orderkey % 3 = 0 THEN chr(10) || '- Hinweis: Profil weicht ab (Alter, Geschlecht)' ELSE '' END"
+
+
+@query("decision_blocks", f"""WITH RECURSIVE h AS (SELECT ['## STÜTZEND', '## STÜTZEND MIT VORSICHT (Distinguish-Risiko)', '## GEGEN UNS'] AS t),
+s AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderkey % 7 = 0 AS stale, CASE WHEN o_orderstatus = 'F' THEN 3 WHEN o_orderstatus = 'O' AND o_orderkey % 5 IN (0, 2) AND o_orderkey % 7 <> 0 THEN 1 ELSE 2 END AS sec, {_ENTRY} AS body, {_NOTE} AS note FROM orders),
+e AS (SELECT o_custkey, sec, body || CASE WHEN sec > 1 THEN note ELSE '' END AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY sec, stale, o_totalprice DESC, o_orderkey) AS i FROM s),
+r AS (SELECT DISTINCT o_custkey, CAST(0 AS BIGINT) AS i, CAST(1500 AS BIGINT) AS room, 0 AS sec, false AS here, '' AS block, CAST(0 AS BIGINT) AS n FROM e
+  UNION ALL SELECT o_custkey, i, room - CASE WHEN fits THEN length(x) ELSE 0 END, now, same OR fits, block || CASE WHEN NOT fits THEN '' WHEN same THEN chr(10) || chr(10) || x ELSE CASE WHEN block = '' THEN '' ELSE chr(10) || chr(10) END || h.t[now] || chr(10) || chr(10) || x END, n + CAST(fits AS BIGINT)
+  FROM (SELECT *, length(x) + length(h.t[now]) <= room AS fits FROM (SELECT e.o_custkey, e.i, e.x, e.sec AS now, r.room - CASE WHEN e.sec <> r.sec AND r.here THEN length(h.t[r.sec]) ELSE 0 END AS room, e.sec = r.sec AND r.here AS same, r.block, r.n FROM r JOIN e ON e.o_custkey = r.o_custkey AND e.i = r.i + 1, h), h), h)
+SELECT o_custkey, md5(arg_max(block, i)) AS block_md5, max(n) AS entries FROM r GROUP BY o_custkey""")
+def decision_blocks(spark, d):
+    """For each customer the orders as decisions: what supports, what can be told apart, what is against, under one budget."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    camp = F.when(F.col("o_orderstatus") == "O", "pro").when(F.col("o_orderstatus") == "F", "gegen").otherwise("neutral")
+    risk = F.when(k % 5 == 1, "hoch").when(k % 5 == 0, "niedrig").when(k % 5 == 2, "ungeprueft").otherwise("moeglich")
+    differing = F.when(k % 3 == 0, F.array(F.lit("alter"), F.lit("geschlecht")))
+    note = D.risk_note(camp, risk, F.lit(None).cast("array<string>"), differing)
+    section = D.decision_section(camp, risk, k % 7 == 0)
+    body = F.concat(F.lit("Entscheidung "), k.cast("string"), F.lit(": "), F.repeat(F.concat("o_orderpriority", F.lit(" ")), (k % 23 + 1).cast("int")))
+    entries = o.select("o_custkey", section.alias("section"), (k % 7 == 0).alias("stale"), "o_totalprice", "o_orderkey", F.when((section > 0) & (note != ""), F.concat(body, F.lit("\n"), note)).otherwise(body).alias("entry"))
+    blocks = D.sectioned(entries, "o_custkey", "section", [F.col("stale"), -F.col("o_totalprice"), k], "entry", budget=1500)
+    return blocks.select("o_custkey", F.md5("block").alias("block_md5"), "entries")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import fields as E
+from ..operators import reshape as H
 from ..operators.merge import unseen
 from ..sources.tables import table
 from .registry import query
@@ -54,11 +55,11 @@ def scan_form(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(E.scan_form(F.col("text"))).alias("form_md5"))
 
 
-@query("stale_children", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_custkey < 500) AND l_linenumber > 3)")
+@query("stale_children", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') AND l_linenumber > 3)")
 def stale_children(spark, d):
     """Children of a parent in scope that are no longer wanted go; all others stay."""
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
-    scope = table(spark, d, "orders").where("o_orderstatus = 'O' and o_custkey < 500").select(F.col("o_orderkey").alias("l_orderkey"))
+    scope = table(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey"))
     gone = lines.where("l_linenumber > 3").join(scope, "l_orderkey", "left_semi")
     return unseen(lines, gone, ["l_orderkey", "l_linenumber"])
 
@@ -109,3 +110,23 @@ def usage(spark, d):
 def seen(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id")
     return unseen(e.where("user_id % 2 = 0"), e.where("event_id % 5 = 0"), ["event_id"]).select("event_id")
+
+
+@query("reshaped_answers", """WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS p FROM orders)
+SELECT k AS o_orderkey, CASE WHEN k % 11 = 0 THEN '{}' ELSE '{"land":"' || p || '"' || CASE WHEN k % 2 = 1 THEN ',"themen":["t' || CAST(k % 5 AS VARCHAR) || '"]' ELSE '' END
+ || CASE WHEN k % 4 <> 0 OR k % 3 <> 0 THEN ',"profil":{' || concat_ws(',', CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN '"alter":"' || CAST(k % 90 AS VARCHAR) || '"' ELSE '"alter":' || CAST(k % 90 AS VARCHAR) END, CASE k % 3 WHEN 0 THEN NULL WHEN 1 THEN '"geschlecht":"w"' ELSE '"geschlecht":"m"' END) || '}' ELSE '' END || '}' END AS nested,
+ CASE WHEN k % 11 <> 0 THEN CASE k % 5 WHEN 1 THEN 'traegt' WHEN 2 THEN 'erwaehnt' END END AS role, CASE WHEN k % 11 <> 0 AND k % 5 > 2 THEN 'alter' ELSE '' END AS unknown FROM o""")
+def reshaped_answers(spark, d):
+    """Flat answers, some with nulls, wrong types, unknown words or no JSON at all, reshaped; made of the orders."""
+    k = F.col("o_orderkey")
+    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    age = F.when(k % 4 == 0, "null").when(k % 4 == 1, text((k % 90).cast("string"))).otherwise((k % 90).cast("string"))
+    topics = F.when(k % 2 == 0, "[]").otherwise(F.concat(F.lit('["t'), (k % 5).cast("string"), F.lit('"]')))
+    role = F.when(k % 5 == 0, "null").when(k % 5 == 1, '"Traegt"').when(k % 5 == 2, '" erwaehnt"').when(k % 5 == 3, '"stark"').otherwise("3")
+    gender = F.when(k % 3 == 0, "").when(k % 3 == 1, "w").otherwise("m")
+    whole = F.concat(F.lit('{"alter": '), age, F.lit(', "geschlecht": '), text(gender), F.lit(', "land": '), text(F.col("o_orderpriority")), F.lit(', "themen": '), topics, F.lit(', "reliance_alter": '), role, F.lit("}"))
+    answers = table(spark, d, "orders").select("o_orderkey", F.when(k % 11 == 0, "no json").otherwise(whole).alias("answer"))
+    a = F.col("answer")
+    plain = F.from_json(a, "map<string,variant>")
+    kept = F.when(plain.isNull(), a).otherwise(F.to_json(F.map_filter(plain, lambda x, v: x != "reliance_alter")))
+    return answers.select("o_orderkey", H.nested(kept).alias("nested"), F.try_element_at(H.roles(a), F.lit("alter")).alias("role"), F.array_join(H.unknown_roles(a), ",").alias("unknown"))

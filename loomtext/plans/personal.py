@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import privacy as P
+from ..operators import spans as S
 from ..sources.tables import table
 from .registry import query
 
@@ -130,3 +131,13 @@ def context_redacted(spark, d):
     k = F.col("c_custkey")
     note = F.concat(F.lit("Name: "), "c_name", F.lit("\ngeboren am 1.2.19"), (50 + k % 40).cast("string"), F.lit("\nwohnhaft Lange Musterstraße "), (1 + k % 90).cast("string"), F.lit(", 12345 Bad Ort\ngez. Muster"))
     return table(spark, d, "customer").select("c_custkey", P.redact_context(note).alias("note"))
+
+
+@query("redacted_spans")
+def redacted_spans(spark, d):
+    """Personal data as typed places, found in parts of the texts, of overlapping ones the longest, replaced from the right."""
+    docs = _docs(spark, d)
+    found = S.found(docs, "doc_id", "text", P.RULES)
+    one = S.disjoint(S.exclusive_types(found, "doc_id"), "doc_id", [t for t, _, _ in P.RULES])
+    out = S.replaced(docs, one, "doc_id", "text", {t: f"[{t.upper()}]" for t, _, _ in P.RULES}, widen=["secret"])
+    return out.select("doc_id", F.col("n_spans").alias("spans"), F.md5("redacted").alias("redacted_md5"))

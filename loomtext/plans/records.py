@@ -91,11 +91,11 @@ def case_hashes(spark, d):
     return table(spark, d, "orders").select("o_orderkey", I.case_hash(p).alias("hash"))
 
 
-@query("provisions", "SELECT l_orderkey, l_linenumber, '§' || l_linenumber || ' Abs. ' || (l_suppkey % 4) || ' AsylG,§60' AS refs FROM lineitem WHERE l_suppkey % 4 > 0")
+@query("provisions", "SELECT l_orderkey, l_linenumber, '§' || l_linenumber || ' Abs. ' || (l_suppkey % 4) || ' AsylG,§60' AS refs FROM lineitem")
 def provisions(spark, d):
     c = F.col
     t = F.concat(F.lit("nach § "), c("l_linenumber").cast("string"), F.lit(" Abs. "), (c("l_suppkey") % 4).cast("string"), F.lit(" AsylG und §60, § 60"))
-    return table(spark, d, "lineitem").where("l_suppkey % 4 > 0").select("l_orderkey", "l_linenumber", F.array_join(I.provisions(t), ",").alias("refs"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(I.provisions(t), ",").alias("refs"))
 
 
 @query("plain_markdown", "SELECT p_partkey, 'T ' || p_name || chr(10) || '• ' || p_brand || ' link' AS plain FROM part")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import ranking as K
+from ..sources import links as LK
 from ..sources.tables import table
 from .registry import query
 
@@ -14,14 +17,19 @@ _BLANK = r"[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]"
 _TRIM = r"regexp_replace(trim(url), '[).,;]+$', '')"
 _U = f"regexp_replace({_TRIM}, '#.*$', '')"
 _CANON = rf"""(lower(regexp_extract({_U}, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || regexp_replace(lower(regexp_extract({_U}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), '^www\.', '')
- || regexp_extract({_U}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1) || coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract({_U}, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_|gclid|fbclid|mc_|ref|source)')), '&'), ''), ''))"""
+ || regexp_extract({_U}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1) || coalesce('?' || nullif(array_to_string(list_transform(list_filter(list_transform(list_filter(string_split(regexp_extract({_U}, '\?(.*)$', 1), '&'), lambda p: p <> ''),
+ lambda p: [url_decode(replace(regexp_extract(p, '^([^=]*)', 1), '+', ' ')), url_decode(replace(regexp_extract(p, '^[^=]*=(.*)$', 1), '+', ' '))]), lambda p: NOT regexp_matches(lower(p[1]), '^(utm_|gclid|fbclid|mc_|ref|source)')),
+ lambda p: replace(url_encode(p[1]), '%20', '+') || '=' || replace(url_encode(p[2]), '%20', '+')), '&'), ''), ''))"""
 _PART = lambda k: rf"regexp_extract(regexp_replace(trim(url), '#.*$', ''), '^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?]*))?([^?]*)(\?.+)?', {k})"
 _HOST = rf"regexp_replace(lower({_PART(2)}), '^www\.', '')"
 _IDENT = f"(CASE WHEN lower({_PART(1)}) IN ('https', '') THEN regexp_replace({_HOST}, ':443$', '') WHEN lower({_PART(1)}) = 'http' THEN regexp_replace({_HOST}, ':80$', '') ELSE {_HOST} END || regexp_replace({_PART(3)}, '/+$', '') || {_PART(4)})"
 _TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
 _KEY = f"substr(trim(regexp_replace(lower({_TITLE}), '[^a-z0-9äöüß]+', ' ', 'g')), 1, 160)"
-_TEXT = rf"""regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
- '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '{_BLANK}+', ' ', 'g'), '^{_BLANK}+|{_BLANK}+$', '', 'g')"""
+# every name of HTML 5, the ampersand's last
+_NAMED = "[" + ", ".join(f"{{'n': '&{n}', 'c': '{v.replace(chr(39), chr(39) * 2)}'}}" for n, v in sorted(html5.items()) if n.endswith(";") and n.lower() != "amp;") + "]"
+_STRIPPED = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+_DECODED = f"replace(replace(list_reduce(list_prepend({{'n': {_STRIPPED}, 'c': ''}}, {_NAMED}), lambda a, e: {{'n': replace(a.n, e.n, e.c), 'c': ''}}).n, '&#39;', chr(39)), '&amp;', '&')"
+_TEXT = f"regexp_replace(regexp_replace({_DECODED}, '{_BLANK}+', ' ', 'g'), '^{_BLANK}+|{_BLANK}+$', '', 'g')"
 
 
 def _pages(spark, d):
@@ -55,6 +63,18 @@ def page_links(spark, d):
     return table(spark, d, "pages").select("page_id", links).groupBy("page_id", "link").agg(F.count(F.lit(1)).alias("n"))
 
 
+_IDS = r"""SELECT page_id, regexp_replace(regexp_replace(h, '#.*$', ''), '^/+|/+$', '', 'g') AS target, k FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*"([^"]*)"', 1) AS hs FROM pages), unnest(hs) WITH ORDINALITY AS t(h, k) WHERE h LIKE '/%'"""
+_LINKS = rf"""i AS ({_IDS}), n AS (SELECT page_id, target AS name FROM i WHERE k = 1), l AS (SELECT name AS a, target AS b FROM n JOIN i USING (page_id) WHERE target <> '' AND target NOT LIKE '\_%' ESCAPE '\' AND NOT contains(target, '..'))"""
+
+
+@query("discovered_pages", f"WITH RECURSIVE {_LINKS}, r AS (SELECT DISTINCT name AS page, 0 AS depth FROM n WHERE page_id % 50 = 0 UNION SELECT b, depth + 1 FROM r JOIN l ON a = page WHERE depth < 6) SELECT page, min(depth) AS depth FROM r GROUP BY page")
+def discovered_pages(spark, d):
+    """What every fiftieth page reaches over up to six links; a page stands under the id that its first link names."""
+    p = table(spark, d, "pages").select("page_id", LK.hrefs(F.col("html")).alias("hs"))
+    ids = p.select("page_id", LK.page_id(F.get("hs", F.lit(0)), "http://site.test").alias("name"), F.explode("hs").alias("h")).select("page_id", "name", LK.page_id(F.col("h"), "http://site.test").alias("target"))
+    return LK.discovered(ids, ids.where("page_id % 50 = 0").select(F.col("name").alias("page")), "name", "target", 6)
+
+
 @query("pdf_links", "SELECT page_id, regexp_extract(html, 'href=\"([^\"]+\\.pdf)\"', 1) AS pdf FROM pages")
 def pdf_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract("html", r'href="([^"]+\.pdf)"', 1).alias("pdf"))

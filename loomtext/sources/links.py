@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -26,28 +27,32 @@ def page_id(href: Column, base: str) -> Column:
     Links may be absolute, start at the host, or be relative to ``base``. Another host, an action other than the index, files, the site's own
     paths and ``..`` are no pages; a link without a path names its page in the query's ``id``.
     """
-    host = F.lit(base.split("://", 1)[-1].split("/", 1)[0])
-    whole = F.regexp_extract(href, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)
-    scheme = F.lower(F.regexp_extract(href, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
-    rest = F.regexp_replace(href, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*|#.*$", "")
-    below = "/" + base.split("://", 1)[-1].partition("/")[2].strip("/")
-    path = F.regexp_extract(rest, r"^([^?]*)", 1)
-    path = F.when((whole == "") & (path != "") & ~path.startswith("/"), F.concat(F.lit(below.rstrip("/") + "/"), path)).otherwise(path)
-    query = F.regexp_extract(rest, r"\?(.*)$", 1)
-    decoded = lambda c: F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
-    plain = F.regexp_replace(decoded(path), "^/+", "")
-    for folder in SERVED_AS:
-        plain = F.when(plain.startswith(folder), F.substring(plain, F.lit(len(folder) + 1), F.length(plain))).otherwise(plain)
-    trimmed = lambda c: F.regexp_replace(F.trim(c), "^/+|/+$", "")
-    named = F.coalesce(F.try_url_decode(F.regexp_extract(query, r"(?:^|&)id=([^&]*)", 1)), F.lit(""))
-    found = F.when(trimmed(plain) != "", trimmed(plain)).otherwise(trimmed(named))
-    action = F.regexp_extract(query, r"(?:^|&)do=([^&]*)", 1)
-    ok = (scheme.isin("", "http", "https")) & ((whole == "") | (whole == host)) & action.isin("", "index") & (found != "") & ~F.contains(found, F.lit(".."))
-    for start in NO_PAGE:
-        ok = ok & ~found.startswith(start)
-    for end in NO_PAGE_END:
-        ok = ok & ~found.endswith(end)
-    return F.when(ok, found)
+    host = base.split("://", 1)[-1].split("/", 1)[0]
+    below = ("/" + base.split("://", 1)[-1].partition("/")[2].strip("/")).rstrip("/") + "/"
+
+    def decoded(c: Column) -> Column:
+        return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+
+    def trimmed(c: Column) -> Column:
+        return F.nullif(F.regexp_replace(F.trim(c), "^/+|/+$", ""), F.lit(""))
+
+    def parts(h: Column) -> Column:
+        whole = F.regexp_extract(h, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)
+        rest = F.regexp_replace(h, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*|#.*$", "")
+        path = F.regexp_extract(rest, r"^([^?]*)", 1)
+        # a path that does not begin at the host begins at the base
+        path = F.when((whole == "") & path.rlike("^[^/]"), F.concat(F.lit(below), path)).otherwise(path)
+        query = F.regexp_extract(rest, r"\?(.*)$", 1)
+        named = F.coalesce(F.try_url_decode(F.regexp_extract(query, r"(?:^|&)id=([^&]*)", 1)), F.lit(""))
+        page = F.coalesce(trimmed(F.regexp_replace(decoded(path), rf"^/*(?:{'|'.join(SERVED_AS)})?", "")), trimmed(named))
+        fits = F.lower(F.regexp_extract(h, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)).isin("", "http", "https") & whole.isin("", host) & F.regexp_extract(query, r"(?:^|&)do=([^&]*)", 1).isin("", "index")
+        return F.named_struct(F.lit("page"), page, F.lit("fits"), fits)
+
+    quoted = lambda words: "|".join(re.escape(w) for w in words)
+    no_page = rf"^(?:{quoted(NO_PAGE)})|(?:{quoted(NO_PAGE_END)})$|\.\."
+    # bound once, as an expression would otherwise be repeated wherever it is named
+    held = F.get(F.transform(F.array(href), parts), F.lit(0))
+    return F.get(F.transform(F.array(held), lambda x: F.when(x["fits"] & ~x["page"].rlike(no_page), x["page"])), F.lit(0))
 
 
 def namespace(page: Column) -> Column:

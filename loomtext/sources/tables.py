@@ -47,6 +47,19 @@ def page_after(df: DataFrame, key: str, cursor, n: int) -> DataFrame:
     return rest.orderBy(key).limit(n)
 
 
+def export_page(df: DataFrame, key: str, cursor, n: int) -> DataFrame:
+    """A keyset page with ``next_cursor``: the last key of the page if it is full, null on a short one. Only the page's rows are sorted on the driver's side of the limit."""
+    page = page_after(df, key, cursor, n)
+    last = page.agg(F.when(F.count(F.lit(1)) == n, F.max(key)).alias("next_cursor"))  # one row
+    return page.join(F.broadcast(last))
+
+
+def in_scope(df: DataFrame, owner: str | int | None, scope_col: str = "scope", owner_col: str = "owner_id") -> DataFrame:
+    """Rows that the whole firm shares or that are the owner's."""
+    mine = F.col(owner_col) == F.lit(owner) if owner is not None else F.lit(False)
+    return df.where(F.coalesce(F.col(scope_col) == "firm", F.lit(False)) | F.coalesce(mine, F.lit(False)))
+
+
 def page_at(df: DataFrame, order: list[Column], offset: int, n: int) -> DataFrame:
     """Offset page in a total order."""
     return df.orderBy(*order).offset(offset).limit(n)

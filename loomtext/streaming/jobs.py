@@ -105,29 +105,39 @@ def apply_patches(ops: DataFrame, target: str, allowed: list[str]) -> DataFrame:
     """The state of each target after its operations (version, op, path, value) in version order.
 
     append adds a value that is not there yet, set replaces the list, remove clears it; paths that are not allowed are
-    skipped. Returns the target, its number of applied operations and its state as JSON.
+    skipped. A version counts once: of several operations that claim it the first by path, operation and value is applied, and those without a version are
+    refused. Returns the target, its number of applied operations, how many were refused, and its state as JSON. A target's log is
+    streamed in order; a task holds one state.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        state: dict[str, list[str]] = {p: [] for p in allowed}
-        done = 0
-        for op, path, value in rows.sort_values("version")[["op", "path", "value"]].itertuples(index=False):
-            if path not in state:
-                continue
-            held = state[path]
-            if op == "append" and value not in held:
-                held.append(value)
-            elif op == "set" and held != [value]:
-                state[path] = [value]
-            elif op == "remove" and held:
-                state[path] = []
-            else:
-                continue
-            done += 1
-        return pd.DataFrame({target: [rows[target].iloc[0]], "applied": [done], "state": [json.dumps(state, sort_keys=True)]})
+    def begin() -> dict:
+        return {"lists": {p: [] for p in allowed}, "version": None, "applied": 0, "refused": 0, "key": None}
+
+    def step(state: dict, row) -> list[tuple]:
+        state["key"] = getattr(row, target)
+        if pd.isna(row.version) or row.version == state["version"]:
+            state["refused"] += 1
+            return []
+        state["version"] = row.version
+        held = state["lists"].get(row.path)
+        if held is None:
+            return []
+        if row.op == "append" and row.value not in held:
+            held.append(row.value)
+        elif row.op == "set" and held != [row.value]:
+            held[:] = [row.value]
+        elif row.op == "remove" and held:
+            held.clear()
+        else:
+            return []
+        state["applied"] += 1
+        return []
+
+    def end(state: dict) -> list[tuple]:
+        return [(state["key"], state["applied"], state["refused"], json.dumps(state["lists"], sort_keys=True))]
 
-    schema = T.StructType([ops.schema[target], T.StructField("applied", T.LongType()), T.StructField("state", T.StringType())])
-    return ops.groupBy(target).applyInPandas(run, schema)
+    kind = ops.schema[target].dataType.simpleString()
+    return folded(ops.select(target, "version", "path", "op", "value"), target, ["version", "path", "op", "value"], begin, step, end, f"{target} {kind}, applied long, refused long, state string")
 
 
 def streamed_rollup(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

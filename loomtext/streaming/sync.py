@@ -78,7 +78,7 @@ def page_states(crawls: DataFrame, least_chars: int = 200, grace: float = 3600.0
 
     Runs are numbered in the order of crawls. The session's state store has to be RocksDB's. Ends of crawls that did not see the whole site are left
     out; ``grace`` (seconds) is how long rows of a crawl may follow its end, and ``late`` how far behind the latest a row may be. A page that was gone
-    and comes back is updated; one that failed is not gone. Rows without a page or time are left out.
+    and comes back is updated; one that failed is not gone, nor is one that is seen again before its absence is settled. Rows without a page or time are left out.
     """
     timed = crawls.where(F.col("ts").isNotNull()).withWatermark("ts", late)
     page = timed.where(F.col("kind").isin("page", "failed") & F.col("page").isNotNull()).withColumn("bucket", F.pmod(F.xxhash64("page"), F.lit(buckets)).cast("int"))

@@ -190,7 +190,11 @@ def test_folds(spark):
     assert sorted(r.id for r in J.cooldown(df, "u", "id", "ts", 10).collect()) == [0, 2, 4]
     ops = [("t", 1, "append", "a", "x"), ("t", 2, "append", "a", "x"), ("t", 3, "set", "b", "y"), ("t", 4, "remove", "a", None), ("t", 5, "set", "z", "no")]
     got = J.apply_patches(spark.createDataFrame(ops, "k string, version int, op string, path string, value string"), "k", ["a", "b"]).first()
-    assert (got.applied, got.state) == (3, '{"a": [], "b": ["y"]}')
+    assert (got.applied, got.refused, got.state) == (3, 0, '{"a": [], "b": ["y"]}')
+    # a version counts once, whatever the order rows come in
+    ops = [("t", 2, "set", "b", "late"), ("t", 1, "append", "a", "x"), ("t", 2, "append", "a", "y"), ("t", None, "set", "a", "no"), ("u", 1, "remove", "a", None)]
+    got = {r.k: (r.applied, r.refused, r.state) for r in J.apply_patches(spark.createDataFrame(ops, "k string, version int, op string, path string, value string"), "k", ["a", "b"]).collect()}
+    assert got == {"t": (2, 2, '{"a": ["x", "y"], "b": []}'), "u": (0, 0, '{"a": [], "b": []}')}
 
 
 def test_stream_of_tickets(spark, tmp_path):
@@ -242,3 +246,32 @@ def test_registered_queries():
 
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_character_references(spark):
+    import html
+
+    texts = ["M&uuml;ller &sect; 3 &#8211; x", "&amp;auml; &#38;lt; &AMP;", "&copy 2020 &notit; &nosuch; & &;", "&#x1F600;&#128;&#0;&#xD800;&#9999999;", "&NotEqualTilde; &ampx &amp", "plain", "", "&lt;&gt;&quot;&#39;&nbsp;x"]
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, x string").select(F.col("k"), T.unescape(F.col("x")).alias("y")).orderBy("k").select("y").collect()]
+    # a reference to no-break space becomes a plain one
+    assert got == [html.unescape(t).replace("\xa0", " ") if "nbsp" in t else html.unescape(t) for t in texts]
+    assert col(spark, "<p>M&uuml;ller &sect;&nbsp;3</p>", T.visible_text) == "Müller § 3" and col(spark, None, T.visible_text) is None
+
+
+def test_query_encoding(spark):
+    same = {col(spark, u, T.canonical_url) for u in ("https://a.de/x?q=%C3%A4+b", "https://a.de/x?q=ä%20b&utm_x=1", "https://A.de/x?q=ä b")}
+    assert same == {"https://a.de/x?q=%C3%A4+b"}
+    assert col(spark, "https://a.de/x?empty&z=1%2B1&bad=%zz&t=~*", T.canonical_url) == "https://a.de/x?empty=&z=1%2B1&bad=%25zz&t=~%2A"
+
+
+def test_pages_scopes_and_titles(spark):
+    from loomtext.operators.merge import untold
+    from loomtext.sources.tables import export_page, in_scope
+
+    df = spark.createDataFrame([(k, "firm" if k == 3 else "user", k % 2) for k in range(5)] + [(9, None, None)], "k int, scope string, owner_id int")
+    assert [(r.k, r.next_cursor) for r in export_page(df.select("k"), "k", 0, 2).collect()] == [(1, 2), (2, 2)]
+    assert [(r.k, r.next_cursor) for r in export_page(df.select("k"), "k", 3, 5).collect()] == [(4, None), (9, None)] and export_page(df.select("k"), "k", 9, 2).collect() == []
+    assert sorted(r.k for r in in_scope(df, 0).collect()) == [0, 2, 3, 4] and [r.k for r in in_scope(df, None).collect()] == [3]
+    proposed = spark.createDataFrame([(1, " ALPHA "), (1, "beta"), (2, "alpha"), (1, None)], "c int, title string")
+    entries, sources = spark.createDataFrame([(10, "Alpha"), (11, None)], "e int, title string"), spark.createDataFrame([(1, 10), (1, 11), (2, 12)], "c int, e int")
+    assert sorted(((r.c, r.title) for r in untold(proposed, entries, sources, "c", "e", "title").collect()), key=repr) == [(1, "beta"), (1, None), (2, "alpha")]

@@ -125,3 +125,12 @@ def test_columns(spark):
     out = R.redact_terms(df, "t", {"names": ("person", "[PERSON]"), "places": ("place", "[ORT]")}).withColumn("redacted", R.redact_birth_dates(*map(__import__("pyspark.sql.functions", fromlist=["col"]).col, ("redacted", "born"))))
     assert [r.redacted for r in out.collect()] == ["[PERSON], [ORT], [GEBURTSDATUM], [GEBURTSDATUM] und [GEBURTSDATUM]", None, "bleibt"]
     assert out.columns == [*df.columns, "redacted"]
+
+
+def test_pseudonyms_fail_closed(spark, monkeypatch):
+    from loomtext.operators import privacy as P
+
+    rows = [("Maria Schmidt wohnt in Essen.", ["Maria Schmidt", None], ["Essen"]), ("Maria Schmidt", None, None), (None, ["x"], None), ("Die Polizei kam zu Herrn Li.", ["Li"], None), ("Ma-ria Schm idt bleibt lesbar: MariaSchm.idt", ["Maria Schmidt"], None), ("nichts", [], [])]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, t string, names array<string>, places array<string>")
+    got = [r.pseudonymised for r in P.pseudonymised(df, "t", "names", "places").orderBy("k").collect()]
+    assert got == ["[PERSON] wohnt in [ORT].", "", "", "Die Polizei kam zu Herrn [PERSON].", "", "nichts"]

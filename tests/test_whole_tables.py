@@ -71,7 +71,7 @@ def test_knn_across_blocks(spark):
     asked = df.where("k < 40").select(F.col("k").alias("query_id"), F.col("v").alias("query"))
     plain = df.crossJoin(asked).select("query_id", "k", "g", R.cosine(F.col("v"), F.col("query")).alias("score")).collect()
     for by in (None, "g"):
-        got = sorted(tuple(r) for r in R.knn(df, asked, "k", "v", 5, by, block=16, lanes=3).select("query_id", "k", "score").collect())
+        got = sorted(tuple(r) for r in R.knn(df, asked, "k", "v", 5, by, sent=900).select("query_id", "k", "score").collect())
         groups = {}
         for r in plain:
             groups.setdefault((r.query_id, r.g if by else None), []).append((-r.score, r.k))
@@ -162,15 +162,24 @@ def test_claims_of_every_page_meet_every_page(spark, tmp_path):
     tally = Counter(s for *_, s in status)
     assert run(spark, tmp_path, "citation_tally") == [(*(tally[x] for x in ("verified", "other_page", "ambiguous", "not_found")), len(claims))]
     share = lambda a, b: round(len({*a.split()} & {*b.split()}) / len({*a.split()}), 6)
-    assert run(spark, tmp_path, "token_matches") == sorted(((k, n, m, share(c, p)) for k, n, _, c in claims for m, p in enumerate(pages[k], 1)), key=repr)
+    assert run(spark, tmp_path, "token_matches") == sorted(((k, n, m, share(c, p)) for k, n, _, c in claims for m, p in enumerate(pages[k], 1) if share(c, p) >= 0.35), key=repr)
     of = dict(docs)
     outcome = lambda t: None if "the" in t and "der" in t else True if "the" in t else False if "der" in t else None
     norm = lambda t: " ".join(t.lower().split())
     assert run(spark, tmp_path, "quoted_sources") == sorted(((k, n, norm(c) in norm(of[k]), outcome(of[k])) for k, n, _, c in claims), key=repr)
     near = lambda t, c: t[max(0, t.find(c) - 75) :][:150]
     assert run(spark, tmp_path, "page_excerpts") == sorted(((k, n, md5((of[k][:350] + near(of[k], c)).encode()).hexdigest()) for k, n, _, c in claims), key=repr)
-    slipped = {(k, n, m) for k, n, _, c in claims for m, p in enumerate(pages[k], 1) if c in p}
-    assert slipped == set(run(spark, tmp_path, "fuzzy_matches"))
+    from test_claims import norm, plain_window
+
+    from loomtext.operators.claims import STOP
+
+    def resembles(claim, page):
+        claim, page = norm(claim), norm(page)
+        wanted = {w for w in claim.split() if len(w) >= 4 and w not in STOP}
+        return claim in page or (len(wanted & {*page.split()}) >= 0.35 * len(wanted) and plain_window(claim, page) >= 0.72)
+
+    want = {(k, n, m) for k, n, _, c in claims for m, p in enumerate(pages[k], 1) if resembles(c[:30] + "~" + c[31:], p)}
+    assert want == set(run(spark, tmp_path, "fuzzy_matches")) and len(want) > 10
 
 
 def test_pages_of_texts_without_end(spark, tmp_path):
