@@ -43,18 +43,12 @@ def _plain_alignment(rows):
         x, y = _plain_tokens(text, a, b)
         over_x, over_y = ([k for k, (_, t) in enumerate(side) for _ in t] for side in (x, y))
         links = [(x[i][0], y[j][0]) for i, j in dict.fromkeys(zip(over_x, over_y, strict=True))]
-        groups, left, right = [], [], []
-        ends = [set(itertools.accumulate(len(t) for _, t in side)) for side in (x, y)]
-        at_x = at_y = 0
-        for end in sorted(ends[0] & ends[1]):
-            left, right = [], []
-            while x and at_x < len(x) and sum(len(t) for _, t in x[: at_x + 1]) <= end:
-                left.append(x[at_x][0])
-                at_x += 1
-            while y and at_y < len(y) and sum(len(t) for _, t in y[: at_y + 1]) <= end:
-                right.append(y[at_y][0])
-                at_y += 1
-            groups.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
+        groups, at_x, at_y = [], 0, 0
+        ends_x, ends_y = (list(itertools.accumulate(len(t) for _, t in side)) for side in (x, y))
+        for end in sorted(set(ends_x) & set(ends_y)):
+            to_x, to_y = ends_x.index(end, at_x) + 1, ends_y.index(end, at_y) + 1
+            groups.append(",".join(str(k) for k, _ in x[at_x:to_x]) + "|" + ",".join(str(k) for k, _ in y[at_y:to_y]))
+            at_x, at_y = to_x, to_y
         for pair in set(links):
             held[pair].add(number)
         out.append((id_, len(x), len(y), groups, links))
