@@ -263,17 +263,15 @@ def candidate_pages(claims: DataFrame, pages: DataFrame) -> DataFrame:
 def standing(claims: DataFrame, pages: DataFrame, doc: str, claim_id: str, page_no: str, claim: str, page: str) -> DataFrame:
     """(doc, claim_id, page_no) for pages of a claim's document in which it stands as it is.
 
-    A claim's first and last word may be parts of words, so a page has to have its inner words; claims meet pages by the rarest of these. Claims of one or
-    two words are looked for on all pages of their document. Null and empty claims stand nowhere.
+    A claim's first and last word may be parts of words, so a page has to have its inner words; claims meet pages by the longest of these, which few
+    pages share. Claims of one or two words are looked for on all pages of their document. Null and empty claims stand nowhere.
     """
     said = claims.where(F.length(claim) > 0).select(doc, claim_id, claim, F.split(claim, r"\s+").alias("_all"))
-    said = said.withColumn("_inner", F.array_distinct(F.filter(F.slice("_all", 2, F.greatest(F.size("_all") - 2, F.lit(0))), lambda w: w != "")))
+    said = said.withColumn("_inner", F.filter(F.slice("_all", 2, F.greatest(F.size("_all") - 2, F.lit(0))), lambda w: w != ""))
+    longest = F.array_max(F.transform("_inner", lambda w: F.named_struct(F.lit("n"), F.length(w), F.lit("w"), w)))["w"]
+    probes = said.where(F.size("_inner") > 0).select(doc, claim_id, longest.alias("_word"))
     index = pages.select(doc, page_no, F.explode(F.array_distinct(F.split(page, r"\s+"))).alias("_word"))
-    common = index.groupBy(doc, "_word").agg(F.count(F.lit(1)).alias("_df"))
-    rarest = said.select(doc, claim_id, F.explode("_inner").alias("_word")).join(common, [doc, "_word"], "left")
-    # a word that no page has: the claim stands nowhere
-    rarest = rarest.groupBy(doc, claim_id).agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "_word")).alias("_r")).where("_r.df > 0").select(doc, claim_id, F.col("_r._word").alias("_word"))
-    met = rarest.join(index, [doc, "_word"]).select(doc, claim_id, page_no)
+    met = index.join(probes, [doc, "_word"]).select(doc, claim_id, page_no)
     bare = said.where(F.size("_inner") == 0).select(doc, claim_id).join(pages.select(doc, page_no), doc)
     pairs = met.unionByName(bare.select(doc, claim_id, page_no))
     return pairs.join(said.select(doc, claim_id, claim), [doc, claim_id]).join(pages.select(doc, page_no, page), [doc, page_no]).where(F.contains(F.col(page), F.col(claim))).select(doc, claim_id, page_no)
