@@ -104,6 +104,12 @@ def test_alignment_of_an_empty_table(spark):
     assert alignment.align(frame, A, B).collect() == []
 
 
+@pytest.mark.parametrize("text", [None, "", "▁"])
+def test_alignment_of_texts_without_tokens(spark, text):
+    frame = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
+    assert [tuple(r) for r in alignment.align(frame, A, B).collect()] == [(1, 0, 0, 0, 0, 0, 0, "")] * 2
+
+
 def test_pieces_are_cut_where_both_end(rows):
     both = alignment.Tokenizers(A, B)
     slow = re.compile(rf"(?<=[^\s▁])(?=[{both.breaks}])")
