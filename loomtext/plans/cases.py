@@ -56,7 +56,14 @@ def _hinted(spark, d):
     return table(spark, d, "part").select("p_partkey", "p_size", D.file_hint(given, text, url).alias("hint"))
 
 
-@query("file_hints", f"SELECT p_partkey, {_HINT} AS hint FROM part")
+# the rule itself on the same texts: a number of seven digits has no file number's shape
+_FOUND = rf"""(SELECT p_partkey, coalesce(nullif(trim(given), ''), nullif(regexp_extract(regexp_replace(said, '\s+', ' ', 'g'), '{D.FILE_IN_TEXT}'), ''),
+CASE WHEN path <> '' THEN parts[1] || ' ' || parts[2] || ' ' || parts[3] || '/' || parts[4] END, '') AS h FROM (SELECT *, string_split_regex(path, '[-_]') AS parts FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN ' 7 L 12/21 ' ELSE '' END AS given,
+CASE p_partkey % 4 WHEN 1 THEN 'Urteil zu ' || (1 + p_partkey % 90) || '  K' || chr(10) || p_partkey || '/22 vom Mai' ELSE 'ohne Zeichen' END AS said,
+regexp_extract(CASE p_partkey % 4 WHEN 2 THEN url_decode('https://a.de/x/' || (1 + p_partkey % 90) || '%5FK_' || p_partkey || '_24.html') ELSE 'https://a.de/100%' END, '{D.FILE_IN_URL}') AS path FROM part)))"""
+
+
+@query("file_hints", f"SELECT p_partkey, h AS hint FROM {_FOUND}")
 def hints(spark, d):
     return _hinted(spark, d).select("p_partkey", "hint")
 
