@@ -68,7 +68,7 @@ def hints(spark, d):
     return _hinted(spark, d).select("p_partkey", "hint")
 
 
-@query("known_sources", f"SELECT p_partkey, h <> '' AND regexp_replace(lower(h), '[^a-z0-9]', '', 'g') IN (SELECT (1 + p_partkey % 90) || 'k' || p_partkey || '22' FROM part WHERE p_partkey % 5 = 0) AS known FROM (SELECT p_partkey, {_HINT} AS h FROM part)")
+@query("known_sources", f"SELECT p_partkey, h <> '' AND regexp_replace(lower(h), '[^a-z0-9]', '', 'g') IN (SELECT (1 + p_partkey % 90) || 'k' || p_partkey || '22' FROM part WHERE p_partkey % 5 = 0) AS known FROM {_FOUND}")
 def known(spark, d):
     k = F.col("p_partkey")
     store = table(spark, d, "part").where("p_partkey % 5 = 0").select(F.concat((1 + k % 90).cast("string"), F.lit("-K-"), k.cast("string"), F.lit("/22")).alias("az"))

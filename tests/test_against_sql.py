@@ -23,3 +23,8 @@ PARTS = ("p_partkey long, p_size int", [(k, 1) for k in (*range(1, 41), *range(9
 def test_file_numbers_of_seven_digits_are_none(spark, tmp_path):
     got, want = both(spark, tmp_path, "file_hints", part=PARTS)
     assert got == want and (1_000_001, "") in got and (999_993, "4 K 999993/22") in got and (999_990, "1 K 999990/24") in got
+
+
+def test_known_sources_of_seven_digits_are_none(spark, tmp_path):
+    got, want = both(spark, tmp_path, "known_sources", part=PARTS)
+    assert got == want and (1_000_005, False) in got and (5, True) in got
