@@ -188,9 +188,14 @@ def _has(*words: str) -> str:
     return "(" + " OR ".join(f"contains(t, '{w}')" for w in words) + ")"
 
 
-@query("engine_scores", f"""SELECT page_id, 70 * {_has('example.org', 'example.net')}::INT + CASE WHEN {_has('ing', 'der')} THEN 140 ELSE -100 END - 260 * {_has('/de/')}::INT + 3 * greatest(0, y - 2014) AS first,
--60 * {_has('ad')}::INT + 12 * ({_has('the')}::INT + {_has('la')}::INT + {_has('er')}::INT) + 3 * y AS second, -50 * {_has('tion')}::INT + 15 * ({_has('the')}::INT + {_has('la')}::INT) AS third
-FROM (SELECT page_id, {_SHOT} AS t, (2000 + page_id % 40)::INT AS y FROM pages)""")
+# the year of a decision: the latest of full dates, else the latest bare one up to next year, else the latest bare one
+_DATED = r"list_max(list_transform(regexp_extract_all(t, '((?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./][0-9]{1,2}[./](?:19|20)[0-9]{2})', 1), lambda x: regexp_extract(x, '((?:19|20)[0-9]{2})', 1)::INT))"
+_BARE = r"list_transform(regexp_extract_all(t, '(?:^|[^0-9A-Za-z_])((?:19|20)[0-9]{2})\b', 1), lambda x: x::INT)"
+
+
+@query("engine_scores", f"""SELECT page_id, 6 * pdf + 70 * {_has('example.org', 'example.net')}::INT + CASE WHEN {_has('ing', 'der')} THEN 140 ELSE -100 END - 260 * {_has('/de/')}::INT + 3 * greatest(0, y - 2014) AS first,
+-60 * {_has('ad')}::INT + 12 * ({_has('the')}::INT + {_has('la')}::INT + {_has('er')}::INT) + 3 * y AS second, 6 * pdf - 50 * {_has('tion')}::INT + 15 * ({_has('the')}::INT + {_has('la')}::INT) AS third
+FROM (SELECT *, coalesce({_DATED}, list_max(list_filter({_BARE}, lambda x: x <= 2027)), list_max({_BARE}), 0) AS y FROM (SELECT page_id, coalesce({_SHOT}, '') AS t, coalesce(contains(lower(url), '.pdf'), false)::INT AS pdf FROM pages))""")
 def engine_scores(spark, d):
     t = F.expr(_SHOT)
     return table(spark, d, "pages").select("page_id", *(K.engine_score(F.col("url"), t, s, 2026).alias(n) for n, s in _ENGINES.items()))

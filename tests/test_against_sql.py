@@ -28,3 +28,11 @@ def test_file_numbers_of_seven_digits_are_none(spark, tmp_path):
 def test_known_sources_of_seven_digits_are_none(spark, tmp_path):
     got, want = both(spark, tmp_path, "known_sources", part=PARTS)
     assert got == want and (1_000_005, False) in got and (5, True) in got
+
+
+def test_engine_scores_take_years_from_urls_and_know_documents(spark, tmp_path):
+    page = lambda k, url, title: (k, url, f"<title>{title}</title>")
+    rows = [page(1, "https://a.org/de/1909", ""), page(37, "https://a.org/de/1909", "x"), page(38, "https://a.org/x.PDF", "vom 1.2.2016 und 2020-13-40"), page(39, "https://a.org/2027/2028", None)]
+    rows += [(5, None, "<title>der</title>"), (6, "https://a.org/2015", None), page(7, "https://example.net/de/", "Station the la 12.12.1999")]
+    got, want = both(spark, tmp_path, "engine_scores", pages=("page_id long, url string, html string", rows))
+    assert got == want and len({r[1:] for r in got}) > 5
