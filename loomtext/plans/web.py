@@ -51,7 +51,24 @@ def title_keys(spark, d):
     return _pages(spark, d).select("page_id", T.title_key(F.col("title")).alias("title_key"))
 
 
-@query("visible_text", f"SELECT page_id, md5({_TEXT}) AS text_md5, length({_TEXT})::BIGINT AS chars FROM pages")
+# every reference decoded once, from left to right: by number, by name, or by one of the names that need no semicolon, the longest
+_LITERAL = lambda v: "'" + v.replace("'", "''") + "'"
+_NAMES = ", ".join(f"({_LITERAL(n)}, {_LITERAL(v)})" for n, v in sorted(html5.items()))
+_BARE = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+_SHOWN = ", ".join(_LITERAL(bytes([k]).decode("cp1252", "ignore") or chr(k)) for k in range(0x80, 0xA0))
+_VISIBLE = rf"""WITH n(name, c) AS (VALUES {_NAMES}),
+s AS (SELECT row_number() OVER () AS r, page_id, string_split({_STRIPPED}, '&') AS ps FROM pages),
+e AS (SELECT r, page_id, i, ps[i] AS p FROM s, unnest(range(1, coalesce(len(ps), 1) + 1)) AS u(i)),
+k AS (SELECT *, coalesce(nullif(regexp_extract(p, '^#([0-9]{{1,10}})', 1), ''), '0x' || nullif(regexp_extract(p, '^#[xX]([0-9a-fA-F]{{1,8}})', 1), ''))::BIGINT AS code,
+ regexp_extract(p, '^([A-Za-z][A-Za-z0-9]*;)', 1) AS named, regexp_extract(p, '^({_BARE})', 1) AS bare FROM e),
+d AS (SELECT r, page_id, i, CASE WHEN i = 1 THEN p
+ WHEN code IS NOT NULL THEN CASE WHEN code = 0 OR code BETWEEN 55296 AND 57343 OR code > 1114111 THEN chr(65533) WHEN code BETWEEN 128 AND 159 THEN [{_SHOWN}][code - 127] ELSE chr(code::INT) END || regexp_replace(p, '^#([0-9]{{1,10}}|[xX][0-9a-fA-F]{{1,8}});?', '')
+ WHEN a.c IS NOT NULL THEN a.c || substr(p, length(named) + 1) WHEN b.c IS NOT NULL THEN b.c || substr(p, length(bare) + 1) ELSE '&' || p END AS x FROM k LEFT JOIN n a ON named = a.name LEFT JOIN n b ON bare = b.name),
+t AS (SELECT page_id, string_agg(x, '' ORDER BY i) AS x FROM d GROUP BY r, page_id)
+SELECT page_id, md5(x) AS text_md5, length(x)::BIGINT AS chars FROM (SELECT page_id, regexp_replace(regexp_replace(x, '{_BLANK}+', ' ', 'g'), '^{_BLANK}+|{_BLANK}+$', '', 'g') AS x FROM t)"""
+
+
+@query("visible_text", _VISIBLE)
 def visible_text(spark, d):
     t = table(spark, d, "pages").select("page_id", T.visible_text(F.col("html")).alias("t"))
     return t.select("page_id", F.md5("t").alias("text_md5"), F.length("t").cast("long").alias("chars"))

@@ -36,3 +36,9 @@ def test_engine_scores_take_years_from_urls_and_know_documents(spark, tmp_path):
     rows += [(5, None, "<title>der</title>"), (6, "https://a.org/2015", None), page(7, "https://example.net/de/", "Station the la 12.12.1999")]
     got, want = both(spark, tmp_path, "engine_scores", pages=("page_id long, url string, html string", rows))
     assert got == want and len({r[1:] for r in got}) > 5
+
+
+def test_visible_text_of_all_references(spark, tmp_path):
+    texts = ["and&amp</title> x&ampy &lt &AMP;&amp;lt; &amp;amp;", "&#65;&#x42;&#X43 &#0; &#128;&#x9d; &#xD800;&#1114112; &#12345678901; &# &#x; &", "&notit; &notin; &nosuch; &Auml &Auml;&sect3 &NewLine;&Tab;&#39;'", "<!-- &amp; --><p a='&'>&copy&copy;</p>&nbsp;", None, "", "&#10;\n&#160; a"]
+    got, want = both(spark, tmp_path, "visible_text", pages=("page_id long, html string", list(enumerate(texts))))
+    assert got == want
