@@ -77,11 +77,16 @@ def purge(spark, d):
     return t.select("doc_id", F.when((n < 1500) & boiler, "PURGE").when(n < 1500, "REVIEW").when((n < 3000) & boiler, "REVIEW").otherwise("KEEP").alias("bucket"))
 
 
-@query("grouped_documents", "SELECT CASE WHEN lang IN ('en', 'de') THEN lang ELSE 'other' END AS category, count(*) AS n, sum(n_chars)::BIGINT AS chars, min(doc_id) AS first_id, max(doc_id) AS last_id, sum(doc_id)::BIGINT AS id_sum FROM documents GROUP BY 1")
+_CATEGORY = "SELECT doc_id, n_chars, CASE WHEN lang IN ('en', 'de') THEN lang ELSE 'other' END AS category FROM documents"
+
+
+@query("grouped_documents", f"""WITH c AS ({_CATEGORY}), g AS (SELECT category, count(*) AS n, sum(n_chars)::BIGINT AS chars, min(doc_id) AS first_id, max(doc_id) AS last_id, sum(doc_id)::BIGINT AS id_sum FROM c GROUP BY 1)
+SELECT doc_id, category, n, chars, first_id, last_id, id_sum FROM c JOIN g USING (category)""")
 def grouped(spark, d):
-    """Documents by a category with a rest: how many, how long, and which (their ids' ends and sum, so that no list grows with a category)."""
+    """Every document with its category, which may be the rest, and how many and how long that category's are; a row a document, so that no list grows with a category."""
     docs = table(spark, d, "documents").select("doc_id", "n_chars", F.when(F.col("lang").isin("en", "de"), F.col("lang")).otherwise("other").alias("category"))
-    return docs.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.sum("doc_id").alias("id_sum"))
+    of = docs.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.sum("doc_id").alias("id_sum"))
+    return docs.join(F.broadcast(of), "category").select("doc_id", "category", "n", "chars", "first_id", "last_id", "id_sum")  # three rows
 
 
 @query("cost_rollup", "SELECT coalesce(l_returnflag, 'total') AS provider, round(sum(l_extendedprice * (1 - l_discount)), 2) AS cost, count(*) AS calls FROM lineitem GROUP BY ROLLUP (l_returnflag)")

@@ -42,3 +42,9 @@ def test_visible_text_of_all_references(spark, tmp_path):
     texts = ["and&amp</title> x&ampy &lt &AMP;&amp;lt; &amp;amp;", "&#65;&#x42;&#X43 &#0; &#128;&#x9d; &#xD800;&#1114112; &#12345678901; &# &#x; &", "&notit; &notin; &nosuch; &Auml &Auml;&sect3 &NewLine;&Tab;&#39;'", "<!-- &amp; --><p a='&'>&copy&copy;</p>&nbsp;", None, "", "&#10;\n&#160; a"]
     got, want = both(spark, tmp_path, "visible_text", pages=("page_id long, html string", list(enumerate(texts))))
     assert got == want
+
+
+def test_grouped_documents_keep_every_document(spark, tmp_path):
+    rows = [(k, (None, "en", "de", "fr")[k % 4], None if k % 7 == 0 else k * 900) for k in range(40)]
+    got, want = both(spark, tmp_path, "grouped_documents", documents=("doc_id long, lang string, n_chars long", rows))
+    assert got == want and {r[:2] for r in got} == {(k, lang if lang in ("en", "de") else "other") for k, lang, _ in rows}
