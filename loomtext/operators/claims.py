@@ -281,9 +281,13 @@ def shared_words(claims: DataFrame, pages: DataFrame, doc: str, claim_id: str, p
     """(doc, claim_id, page_no, share): pages that have ``least`` of a claim's distinct words, and what part of them.
 
     Of n words of which t have to be there a page has one of the n - t + 1 rarest; only these join, and the words of both are then compared.
+    With ``least`` 0 every claim meets every page of its document, and only words are sent, once for each claim and page (by document, as one task would scan a small file).
     """
     words = lambda c: F.array_distinct(F.split(normal(F.col(c)), " "))
     said, held = claims.select(doc, claim_id, words(claim).alias("_said")), pages.select(doc, page_no, words(page).alias("_held"))
+    share = F.size(F.array_intersect("_said", "_held")) / F.size("_said")
+    if least <= 0:
+        return held.join(said.hint("merge"), doc).select(doc, claim_id, page_no, share.alias("share"))
     index = held.select(doc, page_no, F.explode("_held").alias("_word"))
     common = index.groupBy(doc, "_word").agg(F.count(F.lit(1)).alias("_df"))
     need = F.ceil(F.size("_said") * F.lit(least) - 1e-9)
@@ -292,7 +296,6 @@ def shared_words(claims: DataFrame, pages: DataFrame, doc: str, claim_id: str, p
     probes = asked.withColumn("_k", rank).where((F.col("_k") <= F.col("_first")) & F.col("_df").isNotNull()).select(doc, claim_id, "_word")
     pairs = probes.join(index, [doc, "_word"]).select(doc, claim_id, page_no).distinct()
     both = pairs.join(said, [doc, claim_id]).join(held, [doc, page_no])
-    share = F.size(F.array_intersect("_said", "_held")) / F.size("_said")
     return both.select(doc, claim_id, page_no, share.alias("share")).where(F.col("share") >= least)
 
 
