@@ -77,3 +77,16 @@ def test_discovery_equals_a_queue(spark):
         links = spark.createDataFrame(edges, "a string, b string")
         got = S.discovered(links, spark.createDataFrame([(name(1),), (name(3),), (None,), (name(7),)], "page string"), "a", "b", depth, ["skip"])
         assert {r.page: r.depth for r in got.collect()} == seen
+
+
+def test_texts_do_not_leave_their_place_to_be_searched(spark):
+    from loomtext.operators import retrieval as R
+
+    docs = spark.createDataFrame([(1, "a b a c"), (2, None), (3, "b c d")], "k long, t string")
+    asked = spark.createDataFrame([(1, '"b a" OR d'), (2, "c -d")], "query_id long, q string")
+    index = R.postings(docs, "k", "t")
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.k, r.term, r.tf, r.length, r.at) for r in index.collect()) == [(1, "a", 2, 4, [0, 2]), (1, "b", 1, 4, [1]), (1, "c", 1, 4, [3]), (3, "b", 1, 3, [0]), (3, "c", 1, 3, [1]), (3, "d", 1, 3, [2])]
+    found = R._matches(docs, R.parse_queries(asked, "query_id", "q"), "k", "t", R.terms_of, False, sent=100)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.query_id, r.k) for r in found.collect()) == [(1, 1), (1, 3), (2, 1)]
