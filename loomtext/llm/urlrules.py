@@ -4,7 +4,8 @@ FP-growth over the tokens of labelled URLs finds token combinations that go with
 bad label are mined, and of tokens that always occur together one, so that a template's words do not multiply. Its sets are counted again over all
 tokens of all labelled URLs, pruned by support, confidence and what chance would give, and a rule that a shorter one of at least its confidence implies is dropped. Matching uses an
 inverted index: each rule is filed under its rarest token, URLs look rules up by their tokens, and the
-remaining tokens of a rule are then tested on the URL.
+remaining tokens of a rule are then tested on the URL. FP-growth's work doubles with each token of a basket; where baskets are wide, sets are found level by
+level instead, from the same tokens.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -43,21 +44,46 @@ def tokens_of(host: Column, path: Column, url: Column) -> Column:
     return F.array_distinct(F.concat(suffixes, first, words, names))
 
 
-def _baskets(known: DataFrame, least: float, widest: int) -> DataFrame:
-    """From (_id, items, bad) to (items, bad) with those tokens only that can make a rule.
+def _baskets(known: DataFrame, least: float) -> DataFrame:
+    """From (_row, items, bad) to the same with those tokens only that can make a rule.
 
     A token stays if it occurs in ``least`` bad URLs and its share of bad ones is above that of all URLs; of tokens that occur in the
-    same URLs the first by name stays, the shortest of them being as good as all. A basket of more than ``widest`` keeps those of largest
-    share, ties by name: FP-growth's work doubles with each.
+    same URLs the first by name stays, the shortest of them being as good as all.
     """
     each = known.select("_row", "bad", F.explode("items").alias("item"))
     rate = known.agg(F.avg(F.col("bad").cast("double")).alias("rate"))
     counts = each.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("hits"), F.sum(F.xxhash64("_row").cast("decimal(20,0)")).alias("where"))
     counts = counts.where(F.col("hits") >= least).withColumn("share", F.col("hits") / F.col("n")).join(F.broadcast(rate)).where("share > rate")
-    one = counts.groupBy("n", "hits", "where").agg(F.min("item").alias("item"), F.first("share").alias("share")).select("item", "share")
-    rank = F.row_number().over(Window.partitionBy("_row").orderBy(F.desc("share"), "item"))
-    kept = each.join(one, "item").withColumn("_k", rank).where(F.col("_k") <= widest).groupBy("_row").agg(F.collect_list("item").alias("items"))
-    return known.select("_row", "bad").join(kept, "_row").select("items", "bad")
+    one = counts.groupBy("n", "hits", "where").agg(F.min("item").alias("item")).select("item")
+    kept = each.join(one, "item").groupBy("_row").agg(F.collect_list("item").alias("items"))
+    return known.select("_row", "bad").join(kept, "_row").select("_row", "items", "bad")
+
+
+def _by_levels(baskets: DataFrame, least: float, longest: int) -> DataFrame:
+    """Sets of up to ``longest`` tokens (tokens) that ``least`` bad baskets hold and that no shorter set makes redundant, from (_row, items, bad).
+
+    Two sets of a basket that differ in their last token make one of the next level. A set goes no further if all baskets that hold it are bad, or if
+    one without a token of it occurs in the same baskets: what follows is then as sure without that token. Work grows with the pairs of
+    a basket's sets, not with all its subsets.
+    """
+    rows = baskets.select("_row", "bad", F.explode("items").alias("_t")).select("_row", "bad", F.array("_t").alias("tokens"))
+    found = None
+    for size in range(1, longest + 1):
+        rows = materialize(rows, "level")
+        sets = rows.groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("hits")).where(F.col("hits") >= least)
+        if found is not None:
+            # every set without one of the tokens is open and occurs in more baskets
+            less = sets.select("tokens", "n", F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("less"))
+            open_ = found.where((F.col("hits") < F.col("n")) & (F.size("tokens") == size - 1)).select(F.col("tokens").alias("less"), F.col("n").alias("_n"))
+            free = less.join(open_, "less").where("_n > n").groupBy("tokens").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") == size).select("tokens")
+            sets = sets.join(free, "tokens")
+        sets = materialize(sets, "sets")
+        found = sets if found is None else found.unionByName(sets)
+        if size == longest or not sets.where("hits < n").count():
+            break
+        held = rows.join(sets.where("hits < n").select("tokens"), "tokens").select("_row", "bad", F.slice("tokens", 1, size - 1).alias("_p"), F.element_at("tokens", -1).alias("_t"))
+        rows = held.join(held.select("_row", "_p", F.col("_t").alias("_u")), ["_row", "_p"]).where("_t < _u").select("_row", "bad", F.concat("_p", F.array("_t", "_u")).alias("tokens"))
+    return found.select("tokens")
 
 
 def counted(known: DataFrame, sets: DataFrame) -> DataFrame:
@@ -77,7 +103,7 @@ def mine(urls: DataFrame, labels: DataFrame, id_col: str, url_col: str, label_id
     """Rules (tokens, key, support, confidence, lift) for URLs that ``labels`` marks 0.
 
     Support is a share of the labelled URLs, and ``least`` bad URLs at that: fewer say nothing about others. FP-growth proposes sets of up to
-    ``longest`` tokens from baskets of up to ``widest``; how often each occurs and how often in bad URLs is then counted over the whole token sets of
+    ``longest`` tokens if no basket has more than ``widest``, else they are found level by level, with the same rules as result; how often each occurs and how often in bad URLs is then counted over the whole token sets of
     all labelled URLs. A rule stays if its confidence reaches ``confidence`` and the lower end of the confidence's interval (Wilson's, ``sure``
     standard errors wide) lies above the share of bad URLs overall, so that it says more than chance. Lift is confidence over that share. An id with several
     labels is bad if one of them is. FP-growth projects the transactions by item over Spark's partitions. Numeric
@@ -90,19 +116,25 @@ def mine(urls: DataFrame, labels: DataFrame, id_col: str, url_col: str, label_id
     known = materialize(known.select(F.xxhash64("_id", "items", F.monotonically_increasing_id()).alias("_row"), "items", (F.col("_y") == 0).alias("bad")), "known")
     empty = urls.sparkSession.createDataFrame([], "tokens array<string>, key string, support double, confidence double, lift double")
     n = known.count()
-    baskets = materialize(_baskets(known, max(float(least), support * n), widest).select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(_BAD)))).otherwise(F.col("items")).alias("items")), "baskets")
-    held = baskets.count()
+    often = max(float(least), support * n)
+    baskets = materialize(_baskets(known, often), "baskets")
+    held, width = baskets.agg(F.count(F.lit(1)), F.max(F.size("items"))).first()
     if not held:
         return empty
-    # shares here are of the baskets that hold a token at all; sets are proposed by support alone
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(float(least), support * n) / held), minConfidence=confidence, numPartitions=partitions or urls.sparkSession.sparkContext.defaultParallelism).fit(baskets)
-    sets = model.freqItemsets.where(F.array_contains("items", _BAD) & F.size("items").between(2, longest + 1)).select(F.array_sort(F.array_remove("items", _BAD)).alias("tokens")).withColumn("rid", F.xxhash64("tokens"))
+    if width <= widest:
+        marked = baskets.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(_BAD)))).otherwise(F.col("items")).alias("items"))
+        # shares here are of the baskets that hold a token at all; sets are proposed by support alone, half a basket lower as shares are rounded
+        model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(0.5, often - 0.5) / held), minConfidence=confidence, numPartitions=partitions or urls.sparkSession.sparkContext.defaultParallelism).fit(marked)
+        sets = model.freqItemsets.where(F.array_contains("items", _BAD) & F.size("items").between(2, longest + 1)).select(F.array_sort(F.array_remove("items", _BAD)).alias("tokens"))
+    else:
+        sets = _by_levels(baskets, often, longest)
+    sets = sets.withColumn("rid", F.xxhash64("tokens"))
     rules = counted(known, sets)
     rate = known.agg(F.avg(F.col("bad").cast("double")).alias("rate"))  # one row
     share, z2 = F.col("hits") / F.col("freq"), sure * sure
     lower = (share + z2 / (2 * F.col("freq")) - sure * F.sqrt(share * (1 - share) / F.col("freq") + z2 / (4 * F.col("freq") * F.col("freq")))) / (1 + z2 / F.col("freq"))
     rules = rules.withColumn("confidence", share).withColumn("_lower", lower).join(F.broadcast(rate)).withColumn("lift", F.col("confidence") / F.col("rate"))
-    rules = rules.where((F.col("hits") >= max(float(least), support * n)) & (F.col("confidence") >= confidence) & (F.col("_lower") > F.col("rate")))
+    rules = rules.where((F.col("hits") >= often) & (F.col("confidence") >= confidence) & (F.col("_lower") > F.col("rate")))
     rules = rules.select("tokens", "key", (F.col("hits") / F.lit(float(n))).alias("support"), "confidence", "lift")
     rules = materialize(rules, "rules")
     # a rule is redundant if one with fewer of its tokens is as sure: these share a key token with it

@@ -295,3 +295,45 @@ def test_pipeline_keeps_different_texts_of_one_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(map(tuple, dict(corpus_pipeline.STAGES)["MinHash near-dedup"](spark, docs.repartition(3), "").collect()), key=repr)
     assert got == sorted((rows[k] for k in (1, 2, 3, 5, 7)), key=repr)
+
+
+def test_wide_urls_keep_all_their_tokens(spark):
+    """A rule of two tokens that URLs hold beside twenty of larger share is found; all rules are those of counting every set."""
+    draw = random.Random(5)
+    rows, bad = [], {}
+    for k in range(400):
+        kind = k % 8
+        pair = ["pp", "qq"] if kind < 2 else ["pp"] if kind == 2 else ["qq"] if kind == 3 else []
+        bad[k] = kind < 2 or kind == 4
+        # twenty tokens that occur in bad URLs rather, none of them often enough with all others
+        noise = [f"n{chr(97 + j)}" for j in range(20) if draw.random() < (0.75 if bad[k] else 0.1)]
+        rows.append((k, f"http://t.test/{'/'.join(noise + pair)}"))
+    frames = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(k, int(not b)) for k, b in bad.items()], "doc_id long, quality int")
+    held = {k: {f"path:{w}" for w in u.split("/")[3:] if w} for k, u in rows}
+    rate = sum(bad.values()) / len(bad)
+    share = lambda items: (sum(bad[k] for k in held if items <= held[k]), sum(items <= held[k] for k in held))
+    lower = lambda h, n, z=4.0: (h / n + z * z / (2 * n) - z * (h / n * (1 - h / n) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+    speaks = [w for w in sorted(set().union(*held.values())) if (x := share({w}))[0] >= 5 and x[0] / x[1] > rate]
+    sure = {}
+    for size in (1, 2):
+        for items in map(frozenset, itertools.combinations(speaks, size)):
+            h, n = share(items)
+            if h >= 5 and h / n >= 0.5 and lower(h, n) > rate:
+                sure[items] = h / n
+    want = {s for s, c in sure.items() if not any(t < s and sure[t] >= c for t in sure)}
+    got = {frozenset(r.tokens) for r in urlrules.mine(*frames, "page_id", "url", "doc_id", "quality", longest=2).collect()}
+    assert frozenset(("path:pp", "path:qq")) in want and got == want
+
+
+@pytest.mark.parametrize("longest", [1, 3, 4])
+def test_levels_and_fp_growth_give_the_same_rules(spark, longest):
+    draw = random.Random(8)
+    words = ["aa", "bb", "cc", "dd", "ee", "ff", "gg"]
+    rows, labels = [], []
+    for k in range(500):
+        path = sorted(draw.sample(words, draw.randint(1, 5)))
+        rows.append((k, f"http://h{k % 3}.test/{'/'.join(path)}"))
+        labels.append((k, int(not (({"aa", "bb"} <= set(path) or {"cc", "dd", "ee"} <= set(path)) and draw.random() < 0.9))))
+    frames = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    one, other = ({(tuple(r.tokens), round(r.confidence, 9)) for r in urlrules.mine(*frames, "page_id", "url", "doc_id", "quality", longest=longest, widest=w, sure=2.0).collect()} for w in (0, 12))
+    assert one == other and (longest == 1 or one)
