@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import cut
+from ..sources.tables import spread
 from .verification import ANCHORS, normal
 
 # Words that say nothing about what a claim is about.
@@ -299,6 +301,11 @@ def shared_words(claims: DataFrame, pages: DataFrame, doc: str, claim_id: str, p
     return both.select(doc, claim_id, page_no, share.alias("share")).where(F.col("share") >= least)
 
 
+def _with_texts(met: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs (doc, id, page, ...) with the texts of their pages: over several tasks a core, the pairs of a page side by side."""
+    return spread(met, "doc", "page").join(spread(held, "doc", "page").hint("merge"), ["doc", "page"])
+
+
 def _resembling(least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -320,7 +327,9 @@ def resembling(claims: DataFrame, pages: DataFrame, doc: str, claim_id: str, pag
     """(doc, claim_id, page_no, score): pages of a claim's document with a window of words that resembles it by ``least`` at least."""
     own = claims.select(F.col(doc).alias("doc"), F.col(claim_id).alias("id"), F.col(claim).alias("claim"), match_form(F.coalesce(F.col(claim), F.lit(""))).alias("plain")).where("plain <> ''")
     held = pages.select(F.col(doc).alias("doc"), F.col(page_no).alias("page"), match_form(F.coalesce(F.col(page), F.lit(""))).alias("text")).where("text <> ''")
-    pairs = candidate_pages(own, held).join(held, ["doc", "page"]).join(own, ["doc", "id"]).select("doc", "id", "page", "plain", "text")
+    own, held = cut(own), cut(held)
+    met = candidate_pages(own, held).join(own, ["doc", "id"]).select("doc", "id", "page", "plain")
+    pairs = _with_texts(met, held).select("doc", "id", "page", "plain", "text")
     schema = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("doc", "id", "page")) + ", score double"
     return pairs.mapInPandas(_resembling(least), schema).select(F.col("doc").alias(doc), F.col("id").alias(claim_id), F.col("page").alias(page_no), "score")
 
@@ -335,15 +344,17 @@ def check_claims(claims: DataFrame, pages: DataFrame, doc: str, claim_id: str, p
     """
     own = claims.select(F.col(doc).alias("doc"), F.col(claim_id).alias("id"), F.col(claim).alias("claim"), F.col(cited).alias("cited"), match_form(F.coalesce(F.col(claim), F.lit(""))).alias("plain"))
     held = pages.groupBy(F.col(doc).alias("doc"), F.col(page_no).cast("long").alias("page")).agg(F.min(page).alias("raw")).select("doc", "page", match_form(F.coalesce("raw", F.lit(""))).alias("text")).where("text <> ''")
+    own, held = cut(own), cut(held)
     each = own.select("doc", "id", F.posexplode("cited").alias("at", "page")).withColumn("page", F.col("page").cast("long"))
     together = each.join(held, ["doc", "page"]).groupBy("doc", "id").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("t")).select("doc", "id", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"))
     kinds = {c: own.schema[c].dataType.simpleString() for c in ("doc", "id")}
     key = f"doc {kinds['doc']}, id {kinds['id']}"
-    on_cited = own.join(together, ["doc", "id"]).select("doc", "id", "claim", "plain", "text").mapInPandas(_cited_evidence, f"{key}, method string, matched boolean, score double, near boolean, missing boolean")
+    on_cited = spread(own.join(together, ["doc", "id"]).select("doc", "id", "claim", "plain", "text"), "doc", "id")
+    on_cited = cut(on_cited.mapInPandas(_cited_evidence, f"{key}, method string, matched boolean, score double, near boolean, missing boolean"))
     # other pages matter only to claims that the cited ones do not bear out
     open_ = own.join(on_cited.where("not matched").select("doc", "id"), ["doc", "id"], "left_semi")
     met = candidate_pages(open_, held).join(each.select("doc", "id", "page"), ["doc", "id", "page"], "left_anti")
-    pairs = met.join(held, ["doc", "page"]).join(own.select("doc", "id", "claim", "plain"), ["doc", "id"]).select("doc", "id", "page", "claim", "plain", "text")
+    pairs = _with_texts(met.join(own.select("doc", "id", "claim", "plain"), ["doc", "id"]), held).select("doc", "id", "page", "claim", "plain", "text")
     strong = pairs.mapInPandas(_strong_pages, f"{key}, page long, method string, score double").groupBy("doc", "id").agg(F.min(F.struct("page", "method", "score")).alias("other"))
     out = own.select("doc", "id", "cited").join(on_cited, ["doc", "id"], "left").join(strong, ["doc", "id"], "left")
     elsewhere = F.col("other").isNotNull()
