@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import spread
+
 
 def normal(c: Column) -> Column:
     """Lower case, letters and digits only, single spaces."""
@@ -76,7 +78,8 @@ def anchored_pairs(claims: DataFrame, pages: DataFrame, within: str, claim_id: s
     # the least that any of the rules asks for
     part = F.col("_n") / F.col("_of")
     maybe = counted.where(F.when(F.col("_hard"), part >= 0.2).otherwise((F.col("_n") >= 3) & (part >= 0.38)))
-    both = maybe.select(within, claim_id, page_id).join(claims.select(within, claim_id, claim), [within, claim_id]).join(pages.select(within, page_id, page), [within, page_id])
+    met = maybe.select(within, claim_id, page_id).join(claims.select(within, claim_id, claim), [within, claim_id])
+    both = spread(met, within, page_id).join(spread(pages.select(within, page_id, page), within, page_id).hint("merge"), [within, page_id])
     return both.withColumn("by", anchored(F.col(claim), F.col(page), stop)).where("by.match").select(within, claim_id, page_id, "by")
 
 

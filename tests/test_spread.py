@@ -28,3 +28,9 @@ def test_resembling_in_several_tasks(spark):
     said, pages = paged(spark)
     found = claims.resembling(said, pages, "d", "c", "p", "claim", "t")
     assert {r.d for r in found.where("p = 1").collect()} == set(range(60)) and tasks(found) > 3
+
+
+def test_anchored_pairs_in_several_tasks(spark):
+    said, pages = paged(spark)
+    found = verification.anchored_pairs(said, pages, "d", "c", "p", "claim", "t")
+    assert {r.d for r in found.where("p = 1").collect()} == set(range(60)) and tasks(found) > 3
