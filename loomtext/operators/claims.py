@@ -446,10 +446,12 @@ def known_dates(text: Column) -> Column:
     prose = rf"(?iu)\b(\d{{1,2}})\.?\s+({names})\s+(\d{{4}})\b"
     bare = rf"(?iu)\b(\d{{1,2}})\.?\s+({names})\b(?!\s+\d{{4}})"
     iso = r"\b(\d{4})-(\d{2})-(\d{2})\b"
-    written = F.zip_with(F.arrays_zip(listed(prose, 1).alias("d"), listed(prose, 2).alias("m")), listed(prose, 3), lambda x, y: dated(x["d"], _month_number(x["m"]), y))
-    by_iso = F.zip_with(F.arrays_zip(listed(iso, 3).alias("d"), listed(iso, 2).alias("m")), listed(iso, 1), lambda x, y: dated(x["d"], x["m"].cast("int"), y))
+    # a text is searched once for each pattern, and what it finds taken apart
+    of = lambda x, p, g: F.regexp_extract(x, p, g)
+    written = F.transform(listed(prose), lambda x: dated(of(x, prose, 1), _month_number(of(x, prose, 2)), of(x, prose, 3)))
+    by_iso = F.transform(listed(iso), lambda x: dated(of(x, iso, 3), of(x, iso, 2).cast("int"), of(x, iso, 1)))
     years = F.array_distinct(listed(r"\b(20\d{2})\b", 1))
-    days = F.zip_with(listed(bare, 1), listed(bare, 2), lambda d, m: F.struct(d.alias("d"), _month_number(m).alias("m")))
+    days = F.transform(listed(bare), lambda x: F.struct(of(x, bare, 1).alias("d"), _month_number(of(x, bare, 2)).alias("m")))
     any_year = F.flatten(F.transform(days, lambda x: F.transform(years, lambda y: dated(x["d"], x["m"], y))))
     return F.array_distinct(F.filter(F.concat(listed(DATE), written, by_iso, any_year), lambda x: x.isNotNull()))
 
@@ -486,7 +488,8 @@ def unsupported(drafts: DataFrame, sources: DataFrame, draft_id: str, draft: str
     Dates and file numbers are of high severity (``not_in_sources``); amounts may be computed and are of low (``unverified``). Facts of sources are
     counted once for each ``within``; drafts without any source there are not checked. A date without its year counts for the years that its own source names.
     """
-    said = drafts.select(draft_id, within, F.explode(facts_of(F.col(draft))).alias("f")).select(draft_id, within, "f.*")
+    drafts, sources = spread(drafts.select(*dict.fromkeys((draft_id, within)), draft), within), spread(sources.select(within, source), within)
+    said = drafts.select(*dict.fromkeys((draft_id, within)), F.explode(facts_of(F.col(draft))).alias("f")).select(*dict.fromkeys((draft_id, within)), "f.*")
     checked = sources.where(F.trim(F.coalesce(F.col(source), F.lit(""))) != "").select(within).distinct()
     known = sources.select(within, F.explode(source_facts(F.col(source))).alias("f")).select(within, "f.*").distinct()
     open_ = said.join(checked, within, "left_semi").join(known, [within, "type", "key"], "left_anti")

@@ -34,3 +34,18 @@ def test_anchored_pairs_in_several_tasks(spark):
     said, pages = paged(spark)
     found = verification.anchored_pairs(said, pages, "d", "c", "p", "claim", "t")
     assert {r.d for r in found.where("p = 1").collect()} == set(range(60)) and tasks(found) > 3
+
+
+def test_facts_in_several_tasks(spark):
+    text = "2024-03-05, am 7. März 2024, 7 March 2024 und 3. Mai, 9.4.2021, 31 Dezember 2022; 99. Juni 2020"
+    days = spark.createDataFrame([(text,), (None,)], "t string").select(claims.known_dates(F.col("t")).alias("d")).collect()
+    assert sorted(days[0].d) == ["03.05.2020", "03.05.2021", "03.05.2022", "03.05.2024", "05.03.2024", "07.03.2024", "31.12.2022"] and days[1].d == []
+    drafts = spark.createDataFrame([(k, "Frist 01.02.2024") for k in range(60)], "k long, draft string").coalesce(1)
+    sources = spark.createDataFrame([(k, "am 2. Februar 2024" if k % 2 else "2024-02-01") for k in range(60)], "k long, source string").coalesce(1)
+    # as everywhere else with joins over tables that are not sent whole
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        open_ = claims.unsupported(drafts, sources, "k", "draft", "k", "source")
+        assert {r.k for r in open_.collect()} == set(range(1, 60, 2)) and tasks(open_) > 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
