@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from .redaction import redact_terms
 
 #: Recognisers of the generic profile: type, pattern (group 1 is the value), score.
@@ -67,7 +68,8 @@ def case_entities(df: DataFrame, key: str, text: str, rules: Sequence[tuple[str,
     """(key, type, value, score): what the case profile finds, each value once per text and type with its best score."""
     c = F.coalesce(F.col(text), F.lit(""))
     found = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(s).alias("score"), F.regexp_extract_all(c, F.lit(p), F.lit(1)).alias("values")) for t, p, s in rules))
-    each = df.select(key, F.inline(found)).select(key, "type", "score", F.explode("values").alias("value"))
+    # dealt by key before the patterns, so that finds are counted where they are made
+    each = spread(df.select(key, text), key).select(key, F.inline(found)).select(key, "type", "score", F.explode("values").alias("value"))
     each = each.withColumn("value", F.regexp_replace("value", r"^[ \t\r\n,;:]+|[ \t\r\n,;:]+$", "")).where("value <> ''")
     # the end of one label can look like the beginning of another: an identifier has a digit
     each = each.where(F.col("type").isin("city", "street") | F.col("value").rlike("[0-9]"))
@@ -90,8 +92,15 @@ def scrub_values(values: Column, terms: Column, token: str) -> Column:
 
 def recognise(df: DataFrame, key: str, text: str, rules: Sequence[tuple[str, str, float]] = RULES) -> DataFrame:
     """(key, type, value, score): what each rule finds, every value once per text and type."""
-    found = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(s).alias("score"), F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(p), F.lit(1))).alias("values")) for t, p, s in rules))
-    each = df.select(key, F.inline(found))
+    c = F.coalesce(F.col(text), F.lit(""))
+
+    def values(pattern: str) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)))
+        # long runs without the sign take the square of their length
+        return F.when(F.contains(c, F.lit("@")), found).otherwise(F.array().cast("array<string>")) if pattern == RULES[0][1] else found
+
+    found = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(s).alias("score"), values(p).alias("values")) for t, p, s in rules))
+    each = spread(df.select(key, text), key).select(key, F.inline(found))
     return each.select(key, "type", "score", F.explode("values").alias("value"))
 
 

@@ -49,3 +49,9 @@ def test_facts_in_several_tasks(spark):
         assert {r.k for r in open_.collect()} == set(range(1, 60, 2)) and tasks(open_) > 3
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_finds_in_several_tasks(spark):
+    texts = spark.createDataFrame([(k, f"mail a{k}@b.org, geboren am 1.2.1970") for k in range(60)], "k long, t string").coalesce(1)
+    for found, kind in ((privacy.recognise(texts, "k", "t"), "email"), (privacy.case_entities(texts, "k", "t"), "birth_date")):
+        assert found.where(F.col("type") == kind).count() == 60 and tasks(found) > 3
