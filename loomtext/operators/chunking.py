@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..sources.tables import spread
+
+#: Characters of text after which a task of :func:`split_rows` hands on what it has made.
+PART = 4 << 20
 
 
 def paragraphs(df: DataFrame, text: str, least: int = 10) -> DataFrame:
@@ -176,11 +180,17 @@ def section_paths(markdown: str, title: str = "") -> list[tuple[str, str]]:
 
 
 def split_rows(df: DataFrame, key: str, text: str, splitter, schema_key: str = "long") -> DataFrame:
-    """One row (key, idx, chunk) for each part that a Python splitter makes of a text, in Arrow batches."""
+    """One row (key, idx, chunk) for each part that a Python splitter makes of a text; parts leave a task as soon as their texts fill ``PART`` characters."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(k, i, c) for k, t in zip(batch[key], batch[text], strict=True) for i, c in enumerate(splitter(t or ""))]
+            rows, held = [], 0
+            for k, t in zip(batch[key], batch[text], strict=True):
+                rows += [(k, i, c) for i, c in enumerate(splitter(t or ""))]
+                held += len(t or "")
+                if held > PART:
+                    yield pd.DataFrame(rows, columns=["key", "idx", "chunk"])
+                    rows, held = [], 0
             yield pd.DataFrame(rows, columns=["key", "idx", "chunk"])
 
-    return df.select(key, text).mapInPandas(run, f"key {schema_key}, idx int, chunk string").withColumnRenamed("key", key)
+    return spread(df.select(key, text), key).mapInPandas(run, f"key {schema_key}, idx int, chunk string").withColumnRenamed("key", key)

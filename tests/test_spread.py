@@ -55,3 +55,9 @@ def test_finds_in_several_tasks(spark):
     texts = spark.createDataFrame([(k, f"mail a{k}@b.org, geboren am 1.2.1970") for k in range(60)], "k long, t string").coalesce(1)
     for found, kind in ((privacy.recognise(texts, "k", "t"), "email"), (privacy.case_entities(texts, "k", "t"), "birth_date")):
         assert found.where(F.col("type") == kind).count() == 60 and tasks(found) > 3
+
+
+def test_splits_in_several_tasks(spark):
+    texts = spark.createDataFrame([(k, "line\n" * 900) for k in range(60)], "k long, t string").coalesce(1)
+    parts = chunking.split_rows(texts, "k", "t", chunking.pack_lines)
+    assert parts.select("k").distinct().count() == 60 and tasks(parts) > 3
