@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import unaccent
+from ..sources.tables import spread
 from .verification import normal
 
 # Words of a citation that point at a category, in the order in which they are tried.
@@ -48,7 +49,8 @@ def resolve(citations: DataFrame, inventory: DataFrame, case: str, ident: Sequen
         F.col("citation").rlike(FIRST_EXHIBIT).alias("_exhibit"), F.col("citation").rlike(SHEET).alias("_sheet"), F.col("pages").alias("_cited"),
         *(reduce(lambda a, b: a | b, (F.contains(F.col("_hint"), normal(F.lit(w))) for w in ws)).alias(f"_w{i}") for i, ws in enumerate(words.values())),
     )
-    pair = said.join(inventory, case, "left")
+    # many small tasks: a task sorts and counts its cases in memory
+    pair = spread(said, case).join(spread(inventory, case), case, "left")
     some = F.coalesce(F.size("_cited") > 0, F.lit(False))
     rules: list[tuple[str, Column, bool]] = [
         ("key", F.col("_key") == F.col("source_key"), False),

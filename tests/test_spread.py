@@ -61,3 +61,10 @@ def test_splits_in_several_tasks(spark):
     texts = spark.createDataFrame([(k, "line\n" * 900) for k in range(60)], "k long, t string").coalesce(1)
     parts = chunking.split_rows(texts, "k", "t", chunking.pack_lines)
     assert parts.select("k").distinct().count() == 60 and tasks(parts) > 3
+
+
+def test_citations_are_resolved_in_several_tasks(spark):
+    cited = spark.createDataFrame([(k, 1, "D1", "", "", None) for k in range(60)], "k long, n int, source_key string, citation string, hint string, pages array<int>").coalesce(1)
+    items = spark.createDataFrame([(k, 7, "D1", "Ladung", "akte", "other", 1, 2, [2]) for k in range(60)], "k long, item int, source_key string, label string, category string, role string, page_start int, page_end int, pages array<int>").coalesce(1)
+    found = inventory.resolve(cited, items, "k", ["n"])
+    assert {(r.k, r.item, r.rule) for r in found.collect()} == {(k, 7, "key") for k in range(60)} and tasks(found) > 3
