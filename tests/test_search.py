@@ -64,3 +64,19 @@ def test_tables_of_many_tasks_are_not_dealt(spark, tmp_path):
     assert "RepartitionByExpression" not in plan(dealt(spark.read.parquet(f"{tmp_path}/many"), "doc_id"))
     one = dealt(spark.read.parquet(f"{tmp_path}/one"), "doc_id")
     assert "RepartitionByExpression" in plan(one) and one.count() == 800
+
+
+def test_texts_are_fetched_without_a_shuffle(spark, tmp_path):
+    docs, asked = corpus(random.Random(6))
+    folder = written(spark, tmp_path, documents=("doc_id long, text string", docs), benchmark=("item_id long, text string", asked))
+    texts, hits = spark.read.parquet(f"{folder}/documents.parquet"), spark.createDataFrame([(q, k) for q in range(9) for k in range(0, 99, q + 1)], "q int, doc_id long")
+    want = sorted((k, t, q) for q, k in map(tuple, hits.collect()) for i, t in docs if i == k)
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a table too large to be sent
+        for sent in (800, 16 << 20):
+            got = R.sent_to(texts, hits, "doc_id", sent)
+            assert sorted(map(tuple, got.select("doc_id", "text", "q").where("text is not null").collect())) == [x for x in want if x[1] is not None] and got.count() == len(want)
+        assert "SortMergeJoin" not in plan(entry.queries()["distinct_passages"](spark, folder))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
