@@ -80,3 +80,22 @@ def test_texts_are_fetched_without_a_shuffle(spark, tmp_path):
         assert "SortMergeJoin" not in plan(entry.queries()["distinct_passages"](spark, folder))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+
+
+def test_reranked_orders_fused_hits(spark, tmp_path):
+    draw = random.Random(7)
+    docs, asked = corpus(draw)
+    vectors = [(k, [draw.gauss(0, 1) for _ in range(4)], 0) for k in range(130)]
+    folder = written(spark, tmp_path, documents=("doc_id long, text string", docs), benchmark=("item_id long, text string", asked), embeddings=("vec_id long, embedding array<double>, label int", vectors))
+    texts, said = dict(docs), {k: t for k, t in asked if t is not None}
+    want = []
+    fused = entry.queries()["rank_fusion"](spark, folder).collect()
+    for q in {r.query_id for r in fused}:
+        score = lambda r: len({*said[q].split()} & {*texts[r.id].split()}) if q in said and texts.get(r.id) is not None else -1  # noqa: B023, E731
+        best = sorted((r for r in fused if r.query_id == q), key=lambda r: (-score(r), r.rank))[:5]
+        want += [(q, r.id, n + 1) for n, r in enumerate(best)]
+    got = sorted(map(tuple, entry.queries()["reranked"](spark, folder).select("query_id", "doc_id", "place").collect()))
+    assert got == sorted(want) and {q for q, _, _ in got} >= {0, 20, 40, 120}
+    # some of the hits have vectors alone to speak for them
+    sparse = {(r.query_id, r.doc_id) for r in entry.queries()["sparse_bm25"](spark, folder).collect()}
+    assert any(q < 25 and (q, k) not in sparse for q, k, _ in got)
