@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.tables import spread
+from .beside import WIDE, by_document, parted
 
 
 def normal(c: Column) -> Column:
@@ -64,9 +65,61 @@ def _content(claim: Column, stop: Sequence[str]) -> Column:
     return F.array_distinct(F.filter(F.split(normal(claim), " "), lambda w: (F.length(w) >= 5) & ~w.isin(*stop) if stop else F.length(w) >= 5))
 
 
-def anchored_pairs(claims: DataFrame, pages: DataFrame, within: str, claim_id: str, page_id: str, claim: str, page: str, stop: Sequence[str] = ()) -> DataFrame:
+def anchored_pairs(claims: DataFrame, pages: DataFrame, within: str, claim_id: str, page_id: str, claim: str, page: str, stop: Sequence[str] = (), wide: int = WIDE) -> DataFrame:
     """(within, claim_id, page_id, by) for the pages of the same document that pass ``anchored``.
 
+    Claims and pages are prepared once and meet by document in one task. The pairs of documents with more than ``wide`` of either are dealt over
+    tasks: see :func:`_anchored_by_joins`.
+    """
+    near, far = parted(claims.select(within, claim_id, claim), pages.select(within, page_id, page), within, wide)
+    hard = F.when(F.col(claim).rlike("[0-9]"), anchors(F.col(claim))).otherwise(F.array().cast("array<string>"))  # each has a digit
+    said = near[0].select(F.col(within).alias("doc"), F.col(claim_id).alias("id"), _content(F.col(claim), stop).alias("words"), hard.alias("hard")).where("id is not null")
+    held = near[1].select(F.col(within).alias("doc"), F.col(page_id).alias("page"), normal(F.col(page)).alias("plain")).where("page is not null and plain <> ''")
+    counts = ["words", "of_words", "anchors", "of_anchors"]
+    fields = [T.StructField("id", claims.schema[claim_id].dataType), T.StructField("page", pages.schema[page_id].dataType), *(T.StructField(c, T.IntegerType()) for c in counts)]
+    found = by_document(said, held, _anchored_rows, fields)
+    out = found.select(F.col("doc").alias(within), F.col("id").alias(claim_id), F.col("page").alias(page_id), F.struct(F.lit(True).alias("match"), *counts).alias("by"))
+    return out if far is None else out.unionByName(_anchored_by_joins(*far, within, claim_id, page_id, claim, page, stop))
+
+
+@lru_cache(maxsize=1 << 17)
+def alike(word: str, other: str) -> bool:
+    """Whether a word resembles another one by 0.78."""
+    return 2 * min(len(word), len(other)) >= 0.78 * (len(word) + len(other)) and SequenceMatcher(None, word, other).ratio() >= 0.78
+
+
+def _anchored_rows(claims: list[tuple], pages: list[tuple]) -> Iterator[tuple]:
+    """(id, page, words, of_words, anchors, of_anchors) of the pairs that pass ``anchored``, from (id, words, anchors) and (page, plain text)."""
+    index: dict[str, dict[int, list[str]]] = {}  # words by their five first letters and page
+    for k, (_, plain) in enumerate(pages):
+        for w in set(plain.split(" ")):
+            if len(w) >= 5:
+                index.setdefault(w[:5], {}).setdefault(k, []).append(w)
+    for claim, said, hard in claims:
+        of, hard_of = len(said), len(hard)
+        begun = [index.get(w[:5], {}) for w in said]
+        count = [0] * len(pages)
+        for there in begun:
+            for k in there:
+                count[k] += 1
+        for k, most in enumerate(count):
+            # a word can only match one with the same five first letters
+            if not (most and (most / of >= 0.2 if hard_of else most >= 3 and most / of >= 0.38)):
+                continue
+            page, plain = pages[k]
+            hit = [w for w, there in zip(said, begun, strict=True) if k in there and (w in there[k] or (len(w) >= 7 and any(len(c) >= 7 and alike(w, c) for c in there[k])))]
+            n, part, hard_n = len(hit), len(hit) / of, sum(a in plain for a in hard)
+            if hard_of:
+                match = (hard_n / hard_of >= 0.67 and n >= 2 and part >= 0.25) or (hard_n >= 2 and part >= 0.2)
+            else:
+                match = (n >= 4 and part >= 0.55) or (n >= 3 and of <= 8 and part >= 0.38 and any(len(w) >= 12 for w in hit))
+            if match:
+                yield claim, page, n, of, hard_n, hard_of
+
+
+def _anchored_by_joins(claims: DataFrame, pages: DataFrame, within: str, claim_id: str, page_id: str, claim: str, page: str, stop: Sequence[str] = ()) -> DataFrame:
+    """:func:`anchored_pairs` of documents of any width.
+
     A word can only match one with the same five first letters, so ids are joined on these and counted first: pairs with fewer shared
     beginnings than the rules need words cannot match and are never compared. Texts are fetched for the rest.
     """
