@@ -2,8 +2,8 @@
 
 Evidence of a page is, in this order: the claim stands there as it is; its words and hard anchors are there; a window of words
 resembles it. A claim is compared with the text of its cited pages, once, and with those other pages only that can hold
-strong evidence: they share one of the claim's rarest words, enough of which any evidence needs. Claims and pages meet as ids
-through that index, so pairs without a common word are never formed. Windows are scored from the most promising downward, by an upper bound of their
+strong evidence: they have as many of its words as any evidence needs. Claims and pages meet by document in one task; those of documents
+too wide for that meet as ids through an index of the claim's rarest words, so pairs without a common word are never formed. Windows are scored from the most promising downward, by an upper bound of their
 likeness from the counts of their characters, until none can beat the best.
 """
 
@@ -13,6 +13,8 @@ import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
+from functools import lru_cache
+from math import ceil
 from typing import NamedTuple
 
 import numpy as np
@@ -23,7 +25,8 @@ from pyspark.sql import types as T
 
 from ..scratch import cut
 from ..sources.tables import spread
-from .verification import ANCHORS, normal
+from .beside import WIDE, by_document, parted
+from .verification import ANCHORS, alike, normal
 
 # Words that say nothing about what a claim is about.
 STOP = frozenset(
@@ -42,7 +45,9 @@ def match_text(text: str | None) -> str:
     if not text:
         return ""
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        text = unicodedata.normalize("NFKD", text)
+        for c in filter(unicodedata.combining, set(text)):
+            text = text.replace(c, "")
     return " ".join(re.sub(r"[^a-z0-9äöüß]+", " ", text.lower()).split())
 
 
@@ -76,16 +81,19 @@ class Evidence(NamedTuple):
         return self.score >= {"exact": 0.34, "window": 0.34, "words": 0.2, "overlap": 0.2}.get(self.method, 2.0)
 
 
+@lru_cache(maxsize=1024)
 def hard_anchors(claim: str) -> list[str]:
     """Dates, years and other numbers of a claim in the form of pages, each once as it is written."""
     found = dict.fromkeys(m for p in ANCHORS for m in re.findall(p, claim))
     return [a for a in map(match_text, found) if a]
 
 
+@lru_cache(maxsize=1024)
 def content(plain: str) -> list[str]:
     return sorted({w for w in plain.split() if len(w) >= 5 and w not in STOP})
 
 
+@lru_cache(maxsize=1024)
 def significant(plain: str) -> set[str]:
     return {w for w in plain.split() if len(w) >= 4 and w not in STOP}
 
@@ -104,16 +112,15 @@ class Page:
 
     def has(self, word: str) -> bool:
         """Whether the page has the word or, from seven letters on, one with the same beginning that resembles it."""
-        return word in self.words or (len(word) >= 7 and any(SequenceMatcher(None, word, w).ratio() >= 0.78 for w in self.heads.get(word[:5], ())))
+        return word in self.words or (len(word) >= 7 and any(alike(word, w) for w in self.heads.get(word[:5], ())))
 
     @property
     def sums(self) -> np.ndarray:
         """Counts of characters, by 64 kinds, before each word."""
         if self._sums is None:
-            each = np.zeros((len(self.listed) + 1, 64), np.int32)
             lengths = [len(w) for w in self.listed]
-            np.add.at(each, (np.repeat(np.arange(1, len(lengths) + 1), lengths), _kinds("".join(self.listed))), 1)
-            self._sums = each.cumsum(axis=0)
+            at = np.repeat(np.arange(1, len(lengths) + 1), lengths) * 64 + _kinds("".join(self.listed))
+            self._sums = np.bincount(at, minlength=(len(lengths) + 1) * 64).reshape(-1, 64).cumsum(axis=0, dtype=np.int32)
         return self._sums
 
 
@@ -133,12 +140,13 @@ def best_window(plain: str, page: Page, least: float = 0.0) -> float:
     said, wanted = plain.split(), significant(plain)
     size = min(max(len(said) + 4, 8), max(len(page.listed), 1))
     starts = np.arange(0, max(len(page.listed) - size + 1, 1), max(1, min(8, len(said) // 2)))
+    at: list[int] = []
     if wanted:
         at = [k for k, w in enumerate(page.listed) if w in wanted]
         if len({page.listed[k] for k in at}) < 2:
             return 0.0
         lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + size)
-        starts = starts[[b - a >= 2 and len({page.listed[at[k]] for k in range(a, b)}) >= 2 for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]]
+        starts, lo, hi = (x[hi - lo >= 2] for x in (starts, lo, hi))
     if not len(starts):
         return 0.0
     own = np.bincount(_kinds(plain), minlength=64)
@@ -150,6 +158,8 @@ def best_window(plain: str, page: Page, least: float = 0.0) -> float:
     for k in np.argsort(-bound, kind="stable").tolist():
         if bound[k] <= best or bound[k] < least:
             break
+        if wanted and len({page.listed[at[j]] for j in range(lo[k], hi[k])}) < 2:
+            continue
         best = max(best, SequenceMatcher(None, plain, " ".join(page.listed[starts[k] : ends[k]])).ratio())
     return best
 
@@ -219,7 +229,8 @@ def _strong_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             keep.append((e.method, e.score) if e.strong else None)
         some = [k for k, e in enumerate(keep) if e]
         out = batch.iloc[some][["doc", "id", "page"]].reset_index(drop=True)
-        out["method"], out["score"] = [keep[k][0] for k in some], [keep[k][1] for k in some]
+        # typed, as a batch may have none
+        out["method"], out["score"] = pd.Series([keep[k][0] for k in some], dtype="object"), pd.Series([keep[k][1] for k in some], dtype="float64")
         yield out
 
 
@@ -334,16 +345,74 @@ def resembling(claims: DataFrame, pages: DataFrame, doc: str, claim_id: str, pag
     return pairs.mapInPandas(_resembling(least), schema).select(F.col("doc").alias(doc), F.col("id").alias(claim_id), F.col("page").alias(page_no), "score")
 
 
-def check_claims(claims: DataFrame, pages: DataFrame, doc: str, claim_id: str, page_no: str, claim: str = "claim", cited: str = "cited", page: str = "page_text") -> DataFrame:
+def _first_strong(claim: str, plain: str, held: dict[int, Page], cited: set) -> tuple[int, str, float] | None:
+    """(page, method, score) of the first page, in order, that is not cited and bears a claim out strongly."""
+    words, wanted, short = content(plain), significant(plain), len(plain.split()) < 4
+    least = max(2, ceil(len(words) * 0.2)) if hard_anchors(claim) else max(3, ceil(len(words) * 0.68))
+    for number, page in held.items():
+        if number in cited:
+            continue
+        if plain not in page.plain:
+            # neither enough words that could be there nor windows worth a look
+            there = sum(w in page.words or (len(w) >= 7 and w[:5] in page.heads) for w in words)
+            if there < least and (short or (wanted and len(wanted & page.words) / len(wanted) < GATE)):
+                continue
+        e = evidence(claim, plain, page, STRONG)
+        if e.strong:
+            return number, e.method, e.score
+    return None
+
+
+def _checked_rows(claims: list[tuple], pages: list[tuple]) -> Iterator[tuple]:
+    """(id, method, matched, score, near, missing, other page, method, score) for each (id, claim, cited) of a document, from its (page, text)."""
+    raw: dict[int, str] = {}
+    for number, text in pages:
+        if text is not None and (number not in raw or text < raw[number]):
+            raw[number] = text
+    held = {n: Page(plain) for n in sorted(raw) if (plain := match_text(raw[n]))}
+    together: dict[tuple, Page] = {(n,): page for n, page in held.items()}
+    for key, claim, cited in claims:
+        claim, own = claim or "", tuple(n for n in cited or () if n in held)
+        if not own:
+            yield (key, *[None] * 8)
+            continue
+        if own not in together:
+            together[own] = Page(" ".join(held[n].plain for n in own))
+        plain = match_text(claim)
+        e = evidence(claim, plain, together[own])
+        other = None if e.matched or not plain else _first_strong(claim, plain, held, set(cited))
+        yield key, e.method, e.matched, e.score, e.near, not e.matched and surely_missing(claim, plain, together[own], e), *(other or [None] * 3)
+
+
+def check_claims(claims: DataFrame, pages: DataFrame, doc: str, claim_id: str, page_no: str, claim: str = "claim", cited: str = "cited", page: str = "page_text", wide: int = WIDE) -> DataFrame:
     """A row for each claim: document, id, status, page, method and score of the evidence that decides.
 
     ``claims`` cites pages by an array of numbers, ``pages`` has one row for each. Statuses: ``no_text`` if none of the cited pages has text,
     ``verified`` if they bear the claim out, together; else ``other_page`` if another page of the document does strongly (the first one) and the cited ones hold no
     near evidence, ``not_found`` if the claim is surely missing from the cited pages, and ``ambiguous`` in all other cases. Claims that are null or
     empty are ambiguous where there is text; repeated pages count once, the first in order of text. Ids of claims are unique within a document.
+
+    Claims and pages meet by document in one task. Those of documents with more than ``wide`` of either meet by words: see :func:`candidate_pages`.
     """
-    own = claims.select(F.col(doc).alias("doc"), F.col(claim_id).alias("id"), F.col(claim).alias("claim"), F.col(cited).alias("cited"), match_form(F.coalesce(F.col(claim), F.lit(""))).alias("plain"))
-    held = pages.groupBy(F.col(doc).alias("doc"), F.col(page_no).cast("long").alias("page")).agg(F.min(page).alias("raw")).select("doc", "page", match_form(F.coalesce("raw", F.lit(""))).alias("text")).where("text <> ''")
+    own = claims.select(F.col(doc).alias("doc"), F.col(claim_id).alias("id"), F.col(claim).alias("claim"), F.col(cited).cast("array<bigint>").alias("cited"))
+    held = pages.select(F.col(doc).alias("doc"), F.col(page_no).cast("long").alias("page"), F.col(page).alias("raw"))
+    near, far = parted(own, held, "doc", wide)
+    fields = T.StructType.fromDDL("method string, matched boolean, score double, near boolean, missing boolean, page long, other_method string, other_score double").fields
+    out = by_document(near[0], near[1].where("page is not null"), _checked_rows, [own.schema["id"], *fields])
+    other = F.when(F.col("page").isNotNull(), F.struct("page", F.col("other_method").alias("method"), F.col("other_score").alias("score"))).alias("other")
+    out = out.select("doc", "id", "method", "matched", "score", "near", "missing", other)
+    if far is not None:
+        out = out.unionByName(_checked_by_joins(*far))
+    elsewhere = F.col("other").isNotNull()
+    status = F.when(F.col("method").isNull(), "no_text").when(F.col("matched"), "verified").when(elsewhere & ~F.col("near"), "other_page").when(elsewhere | F.col("near") | ~F.col("missing"), "ambiguous").otherwise("not_found")
+    of = lambda c: F.when(F.col("matched") | ~elsewhere, F.col(c)).otherwise(F.col(f"other.{c}")).alias(c)
+    return out.select(F.col("doc").alias(doc), F.col("id").alias(claim_id), status.alias("status"), F.when(elsewhere, F.col("other.page")).alias("page"), of("method"), of("score"))
+
+
+def _checked_by_joins(claims: DataFrame, pages: DataFrame) -> DataFrame:
+    """The evidence of :func:`check_claims` for documents of any width; claims have doc, id, claim and cited, pages doc, page and raw."""
+    own = claims.withColumn("plain", match_form(F.coalesce("claim", F.lit(""))))
+    held = pages.groupBy("doc", "page").agg(F.min("raw").alias("raw")).select("doc", "page", match_form(F.coalesce("raw", F.lit(""))).alias("text")).where("text <> ''")
     own, held = cut(own), cut(held)
     each = own.select("doc", "id", F.posexplode("cited").alias("at", "page")).withColumn("page", F.col("page").cast("long"))
     together = each.join(held, ["doc", "page"]).groupBy("doc", "id").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("t")).select("doc", "id", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"))
@@ -356,11 +425,8 @@ def check_claims(claims: DataFrame, pages: DataFrame, doc: str, claim_id: str, p
     met = candidate_pages(open_, held).join(each.select("doc", "id", "page"), ["doc", "id", "page"], "left_anti")
     pairs = _with_texts(met.join(own.select("doc", "id", "claim", "plain"), ["doc", "id"]), held).select("doc", "id", "page", "claim", "plain", "text")
     strong = pairs.mapInPandas(_strong_pages, f"{key}, page long, method string, score double").groupBy("doc", "id").agg(F.min(F.struct("page", "method", "score")).alias("other"))
-    out = own.select("doc", "id", "cited").join(on_cited, ["doc", "id"], "left").join(strong, ["doc", "id"], "left")
-    elsewhere = F.col("other").isNotNull()
-    status = F.when(F.col("method").isNull(), "no_text").when(F.col("matched"), "verified").when(elsewhere & ~F.col("near"), "other_page").when(elsewhere | F.col("near") | ~F.col("missing"), "ambiguous").otherwise("not_found")
-    of = lambda c: F.when(F.col("matched") | ~elsewhere, F.col(c)).otherwise(F.col(f"other.{c}")).alias(c)
-    return out.select(F.col("doc").alias(doc), F.col("id").alias(claim_id), status.alias("status"), F.when(elsewhere, F.col("other.page")).alias("page"), of("method"), of("score"))
+    out = own.select("doc", "id").join(on_cited, ["doc", "id"], "left").join(strong, ["doc", "id"], "left")
+    return out.select("doc", "id", "method", "matched", "score", "near", "missing", "other")
 
 
 def across_documents(checks: DataFrame, keys: list[str], doc: str) -> DataFrame:

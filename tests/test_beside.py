@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import types as T
 
 import __spark_entry__ as entry
+from loomtext.operators import claims as K
 from loomtext.operators import verification as V
 from loomtext.operators.beside import by_document, parted
 
@@ -53,12 +54,15 @@ def test_wide_documents_are_told_apart(spark):
 def test_wide_documents_give_the_same(spark, wide):
     claims, pages = tables(spark)
     rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    args = claims, pages, "d", "c", "p"
+    checked = rows(K.check_claims(*args))
+    assert checked == rows(K.check_claims(*args, wide=wide)) and len(checked) == 17 * 6 and len({r[2] for r in checked}) == 5
     once = pages.dropDuplicates(["d", "p"])
     pairs = rows(V.anchored_pairs(claims, once, "d", "c", "p", "claim", "page_text"))
     assert pairs == rows(V.anchored_pairs(claims, once, "d", "c", "p", "claim", "page_text", wide=wide)) and len(pairs) > 30
 
 
-@pytest.mark.parametrize("name", ["anchored_claims"])
+@pytest.mark.parametrize("name", ["claim_checks", "anchored_claims"])
 def test_no_words_of_pages_are_joined(spark, tmp_path, name):
     draw = random.Random(1)
     docs = [(k, " ".join(draw.choice(WORDS) for _ in range(200)), "de") for k in range(20)]
